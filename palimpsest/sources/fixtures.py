@@ -78,13 +78,27 @@ def order_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 ORDER_COLUMNS = ["o_orderstatus", "o_totalprice", "o_orderpriority"]
 
 
-def lineitem_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V3: one table block per order, rows ``(l_linenumber, l_returnflag, l_quantity)``."""
-    li = read_table(spark, sf_dir, "lineitem").select(
+def _line_table(li: DataFrame, quantity) -> DataFrame:
+    cells = li.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         F.col("l_linenumber").cast("string").alias("c0"), F.col("l_returnflag").alias("c1"),
-        F.col("l_quantity").cast("decimal(18,2)").cast("string").alias("c2"))
-    return table_blocks(li, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], ["c0", "c1", "c2"])
+        quantity.cast("decimal(18,2)").cast("string").alias("c2"))
+    return table_blocks(cells, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], ["c0", "c1", "c2"])
+
+
+def lineitem_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3: one table block per order, rows ``(l_linenumber, l_returnflag, l_quantity)`` ordered by
+    ``(l_linenumber, l_partkey, l_suppkey)``."""
+    return _line_table(read_table(spark, sf_dir, "lineitem"), F.col("l_quantity"))
+
+
+def lineitem_revision(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """V3 revised: the new table drops the lines with ``l_suppkey % 13 = 0`` (rows below shift, as
+    positional table diff shows) and adds 1 to the quantity where ``l_partkey % 7 = 0``."""
+    li = read_table(spark, sf_dir, "lineitem")
+    new_q = F.when(F.col("l_partkey") % 7 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))
+    return (_line_table(li, F.col("l_quantity")),
+            _line_table(li.filter(F.col("l_suppkey") % 13 != 0), new_q))
 
 
 def message_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
