@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark import StorageLevel
 
 from ..functions.keys import PAYLOAD_COLS, effective_type, with_keys
 from ..session import broadcast_if_small, cut_lineage
@@ -97,26 +98,71 @@ def document_keys(keyed_blocks: DataFrame) -> DataFrame:
             .select("doc_id", F.transform("kv", lambda x: x["key_hash"]).alias("keys")))
 
 
+def text_doc_keys(lines: DataFrame, lines_col: str = "lines") -> DataFrame:
+    """Doc-level keys of a text snapshot computed inside each row: ``(doc_id, n, keys)`` from the
+    ``ARRAY<STRING>`` of kept lines (no explode, no shuffle).  One row per present document."""
+    hashed = F.transform(F.col(lines_col), lambda x: F.xxhash64(F.concat(F.lit("paragraph:"), x)))
+    return lines.select("doc_id", F.size(lines_col).cast("bigint").alias("n"), hashed.alias("keys"))
+
+
 def document_pairs(old_docs: DataFrame, new_docs: DataFrame, old_blocks: DataFrame, new_blocks: DataFrame,
-                   max_udf_blocks: int = MAX_UDF_BLOCKS) -> DataFrame:
-    """One row per document of either snapshot: presence, block counts and route.  Built from a
-    full-outer join of the manifests and two partial-aggregated counts; it is small (one row per
-    document) and is used three times, so it is materialised once with a reliable checkpoint."""
+                   max_udf_blocks: int = MAX_UDF_BLOCKS, old_doc_keys: DataFrame | None = None,
+                   new_doc_keys: DataFrame | None = None) -> DataFrame:
+    """One row per document of either snapshot: presence, block counts, route, key arrays and
+    ``same`` (the two key sequences are equal).
+
+    With ``*_doc_keys`` (sources that know a document's keys inside its row, e.g. text) this is a
+    single full-outer join of two doc-level tables.  Otherwise block counts come first (partial
+    aggregation), and only documents within the route-1 bound are collected into arrays; oversized
+    documents get an order-sensitive fingerprint instead.  The table is persisted because the
+    status, route 1 and route 2 all read it."""
+    if old_doc_keys is not None and new_doc_keys is not None:
+        o = old_doc_keys.select("doc_id", F.lit(True).alias("in_old"), F.col("n").alias("n_old"),
+                                F.col("keys").alias("old_keys"))
+        n = new_doc_keys.select("doc_id", F.lit(True).alias("in_new"), F.col("n").alias("n_new"),
+                                F.col("keys").alias("new_keys"))
+        j = o.join(n, "doc_id", "full_outer")
+        empty = F.array().cast("array<bigint>")
+        pairs = j.select("doc_id",
+                         F.coalesce("in_old", F.lit(False)).alias("in_old"),
+                         F.coalesce("in_new", F.lit(False)).alias("in_new"),
+                         F.lit(False).alias("parse_error"),
+                         F.coalesce("n_old", F.lit(0)).cast("bigint").alias("n_old"),
+                         F.coalesce("n_new", F.lit(0)).cast("bigint").alias("n_new"),
+                         "old_keys", "new_keys",
+                         (F.coalesce("old_keys", empty) == F.coalesce("new_keys", empty)).alias("same"))
+        pairs = pairs.withColumn("route", F.when(F.col("n_old") + F.col("n_new") > max_udf_blocks, F.lit(2))
+                                 .otherwise(F.lit(1)))
+        return pairs.persist(StorageLevel.MEMORY_AND_DISK)
     n_old = old_blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_old"))
     n_new = new_blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_new"))
     om = manifest(old_docs).withColumnRenamed("parse_error", "old_error").withColumn("in_old", F.lit(True))
     nm = manifest(new_docs).withColumnRenamed("parse_error", "new_error").withColumn("in_new", F.lit(True))
-    pairs = (om.join(nm, "doc_id", "full_outer")
-             .join(n_old, "doc_id", "left").join(n_new, "doc_id", "left")
-             .select("doc_id",
-                     F.coalesce("in_old", F.lit(False)).alias("in_old"),
-                     F.coalesce("in_new", F.lit(False)).alias("in_new"),
-                     (F.coalesce("old_error", F.lit(False)) | F.coalesce("new_error", F.lit(False))).alias("parse_error"),
-                     F.coalesce("n_old", F.lit(0)).alias("n_old"),
-                     F.coalesce("n_new", F.lit(0)).alias("n_new")))
-    pairs = pairs.withColumn("route", F.when(F.col("n_old") + F.col("n_new") > max_udf_blocks, F.lit(2))
-                             .otherwise(F.lit(1)))
-    return cut_lineage(pairs)
+    counts = (om.join(nm, "doc_id", "full_outer")
+              .join(n_old, "doc_id", "left").join(n_new, "doc_id", "left")
+              .select("doc_id",
+                      F.coalesce("in_old", F.lit(False)).alias("in_old"),
+                      F.coalesce("in_new", F.lit(False)).alias("in_new"),
+                      (F.coalesce("old_error", F.lit(False)) | F.coalesce("new_error", F.lit(False))).alias("parse_error"),
+                      F.coalesce("n_old", F.lit(0)).alias("n_old"),
+                      F.coalesce("n_new", F.lit(0)).alias("n_new")))
+    counts = cut_lineage(counts.withColumn(
+        "route", F.when(F.col("n_old") + F.col("n_new") > max_udf_blocks, F.lit(2)).otherwise(F.lit(1))))
+    r1 = counts.filter((F.col("route") == 1) & ~F.col("parse_error")
+                       & (F.col("n_old") + F.col("n_new") > 0)).select("doc_id")
+    okeys = document_keys(with_keys(old_blocks).join(r1, "doc_id", "left_semi")).withColumnRenamed("keys", "old_keys")
+    nkeys = document_keys(with_keys(new_blocks).join(r1, "doc_id", "left_semi")).withColumnRenamed("keys", "new_keys")
+    fp_old = _fingerprints(old_blocks, counts).withColumnRenamed("fp", "fp_old")
+    fp_new = _fingerprints(new_blocks, counts).withColumnRenamed("fp", "fp_new")
+    empty = F.array().cast("array<bigint>")
+    st = (counts.join(okeys, "doc_id", "left").join(nkeys, "doc_id", "left")
+          .join(fp_old, "doc_id", "left").join(fp_new, "doc_id", "left"))
+    same = F.when(F.col("route") == 1, F.coalesce("old_keys", empty) == F.coalesce("new_keys", empty)) \
+        .otherwise((F.col("n_old") == F.col("n_new")) & (F.col("fp_old") == F.col("fp_new")))
+    pairs = st.select("doc_id", "in_old", "in_new", "parse_error", F.col("n_old").cast("bigint").alias("n_old"),
+                      F.col("n_new").cast("bigint").alias("n_new"), "old_keys", "new_keys",
+                      same.alias("same"), "route")
+    return pairs.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _status(same: Column) -> Column:
@@ -128,68 +174,49 @@ def _status(same: Column) -> Column:
             .otherwise("changed"))
 
 
-def with_route1_keys(pairs: DataFrame, old_blocks: DataFrame, new_blocks: DataFrame) -> DataFrame:
-    """Attach ``old_keys``/``new_keys`` to route-1 documents.  The semi-join and the ``collect_list``
-    share the ``doc_id`` partitioning, so each side is shuffled once."""
-    r1 = pairs.filter((F.col("route") == 1) & ~F.col("parse_error")
-                      & (F.col("n_old") + F.col("n_new") > 0)).select("doc_id")
-    okeys = document_keys(with_keys(old_blocks).join(r1, "doc_id", "left_semi")).withColumnRenamed("keys", "old_keys")
-    nkeys = document_keys(with_keys(new_blocks).join(r1, "doc_id", "left_semi")).withColumnRenamed("keys", "new_keys")
-    return pairs.join(okeys, "doc_id", "left").join(nkeys, "doc_id", "left")
-
-
 def doc_status(old_docs: DataFrame, new_docs: DataFrame, old_blocks: DataFrame, new_blocks: DataFrame,
-               max_udf_blocks: int = MAX_UDF_BLOCKS) -> DataFrame:
+               max_udf_blocks: int = MAX_UDF_BLOCKS, old_doc_keys: DataFrame | None = None,
+               new_doc_keys: DataFrame | None = None) -> DataFrame:
     """``doc_id, in_old, in_new, n_old, n_new, route, status`` for every document.
 
     ``status`` is ``deleted`` / ``added`` / ``unchanged`` / ``changed`` / ``parse_error``.  Presence
-    comes from the manifests, not from the blocks: a present but blank document has no block rows.
-    Equality compares the ordered key-hash arrays (route 1) or, for oversized documents, an
-    order-sensitive fingerprint computed without collecting the document."""
-    pairs = document_pairs(old_docs, new_docs, old_blocks, new_blocks, max_udf_blocks)
-    st = with_route1_keys(pairs, old_blocks, new_blocks)
-    empty = F.array().cast("array<bigint>")
-    fp_old = _fingerprints(old_blocks, pairs).withColumnRenamed("fp", "fp_old")
-    fp_new = _fingerprints(new_blocks, pairs).withColumnRenamed("fp", "fp_new")
-    st = st.join(fp_old, "doc_id", "left").join(fp_new, "doc_id", "left")
-    same = F.when(F.col("route") == 1, F.coalesce("old_keys", empty) == F.coalesce("new_keys", empty)) \
-        .otherwise((F.col("n_old") == F.col("n_new")) & (F.col("fp_old") == F.col("fp_new")))
-    return st.select("doc_id", "in_old", "in_new", "n_old", "n_new", "route", _status(same).alias("status"))
+    comes from the manifests, not from the blocks: a present but blank document has no block rows."""
+    pairs = document_pairs(old_docs, new_docs, old_blocks, new_blocks, max_udf_blocks, old_doc_keys, new_doc_keys)
+    return pairs.select("doc_id", "in_old", "in_new", "n_old", "n_new", "route",
+                        _status(F.col("same")).alias("status"))
 
 
-def _fingerprints(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+def _fingerprints(blocks: DataFrame, counts: DataFrame) -> DataFrame:
     """Order-sensitive fingerprint of an oversized document without collecting it: the sum of
     ``xxhash64(position, key)`` (a partial aggregate).  Equal documents always agree; a false
     equality needs a 64-bit collision."""
-    big = broadcast_if_small(pairs.filter(F.col("route") == 2).select("doc_id"))
+    big = broadcast_if_small(counts.filter(F.col("route") == 2).select("doc_id"))
     kb = with_keys(blocks.join(big, "doc_id", "left_semi"))
     return kb.groupBy("doc_id").agg(F.sum(F.xxhash64("block_pos", "key_hash").cast("decimal(38,0)")).alias("fp"))
 
 
-def route1_opcodes(st: DataFrame, autojunk: bool = True) -> DataFrame:
+def route1_opcodes(pairs: DataFrame, autojunk: bool = True) -> DataFrame:
     """``(doc_id, ops ARRAY<opcode>)`` for every route-1 document with blocks, in one pass.  Only
     documents whose key arrays differ hand arrays to the Python UDF; the others pass nulls and
     take their single opcode natively."""
-    s = st.filter((F.col("route") == 1) & ~F.col("parse_error") & (F.col("n_old") + F.col("n_new") > 0))
-    empty = F.array().cast("array<bigint>")
-    a = F.coalesce("old_keys", empty)
-    b = F.coalesce("new_keys", empty)
-    differs = (F.col("n_old") > 0) & (F.col("n_new") > 0) & (a != b)
+    s = pairs.filter((F.col("route") == 1) & ~F.col("parse_error") & (F.col("n_old") + F.col("n_new") > 0))
+    differs = (F.col("n_old") > 0) & (F.col("n_new") > 0) & ~F.col("same")
     ops = (F.when(F.col("n_new") == 0, _one_opcode("delete", F.col("n_old"), F.lit(0)))
            .when(F.col("n_old") == 0, _one_opcode("insert", F.lit(0), F.col("n_new")))
            .when(~differs, _one_opcode("equal", F.col("n_old"), F.col("n_new")))
-           .otherwise(opcode_udf(autojunk)(F.when(differs, a), F.when(differs, b))))
+           .otherwise(opcode_udf(autojunk)(F.when(differs, F.col("old_keys")), F.when(differs, F.col("new_keys")))))
     return s.select("doc_id", ops.alias("ops"))
 
 
 def document_opcodes(old_docs: DataFrame, new_docs: DataFrame, old_blocks: DataFrame, new_blocks: DataFrame,
-                     autojunk: bool = True, max_udf_blocks: int = MAX_UDF_BLOCKS) -> DataFrame:
+                     autojunk: bool = True, max_udf_blocks: int = MAX_UDF_BLOCKS,
+                     old_doc_keys: DataFrame | None = None, new_doc_keys: DataFrame | None = None) -> DataFrame:
     """Opcodes of every document, route 1 and route 2 together: ``(doc_id, tag, i1, i2, j1, j2, base)``."""
     from .align_frontier import frontier_opcodes
-    pairs = document_pairs(old_docs, new_docs, old_blocks, new_blocks, max_udf_blocks)
-    r1 = route1_opcodes(with_route1_keys(pairs, old_blocks, new_blocks), autojunk)
+    pairs = document_pairs(old_docs, new_docs, old_blocks, new_blocks, max_udf_blocks, old_doc_keys, new_doc_keys)
+    r1 = route1_opcodes(pairs, autojunk)
     r1 = r1.select("doc_id", F.explode("ops").alias("op")).select("doc_id", "op.*")
-    big = pairs.filter((F.col("route") == 2) & ~F.col("parse_error")).select("doc_id", "n_old", "n_new")
+    big = pairs.filter((F.col("route") == 2) & ~F.col("parse_error")).select("doc_id", "n_old", "n_new", "same")
     r2 = frontier_opcodes(big, old_blocks, new_blocks, autojunk=autojunk)
     return r1.unionByName(r2)
 
@@ -243,9 +270,11 @@ def attach_payloads(entries: DataFrame, old_blocks: DataFrame, new_blocks: DataF
 
 def align_blocks(old_docs: DataFrame, new_docs: DataFrame, old_blocks: DataFrame, new_blocks: DataFrame,
                  autojunk: bool = True, max_udf_blocks: int = MAX_UDF_BLOCKS,
-                 with_payload: bool = True) -> DataFrame:
+                 with_payload: bool = True, old_doc_keys: DataFrame | None = None,
+                 new_doc_keys: DataFrame | None = None) -> DataFrame:
     """The reference's result list for every document pair, one row per entry."""
-    entries = expand_opcodes(document_opcodes(old_docs, new_docs, old_blocks, new_blocks, autojunk, max_udf_blocks))
+    entries = expand_opcodes(document_opcodes(old_docs, new_docs, old_blocks, new_blocks, autojunk, max_udf_blocks,
+                                              old_doc_keys, new_doc_keys))
     if not with_payload:
         return entries
     return attach_payloads(entries, old_blocks, new_blocks)

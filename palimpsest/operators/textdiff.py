@@ -1,7 +1,11 @@
-"""D1 + E7: character-level diff of changed text pairs -> ``struct(ratio, inline_html)``.
+"""D1 + E7 (+ G3 counts): character-level diff of changed text pairs ->
+``struct(ratio, inline_html, dot, norm_old, norm_new)``.
 
 One ``SequenceMatcher`` pass per pair gives both the similarity ratio and the ``<del>/<ins>`` markup,
 so the opcodes are computed once (the reference computes the ratio up to three times per change).
+The same pass counts the pair's lower-cased whitespace tokens, so the term-frequency cosine of a
+changed pair needs no second read of the pairs and no token shuffle (the long-form
+``semantics.tf_cosine`` is the stand-alone operator for arbitrary pair tables).
 Native short-circuits keep most rows out of Python: equal texts (ratio 1.0, markup = escaped text),
 both empty (1.0) and one side empty (0.0, markup = one tag).  Only the two strings of a pair cross the
 Arrow boundary.
@@ -10,6 +14,7 @@ Arrow boundary.
 from __future__ import annotations
 
 import html
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -22,9 +27,20 @@ from ..functions.text import html_escape
 KERNEL_TYPE = T.StructType([
     T.StructField("ratio", T.DoubleType()),
     T.StructField("inline_html", T.StringType()),
+    T.StructField("dot", T.LongType()),
+    T.StructField("norm_old", T.LongType()),
+    T.StructField("norm_new", T.LongType()),
 ])
 
 
+def token_products(a: str, b: str) -> tuple[int, int, int]:
+    """``(sum tf_a*tf_b, sum tf_a^2, sum tf_b^2)`` over ``lower().split()`` tokens."""
+    ca = Counter(a.lower().split())
+    cb = Counter(b.lower().split())
+    dot = sum(v * cb.get(t, 0) for t, v in ca.items())
+    return dot, sum(v * v for v in ca.values()), sum(v * v for v in cb.values())
+
+
 def inline_and_ratio(a: str, b: str, autojunk: bool = True) -> tuple[float, str]:
     sm = SequenceMatcher(None, a, b, autojunk=autojunk)
     parts = []
@@ -46,16 +62,24 @@ def inline_and_ratio(a: str, b: str, autojunk: bool = True) -> tuple[float, str]
 def _make_kernel(autojunk: bool):
     @F.pandas_udf(KERNEL_TYPE)
     def text_kernel(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        ratios, marks = [], []
+        ratios, marks, dots, nas, nbs = [], [], [], [], []
         for x, y in zip(a, b):
             if x is None or y is None:
                 ratios.append(None)
                 marks.append(None)
+                dots.append(None)
+                nas.append(None)
+                nbs.append(None)
                 continue
             r, m = inline_and_ratio(x, y, autojunk)
+            d, na, nb = token_products(x, y)
             ratios.append(r)
             marks.append(m)
-        return pd.DataFrame({"ratio": ratios, "inline_html": marks})
+            dots.append(d)
+            nas.append(na)
+            nbs.append(nb)
+        return pd.DataFrame({"ratio": ratios, "inline_html": marks, "dot": pd.array(dots, dtype="Int64"),
+                             "norm_old": pd.array(nas, dtype="Int64"), "norm_new": pd.array(nbs, dtype="Int64")})
     return text_kernel.asNondeterministic()
 
 
@@ -68,13 +92,17 @@ def kernel(autojunk: bool = True):
     return _KERNELS[autojunk]
 
 
-def text_diff(old_text: Column, new_text: Column, autojunk: bool = True) -> Column:
-    """``struct(ratio, inline_html)`` of two strings (nulls read as ``""``).
+def text_diff(old_text: Column, new_text: Column, autojunk: bool = True, with_tokens: bool = False) -> Column:
+    """``struct(ratio, inline_html[, similarity])`` of two strings (nulls read as ``""``).
 
-    Rows that the native short-circuits settle pass nulls to the UDF, which skips them."""
+    Rows that the native short-circuits settle pass nulls to the UDF, which skips them (with
+    ``with_tokens`` every pair with two non-blank sides goes through the kernel, which then also
+    gives the term-frequency cosine)."""
     a = F.coalesce(old_text, F.lit(""))
     b = F.coalesce(new_text, F.lit(""))
     needs_kernel = (a != b) & (F.length(a) > 0) & (F.length(b) > 0)
+    if with_tokens:
+        needs_kernel = (F.length(a) > 0) & (F.length(b) > 0)
     k = kernel(autojunk)(F.when(needs_kernel, a), F.when(needs_kernel, b))
     ratio = (F.when(a == b, F.lit(1.0))
              .when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0))
@@ -83,7 +111,13 @@ def text_diff(old_text: Column, new_text: Column, autojunk: bool = True) -> Colu
               .when(F.length(a) == 0, F.concat(F.lit("<ins>"), html_escape(b), F.lit("</ins>")))
               .when(F.length(b) == 0, F.concat(F.lit("<del>"), html_escape(a), F.lit("</del>")))
               .otherwise(k["inline_html"]))
-    return F.struct(ratio.alias("ratio"), inline.alias("inline_html"))
+    fields = [ratio.alias("ratio"), inline.alias("inline_html")]
+    if with_tokens:
+        na, nb = k["norm_old"], k["norm_new"]
+        sim = F.when(F.coalesce(na, F.lit(0)) * F.coalesce(nb, F.lit(0)) == 0, F.lit(0.0)) \
+            .otherwise(k["dot"].cast("double") / F.sqrt((na * nb).cast("double")))
+        fields.append(sim.alias("similarity"))
+    return F.struct(*fields)
 
 
 def strip_markup(inline: Column, keep: str) -> Column:

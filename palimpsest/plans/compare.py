@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators import align, report, score
 from ..operators.celldiff import nested_table_diff
-from ..operators.semantics import entity_labels, label_union, tf_cosine
+from ..operators.semantics import entity_labels, label_union
 from ..operators.textdiff import text_diff
 from ..functions.text import score_band
 
@@ -34,23 +34,28 @@ class Comparison:
     max_udf_blocks: int = align.MAX_UDF_BLOCKS
     gazetteer: DataFrame | None = None
     use_similarity: bool = True
+    old_doc_keys: DataFrame | None = None
+    new_doc_keys: DataFrame | None = None
+
+    def _keys(self):
+        return dict(old_doc_keys=self.old_doc_keys, new_doc_keys=self.new_doc_keys)
 
     # ---- C ------------------------------------------------------------------------------------------
     @property
     def status(self) -> DataFrame:
         return align.doc_status(self.old_docs, self.new_docs, self.old_blocks, self.new_blocks,
-                                self.max_udf_blocks)
+                                self.max_udf_blocks, **self._keys())
 
     @property
     def entries(self) -> DataFrame:
         return align.align_blocks(self.old_docs, self.new_docs, self.old_blocks, self.new_blocks,
-                                  self.autojunk, self.max_udf_blocks, with_payload=False)
+                                  self.autojunk, self.max_udf_blocks, with_payload=False, **self._keys())
 
     @property
     def changes(self) -> DataFrame:
         """One row per entry with both payloads (prefixed ``old_`` / ``new_``) and effective ``type``."""
         return align.align_blocks(self.old_docs, self.new_docs, self.old_blocks, self.new_blocks,
-                                  self.autojunk, self.max_udf_blocks)
+                                  self.autojunk, self.max_udf_blocks, **self._keys())
 
     # ---- D ------------------------------------------------------------------------------------------
     @property
@@ -59,7 +64,8 @@ class Comparison:
         ``table_changes`` for table pairs."""
         ch = self.changes
         changed = F.col("change") == "changed"
-        k = text_diff(F.when(changed, F.col("old_text")), F.when(changed, F.col("new_text")), self.autojunk)
+        k = text_diff(F.when(changed, F.col("old_text")), F.when(changed, F.col("new_text")), self.autojunk,
+                      with_tokens=self.use_similarity)
         para = changed & (F.col("old_type") == "paragraph") & (F.col("new_type") == "paragraph")
         table = changed & (F.col("old_type") == "table") & (F.col("new_type") == "table")
         return (ch.withColumn("_k", k)
@@ -67,6 +73,8 @@ class Comparison:
                 .withColumn("inline_html", F.when(para & F.col("old_text").isNotNull() & F.col("new_text").isNotNull(),
                                                   F.col("_k.inline_html")))
                 .withColumn("table_changes", F.when(table, nested_table_diff(F.col("old_table"), F.col("new_table"))))
+                .withColumn("similarity", F.when(changed, F.col("_k.similarity")) if self.use_similarity
+                            else F.lit(None).cast("double"))
                 .drop("_k"))
 
     # ---- F ------------------------------------------------------------------------------------------
@@ -91,15 +99,7 @@ class Comparison:
             ent = F.col("entity_labels")
         else:
             ent = None
-        if self.use_similarity:
-            pairs = base.filter(changed).select("doc_id", "entry_idx", F.col("old_text").alias("_o"),
-                                                F.col("new_text").alias("_n"))
-            sims = tf_cosine(pairs, ["doc_id", "entry_idx"], "_o", "_n").select("doc_id", "entry_idx", "similarity")
-            base = base.join(sims, ["doc_id", "entry_idx"], "left")
-            sim = F.col("similarity")
-        else:
-            base = base.withColumn("similarity", F.lit(None).cast("double"))
-            sim = F.col("similarity")
+        sim = F.col("similarity")   # from the kernel pass (G3), null when similarity is off
         labels = label_union(F.col("_merged"), ent)
         out = (base.withColumn("labels", F.when(changed, labels))
                .withColumn("semantic_score", F.when(changed, score.semantic_score(sim, F.col("ratio"))))

@@ -28,8 +28,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def revision(spark: SparkSession, sf_dir: str, **kw) -> Comparison:
-    old, new, ob, nb = fixtures.revision_blocks(spark, sf_dir)
-    return Comparison(old, new, ob, nb, **kw)
+    old, new, ob, nb, ok, nk = fixtures.revision_sides(spark, sf_dir)
+    return Comparison(old, new, ob, nb, old_doc_keys=ok, new_doc_keys=nk, **kw)
 
 
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from .lines import kept_lines, text_blocks
+from .lines import kept_lines
 from .tables import table_blocks
 
 # ---- fixed values of the V1 revision rule --------------------------------------------------------
@@ -27,11 +27,11 @@ V1_INSERT = "Inserted note art.5 of 2024, item "
 # ---------------------------------------------------------------------------------------------------
 
 
-def revision_snapshots(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """V1: ``(old_docs, new_docs)``, each ``(doc_id, text)``; the new text is the old one with lines
-    dropped, edited or inserted.  Built inside each row (no shuffle)."""
+def revision_lines(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """V1 as kept-line arrays: ``(old_lines, new_lines)``, each ``(doc_id, lines ARRAY<STRING>)``; the
+    new lines are the old ones dropped, edited or with a line inserted.  Built inside each row (no
+    shuffle)."""
     docs = documents.select("doc_id", "text")
-    old = docs.filter(F.col("doc_id") % V1_OLD_DROP != 0)
     keep = F.col("doc_id") % V1_KEEP == 0
 
     def revise(x, p):
@@ -44,16 +44,33 @@ def revision_snapshots(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
                 .when(h == V1_H_INSERT, F.array(x, F.concat(F.lit(V1_INSERT), p.cast("string"))))
                 .otherwise(F.array(x)))
 
-    new_lines = F.flatten(F.transform(kept_lines(F.col("text")), revise))
+    old = docs.filter(F.col("doc_id") % V1_OLD_DROP != 0).select("doc_id", kept_lines(F.col("text")).alias("lines"))
     new = docs.filter(F.col("doc_id") % V1_NEW_DROP != 0).select(
-        "doc_id", F.array_join(new_lines, "\n").alias("text"))
+        "doc_id", F.flatten(F.transform(kept_lines(F.col("text")), revise)).alias("lines"))
     return old, new
 
 
+def revision_snapshots(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """V1 as two text corpora ``(doc_id, text)`` (lines joined with ``\\n``)."""
+    old, new = revision_lines(documents)
+    return (old.select("doc_id", F.array_join("lines", "\n").alias("text")),
+            new.select("doc_id", F.array_join("lines", "\n").alias("text")))
+
+
 def revision_blocks(spark: SparkSession, sf_dir: str):
-    """V1 as ``(old_docs, new_docs, old_blocks, new_blocks)``."""
-    old, new = revision_snapshots(read_table(spark, sf_dir, "documents"))
-    return old, new, text_blocks(old), text_blocks(new)
+    """V1 as ``(old_docs, new_docs, old_blocks, new_blocks)`` (manifests and blocks)."""
+    r = revision_sides(spark, sf_dir)
+    return r[0], r[1], r[2], r[3]
+
+
+def revision_sides(spark: SparkSession, sf_dir: str):
+    """V1 as ``(old_docs, new_docs, old_blocks, new_blocks, old_doc_keys, new_doc_keys)``; the doc-level
+    keys are hashed inside each row (text fast path)."""
+    from ..operators.align import text_doc_keys
+    from .lines import lines_blocks
+    old, new = revision_lines(read_table(spark, sf_dir, "documents"))
+    return (old.select("doc_id"), new.select("doc_id"), lines_blocks(old), lines_blocks(new),
+            text_doc_keys(old), text_doc_keys(new))
 
 
 def order_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

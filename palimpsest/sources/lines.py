@@ -23,6 +23,20 @@ def kept_lines(text):
     return F.filter(F.transform(lines, ustrip), lambda x: x != "")
 
 
+def lines_blocks(lines: DataFrame, lines_col: str = "lines") -> DataFrame:
+    """``(doc_id, lines ARRAY<STRING>)`` -> ``blocks`` rows (position = array index)."""
+    exploded = lines.select("doc_id", F.posexplode(F.col(lines_col)).alias("block_pos", "text"))
+    return conform_blocks(exploded.withColumn("type", F.lit("paragraph")))
+
+
+def text_snapshot(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+    """A text corpus as ``(manifest, blocks, doc_keys)``: the kept-lines array is computed in each row,
+    the blocks explode it, the doc-level keys hash it without leaving the row."""
+    from ..operators.align import text_doc_keys
+    lines = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), kept_lines(F.col(text_col)).alias("lines"))
+    return lines.select("doc_id"), lines_blocks(lines), text_doc_keys(lines)
+
+
 def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text)`` rows -> ``blocks`` rows (type ``paragraph``)."""
     exploded = docs.select(
