@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textdiff import text_diff
+from .textdiff import with_text_diff
 
 CELL_FIELDS = ("type", "text", "old", "new")
 
@@ -81,5 +81,6 @@ def snapshot_cell_diff(old: DataFrame, new: DataFrame, key: str, columns: Sequen
 
 def cell_markup(cells: DataFrame, autojunk: bool = True) -> DataFrame:
     """Adds ``inline_html`` to changed cells (the markup of D3) through the text kernel."""
-    k = text_diff(F.col("old"), F.col("new"), autojunk)
-    return cells.withColumn("inline_html", F.when(F.col("cell_type") == "changed", k["inline_html"]))
+    changed = F.col("cell_type") == "changed"
+    d = with_text_diff(cells, F.when(changed, F.col("old")), F.when(changed, F.col("new")), "_cell", autojunk)
+    return d.withColumn("inline_html", F.when(changed, F.col("_cell.inline_html"))).drop("_cell")

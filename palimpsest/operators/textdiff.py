@@ -18,7 +18,7 @@ from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,18 +92,22 @@ def kernel(autojunk: bool = True):
     return _KERNELS[autojunk]
 
 
-def text_diff(old_text: Column, new_text: Column, autojunk: bool = True, with_tokens: bool = False) -> Column:
-    """``struct(ratio, inline_html[, similarity])`` of two strings (nulls read as ``""``).
+def with_text_diff(df: DataFrame, old_text: Column, new_text: Column, out: str = "diff", autojunk: bool = True,
+                   with_tokens: bool = False) -> DataFrame:
+    """Adds ``out = struct(ratio, inline_html[, similarity])`` for two strings (nulls read as ``""``).
 
-    Rows that the native short-circuits settle pass nulls to the UDF, which skips them (with
-    ``with_tokens`` every pair with two non-blank sides goes through the kernel, which then also
-    gives the term-frequency cosine)."""
+    The kernel UDF is evaluated exactly once per row into a helper column (it is marked
+    non-deterministic, so Catalyst neither copies it into pushed-down filters nor merges repeated
+    references; every field is read from the helper column).  Rows that the native short-circuits
+    settle pass nulls and are skipped in Python.  With ``with_tokens`` every pair with two non-empty
+    sides goes through the kernel, which then also yields the term-frequency cosine."""
     a = F.coalesce(old_text, F.lit(""))
     b = F.coalesce(new_text, F.lit(""))
-    needs_kernel = (a != b) & (F.length(a) > 0) & (F.length(b) > 0)
-    if with_tokens:
-        needs_kernel = (F.length(a) > 0) & (F.length(b) > 0)
-    k = kernel(autojunk)(F.when(needs_kernel, a), F.when(needs_kernel, b))
+    nonempty = (F.length(a) > 0) & (F.length(b) > 0)
+    needs_kernel = nonempty if with_tokens else (nonempty & (a != b))
+    raw = f"_{out}_kernel"
+    d = df.withColumn(raw, kernel(autojunk)(F.when(needs_kernel, a), F.when(needs_kernel, b)))
+    k = F.col(raw)
     ratio = (F.when(a == b, F.lit(1.0))
              .when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0))
              .otherwise(k["ratio"]))
@@ -117,7 +121,7 @@ def text_diff(old_text: Column, new_text: Column, autojunk: bool = True, with_to
         sim = F.when(F.coalesce(na, F.lit(0)) * F.coalesce(nb, F.lit(0)) == 0, F.lit(0.0)) \
             .otherwise(k["dot"].cast("double") / F.sqrt((na * nb).cast("double")))
         fields.append(sim.alias("similarity"))
-    return F.struct(*fields)
+    return d.withColumn(out, F.struct(*fields)).drop(raw)
 
 
 def strip_markup(inline: Column, keep: str) -> Column:

@@ -17,10 +17,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import align, report, score
+from ..operators import align, report, score, text_align
 from ..operators.celldiff import nested_table_diff
 from ..operators.semantics import entity_labels, label_union
-from ..operators.textdiff import text_diff
+from ..operators.textdiff import with_text_diff
 from ..functions.text import score_band
 
 
@@ -34,28 +34,42 @@ class Comparison:
     max_udf_blocks: int = align.MAX_UDF_BLOCKS
     gazetteer: DataFrame | None = None
     use_similarity: bool = True
-    old_doc_keys: DataFrame | None = None
-    new_doc_keys: DataFrame | None = None
+    old_lines: DataFrame | None = None
+    new_lines: DataFrame | None = None
 
-    def _keys(self):
-        return dict(old_doc_keys=self.old_doc_keys, new_doc_keys=self.new_doc_keys)
+    @classmethod
+    def from_lines(cls, old_lines: DataFrame, new_lines: DataFrame, **kw) -> "Comparison":
+        """Text corpora given as ``(doc_id, lines ARRAY<STRING>)`` per side (see ``text_align``)."""
+        from ..sources.lines import lines_blocks
+        return cls(old_lines.select("doc_id"), new_lines.select("doc_id"), lines_blocks(old_lines),
+                   lines_blocks(new_lines), old_lines=old_lines, new_lines=new_lines, **kw)
+
+    @property
+    def text_mode(self) -> bool:
+        return self.old_lines is not None and self.new_lines is not None
 
     # ---- C ------------------------------------------------------------------------------------------
     @property
     def status(self) -> DataFrame:
+        if self.text_mode:
+            return text_align.text_status(self.old_lines, self.new_lines, self.max_udf_blocks)
         return align.doc_status(self.old_docs, self.new_docs, self.old_blocks, self.new_blocks,
-                                self.max_udf_blocks, **self._keys())
+                                self.max_udf_blocks)
 
     @property
     def entries(self) -> DataFrame:
+        if self.text_mode:
+            return self.changes.select("doc_id", "entry_idx", "change", "old_pos", "new_pos")
         return align.align_blocks(self.old_docs, self.new_docs, self.old_blocks, self.new_blocks,
-                                  self.autojunk, self.max_udf_blocks, with_payload=False, **self._keys())
+                                  self.autojunk, self.max_udf_blocks, with_payload=False)
 
     @property
     def changes(self) -> DataFrame:
         """One row per entry with both payloads (prefixed ``old_`` / ``new_``) and effective ``type``."""
+        if self.text_mode:
+            return text_align.text_changes(self.old_lines, self.new_lines, self.autojunk, self.max_udf_blocks)
         return align.align_blocks(self.old_docs, self.new_docs, self.old_blocks, self.new_blocks,
-                                  self.autojunk, self.max_udf_blocks, **self._keys())
+                                  self.autojunk, self.max_udf_blocks)
 
     # ---- D ------------------------------------------------------------------------------------------
     @property
@@ -64,11 +78,10 @@ class Comparison:
         ``table_changes`` for table pairs."""
         ch = self.changes
         changed = F.col("change") == "changed"
-        k = text_diff(F.when(changed, F.col("old_text")), F.when(changed, F.col("new_text")), self.autojunk,
-                      with_tokens=self.use_similarity)
         para = changed & (F.col("old_type") == "paragraph") & (F.col("new_type") == "paragraph")
         table = changed & (F.col("old_type") == "table") & (F.col("new_type") == "table")
-        return (ch.withColumn("_k", k)
+        return (with_text_diff(ch, F.when(changed, F.col("old_text")), F.when(changed, F.col("new_text")), "_k",
+                               self.autojunk, with_tokens=self.use_similarity)
                 .withColumn("ratio", F.when(changed, F.col("_k.ratio")))
                 .withColumn("inline_html", F.when(para & F.col("old_text").isNotNull() & F.col("new_text").isNotNull(),
                                                   F.col("_k.inline_html")))

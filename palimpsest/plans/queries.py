@@ -17,7 +17,7 @@ from ..operators import celldiff, report
 from ..operators.align import rebuild_side
 from ..operators.semantics import entity_labels, label_union, tf_cosine, vector_cosine
 from ..operators.score import confidence, score_bonus, semantic_score
-from ..operators.textdiff import strip_markup, text_diff
+from ..operators.textdiff import strip_markup, with_text_diff
 from ..session import read_table
 from ..sources import fixtures
 from ..sources.lines import text_blocks
@@ -28,8 +28,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def revision(spark: SparkSession, sf_dir: str, **kw) -> Comparison:
-    old, new, ob, nb, ok, nk = fixtures.revision_sides(spark, sf_dir)
-    return Comparison(old, new, ob, nb, old_doc_keys=ok, new_doc_keys=nk, **kw)
+    old, new = fixtures.revision_lines(read_table(spark, sf_dir, "documents"))
+    return Comparison.from_lines(old, new, **kw)
 
 
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,16 +101,16 @@ def _message_pairs(spark, sf):
 def q_inline_diff(spark, sf):
     """D1/D2 checked by its invariant: the markup minus insertions is ``escape(old)``, minus
     deletions ``escape(new)``."""
-    k = text_diff(F.col("old_text"), F.col("new_text"))
-    p = _message_pairs(spark, sf).withColumn("inline_html", k["inline_html"])
+    p = with_text_diff(_message_pairs(spark, sf), F.col("old_text"), F.col("new_text"), "k")
+    p = p.withColumn("inline_html", F.col("k.inline_html"))
     return p.select("conv_id", "role", "turn",
                     strip_markup(F.col("inline_html"), "old").alias("old_view"),
                     strip_markup(F.col("inline_html"), "new").alias("new_view"))
 
 
 def q_text_ratio(spark, sf):
-    k = text_diff(F.col("old_text"), F.col("new_text"))
-    return _message_pairs(spark, sf).select("conv_id", "role", "turn", k["ratio"].alias("ratio"))
+    p = with_text_diff(_message_pairs(spark, sf), F.col("old_text"), F.col("new_text"), "k")
+    return p.select("conv_id", "role", "turn", F.col("k.ratio").alias("ratio"))
 
 
 def q_table_diff(spark, sf):

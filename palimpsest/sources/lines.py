@@ -16,10 +16,10 @@ from ..functions.text import ustrip
 def kept_lines(text):
     """ARRAY<STRING> of stripped non-empty lines, in order (``block_pos`` = array index).
 
-    Universal newlines break at ``\\r\\n``, ``\\n`` and ``\\r``.  Mapping ``\\r`` to ``\\n`` turns
+    Universal newlines break at ``\\r\\n``, ``\\n`` and ``\\r``.  Replacing ``\\r`` by ``\\n`` turns
     ``\\r\\n`` into ``\\n\\n``, i.e. one extra *empty* line, which the non-empty filter drops, so
     the kept lines are the same while the split needs no regex."""
-    lines = F.split(F.translate(F.coalesce(text, F.lit("")), "\r", "\n"), "\n", -1)
+    lines = F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit("\n")), "\n", -1)
     return F.filter(F.transform(lines, ustrip), lambda x: x != "")
 
 
