@@ -1,12 +1,191 @@
-"""C2 route 2: distributed frontier alignment for oversized documents (placeholder until built)."""
+"""C2 route 2: ordered alignment of oversized documents without collecting them.
+
+The same matching blocks as ``difflib.SequenceMatcher(None, a, b)`` (``autojunk`` included), found by a
+data-parallel frontier loop over all oversized documents at once.  State: the *active ranges*
+``(doc, alo, ahi, blo, bhi)`` (disjoint; ``alo`` identifies a range inside its document) and the
+blocks of both sides still inside an active range, each labelled with its range.  One round:
+
+1. seed matches: equi-join of the two sides on ``(doc, range, key)``, keys that are *popular* in ``b``
+   (more than ``len(b)//100 + 1`` occurrences once ``len(b) >= 200``) excluded, as difflib's autojunk
+   does; this also bounds the partners of any block;
+2. islands of consecutive seed matches on one diagonal (``i - row_number()`` per diagonal); the best
+   island of a range is the longest, ties to the smallest ``i`` then ``j``;
+3. the island is extended through *any* equal blocks along its diagonal, up to the nearest mismatch on
+   each side (two min/max aggregates over a join on positions); a range with no seed extends from
+   ``(alo, blo)``;
+4. the match is recorded, the range splits in two, blocks are relabelled by one join on the range id;
+   ranges with one empty side or without a match become gaps.
+
+Matches and gaps then give the opcodes (``base`` = running entry count, a window over the segments of
+a document).  Lineage is cut every few rounds with a reliable checkpoint (round intermediates are
+cached in between); the matches and gaps of each round are written as they are found.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark import StorageLevel
+
+from ..functions.keys import with_keys
+from ..session import cut_lineage
+
+OPCODE_COLS = ["doc_id", "tag", "i1", "i2", "j1", "j2", "base"]
+MAX_ROUNDS = 10_000
+
+
+def _popular(nb: DataFrame, autojunk: bool) -> DataFrame:
+    """New-side blocks with ``seed`` = the key may start a match (difflib's b2j after autojunk)."""
+    if not autojunk:
+        return nb.withColumn("seed", F.lit(True))
+    n = nb.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nb"))
+    cnt = nb.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("c"))
+    pop = cnt.join(n, "doc_id").filter((F.col("nb") >= 200) & (F.col("c") > F.floor(F.col("nb") / 100) + 1))
+    return (nb.join(pop.select("doc_id", "key", F.lit(True).alias("pop")), ["doc_id", "key"], "left")
+            .withColumn("seed", F.col("pop").isNull()).drop("pop"))
+
+
+def _segments_to_opcodes(segments: DataFrame) -> DataFrame:
+    """Segments ``(doc_id, i, j, lo, ln, is_match)`` in document order -> opcodes with ``base``."""
+    width = F.when(F.col("is_match"), F.col("lo")).otherwise(F.greatest("lo", "ln"))
+    w = Window.partitionBy("doc_id").orderBy("i", "j").rowsBetween(Window.unboundedPreceding, -1)
+    tag = (F.when(F.col("is_match"), "equal").when((F.col("lo") > 0) & (F.col("ln") > 0), "replace")
+           .when(F.col("lo") > 0, "delete").otherwise("insert"))
+    return segments.select(
+        "doc_id", tag.alias("tag"), F.col("i").cast("int").alias("i1"), (F.col("i") + F.col("lo")).cast("int").alias("i2"),
+        F.col("j").cast("int").alias("j1"), (F.col("j") + F.col("ln")).cast("int").alias("j2"),
+        F.coalesce(F.sum(width).over(w), F.lit(0)).cast("int").alias("base"))
+
+
+def _keep(df: DataFrame, held: list) -> DataFrame:
+    """Intermediates read several times inside one round: cached, released after the round."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    held.append(df)
+    return df
+
+
+def frontier_segments(docs: DataFrame, old_blocks: DataFrame, new_blocks: DataFrame,
+                      autojunk: bool = True, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """Matches and gaps ``(doc_id, i, j, lo, ln, is_match)`` of every document in ``docs``
+    (``doc_id, n_old, n_new``).
+
+    Per round three small reliable checkpoints: the active ranges, the block state of both sides
+    (one table with a ``side`` column) and the segments found in the round."""
+    spark = docs.sparkSession
+    ids = docs.select("doc_id", "n_old", "n_new")
+    oa = (with_keys(old_blocks).join(ids.select("doc_id"), "doc_id", "left_semi")
+          .select("doc_id", F.col("block_pos").cast("bigint").alias("pos"), F.col("key_hash").alias("key"),
+                  F.lit(True).alias("seed"), F.lit("a").alias("side")))
+    nb = (with_keys(new_blocks).join(ids.select("doc_id"), "doc_id", "left_semi")
+          .select("doc_id", F.col("block_pos").cast("bigint").alias("pos"), F.col("key_hash").alias("key")))
+    nb = _popular(nb.withColumnRenamed("pos", "j"), autojunk).withColumnRenamed("j", "pos").withColumn("side", F.lit("b"))
+    both = ids.filter((F.col("n_old") > 0) & (F.col("n_new") > 0))
+    one_sided = ids.filter((F.col("n_old") == 0) | (F.col("n_new") == 0)).filter(F.col("n_old") + F.col("n_new") > 0)
+    found = [one_sided.select("doc_id", F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j"),
+                              F.col("n_old").cast("bigint").alias("lo"), F.col("n_new").cast("bigint").alias("ln"),
+                              F.lit(False).alias("is_match"))]
+    ranges = cut_lineage(both.select("doc_id", F.lit(0).cast("bigint").alias("rid"),
+                                     F.lit(0).cast("bigint").alias("alo"), F.col("n_old").cast("bigint").alias("ahi"),
+                                     F.lit(0).cast("bigint").alias("blo"), F.col("n_new").cast("bigint").alias("bhi")))
+    state = cut_lineage(oa.select("doc_id", "side", "pos", "key", "seed")
+                        .unionByName(nb.select("doc_id", "side", "pos", "key", "seed"))
+                        .join(both.select("doc_id"), "doc_id", "left_semi").withColumn("rid", F.lit(0).cast("bigint")))
+    rounds = 0
+    while not ranges.isEmpty():
+        rounds += 1
+        if rounds > max_rounds:
+            raise RuntimeError("frontier alignment did not converge")
+        held: list[DataFrame] = []
+        a_state = state.filter(F.col("side") == "a").select("doc_id", "rid", F.col("pos").alias("i"), "key")
+        b_state = state.filter(F.col("side") == "b").select("doc_id", "rid", F.col("pos").alias("j"), "key", "seed")
+        # 1-2. seed islands and the best one per range
+        m = (a_state.join(b_state.filter("seed").select("doc_id", "rid", "key", "j"), ["doc_id", "rid", "key"])
+             .select("doc_id", "rid", "i", "j", (F.col("i") - F.col("j")).alias("d")))
+        wd = Window.partitionBy("doc_id", "rid", "d").orderBy("i")
+        isl = m.withColumn("g", F.col("i") - F.row_number().over(wd))
+        islands = isl.groupBy("doc_id", "rid", "d", "g").agg(F.min("i").alias("si"), F.min("j").alias("sj"),
+                                                             F.count(F.lit(1)).alias("slen"))
+        best = islands.groupBy("doc_id", "rid").agg(
+            F.max(F.struct(F.col("slen"), (-F.col("si")).alias("nsi"), (-F.col("sj")).alias("nsj"))).alias("b"))
+        best = best.select("doc_id", "rid", F.col("b.slen").alias("slen"), (-F.col("b.nsi")).alias("si"),
+                           (-F.col("b.nsj")).alias("sj"))
+        r = (ranges.join(best, ["doc_id", "rid"], "left")
+             .select("doc_id", "rid", "alo", "ahi", "blo", "bhi",
+                     F.coalesce("si", "alo").alias("si"), F.coalesce("sj", "blo").alias("sj"),
+                     F.coalesce("slen", F.lit(0)).cast("bigint").alias("slen")))
+        r = _keep(r.withColumn("d", F.col("si") - F.col("sj")), held)
+        # 3. extension through equal blocks along the diagonal, to the nearest mismatch
+        cand = (a_state.select("doc_id", "rid", "i", F.col("key").alias("ka"))
+                .join(r.select("doc_id", "rid", "d", "si", "slen"), ["doc_id", "rid"])
+                .filter((F.col("i") < F.col("si")) | (F.col("i") >= F.col("si") + F.col("slen")))
+                .withColumn("j", F.col("i") - F.col("d")))
+        cmp = cand.join(b_state.select("doc_id", "rid", "j", F.col("key").alias("kb")), ["doc_id", "rid", "j"], "left")
+        bad = (F.col("kb").isNull() | (F.col("ka") != F.col("kb")))
+        ext = cmp.filter(bad).groupBy("doc_id", "rid").agg(
+            F.max(F.when(F.col("i") < F.col("si"), F.col("i"))).alias("bad_before"),
+            F.min(F.when(F.col("i") >= F.col("si") + F.col("slen"), F.col("i"))).alias("bad_after"))
+        mt = (r.join(ext, ["doc_id", "rid"], "left")
+              .select("doc_id", "rid", "alo", "ahi", "blo", "bhi", "d",
+                      F.greatest(F.coalesce(F.col("bad_before") + 1, F.col("alo")), F.col("alo"),
+                                 F.col("blo") + F.col("d")).alias("mi"),
+                      F.least(F.coalesce("bad_after", "ahi"), F.col("ahi"), F.col("bhi") + F.col("d")).alias("me")))
+        mt = mt.withColumn("mi", F.least("mi", "me")).withColumn("mj", F.col("mi") - F.col("d")) \
+               .withColumn("k", F.col("me") - F.col("mi"))
+        mt = _keep(mt, held)
+        # 4. record matches and gaps, split ranges, relabel blocks
+        hit = mt.filter(F.col("k") > 0)
+        matches = hit.select("doc_id", F.col("mi").alias("i"), F.col("mj").alias("j"),
+                             F.col("k").alias("lo"), F.col("k").alias("ln"), F.lit(True).alias("is_match"))
+        nohit_gap = mt.filter(F.col("k") == 0).select(
+            "doc_id", F.col("alo").alias("i"), F.col("blo").alias("j"), (F.col("ahi") - F.col("alo")).alias("lo"),
+            (F.col("bhi") - F.col("blo")).alias("ln"), F.lit(False).alias("is_match"))
+        left = hit.select("doc_id", F.col("alo").alias("nalo"), F.col("mi").alias("nahi"),
+                          F.col("blo").alias("nblo"), F.col("mj").alias("nbhi"))
+        right = hit.select("doc_id", (F.col("mi") + F.col("k")).alias("nalo"), F.col("ahi").alias("nahi"),
+                           (F.col("mj") + F.col("k")).alias("nblo"), F.col("bhi").alias("nbhi"))
+        children = left.unionByName(right).filter((F.col("nahi") > F.col("nalo")) | (F.col("nbhi") > F.col("nblo")))
+        active = (F.col("nahi") > F.col("nalo")) & (F.col("nbhi") > F.col("nblo"))
+        child_gaps = children.filter(~active).select(
+            "doc_id", F.col("nalo").alias("i"), F.col("nblo").alias("j"), (F.col("nahi") - F.col("nalo")).alias("lo"),
+            (F.col("nbhi") - F.col("nblo")).alias("ln"), F.lit(False).alias("is_match"))
+        found.append(cut_lineage(matches.unionByName(nohit_gap).unionByName(child_gaps)))
+        ranges = cut_lineage(children.filter(active).select(
+            "doc_id", F.col("nalo").alias("rid"), F.col("nalo").alias("alo"), F.col("nahi").alias("ahi"),
+            F.col("nblo").alias("blo"), F.col("nbhi").alias("bhi")))
+        # relabel: a block keeps going only if it falls inside an active child range
+        split = hit.select("doc_id", "rid", "mi", "mj", "k")
+        cut = F.when(F.col("side") == "a", F.col("mi")).otherwise(F.col("mj"))
+        state = cut_lineage(
+            state.join(split, ["doc_id", "rid"])
+            .withColumn("rid", F.when(F.col("pos") < cut, F.col("rid"))
+                        .when(F.col("pos") >= cut + F.col("k"), F.col("mi") + F.col("k")))
+            .filter(F.col("rid").isNotNull()).drop("mi", "mj", "k")
+            .join(ranges.select("doc_id", "rid"), ["doc_id", "rid"], "left_semi"))
+        for df in held:
+            df.unpersist()
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.filter((F.col("lo") > 0) | (F.col("ln") > 0))
+
 
 def frontier_opcodes(docs: DataFrame, old_blocks: DataFrame, new_blocks: DataFrame,
                      autojunk: bool = True) -> DataFrame:
+    """Opcodes ``(doc_id, tag, i1, i2, j1, j2, base)`` of oversized documents.
+
+    ``docs`` has ``doc_id, n_old, n_new`` and optionally ``same`` (identical documents take one
+    ``equal`` opcode without the loop)."""
     spark = docs.sparkSession
-    return spark.createDataFrame([], "doc_id bigint, tag string, i1 int, i2 int, j1 int, j2 int, base int")
+    if docs.limit(1).count() == 0:
+        return spark.createDataFrame([], "doc_id bigint, tag string, i1 int, i2 int, j1 int, j2 int, base int")
+    if "same" in docs.columns:
+        same = docs.filter(F.col("same") & (F.col("n_old") > 0))
+        rest = docs.filter(~F.col("same"))
+    else:
+        same = docs.limit(0)
+        rest = docs
+    eq = same.select("doc_id", F.lit("equal").alias("tag"), F.lit(0).alias("i1"), F.col("n_old").cast("int").alias("i2"),
+                     F.lit(0).alias("j1"), F.col("n_new").cast("int").alias("j2"), F.lit(0).alias("base"))
+    seg = frontier_segments(rest, old_blocks, new_blocks, autojunk)
+    return eq.unionByName(_segments_to_opcodes(seg))
