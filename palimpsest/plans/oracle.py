@@ -100,11 +100,14 @@ sims AS (SELECT p.conv_id, p.role, p.turn, coalesce(s.dot, 0) AS dot, coalesce(s
 
 
 def _line_cells(where: str, qty: str) -> str:
-    return f"""SELECT l_orderkey AS doc_id,
-       CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INTEGER) AS r,
-       coalesce(CAST(l_linenumber AS VARCHAR), '') AS c0, coalesce(l_returnflag, '') AS c1,
-       coalesce(CAST(CAST({qty} AS DECIMAL(18,2)) AS VARCHAR), '') AS c2
-FROM lineitem {where}"""
+    """Rows ordered by (l_linenumber, l_partkey, l_suppkey), then by the cells themselves (a total order,
+    as Spark's sort of the row structs)."""
+    return f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY l_linenumber, l_partkey, l_suppkey,
+                                                     c0, c1, c2) - 1 AS INTEGER) AS r, c0, c1, c2
+FROM (SELECT l_orderkey AS doc_id, l_linenumber, l_partkey, l_suppkey,
+             coalesce(CAST(l_linenumber AS VARCHAR), '') AS c0, coalesce(l_returnflag, '') AS c1,
+             coalesce(CAST(CAST({qty} AS DECIMAL(18,2)) AS VARCHAR), '') AS c2
+      FROM lineitem {where})"""
 
 
 def _unpivot(src: str) -> str:
