@@ -1,0 +1,6 @@
+"""Streaming entry points.
+
+The reference has no streams (every kind of streaming is absent from it).  The only streaming use
+here is running the unchanged batch comparison on each micro-batch of newly arriving document
+versions (``snapshots.compare_each_batch``); no stateful operator is involved.
+"""

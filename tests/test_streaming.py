@@ -1,0 +1,14 @@
+import tempfile
+
+from palimpsest.streaming.snapshots import compare_each_batch
+
+
+def test_compare_each_batch(spark):
+    d = tempfile.mkdtemp(prefix="palimpsest-stream-", dir="/tmp")
+    spark.createDataFrame([(1, "a\nb"), (2, "x")], "doc_id bigint, text string").write.parquet(f"{d}/in/p1")
+    base = spark.createDataFrame([(1, "a\nc"), (2, "x"), (3, "gone")], "doc_id bigint, text string")
+    stream = spark.readStream.schema("doc_id bigint, text string").parquet(f"{d}/in/p1")
+    q = compare_each_batch(stream, base, f"{d}/out", f"{d}/ckpt")
+    q.awaitTermination(120)
+    got = sorted((r.doc_id, r.entry_idx, r.change) for r in spark.read.parquet(f"{d}/out").collect())
+    assert got == [(1, 0, "unchanged"), (1, 1, "changed"), (2, 0, "unchanged")]
