@@ -59,6 +59,76 @@ status AS (
   LEFT JOIN new_keys nk ON nk.doc_id = coalesce(o.doc_id, n.doc_id))"""
 
 
+def _alignment_ctes() -> str:
+    """The reference's block alignment in SQL (after ``_revision_ctes``): a recursive frontier of
+    ranges; per range the longest run of consecutive matches on one diagonal whose keys are not
+    popular in ``b`` (``> len(b)//100 + 1`` occurrences once ``len(b) >= 200``), ties to the smallest
+    ``i`` then ``j``, extended through equal blocks; the range then splits around it.  Matches and
+    gaps become entries (``entries``: doc_id, entry_idx, change, old_pos, new_pos, old_text,
+    new_text, type)."""
+    return """,
+chg AS (SELECT doc_id, n_old, n_new FROM status WHERE status = 'changed' AND n_old > 0 AND n_new > 0),
+ob AS (SELECT doc_id, block_pos AS i, text AS k FROM old_blocks WHERE doc_id IN (SELECT doc_id FROM chg)),
+nb0 AS (SELECT doc_id, block_pos AS j, text AS k FROM new_blocks WHERE doc_id IN (SELECT doc_id FROM chg)),
+nbn AS (SELECT doc_id, count(*) AS n FROM nb0 GROUP BY doc_id),
+kc AS (SELECT doc_id, k, count(*) AS c FROM nb0 GROUP BY doc_id, k),
+nb AS (SELECT nb0.doc_id, nb0.j, nb0.k, NOT (nbn.n >= 200 AND kc.c > nbn.n // 100 + 1) AS seed
+       FROM nb0 JOIN nbn ON nbn.doc_id = nb0.doc_id JOIN kc ON kc.doc_id = nb0.doc_id AND kc.k = nb0.k),
+seg(doc_id, kind, alo, ahi, blo, bhi) AS (
+  SELECT doc_id, 'range', 0, n_old, 0, n_new FROM chg
+  UNION ALL
+  (WITH r AS (SELECT doc_id, alo, ahi, blo, bhi FROM seg WHERE kind = 'range'),
+   m AS (SELECT r.doc_id, r.alo, o.i, n.j, o.i - n.j AS d
+         FROM r JOIN ob o ON o.doc_id = r.doc_id AND o.i >= r.alo AND o.i < r.ahi
+                JOIN nb n ON n.doc_id = r.doc_id AND n.j >= r.blo AND n.j < r.bhi AND n.k = o.k AND n.seed),
+   isl AS (SELECT doc_id, alo, d, i, j, i - row_number() OVER (PARTITION BY doc_id, alo, d ORDER BY i) AS g FROM m),
+   islands AS (SELECT doc_id, alo, min(i) AS si, min(j) AS sj, count(*) AS slen FROM isl GROUP BY doc_id, alo, d, g),
+   best AS (SELECT doc_id, alo, si, sj, slen FROM (
+              SELECT *, row_number() OVER (PARTITION BY doc_id, alo ORDER BY slen DESC, si, sj) AS rn FROM islands)
+            WHERE rn = 1),
+   rb AS (SELECT r.doc_id, r.alo, r.ahi, r.blo, r.bhi, coalesce(b.si, r.alo) AS si, coalesce(b.sj, r.blo) AS sj,
+                 coalesce(b.slen, 0) AS slen
+          FROM r LEFT JOIN best b ON b.doc_id = r.doc_id AND b.alo = r.alo),
+   cmp AS (SELECT rb.doc_id, rb.alo, o.i, rb.si, rb.slen, (n.k IS NULL OR n.k <> o.k) AS bad
+           FROM rb JOIN ob o ON o.doc_id = rb.doc_id AND o.i >= rb.alo AND o.i < rb.ahi
+                            AND (o.i < rb.si OR o.i >= rb.si + rb.slen)
+           LEFT JOIN nb n ON n.doc_id = rb.doc_id AND n.j = o.i - (rb.si - rb.sj) AND n.j >= rb.blo AND n.j < rb.bhi),
+   ext AS (SELECT doc_id, alo, max(CASE WHEN i < si THEN i END) AS bb, min(CASE WHEN i >= si + slen THEN i END) AS ba
+           FROM cmp WHERE bad GROUP BY doc_id, alo),
+   mt0 AS (SELECT rb.doc_id, rb.alo, rb.ahi, rb.blo, rb.bhi, rb.si - rb.sj AS d,
+                  greatest(coalesce(e.bb + 1, rb.alo), rb.alo, rb.blo + (rb.si - rb.sj)) AS mi,
+                  least(coalesce(e.ba, rb.ahi), rb.ahi, rb.bhi + (rb.si - rb.sj)) AS me
+           FROM rb LEFT JOIN ext e ON e.doc_id = rb.doc_id AND e.alo = rb.alo),
+   mt AS (SELECT doc_id, alo, ahi, blo, bhi, least(mi, me) AS mi, least(mi, me) - d AS mj, me - least(mi, me) AS k
+          FROM mt0)
+   SELECT doc_id, 'match', mi, mi + k, mj, mj + k FROM mt WHERE k > 0
+   UNION ALL SELECT doc_id, 'gap', alo, ahi, blo, bhi FROM mt WHERE k = 0
+   UNION ALL SELECT doc_id, CASE WHEN mi > alo AND mj > blo THEN 'range' ELSE 'gap' END, alo, mi, blo, mj
+             FROM mt WHERE k > 0 AND (mi > alo OR mj > blo)
+   UNION ALL SELECT doc_id, CASE WHEN ahi > mi + k AND bhi > mj + k THEN 'range' ELSE 'gap' END, mi + k, ahi, mj + k, bhi
+             FROM mt WHERE k > 0 AND (ahi > mi + k OR bhi > mj + k))),
+segs AS (
+  SELECT doc_id, alo AS i, blo AS j, ahi - alo AS lo, bhi - blo AS ln, kind = 'match' AS is_match
+  FROM seg WHERE kind IN ('match', 'gap')
+  UNION ALL SELECT doc_id, 0, 0, n_old, n_new, status = 'unchanged' FROM status
+            WHERE n_old + n_new > 0 AND (status <> 'changed' OR n_old = 0 OR n_new = 0)),
+ops AS (SELECT *, CASE WHEN is_match THEN lo ELSE greatest(lo, ln) END AS w,
+               coalesce(sum(CASE WHEN is_match THEN lo ELSE greatest(lo, ln) END) OVER (
+                 PARTITION BY doc_id ORDER BY i, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base
+        FROM segs),
+ent0 AS (SELECT doc_id, i, j, lo, ln, is_match, base, unnest(range(w)) AS t FROM ops WHERE w > 0),
+entries AS (
+  SELECT e.doc_id, CAST(e.base + e.t AS INTEGER) AS entry_idx,
+         CASE WHEN e.is_match THEN 'unchanged' WHEN e.t < e.lo AND e.t < e.ln THEN 'changed'
+              WHEN e.t < e.lo THEN 'deleted' ELSE 'added' END AS change,
+         CAST(CASE WHEN e.t < e.lo THEN e.i + e.t END AS INTEGER) AS old_pos,
+         CAST(CASE WHEN e.t < e.ln THEN e.j + e.t END AS INTEGER) AS new_pos,
+         o.text AS old_text, CASE WHEN NOT e.is_match THEN n.text END AS new_text, 'paragraph' AS type
+  FROM ent0 e
+  LEFT JOIN old_blocks o ON o.doc_id = e.doc_id AND e.t < e.lo AND o.block_pos = e.i + e.t
+  LEFT JOIN new_blocks n ON n.doc_id = e.doc_id AND e.t < e.ln AND n.block_pos = e.j + e.t)"""
+
+
 def _messages_cte() -> str:
     return """
 msgs AS (SELECT conv_id, role, turn, lag(text) OVER (PARTITION BY conv_id, role ORDER BY turn) AS old_text,
@@ -148,6 +218,28 @@ SELECT page_id, ext, CASE WHEN ext = '' THEN NULL ELSE CASE ext {readers} END EN
 FROM p"""
 
     q["doc_status"] = f"WITH {rev}\nSELECT doc_id, in_old, in_new, n_old, n_new, status FROM status"
+
+    al = f"WITH RECURSIVE {rev}{_alignment_ctes()}"
+    q["align_blocks"] = f"{al}\nSELECT doc_id, entry_idx, change, old_pos, new_pos FROM entries"
+    q["changed_pairs"] = f"{al}\nSELECT doc_id, entry_idx, old_text, new_text FROM entries WHERE change = 'changed'"
+    cnt = ", ".join(f"CAST(count(*) FILTER (WHERE change = '{c}') AS BIGINT) AS {c}"
+                    for c in ("added", "deleted", "changed", "unchanged"))
+    q["change_counts"] = f"""{al},
+ids AS (SELECT doc_id FROM old_docs UNION SELECT doc_id FROM new_docs),
+c AS (SELECT doc_id, {cnt}, CAST(count(*) AS BIGINT) AS total_blocks FROM entries GROUP BY doc_id)
+SELECT ids.doc_id, coalesce(added, 0) AS added, coalesce(deleted, 0) AS deleted, coalesce(changed, 0) AS changed,
+       coalesce(unchanged, 0) AS unchanged, coalesce(total_blocks, 0) AS total_blocks
+FROM ids LEFT JOIN c ON c.doc_id = ids.doc_id"""
+    q["stats_by_type"] = f"{al}\nSELECT doc_id, type, {cnt} FROM entries GROUP BY doc_id, type"
+    q["stats_rollup"] = f"""{al}
+SELECT doc_id, type, {cnt}, CAST(count(*) AS BIGINT) AS total_blocks, CAST(grouping(doc_id, type) AS BIGINT) AS level
+FROM entries GROUP BY ROLLUP (doc_id, type)"""
+    q["filter_changes"] = (f"{al}\nSELECT doc_id, entry_idx, change, type FROM entries "
+                           f"WHERE change IN ('changed', 'added') AND type IN ('paragraph')")
+    q["type_facets"] = f"""{al},
+f AS (SELECT doc_id, type, min(entry_idx) AS first_idx FROM entries GROUP BY doc_id, type)
+SELECT doc_id, type, CAST(first_idx AS INTEGER) AS first_idx,
+       CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_idx) AS INTEGER) AS facet_pos FROM f"""
     q["added_docs"] = f"WITH {rev}\nSELECT doc_id, n_old, n_new FROM status WHERE NOT in_old AND in_new"
     q["deleted_docs"] = f"WITH {rev}\nSELECT doc_id, n_old, n_new FROM status WHERE in_old AND NOT in_new"
     q["rebuild_new"] = f"WITH {rev}\nSELECT doc_id, block_pos, text FROM new_blocks"

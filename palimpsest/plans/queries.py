@@ -85,6 +85,11 @@ def q_align_blocks(spark, sf):
     return revision(spark, sf).entries.select("doc_id", "entry_idx", "change", "old_pos", "new_pos")
 
 
+def q_changed_pairs(spark, sf):
+    ch = revision(spark, sf).changes.filter(F.col("change") == "changed")
+    return ch.select("doc_id", "entry_idx", "old_text", "new_text")
+
+
 def q_rebuild_new(spark, sf):
     return rebuild_side(revision(spark, sf).changes, "new")
 
@@ -251,6 +256,7 @@ def queries() -> dict[str, Query]:
         "added_docs": q_added_docs,
         "deleted_docs": q_deleted_docs,
         "align_blocks": q_align_blocks,
+        "changed_pairs": q_changed_pairs,
         "rebuild_new": q_rebuild_new,
         "rebuild_old": q_rebuild_old,
         "inline_diff": q_inline_diff,

@@ -29,6 +29,11 @@ def lines_blocks(lines: DataFrame, lines_col: str = "lines") -> DataFrame:
     return conform_blocks(exploded.withColumn("type", F.lit("paragraph")))
 
 
+def text_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, text)`` -> ``(doc_id, lines)``: the input of ``Comparison.from_lines``."""
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), kept_lines(F.col(text_col)).alias("lines"))
+
+
 def text_snapshot(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
     """A text corpus as ``(manifest, blocks, doc_keys)``: the kept-lines array is computed in each row,
     the blocks explode it, the doc-level keys hash it without leaving the row."""
