@@ -59,57 +59,64 @@ status AS (
   LEFT JOIN new_keys nk ON nk.doc_id = coalesce(o.doc_id, n.doc_id))"""
 
 
-def _alignment_ctes() -> str:
-    """The reference's block alignment in SQL (after ``_revision_ctes``): a recursive frontier of
-    ranges; per range the longest run of consecutive matches on one diagonal whose keys are not
-    popular in ``b`` (``> len(b)//100 + 1`` occurrences once ``len(b) >= 200``), ties to the smallest
-    ``i`` then ``j``, extended through equal blocks; the range then splits around it.  Matches and
-    gaps become entries (``entries``: doc_id, entry_idx, change, old_pos, new_pos, old_text,
-    new_text, type)."""
-    return """,
-chg AS (SELECT doc_id, n_old, n_new FROM status WHERE status = 'changed' AND n_old > 0 AND n_new > 0),
-ob AS (SELECT doc_id, block_pos AS i, text AS k FROM old_blocks WHERE doc_id IN (SELECT doc_id FROM chg)),
-nb0 AS (SELECT doc_id, block_pos AS j, text AS k FROM new_blocks WHERE doc_id IN (SELECT doc_id FROM chg)),
-nbn AS (SELECT doc_id, count(*) AS n FROM nb0 GROUP BY doc_id),
-kc AS (SELECT doc_id, k, count(*) AS c FROM nb0 GROUP BY doc_id, k),
-nb AS (SELECT nb0.doc_id, nb0.j, nb0.k, NOT (nbn.n >= 200 AND kc.c > nbn.n // 100 + 1) AS seed
-       FROM nb0 JOIN nbn ON nbn.doc_id = nb0.doc_id JOIN kc ON kc.doc_id = nb0.doc_id AND kc.k = nb0.k),
-seg(doc_id, kind, alo, ahi, blo, bhi) AS (
-  SELECT doc_id, 'range', 0, n_old, 0, n_new FROM chg
+def _frontier_sql(x: str, pairs: str, a: str, b: str) -> str:
+    """Recursive CTE ``{x}seg(pid, kind, alo, ahi, blo, bhi)``: the matching blocks and gaps of
+    ``SequenceMatcher(None, a, b)`` (autojunk included) for every ``pid`` of ``pairs(pid, n_old, n_new)``
+    (both sides non-empty), from ``a(pid, i, k)`` and ``b(pid, j, k)``.  Each round, per active range:
+    the longest run of consecutive matches on one diagonal whose key is not popular in ``b`` (more than
+    ``len(b)//100 + 1`` occurrences once ``len(b) >= 200``), ties to the smallest ``i`` then ``j``; the run
+    is extended through equal elements; the range splits around it."""
+    return f""",
+{x}nbn AS (SELECT pid, count(*) AS n FROM {b} GROUP BY pid),
+{x}kc AS (SELECT pid, k, count(*) AS c FROM {b} GROUP BY pid, k),
+{x}nb AS (SELECT b.pid, b.j, b.k, NOT (nbn.n >= 200 AND kc.c > nbn.n // 100 + 1) AS seed
+       FROM {b} b JOIN {x}nbn nbn ON nbn.pid = b.pid JOIN {x}kc kc ON kc.pid = b.pid AND kc.k = b.k),
+{x}seg(pid, kind, alo, ahi, blo, bhi) AS (
+  SELECT pid, 'range', 0, n_old, 0, n_new FROM {pairs}
   UNION ALL
-  (WITH r AS (SELECT doc_id, alo, ahi, blo, bhi FROM seg WHERE kind = 'range'),
-   m AS (SELECT r.doc_id, r.alo, o.i, n.j, o.i - n.j AS d
-         FROM r JOIN ob o ON o.doc_id = r.doc_id AND o.i >= r.alo AND o.i < r.ahi
-                JOIN nb n ON n.doc_id = r.doc_id AND n.j >= r.blo AND n.j < r.bhi AND n.k = o.k AND n.seed),
-   isl AS (SELECT doc_id, alo, d, i, j, i - row_number() OVER (PARTITION BY doc_id, alo, d ORDER BY i) AS g FROM m),
-   islands AS (SELECT doc_id, alo, min(i) AS si, min(j) AS sj, count(*) AS slen FROM isl GROUP BY doc_id, alo, d, g),
-   best AS (SELECT doc_id, alo, si, sj, slen FROM (
-              SELECT *, row_number() OVER (PARTITION BY doc_id, alo ORDER BY slen DESC, si, sj) AS rn FROM islands)
+  (WITH r AS (SELECT pid, alo, ahi, blo, bhi FROM {x}seg WHERE kind = 'range'),
+   m AS (SELECT r.pid, r.alo, o.i, n.j, o.i - n.j AS d
+         FROM r JOIN {a} o ON o.pid = r.pid AND o.i >= r.alo AND o.i < r.ahi
+                JOIN {x}nb n ON n.pid = r.pid AND n.j >= r.blo AND n.j < r.bhi AND n.k = o.k AND n.seed),
+   isl AS (SELECT pid, alo, d, i, j, i - row_number() OVER (PARTITION BY pid, alo, d ORDER BY i) AS g FROM m),
+   islands AS (SELECT pid, alo, min(i) AS si, min(j) AS sj, count(*) AS slen FROM isl GROUP BY pid, alo, d, g),
+   best AS (SELECT pid, alo, si, sj, slen FROM (
+              SELECT *, row_number() OVER (PARTITION BY pid, alo ORDER BY slen DESC, si, sj) AS rn FROM islands)
             WHERE rn = 1),
-   rb AS (SELECT r.doc_id, r.alo, r.ahi, r.blo, r.bhi, coalesce(b.si, r.alo) AS si, coalesce(b.sj, r.blo) AS sj,
+   rb AS (SELECT r.pid, r.alo, r.ahi, r.blo, r.bhi, coalesce(b.si, r.alo) AS si, coalesce(b.sj, r.blo) AS sj,
                  coalesce(b.slen, 0) AS slen
-          FROM r LEFT JOIN best b ON b.doc_id = r.doc_id AND b.alo = r.alo),
-   cmp AS (SELECT rb.doc_id, rb.alo, o.i, rb.si, rb.slen, (n.k IS NULL OR n.k <> o.k) AS bad
-           FROM rb JOIN ob o ON o.doc_id = rb.doc_id AND o.i >= rb.alo AND o.i < rb.ahi
+          FROM r LEFT JOIN best b ON b.pid = r.pid AND b.alo = r.alo),
+   cmp AS (SELECT rb.pid, rb.alo, o.i, rb.si, rb.slen, (n.k IS NULL OR n.k <> o.k) AS bad
+           FROM rb JOIN {a} o ON o.pid = rb.pid AND o.i >= rb.alo AND o.i < rb.ahi
                             AND (o.i < rb.si OR o.i >= rb.si + rb.slen)
-           LEFT JOIN nb n ON n.doc_id = rb.doc_id AND n.j = o.i - (rb.si - rb.sj) AND n.j >= rb.blo AND n.j < rb.bhi),
-   ext AS (SELECT doc_id, alo, max(CASE WHEN i < si THEN i END) AS bb, min(CASE WHEN i >= si + slen THEN i END) AS ba
-           FROM cmp WHERE bad GROUP BY doc_id, alo),
-   mt0 AS (SELECT rb.doc_id, rb.alo, rb.ahi, rb.blo, rb.bhi, rb.si - rb.sj AS d,
+           LEFT JOIN {x}nb n ON n.pid = rb.pid AND n.j = o.i - (rb.si - rb.sj) AND n.j >= rb.blo AND n.j < rb.bhi),
+   ext AS (SELECT pid, alo, max(CASE WHEN i < si THEN i END) AS bb, min(CASE WHEN i >= si + slen THEN i END) AS ba
+           FROM cmp WHERE bad GROUP BY pid, alo),
+   mt0 AS (SELECT rb.pid, rb.alo, rb.ahi, rb.blo, rb.bhi, rb.si - rb.sj AS d,
                   greatest(coalesce(e.bb + 1, rb.alo), rb.alo, rb.blo + (rb.si - rb.sj)) AS mi,
                   least(coalesce(e.ba, rb.ahi), rb.ahi, rb.bhi + (rb.si - rb.sj)) AS me
-           FROM rb LEFT JOIN ext e ON e.doc_id = rb.doc_id AND e.alo = rb.alo),
-   mt AS (SELECT doc_id, alo, ahi, blo, bhi, least(mi, me) AS mi, least(mi, me) - d AS mj, me - least(mi, me) AS k
+           FROM rb LEFT JOIN ext e ON e.pid = rb.pid AND e.alo = rb.alo),
+   mt AS (SELECT pid, alo, ahi, blo, bhi, least(mi, me) AS mi, least(mi, me) - d AS mj, me - least(mi, me) AS k
           FROM mt0)
-   SELECT doc_id, 'match', mi, mi + k, mj, mj + k FROM mt WHERE k > 0
-   UNION ALL SELECT doc_id, 'gap', alo, ahi, blo, bhi FROM mt WHERE k = 0
-   UNION ALL SELECT doc_id, CASE WHEN mi > alo AND mj > blo THEN 'range' ELSE 'gap' END, alo, mi, blo, mj
+   SELECT pid, 'match', mi, mi + k, mj, mj + k FROM mt WHERE k > 0
+   UNION ALL SELECT pid, 'gap', alo, ahi, blo, bhi FROM mt WHERE k = 0
+   UNION ALL SELECT pid, CASE WHEN mi > alo AND mj > blo THEN 'range' ELSE 'gap' END, alo, mi, blo, mj
              FROM mt WHERE k > 0 AND (mi > alo OR mj > blo)
-   UNION ALL SELECT doc_id, CASE WHEN ahi > mi + k AND bhi > mj + k THEN 'range' ELSE 'gap' END, mi + k, ahi, mj + k, bhi
-             FROM mt WHERE k > 0 AND (ahi > mi + k OR bhi > mj + k))),
+   UNION ALL SELECT pid, CASE WHEN ahi > mi + k AND bhi > mj + k THEN 'range' ELSE 'gap' END, mi + k, ahi, mj + k, bhi
+             FROM mt WHERE k > 0 AND (ahi > mi + k OR bhi > mj + k)))"""
+
+
+def _alignment_ctes() -> str:
+    """The reference's block alignment in SQL (after ``_revision_ctes``); gives ``entries``: doc_id,
+    entry_idx, change, old_pos, new_pos, old_text, new_text, type."""
+    return f""",
+chg AS (SELECT doc_id AS pid, n_old, n_new FROM status WHERE status = 'changed' AND n_old > 0 AND n_new > 0),
+ob AS (SELECT doc_id AS pid, block_pos AS i, text AS k FROM old_blocks WHERE doc_id IN (SELECT pid FROM chg)),
+nb0 AS (SELECT doc_id AS pid, block_pos AS j, text AS k FROM new_blocks WHERE doc_id IN (SELECT pid FROM chg))
+{_frontier_sql('blk_', 'chg', 'ob', 'nb0')},
 segs AS (
-  SELECT doc_id, alo AS i, blo AS j, ahi - alo AS lo, bhi - blo AS ln, kind = 'match' AS is_match
-  FROM seg WHERE kind IN ('match', 'gap')
+  SELECT pid AS doc_id, alo AS i, blo AS j, ahi - alo AS lo, bhi - blo AS ln, kind = 'match' AS is_match
+  FROM blk_seg WHERE kind IN ('match', 'gap')
   UNION ALL SELECT doc_id, 0, 0, n_old, n_new, status = 'unchanged' FROM status
             WHERE n_old + n_new > 0 AND (status <> 'changed' OR n_old = 0 OR n_new = 0)),
 ops AS (SELECT *, CASE WHEN is_match THEN lo ELSE greatest(lo, ln) END AS w,
@@ -129,6 +136,77 @@ entries AS (
   LEFT JOIN new_blocks n ON n.doc_id = e.doc_id AND e.t < e.ln AND n.block_pos = e.j + e.t)"""
 
 
+def _ratio_ctes() -> str:
+    """Character-level ratio of every changed entry (after ``_alignment_ctes``): ``ratios(doc_id,
+    entry_idx, ratio)`` = ``2 * matched / (len(old) + len(new))``, 1.0 when both are empty."""
+    return f""",
+cp AS (SELECT doc_id, entry_idx, doc_id * 1000000 + entry_idx AS pid, coalesce(old_text, '') AS ot,
+              coalesce(new_text, '') AS nt FROM entries WHERE change = 'changed'),
+cpp AS (SELECT pid, length(ot) AS n_old, length(nt) AS n_new FROM cp
+        WHERE ot <> nt AND length(ot) > 0 AND length(nt) > 0),
+ca AS (SELECT pid, generate_subscripts(s, 1) - 1 AS i, unnest(s) AS k
+       FROM (SELECT pid, string_split(ot, '') AS s FROM cp WHERE pid IN (SELECT pid FROM cpp))),
+cb AS (SELECT pid, generate_subscripts(s, 1) - 1 AS j, unnest(s) AS k
+       FROM (SELECT pid, string_split(nt, '') AS s FROM cp WHERE pid IN (SELECT pid FROM cpp)))
+{_frontier_sql('chr_', 'cpp', 'ca', 'cb')},
+matched AS (SELECT pid, sum(ahi - alo) AS m FROM chr_seg WHERE kind = 'match' GROUP BY pid),
+ratios AS (
+  SELECT cp.doc_id, cp.entry_idx,
+         CASE WHEN cp.ot = cp.nt THEN 1.0::DOUBLE
+              WHEN length(cp.ot) = 0 OR length(cp.nt) = 0 THEN 0.0::DOUBLE
+              ELSE 2.0::DOUBLE * CAST(coalesce(m.m, 0) AS DOUBLE) / CAST(length(cp.ot) + length(cp.nt) AS DOUBLE)
+         END AS ratio
+  FROM cp LEFT JOIN matched m ON m.pid = cp.pid)"""
+
+
+def _analysis_ctes() -> str:
+    """Scores and analysis of every entry (after ``_ratio_ctes``): ``an``."""
+    comb = "(coalesce(old_text, '') || ' ' || coalesce(new_text, ''))"
+    wc = lambda t: f"len(list_filter(string_split_regex(coalesce({t}, ''), '{WS_CLASS}+'), lambda x: x <> ''))"
+    return f""",
+tfa AS (SELECT doc_id, entry_idx, unnest({_tokens('old_text')}) AS tok FROM entries WHERE change = 'changed'),
+tfb AS (SELECT doc_id, entry_idx, unnest({_tokens('new_text')}) AS tok FROM entries WHERE change = 'changed'),
+tca AS (SELECT doc_id, entry_idx, tok, count(*) AS a FROM tfa GROUP BY ALL),
+tcb AS (SELECT doc_id, entry_idx, tok, count(*) AS b FROM tfb GROUP BY ALL),
+tj AS (SELECT coalesce(tca.doc_id, tcb.doc_id) AS doc_id, coalesce(tca.entry_idx, tcb.entry_idx) AS entry_idx,
+              coalesce(a, 0) AS a, coalesce(b, 0) AS b
+       FROM tca FULL OUTER JOIN tcb ON tca.doc_id = tcb.doc_id AND tca.entry_idx = tcb.entry_idx AND tca.tok = tcb.tok),
+tsum AS (SELECT doc_id, entry_idx, sum(a * b) AS dot, sum(a * a) AS na, sum(b * b) AS nb FROM tj GROUP BY ALL),
+sc AS (
+  SELECT e.doc_id, e.entry_idx, e.change, e.type, r.ratio, {comb} AS comb,
+         CASE WHEN coalesce(t.na, 0) = 0 OR coalesce(t.nb, 0) = 0 THEN 0.0::DOUBLE
+              ELSE CAST(t.dot AS DOUBLE) / sqrt(CAST(t.na * t.nb AS DOUBLE)) END AS sim,
+         0.0::DOUBLE AS s0,
+         CASE WHEN e.change IN ('added', 'deleted') THEN s0 + 2.5::DOUBLE ELSE s0 END AS s1,
+         CASE WHEN e.change = 'changed' THEN s1 + (1.0::DOUBLE - r.ratio) * 6.0::DOUBLE ELSE s1 END AS s2,
+         CASE WHEN e.change = 'changed' AND regexp_matches(comb, {_lit(DIGIT_RE)}) THEN s2 + 0.8::DOUBLE ELSE s2 END AS s3,
+         CASE WHEN e.change = 'changed' AND regexp_matches(comb, {_lit(SCORE_UNIT_RE_RE2)}) THEN s3 + 0.8::DOUBLE ELSE s3 END AS s4,
+         CASE WHEN e.change = 'changed' AND regexp_matches(comb, {_lit(YEAR_RE)}) THEN s4 + 0.6::DOUBLE ELSE s4 END AS s5,
+         CASE WHEN e.type IN ('image', 'table') THEN s5 + 2.0::DOUBLE ELSE s5 END AS s6,
+         {_round('greatest(0.0::DOUBLE, least(10.0::DOUBLE, s6))', 2)} AS score,
+         regexp_matches(comb, {_lit(LABEL_UNIT_RE)}) AS lu, regexp_matches(comb, {_lit(NUMBER_RE)}) AS ln,
+         {wc('e.old_text')} AS wc_old, {wc('e.new_text')} AS wc_new
+  FROM entries e LEFT JOIN ratios r ON r.doc_id = e.doc_id AND r.entry_idx = e.entry_idx
+  LEFT JOIN tsum t ON t.doc_id = e.doc_id AND t.entry_idx = e.entry_idx),
+an AS (
+  SELECT doc_id, entry_idx, change, type, score,
+         CASE WHEN score < 3 THEN 'low' WHEN score < 6 THEN 'med' ELSE 'high' END AS score_band,
+         CASE WHEN change = 'changed' THEN
+           CASE WHEN ln AND lu THEN 'numbers, unit' WHEN ln THEN 'numbers' WHEN lu THEN 'unit' ELSE '' END END AS labels,
+         CASE WHEN change = 'changed' THEN
+           list_filter(['numbers', 'unit'], lambda x: (x = 'numbers' AND ln) OR (x = 'unit' AND lu)) END AS label_list,
+         CASE WHEN change = 'changed' THEN {_round('(1.0::DOUBLE - sim) * 10.0::DOUBLE', 2)} END AS semantic_score,
+         CASE WHEN change = 'changed' THEN
+           CASE WHEN lu THEN 'substantive'
+                WHEN regexp_matches(lower(comb), {_lit(LEGAL_RE)}) THEN 'technical'
+                WHEN ratio > 0.9 THEN 'editorial'
+                WHEN wc_old <> wc_new THEN 'formal' ELSE 'substantive' END END AS change_type,
+         CASE WHEN change = 'changed' THEN {_round('1.0::DOUBLE - abs(0.85::DOUBLE - sim)', 2)} END AS confidence
+  FROM sc),
+ank AS (SELECT *, CASE WHEN semantic_score IS NULL THEN score * 0.6::DOUBLE
+                       ELSE semantic_score + score * 0.1::DOUBLE END AS toc_key FROM an)"""
+
+
 def _messages_cte() -> str:
     return """
 msgs AS (SELECT conv_id, role, turn, lag(text) OVER (PARTITION BY conv_id, role ORDER BY turn) AS old_text,
@@ -234,6 +312,50 @@ FROM ids LEFT JOIN c ON c.doc_id = ids.doc_id"""
     q["stats_rollup"] = f"""{al}
 SELECT doc_id, type, {cnt}, CAST(count(*) AS BIGINT) AS total_blocks, CAST(grouping(doc_id, type) AS BIGINT) AS level
 FROM entries GROUP BY ROLLUP (doc_id, type)"""
+    q["change_ratio"] = f"{al}{_ratio_ctes()}\nSELECT doc_id, entry_idx, ratio FROM ratios"
+    an = f"{al}{_ratio_ctes()}{_analysis_ctes()}"
+    q["score_changes"] = f"{an}\nSELECT doc_id, entry_idx, change, type, score, score_band FROM an"
+    q["analyze_changes"] = (f"{an}\nSELECT doc_id, entry_idx, labels, semantic_score, change_type, confidence "
+                            f"FROM an WHERE change = 'changed'")
+    q["top_changes"] = f"""{an}
+SELECT doc_id, entry_idx, change, score,
+       CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, entry_idx DESC) AS INTEGER) AS rank
+FROM an WHERE change IN ('changed', 'added', 'deleted')"""
+    label = ("CASE WHEN semantic_score IS NOT NULL THEN CAST(semantic_score AS VARCHAR) || '/10' "
+             "ELSE 's=' || CAST(score AS VARCHAR) END")
+    name = "CASE WHEN change = 'changed' OR coalesce(type, '') = '' THEN 'blk' ELSE type END"
+    q["toc"] = f"""{an},
+t AS (SELECT doc_id, entry_idx, change, score, semantic_score, toc_key,
+             CAST(row_number() OVER (PARTITION BY doc_id ORDER BY toc_key DESC, entry_idx ASC) AS INTEGER) AS rank,
+             '#' || CAST(entry_idx AS VARCHAR) || '(' || {_escape(name)} || ') ' || {label} AS toc_label
+      FROM ank WHERE change IN ('changed', 'added', 'deleted'))
+SELECT * FROM t WHERE rank <= 200"""
+    q["corpus_top_k"] = f"""{an}
+SELECT doc_id, entry_idx, change, score, semantic_score, toc_key FROM ank
+WHERE change IN ('changed', 'added', 'deleted') ORDER BY toc_key DESC, doc_id ASC, entry_idx ASC LIMIT 100"""
+    share = _round("CAST(dominant_count AS DOUBLE) / CAST(n_changed AS DOUBLE) * 100.0::DOUBLE", 1)
+    q["doc_summary"] = f"""{an},
+ids AS (SELECT doc_id FROM old_docs UNION SELECT doc_id FROM new_docs),
+tot AS (SELECT doc_id, count(*) AS total_blocks FROM an GROUP BY doc_id),
+c2 AS (SELECT doc_id, entry_idx, coalesce(nullif(change_type, ''), 'undefined') AS ctype, label_list
+       FROM an WHERE change = 'changed'),
+pt AS (SELECT doc_id, ctype, count(*) AS cnt, min(entry_idx) AS first_idx FROM c2 GROUP BY doc_id, ctype),
+top AS (SELECT doc_id, ctype AS dominant_type, cnt AS dominant_count FROM (
+          SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, first_idx ASC) AS rn FROM pt) WHERE rn = 1),
+lab AS (SELECT doc_id, count(*) AS n_changed,
+               array_to_string(list_sort(list_distinct(flatten(list(label_list)))), ', ') AS label_set FROM c2 GROUP BY doc_id),
+j AS (SELECT ids.doc_id, coalesce(tot.total_blocks, 0) AS total_blocks, lab.n_changed, lab.label_set,
+             top.dominant_type, top.dominant_count
+      FROM ids LEFT JOIN tot ON tot.doc_id = ids.doc_id LEFT JOIN lab ON lab.doc_id = ids.doc_id
+      LEFT JOIN top ON top.doc_id = ids.doc_id),
+k AS (SELECT *, {share} AS share, CASE WHEN label_set = '' THEN 'none' ELSE label_set END AS labels FROM j)
+SELECT doc_id, CAST(coalesce(n_changed, 0) AS BIGINT) AS n_changed, CAST(total_blocks AS BIGINT) AS total_blocks,
+       dominant_type, share AS dominant_share, CASE WHEN n_changed > 0 THEN labels END AS label_set,
+       CASE WHEN coalesce(n_changed, 0) = 0 THEN 'No significant changes detected in the document.'
+            ELSE 'The document contains ' || CAST(n_changed AS VARCHAR) || ' changes (out of '
+                 || CAST(total_blocks AS VARCHAR) || ' blocks), of which ' || CAST(share AS VARCHAR)
+                 || '% are of type <b>' || dominant_type || '</b>. Dominant AI labels: ' || labels || '.' END AS summary
+FROM k"""
     q["filter_changes"] = (f"{al}\nSELECT doc_id, entry_idx, change, type FROM entries "
                            f"WHERE change IN ('changed', 'added') AND type IN ('paragraph')")
     q["type_facets"] = f"""{al},

@@ -90,6 +90,11 @@ def q_changed_pairs(spark, sf):
     return ch.select("doc_id", "entry_idx", "old_text", "new_text")
 
 
+def q_change_ratio(spark, sf):
+    d = revision(spark, sf).detailed.filter(F.col("change") == "changed")
+    return d.select("doc_id", "entry_idx", "ratio")
+
+
 def q_rebuild_new(spark, sf):
     return rebuild_side(revision(spark, sf).changes, "new")
 
@@ -257,6 +262,7 @@ def queries() -> dict[str, Query]:
         "deleted_docs": q_deleted_docs,
         "align_blocks": q_align_blocks,
         "changed_pairs": q_changed_pairs,
+        "change_ratio": q_change_ratio,
         "rebuild_new": q_rebuild_new,
         "rebuild_old": q_rebuild_old,
         "inline_diff": q_inline_diff,
