@@ -367,6 +367,21 @@ SELECT doc_id, type, CAST(first_idx AS INTEGER) AS first_idx,
     q["rebuild_new"] = f"WITH {rev}\nSELECT doc_id, block_pos, text FROM new_blocks"
     q["rebuild_old"] = f"WITH {rev}\nSELECT doc_id, block_pos, text FROM old_blocks"
 
+    q["text_ratio"] = f"""WITH RECURSIVE {msgs},
+mp AS (SELECT conv_id, role, turn, dense_rank() OVER (ORDER BY conv_id, role, turn) AS pid,
+              coalesce(old_text, '') AS ot, coalesce(new_text, '') AS nt FROM pairs),
+mpp AS (SELECT pid, length(ot) AS n_old, length(nt) AS n_new FROM mp WHERE ot <> nt AND length(ot) > 0 AND length(nt) > 0),
+ma AS (SELECT pid, generate_subscripts(s, 1) - 1 AS i, unnest(s) AS k
+       FROM (SELECT pid, string_split(ot, '') AS s FROM mp WHERE pid IN (SELECT pid FROM mpp))),
+mb AS (SELECT pid, generate_subscripts(s, 1) - 1 AS j, unnest(s) AS k
+       FROM (SELECT pid, string_split(nt, '') AS s FROM mp WHERE pid IN (SELECT pid FROM mpp)))
+{_frontier_sql('msg_', 'mpp', 'ma', 'mb')},
+mm AS (SELECT pid, sum(ahi - alo) AS m FROM msg_seg WHERE kind = 'match' GROUP BY pid)
+SELECT conv_id, role, turn,
+       CASE WHEN ot = nt THEN 1.0::DOUBLE WHEN length(ot) = 0 OR length(nt) = 0 THEN 0.0::DOUBLE
+            ELSE 2.0::DOUBLE * CAST(coalesce(mm.m, 0) AS DOUBLE) / CAST(length(ot) + length(nt) AS DOUBLE) END AS ratio
+FROM mp LEFT JOIN mm ON mm.pid = mp.pid"""
+
     q["inline_diff"] = f"""WITH {msgs}
 SELECT conv_id, role, turn, {_escape('old_text')} AS old_view, {_escape('new_text')} AS new_view FROM pairs"""
 
