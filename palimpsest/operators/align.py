@@ -283,7 +283,6 @@ def align_blocks(old_docs: DataFrame, new_docs: DataFrame, old_blocks: DataFrame
 def rebuild_side(changes: DataFrame, side: str) -> DataFrame:
     """Unchanged + changed.new + added (in entry order) is the new side; unchanged + changed.old +
     deleted is the old side.  Output ``(doc_id, block_pos, text)``, equal to the input side."""
-    from pyspark.sql import Window
     if side == "new":
         kept = changes.filter(F.col("change").isin("unchanged", "changed", "added"))
         text = F.when(F.col("change") == "unchanged", F.col("old_text")).otherwise(F.col("new_text"))
@@ -291,8 +290,9 @@ def rebuild_side(changes: DataFrame, side: str) -> DataFrame:
         kept = changes.filter(F.col("change").isin("unchanged", "changed", "deleted"))
         text = F.col("old_text")
     # positions are re-derived from the entry order, so the check covers ordering too
-    pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("entry_idx")) - 1
-    return kept.select("doc_id", pos.cast("int").alias("block_pos"), text.alias("text"))
+    from ..functions.ranking import rank_within
+    r = rank_within(kept.select("doc_id", "entry_idx", text.alias("text")), ["doc_id"], [F.col("entry_idx")], out="rn")
+    return r.select("doc_id", (F.col("rn") - 1).cast("int").alias("block_pos"), "text")
 
 
 def documents_only_in(status: DataFrame, side: str) -> DataFrame:

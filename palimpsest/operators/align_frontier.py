@@ -8,16 +8,17 @@ blocks of both sides still inside an active range, each labelled with its range.
 1. seed matches: equi-join of the two sides on ``(doc, range, key)``, keys that are *popular* in ``b``
    (more than ``len(b)//100 + 1`` occurrences once ``len(b) >= 200``) excluded, as difflib's autojunk
    does; this also bounds the partners of any block;
-2. islands of consecutive seed matches on one diagonal (``i - row_number()`` per diagonal); the best
-   island of a range is the longest, ties to the smallest ``i`` then ``j``;
+2. islands of consecutive seed matches on one diagonal (starts and ends by anti-joins on positions,
+   paired in a window over the boundary rows only); the best island of a range is the longest, ties
+   to the smallest ``i`` then ``j``;
 3. the island is extended through *any* equal blocks along its diagonal, up to the nearest mismatch on
    each side (two min/max aggregates over a join on positions); a range with no seed extends from
    ``(alo, blo)``;
 4. the match is recorded, the range splits in two, blocks are relabelled by one join on the range id;
    ranges with one empty side or without a match become gaps.
 
-Matches and gaps then give the opcodes (``base`` = running entry count, a window over the segments of
-a document).  Lineage is cut every few rounds with a reliable checkpoint (round intermediates are
+Matches and gaps then give the opcodes (``base`` = running entry count, range-partitioned when a
+document has very many segments, see ``functions.ranking``).  Lineage is cut every few rounds with a reliable checkpoint (round intermediates are
 cached in between); the matches and gaps of each round are written as they are found.
 """
 
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark import StorageLevel
 
 from ..functions.keys import with_keys
+from ..functions.ranking import running_sum_within
 from ..session import cut_lineage
 
 OPCODE_COLS = ["doc_id", "tag", "i1", "i2", "j1", "j2", "base"]
@@ -47,15 +49,35 @@ def _popular(nb: DataFrame, autojunk: bool) -> DataFrame:
 
 
 def _segments_to_opcodes(segments: DataFrame) -> DataFrame:
-    """Segments ``(doc_id, i, j, lo, ln, is_match)`` in document order -> opcodes with ``base``."""
+    """Segments ``(doc_id, i, j, lo, ln, is_match)`` in document order -> opcodes with ``base`` (the
+    running entry count, computed range-partitioned when a document has very many segments)."""
     width = F.when(F.col("is_match"), F.col("lo")).otherwise(F.greatest("lo", "ln"))
-    w = Window.partitionBy("doc_id").orderBy("i", "j").rowsBetween(Window.unboundedPreceding, -1)
     tag = (F.when(F.col("is_match"), "equal").when((F.col("lo") > 0) & (F.col("ln") > 0), "replace")
            .when(F.col("lo") > 0, "delete").otherwise("insert"))
-    return segments.select(
+    seg = segments.withColumn("w", width)
+    seg = running_sum_within(seg, ["doc_id"], [F.col("i"), F.col("j")], "w", "base")
+    return seg.select(
         "doc_id", tag.alias("tag"), F.col("i").cast("int").alias("i1"), (F.col("i") + F.col("lo")).cast("int").alias("i2"),
         F.col("j").cast("int").alias("j1"), (F.col("j") + F.col("ln")).cast("int").alias("j2"),
-        F.coalesce(F.sum(width).over(w), F.lit(0)).cast("int").alias("base"))
+        F.col("base").cast("int").alias("base"))
+
+
+def _seed_islands(m: DataFrame) -> DataFrame:
+    """Maximal runs of consecutive seed matches on one diagonal: ``(doc_id, rid, si, sj, slen)``.
+
+    Starts (no match at ``(i-1, j-1)``) and ends (none at ``(i+1, j+1)``) come from anti-joins on
+    positions; only these boundary rows meet in a window per diagonal, so a diagonal that carries one
+    long run costs two rows, not one per match."""
+    keys = ["doc_id", "rid", "i", "j"]
+    pred = m.select("doc_id", "rid", (F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j"))
+    succ = m.select("doc_id", "rid", (F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"))
+    starts = m.join(pred, keys, "left_anti").select(*keys, "d", F.lit(True).alias("s"), F.lit(False).alias("e"))
+    ends = m.join(succ, keys, "left_anti").select(*keys, "d", F.lit(False).alias("s"), F.lit(True).alias("e"))
+    b = starts.unionByName(ends).groupBy(*keys, "d").agg(F.max("s").alias("s"), F.max("e").alias("e"))
+    w = Window.partitionBy("doc_id", "rid", "d").orderBy("i")
+    b = b.withColumn("end_i", F.when(F.col("e"), F.col("i")).otherwise(F.lead("i").over(w)))
+    return b.filter("s").select("doc_id", "rid", F.col("i").alias("si"), F.col("j").alias("sj"),
+                                (F.col("end_i") - F.col("i") + 1).alias("slen"))
 
 
 def _keep(df: DataFrame, held: list) -> DataFrame:
@@ -102,10 +124,7 @@ def frontier_segments(docs: DataFrame, old_blocks: DataFrame, new_blocks: DataFr
         # 1-2. seed islands and the best one per range
         m = (a_state.join(b_state.filter("seed").select("doc_id", "rid", "key", "j"), ["doc_id", "rid", "key"])
              .select("doc_id", "rid", "i", "j", (F.col("i") - F.col("j")).alias("d")))
-        wd = Window.partitionBy("doc_id", "rid", "d").orderBy("i")
-        isl = m.withColumn("g", F.col("i") - F.row_number().over(wd))
-        islands = isl.groupBy("doc_id", "rid", "d", "g").agg(F.min("i").alias("si"), F.min("j").alias("sj"),
-                                                             F.count(F.lit(1)).alias("slen"))
+        islands = _seed_islands(m)
         best = islands.groupBy("doc_id", "rid").agg(
             F.max(F.struct(F.col("slen"), (-F.col("si")).alias("nsi"), (-F.col("sj")).alias("nsj"))).alias("b"))
         best = best.select("doc_id", "rid", F.col("b.slen").alias("slen"), (-F.col("b.nsi")).alias("si"),

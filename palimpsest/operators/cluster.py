@@ -18,9 +18,10 @@ is fixed; lineage is cut each round with a reliable checkpoint.  Output is long
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import rank_within
 from ..session import cut_lineage
 from .semantics import text_for_vector, tokens
 
@@ -41,11 +42,10 @@ def text_points(changes: DataFrame) -> DataFrame:
     """Changed entries -> ``(doc_id, idx, k)`` with ``idx`` the position among changed entries."""
     ch = changes.filter(F.col("change") == "changed").select(
         "doc_id", "entry_idx", text_for_vector(F.col("old_text"), F.col("new_text")).alias("vtext"))
-    w = Window.partitionBy("doc_id").orderBy("entry_idx")
-    cnt = Window.partitionBy("doc_id")
-    pts = ch.select("doc_id", (F.row_number().over(w) - 1).alias("idx"), "vtext",
-                    F.count(F.lit(1)).over(cnt).alias("n"))
-    return pts.filter(F.col("n") >= MIN_CHANGES).withColumn("k", cluster_k(F.col("n")).cast("int"))
+    n = ch.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_CHANGES)
+    pts = rank_within(ch.join(n, "doc_id"), ["doc_id"], [F.col("entry_idx")], out="idx")
+    return pts.select("doc_id", (F.col("idx") - 1).alias("idx"), "vtext", "n",
+                      cluster_k(F.col("n")).cast("int").alias("k"))
 
 
 def hashed_vectors(points: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import rank_within
 from ..functions.text import html_escape, round_half_up
 
 # ---- fixed values ----------------------------------------------------------------------------------
@@ -52,10 +53,11 @@ def stats_rollup(changes: DataFrame) -> DataFrame:
 
 
 def top_changes(scored: DataFrame) -> DataFrame:
-    """Non-unchanged entries ranked by ``(score desc, entry_idx desc)`` per document."""
-    w = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), F.col("entry_idx").desc())
-    return (scored.filter(F.col("change").isin("changed", "added", "deleted"))
-            .select("doc_id", "entry_idx", "change", "score", F.row_number().over(w).alias("rank")))
+    """Non-unchanged entries ranked by ``(score desc, entry_idx desc)`` per document (a full
+    ranking: range-partitioned when a document is very large, see ``functions.ranking``)."""
+    ch = scored.filter(F.col("change").isin("changed", "added", "deleted")).select(
+        "doc_id", "entry_idx", "change", "score")
+    return rank_within(ch, ["doc_id"], [F.col("score").desc(), F.col("entry_idx").desc()])
 
 
 def toc(scored: DataFrame, limit: int | None = TOC_LIMIT) -> DataFrame:
@@ -118,10 +120,11 @@ def doc_summary(analyzed: DataFrame, docs: DataFrame | None = None) -> DataFrame
     w = Window.partitionBy("doc_id").orderBy(F.col("cnt").desc(), F.col("first_idx").asc())
     top = per_type.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select(
         "doc_id", F.col("ctype").alias("dominant_type"), F.col("cnt").alias("dominant_count"))
-    lab = changed.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_changed"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(
-            F.coalesce("labels", F.array().cast("array<string>")))))), ", ").alias("label_set"))
+    # the label vocabulary is small, so a set per document stays small however many changes it has
+    n_changed = changed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_changed"))
+    label_sets = (changed.select("doc_id", F.explode("labels").alias("label")).groupBy("doc_id")
+                  .agg(F.array_join(F.array_sort(F.collect_set("label")), ", ").alias("label_set")))
+    lab = n_changed.join(label_sets, "doc_id", "left").withColumn("label_set", F.coalesce("label_set", F.lit("")))
     base = total if docs is None else docs.select("doc_id").join(total, "doc_id", "left").na.fill(0, ["total_blocks"])
     out = base.join(lab, "doc_id", "left").join(top, "doc_id", "left")
     share = round_half_up(F.col("dominant_count") / F.col("n_changed") * F.lit(100.0), 1)

@@ -62,3 +62,18 @@ def test_filters_and_facets(spark):
     f = [(r.type, r.facet_pos) for r in report.type_facets(df).orderBy("facet_pos").collect()]
     assert f == [("table", 1), ("paragraph", 2)]
     assert [r.entry_idx for r in report.corpus_top_k(df.withColumn("toc_key", F.lit(1.0)), 1).collect()] == [0]
+
+
+def test_ranking_helpers_large_group_route(spark):
+    """The range-partitioned route gives the same numbers as the window."""
+    from pyspark.sql import Window
+    from palimpsest.functions.ranking import rank_within, running_sum_within
+    df = spark.createDataFrame([(d, i, (i * 7) % 5) for d in (1, 2) for i in range(300)], "g int, i int, v int")
+    order = [F.col("v").desc(), F.col("i")]
+    a = rank_within(df, ["g"], order, max_group=10, partitions=7)
+    b = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
+    assert sorted(map(tuple, a.select("g", "i", "rank").collect())) == sorted(map(tuple, b.select("g", "i", "rank").collect()))
+    s1 = running_sum_within(df, ["g"], [F.col("i")], "v", "cs", max_group=10, partitions=5)
+    w = Window.partitionBy("g").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    s2 = df.withColumn("cs", F.coalesce(F.sum("v").over(w), F.lit(0)))
+    assert sorted(map(tuple, s1.select("g", "i", "cs").collect())) == sorted(map(tuple, s2.select("g", "i", "cs").collect()))
