@@ -11,13 +11,15 @@ share of all rows (one oversized document), that task becomes the bottleneck.  `
    window over slices, joined back on ``(g, slice)``.
 
 The partition id is stable under task retries (the range bounds are fixed in the shuffle dependency).
-A cheap partial-aggregate size check keeps the plain window when every group is small.
+A cheap partial-aggregate size check keeps the plain window when every group is small; the input is
+persisted first (memory and disk, recomputable) so the check does not evaluate it twice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,7 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out
     """``row_number() over (partition by keys order by order)`` without a single task per group.
     ``order`` must be a total order inside each group."""
     keys = list(keys)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)        # the size check and the ranking read it once
     if _largest_group(df, keys) <= max_group:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     s = _sliced(df, keys, order, partitions)
@@ -59,6 +62,7 @@ def running_sum_within(df: DataFrame, keys: Sequence[str], order: Sequence[Colum
     """Exclusive running sum ``sum(value) over (partition by keys order by order rows unbounded
     preceding .. 1 preceding)`` (0 for the first row)."""
     keys = list(keys)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)        # the size check and the sum read it once
     if _largest_group(df, keys) <= max_group:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))

@@ -20,6 +20,7 @@ from ..functions.text import html_escape, round_half_up
 CHANGE_VALUES = ["added", "deleted", "changed", "unchanged"]
 TOC_LIMIT = 200
 NO_CHANGES = "No significant changes detected in the document."
+CHANGE_TYPES = ["substantive", "technical", "editorial", "formal", "undefined"]
 # -----------------------------------------------------------------------------------------------------
 
 
@@ -107,33 +108,39 @@ def type_facets(changes: DataFrame) -> DataFrame:
 
 
 def doc_summary(analyzed: DataFrame, docs: DataFrame | None = None) -> DataFrame:
-    """H4-H8: one sentence per document.
-
-    ``analyzed`` has ``doc_id, entry_idx, change, change_type, labels``.  The share is rounded to one
-    decimal; the dominant type is the most frequent ``change_type`` of changed entries (``''`` or null
-    -> ``undefined``), ties to the one seen first."""
-    total = analyzed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total_blocks"))
-    changed = analyzed.filter(F.col("change") == "changed").withColumn(
-        "ctype", F.coalesce(F.nullif(F.col("change_type"), F.lit("")), F.lit("undefined")))
-    per_type = changed.groupBy("doc_id", "ctype").agg(F.count(F.lit(1)).alias("cnt"),
-                                                      F.min("entry_idx").alias("first_idx"))
-    w = Window.partitionBy("doc_id").orderBy(F.col("cnt").desc(), F.col("first_idx").asc())
-    top = per_type.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select(
-        "doc_id", F.col("ctype").alias("dominant_type"), F.col("cnt").alias("dominant_count"))
-    # the label vocabulary is small, so a set per document stays small however many changes it has
-    n_changed = changed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_changed"))
-    label_sets = (changed.select("doc_id", F.explode("labels").alias("label")).groupBy("doc_id")
-                  .agg(F.array_join(F.array_sort(F.collect_set("label")), ", ").alias("label_set")))
-    lab = n_changed.join(label_sets, "doc_id", "left").withColumn("label_set", F.coalesce("label_set", F.lit("")))
-    base = total if docs is None else docs.select("doc_id").join(total, "doc_id", "left").na.fill(0, ["total_blocks"])
-    out = base.join(lab, "doc_id", "left").join(top, "doc_id", "left")
+    """H4-H9: one sentence per document, from a single ``groupBy(doc_id)`` pass over the entries.
+
+    ``analyzed`` has ``doc_id, entry_idx, change, change_type, labels``.  The dominant type is the most
+    frequent ``change_type`` of changed entries (``''`` or null -> ``undefined``), ties to the one seen
+    first: the change-type vocabulary is fixed (F4), so per-type counts and first positions are
+    conditional aggregates and the winner is the greatest ``(count, -first_idx)`` in the row.  Label
+    sets are sets of label arrays (bounded by the small label vocabulary), flattened afterwards.  The
+    share is rounded to one decimal."""
+    changed = F.col("change") == "changed"
+    ctype = F.coalesce(F.nullif(F.col("change_type"), F.lit("")), F.lit("undefined"))
+    aggs = [F.count(F.lit(1)).alias("total_blocks"),
+            F.sum(F.when(changed, 1).otherwise(0)).alias("n_changed"),
+            F.collect_set(F.when(changed, F.coalesce("labels", F.array().cast("array<string>")))).alias("label_sets")]
+    for t in CHANGE_TYPES:
+        hit = changed & (ctype == t)
+        aggs += [F.sum(F.when(hit, 1).otherwise(0)).alias(f"c_{t}"), F.min(F.when(hit, F.col("entry_idx"))).alias(f"f_{t}")]
+    g = analyzed.groupBy("doc_id").agg(*aggs)
+    best = F.greatest(*[F.when(F.col(f"c_{t}") > 0, F.struct(F.col(f"c_{t}").alias("cnt"), (-F.col(f"f_{t}")).alias("nf"),
+                                                         F.lit(t).alias("t")))
+                        for t in CHANGE_TYPES])
+    g = g.select("doc_id", "total_blocks", "n_changed", best.alias("best"),
+                 F.array_join(F.array_sort(F.array_distinct(F.flatten("label_sets"))), ", ").alias("label_set"))
+    out = g if docs is None else docs.select("doc_id").join(g, "doc_id", "left")
+    out = out.select("doc_id", F.coalesce("total_blocks", F.lit(0)).alias("total_blocks"),
+                     F.coalesce("n_changed", F.lit(0)).cast("bigint").alias("n_changed"),
+                     F.col("best.t").alias("dominant_type"), F.col("best.cnt").alias("dominant_count"), "label_set")
     share = round_half_up(F.col("dominant_count") / F.col("n_changed") * F.lit(100.0), 1)
     labels = F.when(F.col("label_set") == "", F.lit("none")).otherwise(F.col("label_set"))
-    sentence = F.when(F.coalesce("n_changed", F.lit(0)) == 0, F.lit(NO_CHANGES)).otherwise(F.concat(
+    sentence = F.when(F.col("n_changed") == 0, F.lit(NO_CHANGES)).otherwise(F.concat(
         F.lit("The document contains "), F.col("n_changed").cast("string"),
         F.lit(" changes (out of "), F.col("total_blocks").cast("string"), F.lit(" blocks), of which "),
         share.cast("string"), F.lit("% are of type <b>"), F.col("dominant_type"),
         F.lit("</b>. Dominant AI labels: "), labels, F.lit(".")))
-    return out.select("doc_id", F.coalesce("n_changed", F.lit(0)).alias("n_changed"), "total_blocks",
-                      "dominant_type", share.alias("dominant_share"),
+    return out.select("doc_id", "n_changed", "total_blocks", "dominant_type",
+                      F.when(F.col("n_changed") > 0, share).alias("dominant_share"),
                       F.when(F.col("n_changed") > 0, labels).alias("label_set"), sentence.alias("summary"))

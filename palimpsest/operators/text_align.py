@@ -29,12 +29,19 @@ def _hash_lines(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.xxhash64(F.concat(F.lit("paragraph:"), x)))
 
 
+def _line_bound(df: DataFrame) -> Column:
+    """An upper bound of a document's line count: the source's native ``bound`` column when it has
+    one (no array evaluation), else the array size."""
+    return F.col("bound") if "bound" in df.columns else F.size("lines")
+
+
 def oversized_docs(old_lines: DataFrame, new_lines: DataFrame, max_udf_blocks: int) -> DataFrame | None:
-    """Ids of documents with more than ``max_udf_blocks`` lines on either side, or ``None`` when there
-    are none.  The list is written once (reliable checkpoint) so later plans read it instead of
+    """Ids of documents that may have more than ``max_udf_blocks`` lines on either side (by an upper
+    bound, so a borderline document may take route 2, which gives the same result), or ``None`` when
+    there are none.  The list is written once (reliable checkpoint) so later plans read it instead of
     recomputing it, and it is broadcast only behind a size check."""
-    big = (old_lines.filter(F.size("lines") > max_udf_blocks).select("doc_id")
-           .unionByName(new_lines.filter(F.size("lines") > max_udf_blocks).select("doc_id")).distinct())
+    big = (old_lines.filter(_line_bound(old_lines) > max_udf_blocks).select("doc_id")
+           .unionByName(new_lines.filter(_line_bound(new_lines) > max_udf_blocks).select("doc_id")).distinct())
     if big.limit(1).count() == 0:
         return None
     return broadcast_if_small(cut_lineage(big))

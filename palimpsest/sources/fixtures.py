@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from .lines import kept_lines
+from .lines import kept_lines, line_bound
 from .tables import table_blocks
 
 # ---- fixed values of the V1 revision rule --------------------------------------------------------
@@ -44,9 +44,12 @@ def revision_lines(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
                 .when(h == V1_H_INSERT, F.array(x, F.concat(F.lit(V1_INSERT), p.cast("string"))))
                 .otherwise(F.array(x)))
 
-    old = docs.filter(F.col("doc_id") % V1_OLD_DROP != 0).select("doc_id", kept_lines(F.col("text")).alias("lines"))
+    bound = line_bound(F.col("text"))
+    old = docs.filter(F.col("doc_id") % V1_OLD_DROP != 0).select(
+        "doc_id", kept_lines(F.col("text")).alias("lines"), bound.alias("bound"))
+    # every old line becomes at most two new lines
     new = docs.filter(F.col("doc_id") % V1_NEW_DROP != 0).select(
-        "doc_id", F.flatten(F.transform(kept_lines(F.col("text")), revise)).alias("lines"))
+        "doc_id", F.flatten(F.transform(kept_lines(F.col("text")), revise)).alias("lines"), (bound * 2).alias("bound"))
     return old, new
 
 

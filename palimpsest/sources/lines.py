@@ -29,9 +29,18 @@ def lines_blocks(lines: DataFrame, lines_col: str = "lines") -> DataFrame:
     return conform_blocks(exploded.withColumn("type", F.lit("paragraph")))
 
 
+def line_bound(text):
+    """Native upper bound of the kept-line count: line breaks + 1 (no array is built)."""
+    t = F.coalesce(text, F.lit(""))
+    n_lf = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    n_cr = F.length(t) - F.length(F.replace(t, F.lit("\r"), F.lit("")))
+    return (n_lf + n_cr + 1).cast("bigint")
+
+
 def text_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text)`` -> ``(doc_id, lines)``: the input of ``Comparison.from_lines``."""
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), kept_lines(F.col(text_col)).alias("lines"))
+    """``(doc_id, text)`` -> ``(doc_id, lines, bound)``: the input of ``Comparison.from_lines``."""
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), kept_lines(F.col(text_col)).alias("lines"),
+                       line_bound(F.col(text_col)).alias("bound"))
 
 
 def text_snapshot(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
