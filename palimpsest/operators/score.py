@@ -34,27 +34,32 @@ def entry_texts(old_text: Column, new_text: Column) -> tuple[Column, Column, Col
     return o, n, F.concat(o, F.lit(" "), n)
 
 
+def _term(cond: Column, points) -> Column:
+    """``points`` when ``cond`` else ``0.0``: adding a skipped term adds exactly 0.0, so the running sum
+    has the same bits as the reference's conditional ``+=`` chain (and the expression stays linear)."""
+    return F.when(cond, points).otherwise(F.lit(0.0))
+
+
 def change_score(change: Column, type_: Column, old_text: Column, new_text: Column, ratio: Column) -> Column:
     """clamp to [0, 10], round to 2 decimals."""
     _, _, combined = entry_texts(old_text, new_text)
-    s = F.lit(0.0)
-    s = F.when(change.isin("added", "deleted"), s + F.lit(ADDED_DELETED_POINTS)).otherwise(s)
     changed = change == "changed"
-    s = F.when(changed, s + (F.lit(1.0) - ratio) * F.lit(RATIO_WEIGHT)).otherwise(s)
-    s = F.when(changed & has_digit(combined), s + F.lit(DIGIT_POINTS)).otherwise(s)
-    s = F.when(changed & has_score_unit(combined), s + F.lit(UNIT_POINTS)).otherwise(s)
-    s = F.when(changed & has_year(combined), s + F.lit(YEAR_POINTS)).otherwise(s)
-    s = F.when(type_.isin("image", "table"), s + F.lit(IMAGE_TABLE_POINTS)).otherwise(s)
+    s = F.lit(0.0)
+    s = s + _term(change.isin("added", "deleted"), F.lit(ADDED_DELETED_POINTS))
+    s = s + _term(changed, (F.lit(1.0) - ratio) * F.lit(RATIO_WEIGHT))
+    s = s + _term(changed & has_digit(combined), F.lit(DIGIT_POINTS))
+    s = s + _term(changed & has_score_unit(combined), F.lit(UNIT_POINTS))
+    s = s + _term(changed & has_year(combined), F.lit(YEAR_POINTS))
+    s = s + _term(type_.isin("image", "table"), F.lit(IMAGE_TABLE_POINTS))
     return round_half_up(clamp(s, 0.0, 10.0), 2)
 
 
 def score_bonus(old_text: Column, new_text: Column) -> Column:
     """The text-pattern part of F1 for a changed pair (digit, unit, year), in the reference's order."""
     _, _, combined = entry_texts(old_text, new_text)
-    s = F.lit(0.0)
-    s = F.when(has_digit(combined), s + F.lit(DIGIT_POINTS)).otherwise(s)
-    s = F.when(has_score_unit(combined), s + F.lit(UNIT_POINTS)).otherwise(s)
-    return F.when(has_year(combined), s + F.lit(YEAR_POINTS)).otherwise(s)
+    s = F.lit(0.0) + _term(has_digit(combined), F.lit(DIGIT_POINTS))
+    s = s + _term(has_score_unit(combined), F.lit(UNIT_POINTS))
+    return s + _term(has_year(combined), F.lit(YEAR_POINTS))
 
 
 def semantic_score(similarity: Column, ratio: Column) -> Column:
