@@ -356,6 +356,13 @@ SELECT doc_id, CAST(coalesce(n_changed, 0) AS BIGINT) AS n_changed, CAST(total_b
                  || CAST(total_blocks AS VARCHAR) || ' blocks), of which ' || CAST(share AS VARCHAR)
                  || '% are of type <b>' || dominant_type || '</b>. Dominant AI labels: ' || labels || '.' END AS summary
 FROM k"""
+    q["changes_json"] = f"{al}\nSELECT doc_id, entry_idx, change, type, old_pos, new_pos, old_text, new_text FROM entries"
+    q["report_rows"] = f"""{an}
+SELECT doc_id, entry_idx, change, type, score, score_band, semantic_score, change_type, confidence,
+       coalesce(labels, '') AS labels,
+       (coalesce(len(label_list) > 0, false) OR semantic_score IS NOT NULL
+        OR coalesce(change_type <> '', false) OR confidence IS NOT NULL) AS ai_info
+FROM an"""
     q["filter_changes"] = (f"{al}\nSELECT doc_id, entry_idx, change, type FROM entries "
                            f"WHERE change IN ('changed', 'added') AND type IN ('paragraph')")
     q["type_facets"] = f"""{al},

@@ -245,6 +245,34 @@ def q_corpus_top_k(spark, sf):
     return report.corpus_top_k(revision(spark, sf).analyzed, 100)
 
 
+def _sink_dir(spark, name: str) -> str:
+    """A fresh folder for a sink under the shared checkpoint folder."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/sinks/{name}-{uuid.uuid4().hex}"
+
+
+def q_changes_json(spark, sf):
+    """Entries written as JSON Lines and read back (explicit schema, absent keys -> null)."""
+    from ..sources.sinks import write_changes_json
+    path = _sink_dir(spark, "changes_json")
+    ch = revision(spark, sf).changes
+    write_changes_json(ch, path)
+    schema = "doc_id bigint, entry_idx int, change string, type string, old_pos int, new_pos int, " \
+             "old_text string, new_text string"
+    return spark.read.schema(schema).json(path)
+
+
+def q_report_rows(spark, sf):
+    """A12 + E12-E15: report rows written as Parquet partitioned by ``change`` and read back."""
+    from ..sources.sinks import write_report_rows
+    path = _sink_dir(spark, "report_rows")
+    write_report_rows(revision(spark, sf).analyzed, path)
+    r = spark.read.parquet(path)
+    return r.select("doc_id", "entry_idx", "change", "type", "score", "score_band", "semantic_score",
+                    "change_type", "confidence", "labels", "ai_info")
+
+
 def q_cluster_changes(spark, sf):
     from ..operators.cluster import cluster_changes
     a = revision(spark, sf).changes
@@ -289,4 +317,6 @@ def queries() -> dict[str, Query]:
         "type_facets": q_type_facets,
         "corpus_top_k": q_corpus_top_k,
         "cluster_changes": q_cluster_changes,
+        "changes_json": q_changes_json,
+        "report_rows": q_report_rows,
     }

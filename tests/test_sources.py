@@ -63,3 +63,26 @@ def test_content_sha1(spark):
     df = spark.createDataFrame([(bytearray(b"imagedata"),)], "b binary")
     r = df.select(F.sha1("b").alias("h"), F.octet_length("b").alias("n")).first()
     assert (r.h, r.n) == (hashlib.sha1(b"imagedata").hexdigest(), 9)
+
+
+def test_sinks(spark):
+    import glob
+    import json
+    from palimpsest.sources.sinks import ai_info_present, write_changes_json, write_report_rows
+    d = tempfile.mkdtemp(prefix="palimpsest-sink-", dir="/tmp")
+    rows = [(1, 0, "unchanged", "paragraph", 0, 0, "Zażółć", None), (1, 1, "changed", "paragraph", 1, 1, "a", "b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, entry_idx int, change string, type string, old_pos int, "
+                                     "new_pos int, old_text string, new_text string")
+    write_changes_json(df, f"{d}/json")
+    lines = [json.loads(x) for f in glob.glob(f"{d}/json/*.json") for x in open(f, encoding="utf-8")]
+    first = [x for x in lines if x["entry_idx"] == 0][0]
+    assert "new_text" not in first and first["old_text"] == "Zażółć"          # absent key, non-ASCII kept
+    a = df.withColumn("score", F.lit(1.0)).withColumn("labels", F.array().cast("array<string>")) \
+        .withColumn("semantic_score", F.lit(None).cast("double")).withColumn("change_type", F.lit("")) \
+        .withColumn("confidence", F.lit(None).cast("double")).withColumn("inline_html", F.lit(None).cast("string")) \
+        .withColumn("old_sha1", F.lit(None).cast("string")).withColumn("new_sha1", F.lit(None).cast("string"))
+    write_report_rows(a, f"{d}/rows")
+    assert sorted(p.split("=")[-1] for p in glob.glob(f"{d}/rows/change=*")) == ["changed", "unchanged"]
+    r = spark.read.parquet(f"{d}/rows").select("ai_info").distinct().collect()
+    assert [x.ai_info for x in r] == [False]                                  # E15: nothing present
+    assert spark.range(1).select(ai_info_present(F.array(F.lit("x")), F.lit(None), F.lit(""), F.lit(None))).first()[0]
