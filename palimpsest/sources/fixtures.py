@@ -31,7 +31,6 @@ def revision_lines(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """V1 as kept-line arrays: ``(old_lines, new_lines)``, each ``(doc_id, lines ARRAY<STRING>)``; the
     new lines are the old ones dropped, edited or with a line inserted.  Built inside each row (no
     shuffle)."""
-    docs = documents.select("doc_id", "text")
     keep = F.col("doc_id") % V1_KEEP == 0
 
     def revise(x, p):
@@ -44,7 +43,10 @@ def revision_lines(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
                 .when(h == V1_H_INSERT, F.array(x, F.concat(F.lit(V1_INSERT), p.cast("string"))))
                 .otherwise(F.array(x)))
 
-    bound = line_bound(F.col("text"))
+    # routing bound: a stored character count when the table has one (the pre-pass then reads two narrow
+    # columns instead of the text); a line needs at least one character, so it bounds the line count
+    bound = (F.col("n_chars") + 1).cast("bigint") if "n_chars" in documents.columns else line_bound(F.col("text"))
+    docs = documents.select("doc_id", "text", *(["n_chars"] if "n_chars" in documents.columns else []))
     old = docs.filter(F.col("doc_id") % V1_OLD_DROP != 0).select(
         "doc_id", kept_lines(F.col("text")).alias("lines"), bound.alias("bound"))
     # every old line becomes at most two new lines
