@@ -36,12 +36,29 @@ def _line_bound(df: DataFrame) -> Column:
 
 
 def oversized_docs(old_lines: DataFrame, new_lines: DataFrame, max_udf_blocks: int) -> DataFrame | None:
-    """Ids of documents that may have more than ``max_udf_blocks`` lines on either side (by an upper
-    bound, so a borderline document may take route 2, which gives the same result), or ``None`` when
-    there are none.  The list is written once (reliable checkpoint) so later plans read it instead of
-    recomputing it, and it is broadcast only behind a size check."""
-    big = (old_lines.filter(_line_bound(old_lines) > max_udf_blocks).select("doc_id")
-           .unionByName(new_lines.filter(_line_bound(new_lines) > max_udf_blocks).select("doc_id")).distinct())
+    """Ids of documents with more than ``max_udf_blocks`` lines on either side, or ``None``.
+
+    Two stages: a cheap upper bound (a stored size column when the source has one, so this pass reads
+    narrow columns only) selects candidates; only when candidates exist are their exact line counts
+    computed.  The final list is written once (reliable checkpoint) and broadcast only behind a size
+    check."""
+    def candidates(bounded: bool):
+        f_old = (_line_bound(old_lines) if bounded else F.size("lines")) > max_udf_blocks
+        f_new = (_line_bound(new_lines) if bounded else F.size("lines")) > max_udf_blocks
+        return (old_lines.filter(f_old).select("doc_id")
+                .unionByName(new_lines.filter(f_new).select("doc_id")).distinct())
+    has_bound = "bound" in old_lines.columns and "bound" in new_lines.columns
+    if has_bound:
+        cand = candidates(True)
+        if cand.limit(1).count() == 0:
+            return None
+        cand = broadcast_if_small(cut_lineage(cand))
+        ol = old_lines.join(cand, "doc_id", "left_semi")
+        nl = new_lines.join(cand, "doc_id", "left_semi")
+        big = (ol.filter(F.size("lines") > max_udf_blocks).select("doc_id")
+               .unionByName(nl.filter(F.size("lines") > max_udf_blocks).select("doc_id")).distinct())
+    else:
+        big = candidates(False)
     if big.limit(1).count() == 0:
         return None
     return broadcast_if_small(cut_lineage(big))
