@@ -356,6 +356,12 @@ SELECT doc_id, CAST(coalesce(n_changed, 0) AS BIGINT) AS n_changed, CAST(total_b
                  || CAST(total_blocks AS VARCHAR) || ' blocks), of which ' || CAST(share AS VARCHAR)
                  || '% are of type <b>' || dominant_type || '</b>. Dominant AI labels: ' || labels || '.' END AS summary
 FROM k"""
+    q["text_vectors"] = f"""{al},
+tv AS (SELECT doc_id, entry_idx,
+              trim(coalesce(nullif(new_text, ''), nullif(old_text, ''), ''), {WS_SQL}) AS vt
+       FROM entries WHERE change = 'changed'),
+tt AS (SELECT doc_id, entry_idx, unnest({_tokens('vt')}) AS token FROM tv)
+SELECT doc_id, entry_idx, token, count(*) AS tf FROM tt GROUP BY doc_id, entry_idx, token"""
     q["changes_json"] = f"{al}\nSELECT doc_id, entry_idx, change, type, old_pos, new_pos, old_text, new_text FROM entries"
     q["report_rows"] = f"""{an}
 SELECT doc_id, entry_idx, change, type, score, score_band, semantic_score, change_type, confidence,
@@ -374,7 +380,7 @@ SELECT doc_id, type, CAST(first_idx AS INTEGER) AS first_idx,
     q["rebuild_new"] = f"WITH {rev}\nSELECT doc_id, block_pos, text FROM new_blocks"
     q["rebuild_old"] = f"WITH {rev}\nSELECT doc_id, block_pos, text FROM old_blocks"
 
-    q["text_ratio"] = f"""WITH RECURSIVE {msgs},
+    msg_ratio = f"""WITH RECURSIVE {msgs},
 mp AS (SELECT conv_id, role, turn, dense_rank() OVER (ORDER BY conv_id, role, turn) AS pid,
               coalesce(old_text, '') AS ot, coalesce(new_text, '') AS nt FROM pairs),
 mpp AS (SELECT pid, length(ot) AS n_old, length(nt) AS n_new FROM mp WHERE ot <> nt AND length(ot) > 0 AND length(nt) > 0),
@@ -383,11 +389,21 @@ ma AS (SELECT pid, generate_subscripts(s, 1) - 1 AS i, unnest(s) AS k
 mb AS (SELECT pid, generate_subscripts(s, 1) - 1 AS j, unnest(s) AS k
        FROM (SELECT pid, string_split(nt, '') AS s FROM mp WHERE pid IN (SELECT pid FROM mpp)))
 {_frontier_sql('msg_', 'mpp', 'ma', 'mb')},
-mm AS (SELECT pid, sum(ahi - alo) AS m FROM msg_seg WHERE kind = 'match' GROUP BY pid)
-SELECT conv_id, role, turn,
+mm AS (SELECT pid, sum(ahi - alo) AS m FROM msg_seg WHERE kind = 'match' GROUP BY pid),
+mr AS (SELECT conv_id, role, turn, ot, nt,
        CASE WHEN ot = nt THEN 1.0::DOUBLE WHEN length(ot) = 0 OR length(nt) = 0 THEN 0.0::DOUBLE
             ELSE 2.0::DOUBLE * CAST(coalesce(mm.m, 0) AS DOUBLE) / CAST(length(ot) + length(nt) AS DOUBLE) END AS ratio
-FROM mp LEFT JOIN mm ON mm.pid = mp.pid"""
+       FROM mp LEFT JOIN mm ON mm.pid = mp.pid)"""
+    q["text_ratio"] = f"{msg_ratio}\nSELECT conv_id, role, turn, ratio FROM mr"
+    mcomb = "(ot || ' ' || nt)"
+    mwc = lambda t: f"len(list_filter(string_split_regex({t}, '{WS_CLASS}+'), lambda x: x <> ''))"
+    q["change_type"] = f"""{msg_ratio}
+SELECT conv_id, role, turn,
+       CASE WHEN regexp_matches({mcomb}, {_lit(LABEL_UNIT_RE)}) THEN 'substantive'
+            WHEN regexp_matches(lower({mcomb}), {_lit(LEGAL_RE)}) THEN 'technical'
+            WHEN ratio > 0.9 THEN 'editorial'
+            WHEN {mwc('ot')} <> {mwc('nt')} THEN 'formal' ELSE 'substantive' END AS change_type
+FROM mr"""
 
     q["inline_diff"] = f"""WITH {msgs}
 SELECT conv_id, role, turn, {_escape('old_text')} AS old_view, {_escape('new_text')} AS new_view FROM pairs"""

@@ -184,6 +184,26 @@ def q_semantic_score(spark, sf):
                     confidence(F.col("similarity")).alias("confidence"))
 
 
+def q_change_type(spark, sf):
+    """F4 on message revisions: labels, legal references, the character ratio and word counts."""
+    from ..operators.score import change_type
+    p = with_text_diff(_message_pairs(spark, sf), F.col("old_text"), F.col("new_text"), "k")
+    merged = F.concat(F.coalesce("old_text", F.lit("")), F.lit(" "), F.coalesce("new_text", F.lit("")))
+    return p.select("conv_id", "role", "turn",
+                    change_type(F.col("old_text"), F.col("new_text"), label_union(merged), F.col("k.ratio"))
+                    .alias("change_type"))
+
+
+def q_text_vectors(spark, sf):
+    """The term-frequency vector (long form, the token is the dimension) of each changed entry's
+    text, ``(new.text or old.text).strip()``."""
+    from ..operators.semantics import text_for_vector, tokens
+    ch = revision(spark, sf).changes.filter(F.col("change") == "changed")
+    t = ch.select("doc_id", "entry_idx", F.explode(tokens(text_for_vector(F.col("old_text"), F.col("new_text"))))
+                  .alias("token"))
+    return t.groupBy("doc_id", "entry_idx", "token").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def q_embedding_cosine(spark, sf):
     v = fixtures.vector_pairs(spark, sf)
     return v.select("a_id", "b_id", T.round_half_up(vector_cosine(F.col("a"), F.col("b")), 4).alias("cosine"))
@@ -304,6 +324,8 @@ def queries() -> dict[str, Query]:
         "text_cosine": q_text_cosine,
         "semantic_score": q_semantic_score,
         "embedding_cosine": q_embedding_cosine,
+        "change_type": q_change_type,
+        "text_vectors": q_text_vectors,
         "cluster_k": q_cluster_k,
         "score_changes": q_score_changes,
         "analyze_changes": q_analyze_changes,
