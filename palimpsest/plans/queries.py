@@ -125,9 +125,7 @@ def q_text_ratio(spark, sf):
 
 def q_table_diff(spark, sf):
     """Nested positional diff of each order's line table against its revision, in long form."""
-    old, new = fixtures.lineitem_revision(spark, sf)
-    pairs = old.select("doc_id", F.col("table").alias("old_table")).join(
-        new.select("doc_id", F.col("table").alias("new_table")), "doc_id")
+    pairs = fixtures.lineitem_revision_pairs(spark, sf)
     nested = pairs.select("doc_id", celldiff.nested_table_diff(F.col("old_table"), F.col("new_table")).alias("table_changes"))
     return celldiff.explode_nested(nested, ["doc_id"]).select(
         "doc_id", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "cell_type", "text", "old", "new")

@@ -123,6 +123,30 @@ def lineitem_revision(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
             _line_table(li.filter(F.col("l_suppkey") % 13 != 0), new_q))
 
 
+def lineitem_revision_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3 revised as ``(doc_id, old_table, new_table)`` from one scan and one aggregation: both tables
+    of an order are collected in the same ``groupBy`` (a dropped line is a null, which
+    ``collect_list`` skips), so no join is needed.  Orders whose new table has no non-empty cell (all
+    lines dropped) have no new table block and are left out, as in ``lineitem_revision``."""
+    li = read_table(spark, sf_dir, "lineitem")
+    keep = F.col("l_suppkey") % 13 != 0
+    new_q = F.when(F.col("l_partkey") % 7 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))
+
+    def cells(q):
+        return F.array(F.coalesce(F.col("l_linenumber").cast("string"), F.lit("")),
+                       F.coalesce(F.col("l_returnflag"), F.lit("")),
+                       F.coalesce(q.cast("decimal(18,2)").cast("string"), F.lit("")))
+    order = [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")]
+    old_row = F.struct(*order, cells(F.col("l_quantity")).alias("cells"))
+    new_row = F.when(keep, F.struct(*order, cells(new_q).alias("cells")))
+    g = li.groupBy(F.col("l_orderkey").cast("bigint").alias("doc_id")).agg(
+        F.array_sort(F.collect_list(old_row)).alias("o"), F.array_sort(F.collect_list(new_row)).alias("n"))
+    pairs = g.select("doc_id", F.transform("o", lambda r: r["cells"]).alias("old_table"),
+                     F.transform("n", lambda r: r["cells"]).alias("new_table"))
+    nonempty = lambda t: F.exists(t, lambda r: F.exists(r, lambda c: c != ""))
+    return pairs.filter(nonempty(F.col("old_table")) & nonempty(F.col("new_table")))
+
+
 def message_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4: each message against the previous message of the same role in the conversation."""
     from pyspark.sql import Window
