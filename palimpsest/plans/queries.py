@@ -20,7 +20,6 @@ from ..operators.score import confidence, score_bonus, semantic_score
 from ..operators.textdiff import strip_markup, with_text_diff
 from ..session import read_table
 from ..sources import fixtures
-from ..sources.lines import text_blocks
 from ..sources.routing import route_paths
 from .compare import Comparison
 
