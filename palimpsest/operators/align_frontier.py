@@ -92,8 +92,9 @@ def frontier_segments(docs: DataFrame, old_blocks: DataFrame, new_blocks: DataFr
     """Matches and gaps ``(doc_id, i, j, lo, ln, is_match)`` of every document in ``docs``
     (``doc_id, n_old, n_new``).
 
-    Per round three small reliable checkpoints: the active ranges, the block state of both sides
-    (one table with a ``side`` column) and the segments found in the round."""
+    Per round two reliable checkpoints: the segments found together with the next active ranges (one
+    table with a ``kind`` column), and the block state of both sides (one table with a ``side``
+    column)."""
     spark = docs.sparkSession
     ids = docs.select("doc_id", "n_old", "n_new")
     oa = (with_keys(old_blocks).join(ids.select("doc_id"), "doc_id", "left_semi")
@@ -168,10 +169,18 @@ def frontier_segments(docs: DataFrame, old_blocks: DataFrame, new_blocks: DataFr
         child_gaps = children.filter(~active).select(
             "doc_id", F.col("nalo").alias("i"), F.col("nblo").alias("j"), (F.col("nahi") - F.col("nalo")).alias("lo"),
             (F.col("nbhi") - F.col("nblo")).alias("ln"), F.lit(False).alias("is_match"))
-        found.append(cut_lineage(matches.unionByName(nohit_gap).unionByName(child_gaps)))
-        ranges = cut_lineage(children.filter(active).select(
-            "doc_id", F.col("nalo").alias("rid"), F.col("nalo").alias("alo"), F.col("nahi").alias("ahi"),
-            F.col("nblo").alias("blo"), F.col("nbhi").alias("bhi")))
+        # one reliable checkpoint per round holds both the segments found and the next active ranges
+        nxt = children.filter(active).select(
+            "doc_id", F.col("nalo").alias("i"), F.col("nblo").alias("j"), (F.col("nahi") - F.col("nalo")).alias("lo"),
+            (F.col("nbhi") - F.col("nblo")).alias("ln"), F.lit(False).alias("is_match"))
+        out_round = cut_lineage(matches.withColumn("kind", F.lit("seg"))
+                                .unionByName(nohit_gap.withColumn("kind", F.lit("seg")))
+                                .unionByName(child_gaps.withColumn("kind", F.lit("seg")))
+                                .unionByName(nxt.withColumn("kind", F.lit("range"))))
+        found.append(out_round.filter(F.col("kind") == "seg").drop("kind"))
+        ranges = out_round.filter(F.col("kind") == "range").select(
+            "doc_id", F.col("i").alias("rid"), F.col("i").alias("alo"), (F.col("i") + F.col("lo")).alias("ahi"),
+            F.col("j").alias("blo"), (F.col("j") + F.col("ln")).alias("bhi"))
         # relabel: a block keeps going only if it falls inside an active child range
         split = hit.select("doc_id", "rid", "mi", "mj", "k")
         cut = F.when(F.col("side") == "a", F.col("mi")).otherwise(F.col("mj"))
