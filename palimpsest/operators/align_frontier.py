@@ -27,7 +27,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark import StorageLevel
+from pyspark.sql import types as T
 
 from ..functions.keys import with_keys
 from ..functions.ranking import running_sum_within
@@ -80,6 +84,51 @@ def _seed_islands(m: DataFrame) -> DataFrame:
                                 (F.col("end_i") - F.col("i") + 1).alias("slen"))
 
 
+# Ranges with at most this many blocks (both sides) leave the loop and are finished in one Arrow pass.
+SMALL_RANGE = 4_000
+
+RANGE_SEG_TYPE = T.ArrayType(T.StructType([
+    T.StructField("i", T.LongType()), T.StructField("j", T.LongType()), T.StructField("lo", T.LongType()),
+    T.StructField("ln", T.LongType()), T.StructField("is_match", T.BooleanType())]))
+
+
+def range_segments(alo: int, blo: int, a: list, b: list, b_seed: list) -> list[dict]:
+    """Matches and gaps of one bounded range, identical to the whole-document recursion: difflib on the
+    range with its seed table limited to keys that are not popular in the *whole* new side (``b_seed``
+    carries that global flag), which is exactly what the loop does for big ranges."""
+    sm = SequenceMatcher(None, a, b, autojunk=False)
+    for key, seed in zip(b, b_seed):
+        if not seed:
+            sm.b2j.pop(key, None)
+    out = []
+    for tag, i1, i2, j1, j2 in sm.get_opcodes():
+        out.append({"i": alo + i1, "j": blo + j1, "lo": i2 - i1, "ln": j2 - j1, "is_match": tag == "equal"})
+    return out
+
+
+@F.pandas_udf(RANGE_SEG_TYPE)
+def _range_segments_udf(alo: pd.Series, blo: pd.Series, items: pd.Series) -> pd.Series:
+    res = []
+    for x0, y0, its in zip(alo, blo, items):
+        rows = sorted((r["side"], r["pos"], r["key"], r["seed"]) for r in its)
+        a = [k for side, _, k, _ in rows if side == "a"]
+        b = [k for side, _, k, _ in rows if side == "b"]
+        bs = [sd for side, _, _, sd in rows if side == "b"]
+        res.append(range_segments(int(x0), int(y0), a, b, bs))
+    return pd.Series(res)
+
+
+def _finish_small_ranges(small: DataFrame, state: DataFrame) -> DataFrame:
+    """One Arrow pass over all small ranges: their blocks are grouped per range (bounded by
+    ``SMALL_RANGE``) and aligned by ``range_segments``."""
+    blocks = state.join(small.select("doc_id", "rid"), ["doc_id", "rid"], "left_semi")
+    g = blocks.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("side", "pos", "key", "seed")).alias("items"))
+    g = g.join(small.select("doc_id", "rid", "alo", "blo"), ["doc_id", "rid"])
+    segs = g.select("doc_id", F.explode(_range_segments_udf.asNondeterministic()(
+        F.col("alo"), F.col("blo"), F.col("items"))).alias("s"))
+    return segs.select("doc_id", "s.*")
+
+
 def _keep(df: DataFrame, held: list) -> DataFrame:
     """Intermediates read several times inside one round: cached, released after the round."""
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -88,14 +137,15 @@ def _keep(df: DataFrame, held: list) -> DataFrame:
 
 
 def frontier_segments(docs: DataFrame, old_blocks: DataFrame, new_blocks: DataFrame,
-                      autojunk: bool = True, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+                      autojunk: bool = True, max_rounds: int = MAX_ROUNDS,
+                      small_range: int | None = None) -> DataFrame:
     """Matches and gaps ``(doc_id, i, j, lo, ln, is_match)`` of every document in ``docs``
     (``doc_id, n_old, n_new``).
 
     Per round two reliable checkpoints: the segments found together with the next active ranges (one
     table with a ``kind`` column), and the block state of both sides (one table with a ``side``
     column)."""
-    spark = docs.sparkSession
+    small_range = SMALL_RANGE if small_range is None else small_range
     ids = docs.select("doc_id", "n_old", "n_new")
     oa = (with_keys(old_blocks).join(ids.select("doc_id"), "doc_id", "left_semi")
           .select("doc_id", F.col("block_pos").cast("bigint").alias("pos"), F.col("key_hash").alias("key"),
@@ -115,6 +165,11 @@ def frontier_segments(docs: DataFrame, old_blocks: DataFrame, new_blocks: DataFr
                         .unionByName(nb.select("doc_id", "side", "pos", "key", "seed"))
                         .join(both.select("doc_id"), "doc_id", "left_semi").withColumn("rid", F.lit(0).cast("bigint")))
     rounds = 0
+    size0 = F.col("ahi") - F.col("alo") + F.col("bhi") - F.col("blo")
+    small_parts: list[DataFrame] = [ranges.filter(size0 <= small_range)]
+    small_state: list[DataFrame] = [state.join(small_parts[0].select("doc_id", "rid"), ["doc_id", "rid"], "left_semi")]
+    ranges = ranges.filter(size0 > small_range)
+    state = state.join(ranges.select("doc_id", "rid"), ["doc_id", "rid"], "left_semi")
     while not ranges.isEmpty():
         rounds += 1
         if rounds > max_rounds:
@@ -178,9 +233,12 @@ def frontier_segments(docs: DataFrame, old_blocks: DataFrame, new_blocks: DataFr
                                 .unionByName(child_gaps.withColumn("kind", F.lit("seg")))
                                 .unionByName(nxt.withColumn("kind", F.lit("range"))))
         found.append(out_round.filter(F.col("kind") == "seg").drop("kind"))
-        ranges = out_round.filter(F.col("kind") == "range").select(
+        all_ranges = out_round.filter(F.col("kind") == "range").select(
             "doc_id", F.col("i").alias("rid"), F.col("i").alias("alo"), (F.col("i") + F.col("lo")).alias("ahi"),
             F.col("j").alias("blo"), (F.col("j") + F.col("ln")).alias("bhi"))
+        size = F.col("ahi") - F.col("alo") + F.col("bhi") - F.col("blo")
+        ranges = all_ranges.filter(size > small_range)
+        small_parts.append(all_ranges.filter(size <= small_range))
         # relabel: a block keeps going only if it falls inside an active child range
         split = hit.select("doc_id", "rid", "mi", "mj", "k")
         cut = F.when(F.col("side") == "a", F.col("mi")).otherwise(F.col("mj"))
@@ -189,9 +247,13 @@ def frontier_segments(docs: DataFrame, old_blocks: DataFrame, new_blocks: DataFr
             .withColumn("rid", F.when(F.col("pos") < cut, F.col("rid"))
                         .when(F.col("pos") >= cut + F.col("k"), F.col("mi") + F.col("k")))
             .filter(F.col("rid").isNotNull()).drop("mi", "mj", "k")
-            .join(ranges.select("doc_id", "rid"), ["doc_id", "rid"], "left_semi"))
+            .join(all_ranges.select("doc_id", "rid"), ["doc_id", "rid"], "left_semi"))
+        small_state.append(state.join(small_parts[-1].select("doc_id", "rid"), ["doc_id", "rid"], "left_semi"))
+        state = state.join(ranges.select("doc_id", "rid"), ["doc_id", "rid"], "left_semi")
         for df in held:
             df.unpersist()
+    for sm_ranges, sm_state in zip(small_parts, small_state):
+        found.append(_finish_small_ranges(sm_ranges, sm_state))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

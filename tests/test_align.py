@@ -69,8 +69,12 @@ def run_entries(spark, old, new, max_udf_blocks):
     return {d: [x[1:] for x in sorted(v)] for d, v in got.items()}
 
 
-@pytest.mark.parametrize("route_bound", [10_000, 0])
-def test_entries_match_difflib(spark, route_bound):
+@pytest.mark.parametrize("route_bound,small_range", [(10_000, None), (0, None), (0, 0), (0, 12)])
+def test_entries_match_difflib(spark, monkeypatch, route_bound, small_range):
+    """Route 1; route 2 finished in the Arrow pass; route 2 loop only; route 2 loop + Arrow pass."""
+    import palimpsest.operators.align_frontier as AF
+    if small_range is not None:
+        monkeypatch.setattr(AF, "SMALL_RANGE", small_range)
     old, new = random_docs(7, 40, list("abcdefg"), 30)
     got = run_entries(spark, old, new, route_bound)
     for d in old:
@@ -78,8 +82,12 @@ def test_entries_match_difflib(spark, route_bound):
         assert got.get(d, []) == exp, d
 
 
-def test_frontier_matches_difflib_with_popular_elements(spark):
-    """Sequences of >= 200 elements with popular keys exercise the autojunk rule in route 2."""
+@pytest.mark.parametrize("small_range", [0, 150])
+def test_frontier_matches_difflib_with_popular_elements(spark, monkeypatch, small_range):
+    """Sequences of >= 200 elements with popular keys exercise the autojunk rule in route 2 (loop only,
+    and loop + Arrow pass with the global popular set)."""
+    import palimpsest.operators.align_frontier as AF
+    monkeypatch.setattr(AF, "SMALL_RANGE", small_range)
     old, new = random_docs(11, 6, list("abc") + [f"w{i}" for i in range(40)], 400)
     got = run_entries(spark, old, new, 0)
     for d in old:
