@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import host_quality, license_scan, pii, secrets
+from palimpsest.llm import (group_join, host_quality, importance, license_scan, line_templates, pii, secrets, source_mix,
+                            template_leaks, token_files)
 from palimpsest.llm.common import read_table, with_fields
 
 
@@ -15,6 +16,23 @@ def _fields(ddl: str) -> list[str]:
     return [f.split()[0] for f in ddl.split(", ")]
 
 
+def op1_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_join.join(read_table(spark, sf_dir, "documents"))
+
+
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", "source", source_mix.n_words(F.col("text")).alias("size"))
+    return source_mix.rounded(sized).select("doc_id", "size", "source_size", "target",
+                                            (F.col("copies") * F.col("size")).alias("taken"), "source")
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.scratch(spark)
+    token_files.write(read_table(spark, sf_dir, "documents"), path)
+    return token_files.digest(token_files.read(spark, path))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = secrets.train(docs)
@@ -27,6 +45,21 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                        ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"], ["doc_id"])
 
 
+def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = importance.resample(read_table(spark, sf_dir, "documents").select("doc_id", "text"),
+                               read_table(spark, sf_dir, "labels"))
+    return kept.select("doc_id", "importance.log_weight", "importance.gumbel_key", F.lit(True).alias("kept"))
+
+
+def op7_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_leaks.leaks(read_table(spark, sf_dir, "documents"),
+                                read_table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.report(read_table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return with_fields(docs, pii.scan(F.col("text")), _fields(pii.FIELDS), ["doc_id"])
@@ -39,9 +72,11 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_secret_scan": op4_secret_scan, "op5_license_scan": op5_license_scan, "op9_pii": op9_pii,
+    return {"op1_group_join": op1_group_join, "op2_source_mix": op2_source_mix, "op3_token_files": op3_token_files,
+            "op6_importance": op6_importance, "op7_template_leaks": op7_template_leaks,
+            "op8_line_templates": op8_line_templates, "op4_secret_scan": op4_secret_scan, "op5_license_scan": op5_license_scan, "op9_pii": op9_pii,
             "op10_host_quality": op10_host_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_group_join": group_join.SQL, "op8_line_templates": line_templates.SQL}
