@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.session import cut_lineage, read_table
 
 __all__ = ["cut_lineage", "read_table", "with_fields", "free_name", "utf8", "WordArrays", "word_arrays",
-           "mix64", "unit_interval", "components", "narrow_ids"]
+           "mix64", "unit_interval", "bounded_sample", "components", "narrow_ids"]
 
 
 def free_name(df: DataFrame, stem: str) -> str:
@@ -34,6 +34,14 @@ def unit_interval(*cols: Column) -> Column:
     return ((F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53)))
 
 
+def bounded_sample(df: DataFrame, rows: int, key: Column) -> DataFrame:
+    """At most ``rows`` rows, those with the smallest hash of ``key``; about twice as many meet to be sorted."""
+    n = df.count()
+    if n > rows:
+        df = df.where(unit_interval(key) <= 2 * rows / n)
+    return df.orderBy(F.xxhash64(key), key).limit(rows)
+
+
 # ---------------------------------------------------------------------------------- word arrays
 # Words are maximal runs of bytes outside x20 and x09-x0D; UTF-8 never has these bytes inside a
 # longer character, so bytes and code points give the same words.

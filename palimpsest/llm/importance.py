@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut_lineage, free_name, unit_interval, word_arrays
+from palimpsest.llm.common import bounded_sample, cut_lineage, free_name, unit_interval, word_arrays
 
 BUCKETS = 1 << 14
 LABELLED = 20_000
@@ -57,8 +57,8 @@ def _counts(texts: DataFrame) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
           labelled: int = LABELLED) -> np.ndarray:
     """Log ratio of every bucket's share in the target and in the raw text."""
-    good = (labels.where(F.col(label) == 1).select(F.col("doc_id").alias("_good")).where("_good IS NOT NULL").distinct()
-            .orderBy(F.xxhash64("_good"), "_good").limit(labelled))
+    good = bounded_sample(labels.where(F.col(label) == 1).select(F.col("doc_id").alias("_good"))
+                          .where("_good IS NOT NULL").distinct(), labelled, F.col("_good"))
     target = _counts(docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{doc_id}`").alias("i"))
                      .join(F.broadcast(good), F.col("i") == F.col("_good"), "left_semi").select("t"))
     if not target.any():

@@ -6,8 +6,8 @@ ordinary words (the sample's other words, in the cases that identifiers use, and
 identifiers join them).  A token of ``MIN_TOKEN`` or more characters whose log-likelihood ratio is
 above ``MIN_RATIO`` a character adds a span of kind ``random``.  The spans of the fixed patterns stay.
 
-Bounds: the models are fitted on ``SAMPLE_ROWS`` documents (those with the smallest hash of id and
-text) and collected as one table of character pairs; the scan covers every whole text, in place,
+Bounds: the models are fitted on ``SAMPLE_ROWS`` documents (those with the smallest hash of the
+id) and collected as one table of character pairs; the scan covers every whole text, in place,
 without a shuffle.
 
 Defined cases: a null or empty text has no spans; repeated rows are scanned one by one; an empty table
@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import bounded_sample
+
 # The base patterns, in the order in which spans that start together are listed.
 KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -95,8 +97,8 @@ def sample_counts(texts: list[str], counts: np.ndarray) -> None:
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Log-likelihood ratio (random against ordinary) of every character pair."""
-    some = (docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"), F.col(f"`{doc_id}`").alias("i"))
-            .orderBy(F.xxhash64("i", "t"), "i", "t").limit(rows).select("t"))
+    some = bounded_sample(docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"),
+                                      F.col(f"`{doc_id}`").alias("i")), rows, F.col("i")).select("t")
 
     def count(batches):
         counts = np.zeros((2, _N, _N))
