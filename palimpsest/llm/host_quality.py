@@ -144,12 +144,12 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: f
     counts = docs.select(F.col(f"`{host}`").alias("host"), measures(F.col(f"`{text}`")).alias("m"))
     failures = counts.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *[
         F.sum(c.cast("long")).alias(r) for r, c in _soft("m").items()])
-    verdicts = host_verdicts(failures, max_rate).withColumnRenamed("host", key)
+    verdicts = host_verdicts(failures, max_rate).select(F.struct("*").alias(key))
     own = docs.withColumn(name, measures(F.col(f"`{text}`")))
-    own = own.join(verdicts, F.col(f"`{host}`").eqNullSafe(F.col(key)), "left")
+    own = own.join(verdicts, F.col(f"`{host}`").eqNullSafe(F.col(f"{key}.host")), "left")
     broken = F.lit(False)
     for r, c in _soft(name).items():
-        broken = broken | (F.coalesce(F.col(f"bad_{r}"), F.lit(False)) & c)
+        broken = broken | (F.coalesce(F.col(f"{key}.bad_{r}"), F.lit(False)) & c)
     failed = _base_failed(name)
     return own.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(
         *[F.col(f"{name}.{m}").alias(m) for m in MEASURES], failed.alias("base_failed"),
