@@ -48,6 +48,9 @@ def bounded_sample(df: DataFrame, rows: int, key: Column) -> DataFrame:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_WORD = (~_SPACE).astype(np.uint8)
+_KIND = _WORD * 2  # 0 space, 1 letters, digits and whatever is not ASCII, 2 the rest
+_KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), 0x5F, *range(0x80, 0x100)]] = 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -96,18 +99,19 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordArrays:
-    """Words of several texts: 64-bit hash, byte span, and ``first[i]:first[i+1]`` as the words of text ``i``."""
+    """Words of several texts: 64-bit hash, byte span, and ``first[i]:first[i+1]`` as the words of text ``i``.
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool):
+    With ``punctuation`` a word also ends where letters and digits meet other characters.
+    """
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool, punctuation: bool = False):
         if lower:
             raw = _LOWER[raw]
-        word = ~_SPACE[raw]
-        cut = np.zeros(len(raw) + 1, bool)  # a text ends here, so no word goes on
-        cut[offsets] = True
-        begin = word.copy()
-        begin[1:] &= ~word[:-1] | cut[1:-1]
-        stop = word.copy()
-        stop[:-1] &= ~word[1:] | cut[1:-1]
+        kind = (_KIND if punctuation else _WORD)[raw]
+        change = np.zeros(len(raw) + 1, bool)  # another kind starts here, or another text
+        change[offsets] = True
+        change[1:-1] |= kind[1:] != kind[:-1]
+        begin, stop = change[:-1] & (kind > 0), change[1:] & (kind > 0)
         self.start, self.end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
         self.first = np.searchsorted(self.start, offsets)
         total = np.zeros(len(raw) + 1, np.uint64)
@@ -128,13 +132,13 @@ class WordArrays:
         return mix64(total), inside
 
 
-def word_arrays(texts: pa.Array, lower: bool):
+def word_arrays(texts: pa.Array, lower: bool, punctuation: bool = False):
     """Yields ``(position of the first text, number of texts, WordArrays)`` in bounded pieces."""
     raw, offsets = utf8(texts)
     i, n = 0, len(texts)
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _CHUNK, "right")) - 1)
-        yield i, j - i, WordArrays(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], lower)
+        yield i, j - i, WordArrays(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], lower, punctuation)
         i = j
 
 

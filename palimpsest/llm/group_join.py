@@ -68,15 +68,15 @@ def _class(tokens: np.ndarray) -> int:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, c) of every document; (token, seen) of tokens seen often by this task."""
+    """(doc_id, h, n, c) of every document; (token, seen) of tokens seen often by this task."""
     held, size, known = [], 0, set()
 
     def often():
         tokens, seen = np.unique(np.concatenate(held), return_counts=True)
         at = seen >= 4
         none = pa.nulls(int(at.sum()), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array(tokens[at].view(np.int64)), pa.array(seen[at])],
-                                          names=["doc_id", "n", "c", "token", "seen"])
+        return pa.RecordBatch.from_arrays([none] * 4 + [pa.array(tokens[at].view(np.int64)), pa.array(seen[at])],
+                                          names=["doc_id", "h", "n", "c", "token", "seen"])
 
     for batch in batches:
         n, c = [], []
@@ -91,8 +91,9 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield often()
                     held, size, known = [], 0, set()
         none = pa.nulls(len(n), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), none, none],
-                                         names=["doc_id", "n", "c", "token", "seen"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()),
+                                          pa.array(c, pa.int64()), none, none],
+                                         names=["doc_id", "h", "n", "c", "token", "seen"])
     if held:
         yield often()
 
@@ -174,12 +175,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFra
     return cut_lineage(rows.mapInArrow(_compare, "a long, b long"))
 
 
+def _h(text: str) -> Column:
+    return F.xxhash64(F.col(f"`{text}`"))
+
+
 def classes_and_roots(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``sets(doc_id, n, c)``, a row a document, and ``roots(c, component_id)``, a row a class with tokens."""
+    """``sets(doc_id, h, n, c)``, a row a document (h: hash of its text), and ``roots(c, root, component_id)``, a
+    row a class with tokens."""
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
                         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    measured = cut_lineage(texts.mapInArrow(_measure, "doc_id long, n long, c long, token long, seen long"))
-    sets = measured.where("n IS NOT NULL").select("doc_id", "n", "c")
+    measured = cut_lineage(docs.select(F.col(f"`{doc_id}`").cast("long"), F.coalesce(F.col(f"`{text}`"), F.lit("")), _h(text))
+                           .mapInArrow(_measure, "doc_id long, h long, n long, c long, token long, seen long"))
+    sets = measured.where("n IS NOT NULL").select("doc_id", "h", "n", "c")
     classes = cut_lineage(sets.where("n > 0").groupBy("c", "n").agg(F.min("doc_id").alias("rep")))
     often = (measured.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen"))
              .where(F.col("seen") >= OFTEN).orderBy(F.desc("seen"), "token").limit(OFTEN_MOST))
@@ -239,7 +246,7 @@ def classes_and_roots(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     by_root = (classes.join(joined.withColumnRenamed("node", "c"), "c", "left")
                .select("c", "rep", F.coalesce("root", "c").alias("root")))
     ids = by_root.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return sets, cut_lineage(by_root.join(ids, "root").select("c", "component_id"))
+    return sets, cut_lineage(by_root.join(ids, "root").select("c", "root", "component_id"))
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -251,23 +258,23 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one whose id is the component's.
-
-    Documents without words all stay, and so do those whose component has no id.  Of several rows with the
-    component's id one that has words stays.
+    """``docs`` with one document of each component: the one with its smallest id (of equal ids, the smallest
+    hash of the text; of equal rows, any).  Documents without words all stay.
     """
-    found = cut_lineage(join(docs, doc_id, text))
-    gone = (found.where("n_shingles > 0 AND component_id IS NOT NULL")
-            .where("NOT (doc_id <=> component_id)").select("doc_id").distinct())
-    twice = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    i, nth = free_name(docs, "_id"), free_name(docs, "_nth")
-    out = docs.join(gone.select(F.col("doc_id").alias(i)), F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(i)),
-                    "left_anti")
-    if twice.limit(1).count():
-        wordless = ~F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-        again = out.where(~wordless & F.col(f"`{doc_id}`").isNotNull()).withColumn(nth, F.row_number().over(
-            Window.partitionBy(f"`{doc_id}`").orderBy(F.xxhash64(F.col(f"`{text}`"))))).where(F.col(nth) == 1).drop(nth)
-        out = again.union(out.where(wordless | F.col(f"`{doc_id}`").isNull()))
+    sets, roots = classes_and_roots(docs, doc_id, text)
+    rows = cut_lineage(sets.where("n > 0").join(roots, "c").select("root", "doc_id", "h"))
+    head = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("head"))
+    marked = rows.join(head, "root").select("doc_id", "h", F.col("doc_id").eqNullSafe(F.col("head.doc_id"))
+                                            .alias("same_id"), (F.col("h") == F.col("head.h")).alias("same_text"))
+    i, nth = free_name(docs, "_gone"), free_name(docs, "_nth")
+    gone = marked.where("NOT (same_id AND same_text)").select(F.struct("doc_id", "h").alias(i)).distinct()
+    here = (F.col(f"`{doc_id}`").cast("long"), _h(text))
+    out = docs.join(gone, here[0].eqNullSafe(F.col(f"{i}.doc_id")) & (here[1] == F.col(f"{i}.h")), "left_anti")
+    if marked.where("same_id AND same_text").groupBy("doc_id", "h").count().where("count > 1").limit(1).count():
+        words = F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        once = Window.partitionBy(*here).orderBy(F.lit(0))
+        out = out.where(words).withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).drop(nth).union(
+            out.where(~words))
     return out
 
 

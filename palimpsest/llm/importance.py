@@ -1,8 +1,9 @@
 """Operator 6, quality classifier: importance resampling with hashed n-gram models and Gumbel top-k.
 
-Two bag-of-n-grams models over ``BUCKETS`` hashed words and word pairs: the target model from documents
-labelled good, the raw model from every whole document of the corpus.  A document's weight is the log of
-target over raw likelihood, summed over its n-grams.  Weight plus Gumbel noise (from the id and text, so
+Two bag-of-n-grams models over ``BUCKETS`` hashed tokens (words and runs of punctuation) and token pairs:
+the target model from documents labelled good, the raw model from every whole document of the corpus.  A
+document's weight is the mean log of target over raw likelihood of its n-grams, stated for ``TYPICAL``
+n-grams (a plain sum lets the models' small errors add up in long documents).  Weight plus Gumbel noise (from the id and text, so
 reruns agree) is its key, and the ``k`` largest keys are a sample without replacement by weight.
 
 ``k`` is the share of good labels times the number of documents, unless given.  The k-th key is found by
@@ -29,6 +30,7 @@ from palimpsest.llm.common import bounded_sample, cut_lineage, free_name, unit_i
 
 BUCKETS = 1 << 14
 LABELLED = 20_000
+TYPICAL = 100  # n-grams that a document's weight is stated for
 
 
 def _grams(words) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +45,7 @@ def _counts(texts: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for _, _, words in word_arrays(batch.column(0), lower=False):
+            for _, _, words in word_arrays(batch.column(0), lower=False, punctuation=True):
                 total += np.bincount(_grams(words)[0], minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
@@ -72,9 +74,10 @@ def weight(text: Column, model: np.ndarray) -> Column:
     """Log importance weight of a text."""
     def run(texts: pa.Array) -> pa.Array:
         out = np.zeros(len(texts))
-        for at, n, words in word_arrays(texts, lower=False):
+        for at, n, words in word_arrays(texts, lower=False, punctuation=True):
             buckets, owner = _grams(words)
-            out[at:at + n] = np.bincount(owner, weights=model[buckets], minlength=n)
+            total, size = np.bincount(owner, weights=model[buckets], minlength=n), np.bincount(owner, minlength=n)
+            out[at:at + n] = TYPICAL * total / np.maximum(size, 1)
         return pa.array(out)
 
     return F.arrow_udf(run, "double")(text)

@@ -90,6 +90,9 @@ def test_join_odd_tables(spark, odd_docs, no_docs):
     kept = group_join.dedup(odd_docs)
     assert kept.columns == odd_docs.columns and group_join.dedup(no_docs).count() == 0
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "5", "6", "7", "None"]
+    same = spark.createDataFrame([(1, "a b c d e f"), (1, "x y z x y z"), (2, "A b c d e f"), (None, "x y z x y z"), (1, "")],
+                                 "doc_id long, text string")
+    assert sorted(r.text for r in group_join.dedup(same).collect()) == ["", "a b c d e f", "x y z x y z"]
 
 
 def test_components_of_a_path_and_a_star(spark):
@@ -293,7 +296,7 @@ def test_line_templates(spark, odd_docs, no_docs):
     text = {r.doc_id: r.text for r in line_templates.dedup(d).collect()}
     assert text[9] == docs[-1][1] and "logged" not in text[0]
     assert line_templates.report(no_docs).count() == 0
-    assert sorted(str(r.n_lines) for r in line_templates.report(odd_docs).collect()) == ["0"] * 4 + ["1"] * 5
+    assert sorted(str(r.n_lines) for r in line_templates.report(odd_docs).collect()) == ["0"] * 4 + ["1"] * 6
     assert line_templates.dedup(odd_docs).columns == odd_docs.columns and line_templates.dedup(odd_docs).count() == 11
 
 
