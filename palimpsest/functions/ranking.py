@@ -1,76 +1,65 @@
 """Row numbers and running sums inside groups that may be huge.
 
-A window ``partitionBy(g).orderBy(o)`` runs each group in one task.  When one group can hold a large
-share of all rows (one oversized document), that task becomes the bottleneck.  ``rank_within`` and
-``running_sum_within`` do the same computation in three bounded steps:
-
-1. ``repartitionByRange`` on ``(g, o)``: rows are range-partitioned by sampled bounds, so a big group
-   spreads over many partitions, each holding a contiguous slice of the group's order;
-2. the window runs per ``(g, slice)`` (a slice is at most one partition);
-3. slice totals (one row per group and partition, a small table) give each slice its offset through a
-   window over slices, joined back on ``(g, slice)``.
-
-The partition id is stable under task retries (the range bounds are fixed in the shuffle dependency).
-A cheap partial-aggregate size check keeps the plain window when every group is small; the input is
-persisted first (memory and disk, recomputable) so the check does not evaluate it twice.
+A window ``partitionBy(g).orderBy(o)`` runs each group in one task.  Here a group is cut into slices by a
+*value* that never falls along the order (``floor(entry_idx / SLICE)``, say), so the cut is the same
+however the rows are partitioned or sampled:
+
+1. the window runs per ``(g, slice)``;
+2. slice totals, one row a slice, become offsets through a window over the slices of a group;
+3. the offsets join back on ``(g, slice)``, by which the rows are partitioned already.
+
+There is no size switch: small groups have one slice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+SLICE = 50_000  # positions in a slice
+
 
-# groups above this many rows take the range-partitioned route
-MAX_WINDOW_GROUP = 1_000_000
+def slice_of(position: Column | str, size: int = SLICE) -> Column:
+    """Slice of a position that counts up from 0."""
+    return F.floor((F.col(position) if isinstance(position, str) else position) / size)
 
 
-def _largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    m = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return int(m or 0)
+def _named(df: DataFrame, slices: Sequence[tuple[Column, bool]]) -> tuple[DataFrame, list[str], list[Column]]:
+    names = [f"_slice{i}" for i in range(len(slices))]
+    df = df.withColumns({n: c for n, (c, _) in zip(names, slices)})
+    return df, names, [F.col(n).asc() if up else F.col(n).desc() for n, (_, up) in zip(names, slices)]
 
 
-def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[Column], partitions: int | None):
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn("_slice", F.spark_partition_id())
+def _with_offsets(local: DataFrame, totals: DataFrame, keys: list[str], names: list[str], order: list[Column]) -> DataFrame:
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, *names, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    return local.join(offsets, [*keys, *names])
 
 
-def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "rank",
-                max_group: int = MAX_WINDOW_GROUP, partitions: int | None = None) -> DataFrame:
-    """``row_number() over (partition by keys order by order)`` without a single task per group.
-    ``order`` must be a total order inside each group."""
+def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], slices: Sequence[tuple[Column, bool]],
+                out: str = "rank") -> DataFrame:
+    """``row_number() over (partition by keys order by order)``.
+
+    ``order`` is a total order inside a group; ``slices`` are ``(column, ascending)`` without nulls, by which
+    the rows are ordered too, only coarser."""
     keys = list(keys)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)        # the size check and the ranking read it once
-    if _largest_group(df, keys) <= max_group:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    s = _sliced(df, keys, order, partitions)
-    local = s.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order)))
-    sizes = s.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offs = sizes.select(*keys, "_slice", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (local.join(broadcast_if_small(offs), [*keys, "_slice"])
-            .withColumn(out, (F.col("_local") + F.col("_off")).cast("int")).drop("_local", "_off", "_slice"))
-
-
-def running_sum_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, out: str,
-                       max_group: int = MAX_WINDOW_GROUP, partitions: int | None = None) -> DataFrame:
+    s, names, by = _named(df, slices)
+    local = s.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*order)))
+    totals = s.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_t"))
+    return (_with_offsets(local, totals, keys, names, by)
+            .withColumn(out, (F.col("_local") + F.col("_off")).cast("int")).drop("_local", "_off", *names))
+
+
+def running_sum_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], slices: Sequence[tuple[Column, bool]],
+                       value: str, out: str) -> DataFrame:
     """Exclusive running sum ``sum(value) over (partition by keys order by order rows unbounded
-    preceding .. 1 preceding)`` (0 for the first row)."""
+    preceding .. 1 preceding)`` (0 for the first row); ``slices`` as in ``rank_within``."""
     keys = list(keys)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)        # the size check and the sum read it once
-    if _largest_group(df, keys) <= max_group:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
-    s = _sliced(df, keys, order, partitions)
-    wl = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = s.withColumn("_local", F.coalesce(F.sum(value).over(wl), F.lit(0)))
-    tot = s.groupBy(*keys, "_slice").agg(F.sum(value).alias("_t"))
-    w = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(*keys, "_slice", F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_off"))
-    return (local.join(broadcast_if_small(offs), [*keys, "_slice"])
-            .withColumn(out, F.col("_local") + F.col("_off")).drop("_local", "_off", "_slice"))
+    s, names, by = _named(df, slices)
+    inside = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = s.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    totals = s.groupBy(*keys, *names).agg(F.sum(value).alias("_t"))
+    return (_with_offsets(local, totals, keys, names, by)
+            .withColumn(out, F.col("_local") + F.col("_off")).drop("_local", "_off", *names))

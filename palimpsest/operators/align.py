@@ -290,8 +290,9 @@ def rebuild_side(changes: DataFrame, side: str) -> DataFrame:
         kept = changes.filter(F.col("change").isin("unchanged", "changed", "deleted"))
         text = F.col("old_text")
     # positions are re-derived from the entry order, so the check covers ordering too
-    from ..functions.ranking import rank_within
-    r = rank_within(kept.select("doc_id", "entry_idx", text.alias("text")), ["doc_id"], [F.col("entry_idx")], out="rn")
+    from ..functions.ranking import rank_within, slice_of
+    r = rank_within(kept.select("doc_id", "entry_idx", text.alias("text")), ["doc_id"], [F.col("entry_idx")],
+                    [(slice_of("entry_idx"), True)], out="rn")
     return r.select("doc_id", (F.col("rn") - 1).cast("int").alias("block_pos"), "text")
 
 

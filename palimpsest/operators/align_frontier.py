@@ -34,7 +34,7 @@ from pyspark import StorageLevel
 from pyspark.sql import types as T
 
 from ..functions.keys import with_keys
-from ..functions.ranking import running_sum_within
+from ..functions.ranking import running_sum_within, slice_of
 from ..session import cut_lineage
 
 OPCODE_COLS = ["doc_id", "tag", "i1", "i2", "j1", "j2", "base"]
@@ -54,12 +54,12 @@ def _popular(nb: DataFrame, autojunk: bool) -> DataFrame:
 
 def _segments_to_opcodes(segments: DataFrame) -> DataFrame:
     """Segments ``(doc_id, i, j, lo, ln, is_match)`` in document order -> opcodes with ``base`` (the
-    running entry count, computed range-partitioned when a document has very many segments)."""
+    running entry count, in slices of old positions, so no document is one task)."""
     width = F.when(F.col("is_match"), F.col("lo")).otherwise(F.greatest("lo", "ln"))
     tag = (F.when(F.col("is_match"), "equal").when((F.col("lo") > 0) & (F.col("ln") > 0), "replace")
            .when(F.col("lo") > 0, "delete").otherwise("insert"))
     seg = segments.withColumn("w", width)
-    seg = running_sum_within(seg, ["doc_id"], [F.col("i"), F.col("j")], "w", "base")
+    seg = running_sum_within(seg, ["doc_id"], [F.col("i"), F.col("j")], [(slice_of("i"), True)], "w", "base")
     return seg.select(
         "doc_id", tag.alias("tag"), F.col("i").cast("int").alias("i1"), (F.col("i") + F.col("lo")).cast("int").alias("i2"),
         F.col("j").cast("int").alias("j1"), (F.col("j") + F.col("ln")).cast("int").alias("j2"),

@@ -13,14 +13,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import rank_within
+from ..functions.ranking import rank_within, slice_of
 from ..functions.text import html_escape, round_half_up
 
 # ---- fixed values ----------------------------------------------------------------------------------
 CHANGE_VALUES = ["added", "deleted", "changed", "unchanged"]
 TOC_LIMIT = 200
 NO_CHANGES = "No significant changes detected in the document."
-CHANGE_TYPES = ["substantive", "technical", "editorial", "formal", "undefined"]
+SENTENCE = ("The document contains ", " changes (out of ", " blocks), of which ", "% are of type <b>",
+            "</b>. Dominant AI labels: ", ".")
 # -----------------------------------------------------------------------------------------------------
 
 
@@ -29,14 +30,18 @@ def _counts(cat):
 
 
 def change_counts(changes: DataFrame, docs: DataFrame | None = None) -> DataFrame:
-    """H1 (+H9): per document the four counters (zero-filled) and ``total_blocks``.
+    """H1 (+H9): per document the four counters (zero-filled), ``unknown`` (no change value), ``other`` (an
+    unexpected one) and ``total_blocks``, their sum.
 
     With ``docs`` (``doc_id`` of every compared document) documents without entries get zeros."""
     ch = F.coalesce(F.col("change"), F.lit("unknown"))
-    agg = changes.groupBy("doc_id").agg(*_counts(ch), F.count(F.lit(1)).alias("total_blocks"))
+    rest = [F.sum((ch == "unknown").cast("bigint")).alias("unknown"),
+            F.sum((~ch.isin(*CHANGE_VALUES, "unknown")).cast("bigint")).alias("other")]
+    agg = changes.groupBy("doc_id").agg(*_counts(ch), *rest, F.count(F.lit(1)).alias("total_blocks"))
     if docs is None:
         return agg
-    return docs.select("doc_id").join(agg, "doc_id", "left").na.fill(0, CHANGE_VALUES + ["total_blocks"])
+    return docs.select("doc_id").join(agg, "doc_id", "left").na.fill(
+        0, CHANGE_VALUES + ["unknown", "other", "total_blocks"])
 
 
 def stats_by_type(changes: DataFrame) -> DataFrame:
@@ -54,11 +59,12 @@ def stats_rollup(changes: DataFrame) -> DataFrame:
 
 
 def top_changes(scored: DataFrame) -> DataFrame:
-    """Non-unchanged entries ranked by ``(score desc, entry_idx desc)`` per document (a full
-    ranking: range-partitioned when a document is very large, see ``functions.ranking``)."""
+    """Non-unchanged entries ranked by ``(score desc, entry_idx desc)`` per document (a full ranking,
+    in slices of equal score and near positions, see ``functions.ranking``)."""
     ch = scored.filter(F.col("change").isin("changed", "added", "deleted")).select(
         "doc_id", "entry_idx", "change", "score")
-    return rank_within(ch, ["doc_id"], [F.col("score").desc(), F.col("entry_idx").desc()])
+    return rank_within(ch, ["doc_id"], [F.col("score").desc(), F.col("entry_idx").desc()],
+                       [(F.col("score"), False), (slice_of("entry_idx"), False)])
 
 
 def toc(scored: DataFrame, limit: int | None = TOC_LIMIT) -> DataFrame:
@@ -107,28 +113,34 @@ def type_facets(changes: DataFrame) -> DataFrame:
     return first.select("doc_id", "type", "first_idx", F.row_number().over(w).alias("facet_pos"))
 
 
-def doc_summary(analyzed: DataFrame, docs: DataFrame | None = None) -> DataFrame:
-    """H4-H9: one sentence per document, from a single ``groupBy(doc_id)`` pass over the entries.
-
-    ``analyzed`` has ``doc_id, entry_idx, change, change_type, labels``.  The dominant type is the most
-    frequent ``change_type`` of changed entries (``''`` or null -> ``undefined``), ties to the one seen
-    first: the change-type vocabulary is fixed (F4), so per-type counts and first positions are
-    conditional aggregates and the winner is the greatest ``(count, -first_idx)`` in the row.  Label
-    sets are sets of label arrays (bounded by the small label vocabulary), flattened afterwards.  The
-    share is rounded to one decimal."""
+def _by_change_type(analyzed: DataFrame) -> DataFrame:
+    """``(doc_id, ctype, cnt, first_idx, label_sets)``; ``ctype`` is null for entries that did not change."""
     changed = F.col("change") == "changed"
-    ctype = F.coalesce(F.nullif(F.col("change_type"), F.lit("")), F.lit("undefined"))
-    aggs = [F.count(F.lit(1)).alias("total_blocks"),
-            F.sum(F.when(changed, 1).otherwise(0)).alias("n_changed"),
-            F.collect_set(F.when(changed, F.coalesce("labels", F.array().cast("array<string>")))).alias("label_sets")]
-    for t in CHANGE_TYPES:
-        hit = changed & (ctype == t)
-        aggs += [F.sum(F.when(hit, 1).otherwise(0)).alias(f"c_{t}"), F.min(F.when(hit, F.col("entry_idx"))).alias(f"f_{t}")]
-    g = analyzed.groupBy("doc_id").agg(*aggs)
-    best = F.greatest(*[F.when(F.col(f"c_{t}") > 0, F.struct(F.col(f"c_{t}").alias("cnt"), (-F.col(f"f_{t}")).alias("nf"),
-                                                         F.lit(t).alias("t")))
-                        for t in CHANGE_TYPES])
-    g = g.select("doc_id", "total_blocks", "n_changed", best.alias("best"),
+    ctype = F.when(changed, F.coalesce(F.nullif(F.col("change_type"), F.lit("")), F.lit("undefined")))
+    return analyzed.groupBy("doc_id", ctype.alias("ctype")).agg(
+        F.count(F.lit(1)).alias("cnt"), F.min("entry_idx").alias("first_idx"),
+        F.collect_set(F.when(changed, F.coalesce("labels", F.array().cast("array<string>")))).alias("label_sets"))
+
+
+def type_distribution(analyzed: DataFrame) -> DataFrame:
+    """H4: changed entries by change type, whatever the types are (``''`` or null -> ``undefined``)."""
+    return (_by_change_type(analyzed).filter(F.col("ctype").isNotNull())
+            .select("doc_id", F.col("ctype").alias("change_type"), F.col("cnt").alias("n_changes"), "first_idx"))
+
+
+def doc_summary(analyzed: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """H4-H9: one sentence per document.
+
+    ``analyzed`` has ``doc_id, entry_idx, change, change_type, labels``.  Entries are counted by document and
+    change type first (any type; partial aggregation), then the few rows of a document meet: the dominant
+    type is the greatest ``(count, -first_idx)``.  Label sets are sets of label arrays (bounded by the small
+    label vocabulary), flattened afterwards.  The share is rounded to one decimal."""
+    is_type = F.col("ctype").isNotNull()
+    g = _by_change_type(analyzed).groupBy("doc_id").agg(
+        F.sum("cnt").alias("total_blocks"), F.sum(F.when(is_type, F.col("cnt")).otherwise(0)).alias("n_changed"),
+        F.max(F.when(is_type, F.struct("cnt", (-F.col("first_idx")).alias("nf"), F.col("ctype").alias("t")))).alias("best"),
+        F.flatten(F.collect_list("label_sets")).alias("label_sets"))
+    g = g.select("doc_id", "total_blocks", "n_changed", "best",
                  F.array_join(F.array_sort(F.array_distinct(F.flatten("label_sets"))), ", ").alias("label_set"))
     out = g if docs is None else docs.select("doc_id").join(g, "doc_id", "left")
     out = out.select("doc_id", F.coalesce("total_blocks", F.lit(0)).alias("total_blocks"),
@@ -137,10 +149,9 @@ def doc_summary(analyzed: DataFrame, docs: DataFrame | None = None) -> DataFrame
     share = round_half_up(F.col("dominant_count") / F.col("n_changed") * F.lit(100.0), 1)
     labels = F.when(F.col("label_set") == "", F.lit("none")).otherwise(F.col("label_set"))
     sentence = F.when(F.col("n_changed") == 0, F.lit(NO_CHANGES)).otherwise(F.concat(
-        F.lit("The document contains "), F.col("n_changed").cast("string"),
-        F.lit(" changes (out of "), F.col("total_blocks").cast("string"), F.lit(" blocks), of which "),
-        share.cast("string"), F.lit("% are of type <b>"), F.col("dominant_type"),
-        F.lit("</b>. Dominant AI labels: "), labels, F.lit(".")))
+        F.lit(SENTENCE[0]), F.col("n_changed").cast("string"), F.lit(SENTENCE[1]), F.col("total_blocks").cast("string"),
+        F.lit(SENTENCE[2]), share.cast("string"), F.lit(SENTENCE[3]), F.col("dominant_type"), F.lit(SENTENCE[4]), labels,
+        F.lit(SENTENCE[5])))
     return out.select("doc_id", "n_changed", "total_blocks", "dominant_type",
                       F.when(F.col("n_changed") > 0, share).alias("dominant_share"),
                       F.when(F.col("n_changed") > 0, labels).alias("label_set"), sentence.alias("summary"))

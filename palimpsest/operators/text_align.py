@@ -1,18 +1,16 @@
-"""Alignment plan for text corpora (the reference's TXT path), one read of each snapshot.
+"""Alignment plan for text corpora (the reference's TXT path).
 
 Input per side: ``(doc_id, lines ARRAY<STRING>)``, the stripped non-empty lines of each document (one
-row per present document).  Plan:
-
-1. documents with more than ``max_udf_blocks`` lines on either side are split off (a size filter on
-   each side; the id list is small and broadcast behind a size check) and go to the distributed
-   route 2 over exploded blocks;
-2. for all other documents the two sides are full-outer-joined on ``doc_id`` **once**; keys are hashed
-   inside the row, identical documents are recognised by array equality, and only the key arrays of
-   differing documents go through the opcode UDF;
-3. opcodes are expanded to entries with ``explode(sequence(..))`` and each entry takes its text with
-   ``element_at`` from the arrays already in the row, so there is no payload join at all.
-
-The output has the schema of ``align.attach_payloads``.
+row per present document).  Two forms of one join on ``doc_id``:
+
+* narrow: each side sends ``(doc_id, n, keys)``, 8 bytes a line.  Status, opcodes, entry positions and counts
+  need nothing else, so no text is shuffled for them; counts are sums over a document's opcodes, without
+  expanding entries;
+* wide: each side sends its lines, for queries that return texts.  Entries take their text with
+  ``element_at`` from the arrays already in the row, so there is no payload join.
+
+Documents with more than ``max_udf_blocks`` lines on either side take the distributed route 2.  The output has
+the schema of ``align.attach_payloads``.
 """
 
 from __future__ import annotations
@@ -21,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import PAYLOAD_FIELDS, effective_type
-from ..session import broadcast_if_small, cut_lineage
+from ..session import cut_lineage
 from . import align
 
 
@@ -29,39 +27,33 @@ def _hash_lines(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.xxhash64(F.concat(F.lit("paragraph:"), x)))
 
 
-def _line_bound(df: DataFrame) -> Column:
-    """An upper bound of a document's line count: the source's native ``bound`` column when it has
-    one (no array evaluation), else the array size."""
-    return F.col("bound") if "bound" in df.columns else F.size("lines")
-
-
 def oversized_docs(old_lines: DataFrame, new_lines: DataFrame, max_udf_blocks: int) -> DataFrame | None:
     """Ids of documents with more than ``max_udf_blocks`` lines on either side, or ``None``.
 
-    Two stages: a cheap upper bound (a stored size column when the source has one, so this pass reads
-    narrow columns only) selects candidates; only when candidates exist are their exact line counts
-    computed.  The final list is written once (reliable checkpoint) and broadcast only behind a size
-    check."""
-    def candidates(bounded: bool):
-        f_old = (_line_bound(old_lines) if bounded else F.size("lines")) > max_udf_blocks
-        f_new = (_line_bound(new_lines) if bounded else F.size("lines")) > max_udf_blocks
-        return (old_lines.filter(f_old).select("doc_id")
-                .unionByName(new_lines.filter(f_new).select("doc_id")).distinct())
-    has_bound = "bound" in old_lines.columns and "bound" in new_lines.columns
-    if has_bound:
-        cand = candidates(True)
-        if cand.limit(1).count() == 0:
-            return None
-        cand = broadcast_if_small(cut_lineage(cand))
-        ol = old_lines.join(cand, "doc_id", "left_semi")
-        nl = new_lines.join(cand, "doc_id", "left_semi")
-        big = (ol.filter(F.size("lines") > max_udf_blocks).select("doc_id")
-               .unionByName(nl.filter(F.size("lines") > max_udf_blocks).select("doc_id")).distinct())
-    else:
-        big = candidates(False)
-    if big.limit(1).count() == 0:
-        return None
-    return broadcast_if_small(cut_lineage(big))
+    A side's ``bound`` column (an upper bound of the number of lines) is looked at first, so only texts that
+    may be too long are split for it."""
+    def long(df: DataFrame) -> DataFrame:
+        if "bound" in df.columns:
+            df = df.filter(F.col("bound") > max_udf_blocks)
+        return df.filter(F.size("lines") > max_udf_blocks).select("doc_id")
+    big = long(old_lines).unionByName(long(new_lines)).distinct()
+    return None if big.limit(1).count() == 0 else cut_lineage(big)
+
+
+def narrow_pairs(old_lines: DataFrame, new_lines: DataFrame, max_udf_blocks: int = align.MAX_UDF_BLOCKS) -> DataFrame:
+    """Doc-level full outer join of keys: ``doc_id, in_old, in_new, n_old, n_new, old_keys, new_keys, same, route``."""
+    o = align.text_doc_keys(old_lines).select("doc_id", F.col("n").alias("n_old"), F.col("keys").alias("old_keys"),
+                                              F.lit(True).alias("in_old"))
+    n = align.text_doc_keys(new_lines).select("doc_id", F.col("n").alias("n_new"), F.col("keys").alias("new_keys"),
+                                              F.lit(True).alias("in_new"))
+    empty = F.array().cast("array<bigint>")
+    return o.join(n, "doc_id", "full_outer").select(
+        "doc_id", F.coalesce("in_old", F.lit(False)).alias("in_old"), F.coalesce("in_new", F.lit(False)).alias("in_new"),
+        F.coalesce("n_old", F.lit(0)).cast("bigint").alias("n_old"), F.coalesce("n_new", F.lit(0)).cast("bigint").alias("n_new"),
+        "old_keys", "new_keys",
+        (F.coalesce("old_keys", empty) == F.coalesce("new_keys", empty)).alias("same"),
+        F.when(F.greatest(F.coalesce("n_old", F.lit(0)), F.coalesce("n_new", F.lit(0))) > max_udf_blocks, 2)
+        .otherwise(1).alias("route"))
 
 
 def text_pairs(old_lines: DataFrame, new_lines: DataFrame, big: DataFrame | None) -> DataFrame:
@@ -82,37 +74,81 @@ def text_pairs(old_lines: DataFrame, new_lines: DataFrame, big: DataFrame | None
                     (F.coalesce("old_lines", empty) == F.coalesce("new_lines", empty)).alias("same"))
 
 
-def _status_cols(route: int) -> list[Column]:
-    st = (F.when(~F.col("in_new"), "deleted").when(~F.col("in_old"), "added")
-          .when(F.col("same"), "unchanged").otherwise("changed"))
-    return ["doc_id", "in_old", "in_new", "n_old", "n_new", F.lit(route).alias("route"), st.alias("status")]
-
-
 def text_status(old_lines: DataFrame, new_lines: DataFrame, max_udf_blocks: int = align.MAX_UDF_BLOCKS) -> DataFrame:
     """C1/A10 for text corpora (same columns as ``align.doc_status``)."""
-    big = oversized_docs(old_lines, new_lines, max_udf_blocks)
-    small = text_pairs(old_lines, new_lines, big).select(*_status_cols(1))
-    if big is None:
-        return small
-    large = text_pairs(old_lines.join(big, "doc_id", "left_semi"), new_lines.join(big, "doc_id", "left_semi"),
-                       None).select(*_status_cols(2))
-    return small.unionByName(large)
+    status = (F.when(~F.col("in_new"), "deleted").when(~F.col("in_old"), "added")
+              .when(F.col("same"), "unchanged").otherwise("changed"))
+    return narrow_pairs(old_lines, new_lines, max_udf_blocks).select(
+        "doc_id", "in_old", "in_new", "n_old", "n_new", "route", status.alias("status"))
 
 
-def _pair_opcodes(pairs: DataFrame, autojunk: bool) -> Column:
+def _pair_opcodes(autojunk: bool, old_keys: Column, new_keys: Column) -> Column:
     differs = (F.col("n_old") > 0) & (F.col("n_new") > 0) & ~F.col("same")
-    udf = align.opcode_udf(autojunk)(F.when(differs, _hash_lines(F.col("old_lines"))),
-                                     F.when(differs, _hash_lines(F.col("new_lines"))))
+    udf = align.opcode_udf(autojunk)(F.when(differs, old_keys), F.when(differs, new_keys))
     return (F.when(F.col("n_new") == 0, align._one_opcode("delete", F.col("n_old"), F.lit(0)))
             .when(F.col("n_old") == 0, align._one_opcode("insert", F.lit(0), F.col("n_new")))
             .when(~differs, align._one_opcode("equal", F.col("n_old"), F.col("n_new")))
             .otherwise(udf))
 
 
+def narrow_opcodes(old_lines: DataFrame, new_lines: DataFrame, autojunk: bool = True,
+                   max_udf_blocks: int = align.MAX_UDF_BLOCKS) -> DataFrame:
+    """``(doc_id, ops)`` of every document of route 1; documents without lines have no opcodes."""
+    p = narrow_pairs(old_lines, new_lines, max_udf_blocks).filter("route = 1")
+    return p.select("doc_id", F.when(F.col("n_old") + F.col("n_new") > 0, _pair_opcodes(
+        autojunk, F.col("old_keys"), F.col("new_keys"))).alias("ops"))
+
+
+def _long_documents(old_lines: DataFrame, new_lines: DataFrame, big: DataFrame, autojunk: bool, payload: bool) -> DataFrame:
+    from ..sources.lines import lines_blocks
+    ol = old_lines.join(big, "doc_id", "left_semi")
+    nl = new_lines.join(big, "doc_id", "left_semi")
+    return align.align_blocks(ol.select("doc_id"), nl.select("doc_id"), lines_blocks(ol), lines_blocks(nl),
+                              autojunk, max_udf_blocks=0, with_payload=payload)
+
+
+def text_positions(old_lines: DataFrame, new_lines: DataFrame, autojunk: bool = True,
+                   max_udf_blocks: int = align.MAX_UDF_BLOCKS) -> DataFrame:
+    """Entries without their texts: ``doc_id, entry_idx, change, old_pos, new_pos``."""
+    ops = narrow_opcodes(old_lines, new_lines, autojunk, max_udf_blocks)
+    cols = ["doc_id", "entry_idx", "change", "old_pos", "new_pos"]
+    out = align.expand_opcodes(ops.select("doc_id", F.explode("ops").alias("op")).select("doc_id", "op.*")).select(*cols)
+    big = oversized_docs(old_lines, new_lines, max_udf_blocks)
+    if big is None:
+        return out
+    return out.unionByName(_long_documents(old_lines, new_lines, big, autojunk, False).select(*cols))
+
+
+def text_counts(old_lines: DataFrame, new_lines: DataFrame, autojunk: bool = True,
+                max_udf_blocks: int = align.MAX_UDF_BLOCKS) -> DataFrame:
+    """H1 of every document: ``doc_id, added, deleted, changed, unchanged, total_blocks``."""
+    def total(width) -> Column:
+        return F.coalesce(F.aggregate("ops", F.lit(0).cast("bigint"), lambda acc, o: acc + width(o)), F.lit(0).cast("bigint"))
+    lo, ln = (lambda o: o["i2"] - o["i1"]), (lambda o: o["j2"] - o["j1"])
+    equal = lambda o: o["tag"] == "equal"
+    counts = {
+        "added": total(lambda o: F.when(equal(o), 0).otherwise(F.greatest(ln(o) - lo(o), F.lit(0)))),
+        "deleted": total(lambda o: F.when(equal(o), 0).otherwise(F.greatest(lo(o) - ln(o), F.lit(0)))),
+        "changed": total(lambda o: F.when(equal(o), 0).otherwise(F.least(lo(o), ln(o)))),
+        "unchanged": total(lambda o: F.when(equal(o), lo(o)).otherwise(0)),
+        "total_blocks": total(lambda o: F.greatest(lo(o), ln(o))),
+    }
+    out = narrow_opcodes(old_lines, new_lines, autojunk, max_udf_blocks).select(
+        "doc_id", *[c.alias(k) for k, c in counts.items()])
+    big = oversized_docs(old_lines, new_lines, max_udf_blocks)
+    if big is None:
+        return out
+    long = _long_documents(old_lines, new_lines, big, autojunk, False)
+    return out.unionByName(long.groupBy("doc_id").agg(
+        *[F.sum((F.col("change") == k).cast("bigint")).alias(k) for k in list(counts)[:4]],
+        F.count(F.lit(1)).alias("total_blocks")))
+
+
 def text_entries(pairs: DataFrame, autojunk: bool = True) -> DataFrame:
     """Route-1 entries with payload taken from the row's own line arrays."""
     p = pairs.filter(F.col("n_old") + F.col("n_new") > 0)
-    ops = p.select("doc_id", "old_lines", "new_lines", F.explode(_pair_opcodes(p, autojunk)).alias("op"))
+    ops = p.select("doc_id", "old_lines", "new_lines", F.explode(_pair_opcodes(
+        autojunk, _hash_lines(F.col("old_lines")), _hash_lines(F.col("new_lines")))).alias("op"))
     ops = ops.select("doc_id", "old_lines", "new_lines", "op.*")
     lo = F.col("i2") - F.col("i1")
     ln = F.col("j2") - F.col("j1")
@@ -156,9 +192,4 @@ def text_changes(old_lines: DataFrame, new_lines: DataFrame, autojunk: bool = Tr
     r1 = text_entries(text_pairs(old_lines, new_lines, big), autojunk)
     if big is None:
         return r1
-    from ..sources.lines import lines_blocks
-    ol = old_lines.join(big, "doc_id", "left_semi")
-    nl = new_lines.join(big, "doc_id", "left_semi")
-    r2 = align.align_blocks(ol.select("doc_id"), nl.select("doc_id"), lines_blocks(ol), lines_blocks(nl),
-                            autojunk, max_udf_blocks=0)
-    return r1.unionByName(r2.select(*r1.columns))
+    return r1.unionByName(_long_documents(old_lines, new_lines, big, autojunk, True).select(*r1.columns))

@@ -1,19 +1,16 @@
-"""D1 + E7 (+ G3 counts): character-level diff of changed text pairs ->
-``struct(ratio, inline_html, dot, norm_old, norm_new)``.
-
-One ``SequenceMatcher`` pass per pair gives both the similarity ratio and the ``<del>/<ins>`` markup,
-so the opcodes are computed once (the reference computes the ratio up to three times per change).
-The same pass counts the pair's lower-cased whitespace tokens, so the term-frequency cosine of a
-changed pair needs no second read of the pairs and no token shuffle (the long-form
-``semantics.tf_cosine`` is the stand-alone operator for arbitrary pair tables).
+"""D1 + E7 (+ G3 counts): character-level diff of changed text pairs -> ``struct(ratio, inline_html[, similarity])``.
+
+The Arrow kernel returns only the matching blocks of a pair, ``array<struct<a,b,n>>`` in order.  The ratio
+(twice the matched length over both lengths) and the ``<del>/<ins>`` markup are column expressions over the
+blocks, so a query that never reads the markup never builds it.  Token counts for the term-frequency cosine
+come from a second, separate kernel that runs only when asked for.
+
 Native short-circuits keep most rows out of Python: equal texts (ratio 1.0, markup = escaped text),
-both empty (1.0) and one side empty (0.0, markup = one tag).  Only the two strings of a pair cross the
-Arrow boundary.
+both empty (1.0) and one side empty (0.0, markup = one tag).
 """
 
 from __future__ import annotations
 
-import html
 from collections import Counter
 from difflib import SequenceMatcher
 
@@ -24,13 +21,8 @@ from pyspark.sql import types as T
 
 from ..functions.text import html_escape
 
-KERNEL_TYPE = T.StructType([
-    T.StructField("ratio", T.DoubleType()),
-    T.StructField("inline_html", T.StringType()),
-    T.StructField("dot", T.LongType()),
-    T.StructField("norm_old", T.LongType()),
-    T.StructField("norm_new", T.LongType()),
-])
+BLOCKS_TYPE = "array<struct<a:int,b:int,n:int>>"
+TOKENS_TYPE = T.StructType([T.StructField(c, T.LongType()) for c in ("dot", "norm_old", "norm_new")])
 
 
 def token_products(a: str, b: str) -> tuple[int, int, int]:
@@ -41,87 +33,90 @@ def token_products(a: str, b: str) -> tuple[int, int, int]:
     return dot, sum(v * v for v in ca.values()), sum(v * v for v in cb.values())
 
 
-def inline_and_ratio(a: str, b: str, autojunk: bool = True) -> tuple[float, str]:
-    sm = SequenceMatcher(None, a, b, autojunk=autojunk)
-    parts = []
-    matched = 0
-    for tag, i1, i2, j1, j2 in sm.get_opcodes():
-        if tag == "equal":
-            matched += i2 - i1
-            parts.append(html.escape(a[i1:i2]))
-            continue
-        if i2 > i1:
-            parts.append("<del>" + html.escape(a[i1:i2]) + "</del>")
-        if j2 > j1:
-            parts.append("<ins>" + html.escape(b[j1:j2]) + "</ins>")
-    total = len(a) + len(b)
-    ratio = 2.0 * matched / total if total else 1.0
-    return ratio, "".join(parts)
-
-
-def _make_kernel(autojunk: bool):
-    @F.pandas_udf(KERNEL_TYPE)
-    def text_kernel(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        ratios, marks, dots, nas, nbs = [], [], [], [], []
-        for x, y in zip(a, b):
-            if x is None or y is None:
-                ratios.append(None)
-                marks.append(None)
-                dots.append(None)
-                nas.append(None)
-                nbs.append(None)
-                continue
-            r, m = inline_and_ratio(x, y, autojunk)
-            d, na, nb = token_products(x, y)
-            ratios.append(r)
-            marks.append(m)
-            dots.append(d)
-            nas.append(na)
-            nbs.append(nb)
-        return pd.DataFrame({"ratio": ratios, "inline_html": marks, "dot": pd.array(dots, dtype="Int64"),
-                             "norm_old": pd.array(nas, dtype="Int64"), "norm_new": pd.array(nbs, dtype="Int64")})
-    return text_kernel.asNondeterministic()
-
-
-_KERNELS: dict[bool, object] = {}
-
-
-def kernel(autojunk: bool = True):
+def matching_blocks(a: str, b: str, autojunk: bool = True) -> list[tuple[int, int, int]]:
+    """Runs of equal characters ``(start in a, start in b, length)``, in order."""
+    return [tuple(m) for m in SequenceMatcher(None, a, b, autojunk=autojunk).get_matching_blocks() if m.size]
+
+
+def _make_kernels(autojunk: bool):
+    @F.pandas_udf(BLOCKS_TYPE)
+    def blocks(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else
+                          [dict(zip("abn", m)) for m in matching_blocks(x, y, autojunk)] for x, y in zip(a, b)])
+
+    @F.pandas_udf(TOKENS_TYPE)
+    def products(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = [(None, None, None) if x is None or y is None else token_products(x, y) for x, y in zip(a, b)]
+        return pd.DataFrame({c: pd.array([r[i] for r in rows], dtype="Int64") for i, c in enumerate(TOKENS_TYPE.names)})
+
+    return blocks.asNondeterministic(), products.asNondeterministic()
+
+
+_KERNELS: dict[bool, tuple] = {}
+
+
+def kernels(autojunk: bool = True):
     if autojunk not in _KERNELS:
-        _KERNELS[autojunk] = _make_kernel(autojunk)
+        _KERNELS[autojunk] = _make_kernels(autojunk)
     return _KERNELS[autojunk]
 
 
+def _tagged(tag: str, text: Column) -> Column:
+    return F.when(F.length(text) > 0, F.concat(F.lit(f"<{tag}>"), html_escape(text), F.lit(f"</{tag}>"))).otherwise("")
+
+
+def _cut(text: Column, start: Column, stop: Column) -> Column:
+    return text.substr(start + 1, stop - start)
+
+
+def blocks_ratio(blocks: Column, a: Column, b: Column) -> Column:
+    """E7 from the blocks of two texts of which one at least is not empty."""
+    matched = F.aggregate(blocks, F.lit(0), lambda total, m: total + m["n"])
+    return F.lit(2.0) * matched / (F.length(a) + F.length(b))
+
+
+def blocks_markup(blocks: Column, a: Column, b: Column) -> Column:
+    """D1 from the blocks: before each block what only one side has, then the block; an empty block at the
+    ends of both texts closes the list."""
+    end = F.struct(F.length(a).alias("a"), F.length(b).alias("b"), F.lit(0).alias("n"))
+    start = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("n"))
+    before, after = F.concat(F.array(start), blocks), F.concat(blocks, F.array(end))
+    parts = F.zip_with(before, after, lambda p, m: F.concat(
+        _tagged("del", _cut(a, p["a"] + p["n"], m["a"])), _tagged("ins", _cut(b, p["b"] + p["n"], m["b"])),
+        html_escape(_cut(a, m["a"], m["a"] + m["n"]))))
+    return F.array_join(parts, "")
+
+
 def with_text_diff(df: DataFrame, old_text: Column, new_text: Column, out: str = "diff", autojunk: bool = True,
                    with_tokens: bool = False) -> DataFrame:
     """Adds ``out = struct(ratio, inline_html[, similarity])`` for two strings (nulls read as ``""``).
 
-    The kernel UDF is evaluated exactly once per row into a helper column (it is marked
-    non-deterministic, so Catalyst neither copies it into pushed-down filters nor merges repeated
-    references; every field is read from the helper column).  Rows that the native short-circuits
-    settle pass nulls and are skipped in Python.  With ``with_tokens`` every pair with two non-empty
-    sides goes through the kernel, which then also yields the term-frequency cosine."""
+    Each kernel is evaluated once per row into a helper column (marked non-deterministic, so Catalyst
+    neither copies it into pushed-down filters nor merges references).  Rows that the native short-circuits
+    settle pass nulls and are skipped in Python."""
     a = F.coalesce(old_text, F.lit(""))
     b = F.coalesce(new_text, F.lit(""))
     nonempty = (F.length(a) > 0) & (F.length(b) > 0)
-    needs_kernel = nonempty if with_tokens else (nonempty & (a != b))
-    raw = f"_{out}_kernel"
-    d = df.withColumn(raw, kernel(autojunk)(F.when(needs_kernel, a), F.when(needs_kernel, b)))
+    blocks, products = kernels(autojunk)
+    raw, tok = f"_{out}_blocks", f"_{out}_tokens"
+    needs = nonempty & (a != b)
+    d = df.withColumn(raw, blocks(F.when(needs, a), F.when(needs, b)))
+    if with_tokens:
+        d = d.withColumn(tok, products(F.when(nonempty, a), F.when(nonempty, b)))
     k = F.col(raw)
     ratio = (F.when(a == b, F.lit(1.0))
-             .when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0))
-             .otherwise(k["ratio"]))
+             .when(~nonempty, F.lit(0.0))
+             .otherwise(blocks_ratio(k, a, b)))
     inline = (F.when(a == b, html_escape(a))
-              .when(F.length(a) == 0, F.concat(F.lit("<ins>"), html_escape(b), F.lit("</ins>")))
-              .when(F.length(b) == 0, F.concat(F.lit("<del>"), html_escape(a), F.lit("</del>")))
-              .otherwise(k["inline_html"]))
+              .when(~nonempty, F.concat(_tagged("del", a), _tagged("ins", b)))
+              .otherwise(blocks_markup(k, a, b)))
     fields = [ratio.alias("ratio"), inline.alias("inline_html")]
     if with_tokens:
-        na, nb = k["norm_old"], k["norm_new"]
+        na, nb = F.col(f"{tok}.norm_old"), F.col(f"{tok}.norm_new")
         sim = F.when(F.coalesce(na, F.lit(0)) * F.coalesce(nb, F.lit(0)) == 0, F.lit(0.0)) \
-            .otherwise(k["dot"].cast("double") / F.sqrt((na * nb).cast("double")))
+            .otherwise(F.col(f"{tok}.dot").cast("double") / F.sqrt((na * nb).cast("double")))
         fields.append(sim.alias("similarity"))
-    return d.withColumn(out, F.struct(*fields)).drop(raw)
+    return d.withColumn(out, F.struct(*fields)).drop(raw, tok)
 
 
 def strip_markup(inline: Column, keep: str) -> Column:

@@ -59,7 +59,7 @@ class Comparison:
     @property
     def entries(self) -> DataFrame:
         if self.text_mode:
-            return self.changes.select("doc_id", "entry_idx", "change", "old_pos", "new_pos")
+            return text_align.text_positions(self.old_lines, self.new_lines, self.autojunk, self.max_udf_blocks)
         return align.align_blocks(self.old_docs, self.new_docs, self.old_blocks, self.new_blocks,
                                   self.autojunk, self.max_udf_blocks, with_payload=False)
 
@@ -129,9 +129,16 @@ class Comparison:
         return (self.old_docs.select("doc_id").unionByName(self.new_docs.select("doc_id")).distinct())
 
     def change_counts(self) -> DataFrame:
+        if self.text_mode:  # the opcodes hold the counts, and their join holds every document
+            none = F.lit(0).cast("bigint")
+            return text_align.text_counts(self.old_lines, self.new_lines, self.autojunk, self.max_udf_blocks).select(
+                "doc_id", *report.CHANGE_VALUES, none.alias("unknown"), none.alias("other"), "total_blocks")
         return report.change_counts(self.entries, self.manifest_ids())
 
     def stats_by_type(self) -> DataFrame:
+        if self.text_mode:  # all blocks of a text are paragraphs
+            return self.change_counts().filter("total_blocks > 0").select(
+                "doc_id", F.lit("paragraph").alias("type"), *report.CHANGE_VALUES)
         return report.stats_by_type(self.changes)
 
     def toc(self, limit: int | None = report.TOC_LIMIT) -> DataFrame:

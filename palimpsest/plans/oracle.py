@@ -11,7 +11,7 @@ from __future__ import annotations
 from ..functions.text import (LABEL_UNIT_RE, LEGAL_RE, NUMBER_RE, SCORE_UNIT_RE_RE2, WS_CHARS, WS_CLASS,
                               YEAR_RE, DIGIT_RE)
 from ..sources import fixtures as V
-from ..sources.routing import NAME_RE, PATH_RE, READERS, SUFFIX_RE, UNSUPPORTED
+from ..sources.routing import READERS, UNSUPPORTED
 
 
 def _lit(s: str) -> str:
@@ -37,9 +37,9 @@ def _revision_ctes() -> str:
               f"ELSE [x] END")
     return f"""
 dl AS (SELECT doc_id, {_kept_lines('text')} AS kl FROM documents),
-old_docs AS (SELECT doc_id, kl FROM dl WHERE doc_id % {V.V1_OLD_DROP} <> 0),
+old_docs AS (SELECT doc_id, kl FROM dl WHERE doc_id % 19 <> 0),
 new_docs AS (SELECT doc_id, flatten(list_transform(kl, lambda x, i: {revise})) AS kl
-             FROM dl WHERE doc_id % {V.V1_NEW_DROP} <> 0),
+             FROM dl WHERE doc_id % 17 <> 0 OR doc_id % 19 = 0),
 old_blocks AS (SELECT doc_id, CAST(generate_subscripts(kl, 1) - 1 AS INTEGER) AS block_pos, unnest(kl) AS text
                FROM old_docs),
 new_blocks AS (SELECT doc_id, CAST(generate_subscripts(kl, 1) - 1 AS INTEGER) AS block_pos, unnest(kl) AS text
@@ -288,8 +288,11 @@ FROM cells GROUP BY doc_id"""
 
     readers = " ".join(f"WHEN {_lit(k)} THEN {_lit(v)}" for k, v in READERS.items())
     q["route_files"] = f"""WITH p AS (
-  SELECT page_id, lower(regexp_extract(regexp_extract(regexp_extract(url, {_lit(PATH_RE)}, 1), {_lit(NAME_RE)}, 1),
-                                       {_lit(SUFFIX_RE)}, 1)) AS ext FROM pages)
+  SELECT page_id, path, lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^.+(\\.[^.]+)$', 1)) AS ext
+  FROM (SELECT page_id, CASE WHEN p LIKE '%://%' THEN regexp_extract(p, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) ELSE p END AS path
+        FROM (SELECT page_id, url AS p FROM pages
+              UNION ALL SELECT page_id, replace(url, '://', '/') || CASE page_id % 7 WHEN 0 THEN ' #3.docx' WHEN 1 THEN '.DOC'
+                WHEN 2 THEN '?x.txt' WHEN 3 THEN '.xlsx' WHEN 4 THEN '/.xls' WHEN 5 THEN '.XLS' ELSE '.pdf' END FROM pages)))
 SELECT page_id, ext, CASE WHEN ext = '' THEN NULL ELSE CASE ext {readers} END END AS reader,
        CASE WHEN (CASE WHEN ext = '' THEN NULL ELSE CASE ext {readers} END END) IS NULL
             THEN {_lit(UNSUPPORTED)} || ext END AS reason
@@ -306,7 +309,7 @@ FROM p"""
 ids AS (SELECT doc_id FROM old_docs UNION SELECT doc_id FROM new_docs),
 c AS (SELECT doc_id, {cnt}, CAST(count(*) AS BIGINT) AS total_blocks FROM entries GROUP BY doc_id)
 SELECT ids.doc_id, coalesce(added, 0) AS added, coalesce(deleted, 0) AS deleted, coalesce(changed, 0) AS changed,
-       coalesce(unchanged, 0) AS unchanged, coalesce(total_blocks, 0) AS total_blocks
+       coalesce(unchanged, 0) AS unchanged, 0 AS unknown, 0 AS other, coalesce(total_blocks, 0) AS total_blocks
 FROM ids LEFT JOIN c ON c.doc_id = ids.doc_id"""
     q["stats_by_type"] = f"{al}\nSELECT doc_id, type, {cnt} FROM entries GROUP BY doc_id, type"
     q["stats_rollup"] = f"""{al}
@@ -411,14 +414,11 @@ SELECT conv_id, role, turn, {_escape('old_text')} AS old_view, {_escape('new_tex
     q["table_diff"] = f"""WITH
 old_c AS ({_line_cells('', 'l_quantity')}),
 new_c AS ({_line_cells('WHERE l_suppkey % 13 <> 0', 'CASE WHEN l_partkey % 7 = 0 THEN l_quantity + 1 ELSE l_quantity END')}),
-both_docs AS (SELECT DISTINCT doc_id FROM old_c INTERSECT SELECT DISTINCT doc_id FROM new_c),
 oc AS ({_unpivot('old_c')}),
 nc AS ({_unpivot('new_c')}),
 j AS (SELECT coalesce(oc.doc_id, nc.doc_id) AS doc_id, coalesce(oc.r, nc.r) AS r, coalesce(oc.c, nc.c) AS c,
              coalesce(oc.v, '') AS ov, coalesce(nc.v, '') AS nv
-      FROM (SELECT * FROM oc WHERE doc_id IN (SELECT doc_id FROM both_docs)) oc
-      FULL OUTER JOIN (SELECT * FROM nc WHERE doc_id IN (SELECT doc_id FROM both_docs)) nc
-      ON oc.doc_id = nc.doc_id AND oc.r = nc.r AND oc.c = nc.c)
+      FROM oc FULL OUTER JOIN nc ON oc.doc_id = nc.doc_id AND oc.r = nc.r AND oc.c = nc.c)
 SELECT doc_id, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, cell_type, text, old, new
 FROM ({_cell_select('doc_id, r')})"""
 
@@ -427,7 +427,7 @@ old_t AS (SELECT o_orderkey AS k, o_orderstatus AS c0, CAST(CAST(o_totalprice AS
                  o_orderpriority AS c2 FROM orders WHERE o_orderkey % 29 <> 0),
 new_t AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS c0,
                  CAST(CAST(CASE WHEN o_orderkey % 11 = 0 THEN o_totalprice + 10 ELSE o_totalprice END AS DECIMAL(18,2))
-                      AS VARCHAR) AS c1, o_orderpriority AS c2 FROM orders WHERE o_orderkey % 23 <> 0),
+                      AS VARCHAR) AS c1, o_orderpriority AS c2 FROM orders WHERE o_orderkey % 23 <> 0 OR o_orderkey % 29 = 0),
 oc AS (SELECT k, 0 AS c, c0 AS v FROM old_t UNION ALL SELECT k, 1, c1 FROM old_t UNION ALL SELECT k, 2, c2 FROM old_t),
 nc AS (SELECT k, 0 AS c, c0 AS v FROM new_t UNION ALL SELECT k, 1, c1 FROM new_t UNION ALL SELECT k, 2, c2 FROM new_t),
 j AS (SELECT coalesce(oc.k, nc.k) AS k, coalesce(oc.c, nc.c) AS c, coalesce(oc.v, '') AS ov, coalesce(nc.v, '') AS nv
@@ -480,9 +480,9 @@ SELECT conv_id, role, turn, {_round('(1.0::DOUBLE - similarity) * 10.0::DOUBLE',
     nb = "list_reduce(list_transform(b, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)), lambda p, q: p + q)"
     q["embedding_cosine"] = f"""WITH v AS (
   SELECT x.vec_id AS a_id, y.vec_id AS b_id, x.embedding AS a, y.embedding AS b
-  FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1 WHERE x.vec_id % 2 = 0),
-c AS (SELECT a_id, b_id, {dot} AS dot, {na} AS na, {nb} AS nb FROM v)
-SELECT a_id, b_id, CASE WHEN na = 0 OR nb = 0 THEN 0.0::DOUBLE
+  FROM embeddings x LEFT JOIN embeddings y ON y.vec_id = x.vec_id + 1 WHERE x.vec_id % 2 = 0),
+c AS (SELECT a_id, b_id, b, {dot} AS dot, {na} AS na, {nb} AS nb FROM v)
+SELECT a_id, b_id, CASE WHEN b IS NULL THEN NULL WHEN na = 0 OR nb = 0 THEN 0.0::DOUBLE
                         ELSE {_round('dot / (sqrt(na) * sqrt(nb))', 4)} END AS cosine FROM c"""
 
     q["cluster_k"] = f"""WITH {msgs}

@@ -61,8 +61,12 @@ def q_content_sha1(spark, sf):
 
 
 def q_route_files(spark, sf):
-    p = read_table(spark, sf, "pages")
-    return route_paths(p, "url").select("page_id", "ext", "reader", "reason")
+    """A9 over all URLs, and over file names made of them with every kind of suffix."""
+    p = read_table(spark, sf, "pages").select("page_id", F.col("url").alias("path"))
+    tails = [" #3.docx", ".DOC", "?x.txt", ".xlsx", "/.xls", ".XLS", ".pdf"]
+    tail = F.element_at(F.array(*[F.lit(t) for t in tails]), (F.col("page_id") % len(tails) + 1).cast("int"))
+    files = p.select("page_id", F.concat(F.replace(F.col("path"), F.lit("://"), F.lit("/")), tail).alias("path"))
+    return route_paths(p.unionByName(files), "path").select("page_id", "ext", "reader", "reason")
 
 
 # ---- C: pairing and alignment ----------------------------------------------------------------------

@@ -17,7 +17,7 @@ from .tables import table_blocks
 
 # ---- fixed values of the V1 revision rule --------------------------------------------------------
 V1_OLD_DROP = 19          # old snapshot: doc_id % 19 <> 0
-V1_NEW_DROP = 17          # new snapshot: doc_id % 17 <> 0
+V1_NEW_DROP = 17          # new snapshot: doc_id % 17 <> 0, and all that the old one lacks
 V1_KEEP = 5               # doc_id % 5 = 0 -> document copied unchanged
 V1_H_MOD = 20             # h = (doc_id * 31 + pos * 7) % 20
 V1_H_DROP, V1_H_UNIT, V1_H_ARTICLE, V1_H_INSERT, V1_H_PREFIX = 3, 7, 11, 13, 17
@@ -50,7 +50,7 @@ def revision_lines(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     old = docs.filter(F.col("doc_id") % V1_OLD_DROP != 0).select(
         "doc_id", kept_lines(F.col("text")).alias("lines"), bound.alias("bound"))
     # every old line becomes at most two new lines
-    new = docs.filter(F.col("doc_id") % V1_NEW_DROP != 0).select(
+    new = docs.filter((F.col("doc_id") % V1_NEW_DROP != 0) | (F.col("doc_id") % V1_OLD_DROP == 0)).select(
         "doc_id", F.flatten(F.transform(kept_lines(F.col("text")), revise)).alias("lines"), (bound * 2).alias("bound"))
     return old, new
 
@@ -84,7 +84,7 @@ def order_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     price = F.col("o_totalprice")
     old = o.filter(F.col("o_orderkey") % 29 != 0).select(
         F.col("o_orderkey").alias("k"), "o_orderstatus", price.alias("o_totalprice"), "o_orderpriority")
-    new = o.filter(F.col("o_orderkey") % 23 != 0).select(
+    new = o.filter((F.col("o_orderkey") % 23 != 0) | (F.col("o_orderkey") % 29 == 0)).select(
         F.col("o_orderkey").alias("k"),
         F.when(F.col("o_orderkey") % 7 == 0, F.lit("X")).otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
         F.when(F.col("o_orderkey") % 11 == 0, price + 10).otherwise(price).alias("o_totalprice"),
@@ -126,8 +126,8 @@ def lineitem_revision(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 def lineitem_revision_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3 revised as ``(doc_id, old_table, new_table)`` from one scan and one aggregation: both tables
     of an order are collected in the same ``groupBy`` (a dropped line is a null, which
-    ``collect_list`` skips), so no join is needed.  Orders whose new table has no non-empty cell (all
-    lines dropped) have no new table block and are left out, as in ``lineitem_revision``."""
+    ``collect_list`` skips), so no join is needed.  An order whose lines are all dropped has an empty new
+    table, so all its cells read as deleted."""
     li = read_table(spark, sf_dir, "lineitem")
     keep = F.col("l_suppkey") % 13 != 0
     new_q = F.when(F.col("l_partkey") % 7 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))
@@ -143,8 +143,7 @@ def lineitem_revision_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.collect_list(old_row)).alias("o"), F.array_sort(F.collect_list(new_row)).alias("n"))
     pairs = g.select("doc_id", F.transform("o", lambda r: r["cells"]).alias("old_table"),
                      F.transform("n", lambda r: r["cells"]).alias("new_table"))
-    nonempty = lambda t: F.exists(t, lambda r: F.exists(r, lambda c: c != ""))
-    return pairs.filter(nonempty(F.col("old_table")) & nonempty(F.col("new_table")))
+    return pairs
 
 
 def message_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,8 +156,8 @@ def message_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V6: ``(vec_id, vec_id + 1)`` for even ``vec_id``."""
+    """V6: ``(vec_id, vec_id + 1)`` for even ``vec_id``; the last one may have no successor."""
     e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     a = e.filter(F.col("vec_id") % 2 == 0).select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"))
     b = e.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b"))
-    return a.join(b, F.col("b_id") == F.col("a_id") + 1)
+    return a.join(b, F.col("b_id") == F.col("a_id") + 1, "left")

@@ -17,15 +17,16 @@ READERS = {
 UNSUPPORTED = "No extractor available for extension: "
 # -------------------------------------------------------------------------------------------------
 
-# path part of a URL (scheme and host removed, query and fragment cut), then its last segment
-PATH_RE = r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)"
+# path part of a URL (scheme and host removed, query and fragment cut); a plain path is taken as it is
+URL_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://"
+URL_PATH_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 NAME_RE = r"([^/]*)$"
 # Python's Path.suffix: the last ".xxx" of the name, with a non-empty stem before it
 SUFFIX_RE = r"^.+(\.[^.]+)$"
 
 
 def suffix(path_col) -> "F.Column":
-    path = F.regexp_extract(path_col, PATH_RE, 1)
+    path = F.when(path_col.rlike(URL_RE), F.regexp_extract(path_col, URL_PATH_RE, 1)).otherwise(path_col)
     name = F.regexp_extract(path, NAME_RE, 1)
     return F.lower(F.regexp_extract(name, SUFFIX_RE, 1))
 

@@ -1,5 +1,6 @@
 """Stats, rankings, summary."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators import report
@@ -64,16 +65,32 @@ def test_filters_and_facets(spark):
     assert [r.entry_idx for r in report.corpus_top_k(df.withColumn("toc_key", F.lit(1.0)), 1).collect()] == [0]
 
 
-def test_ranking_helpers_large_group_route(spark):
-    """The range-partitioned route gives the same numbers as the window."""
-    from pyspark.sql import Window
-    from palimpsest.functions.ranking import rank_within, running_sum_within
-    df = spark.createDataFrame([(d, i, (i * 7) % 5) for d in (1, 2) for i in range(300)], "g int, i int, v int")
-    order = [F.col("v").desc(), F.col("i")]
-    a = rank_within(df, ["g"], order, max_group=10, partitions=7)
-    b = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
-    assert sorted(map(tuple, a.select("g", "i", "rank").collect())) == sorted(map(tuple, b.select("g", "i", "rank").collect()))
-    s1 = running_sum_within(df, ["g"], [F.col("i")], "v", "cs", max_group=10, partitions=5)
-    w = Window.partitionBy("g").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    s2 = df.withColumn("cs", F.coalesce(F.sum("v").over(w), F.lit(0)))
-    assert sorted(map(tuple, s1.select("g", "i", "cs").collect())) == sorted(map(tuple, s2.select("g", "i", "cs").collect()))
+@pytest.mark.parametrize("rows,parts", [(1_200_000, 1), (1_200_000, 8), (3_000_000, 64)])
+def test_ranking_helpers_in_one_large_group(spark, rows, parts):
+    """Exact ranks and running sums of a group of millions of rows, however it is partitioned."""
+    from palimpsest.functions.ranking import rank_within, running_sum_within, slice_of
+    df = spark.range(rows).select(F.lit(1).alias("g"), F.pmod(F.col("id") * 7919, F.lit(rows)).alias("i")) \
+        .repartition(parts).withColumn("v", F.col("i") % 5)
+    ranked = rank_within(df, ["g"], [F.col("v").desc(), F.col("i").desc()], [(F.col("v"), False), (slice_of("i"), False)])
+    per = rows // 5                                    # rows of each v: i = v, v + 5, v + 10, ...
+    want = (4 - F.col("v")) * per + (per - F.floor(F.col("i") / 5))
+    assert ranked.filter(F.col("rank") != want).count() == 0 and ranked.count() == rows
+    summed = running_sum_within(df, ["g"], [F.col("i")], [(slice_of("i"), True)], "v", "cs")
+    full, rest = F.floor(F.col("i") / 5), F.col("i") % 5
+    assert summed.filter(F.col("cs") != full * 10 + rest * (rest - 1) / 2).count() == 0 and summed.count() == rows
+
+
+def test_unexpected_changes_are_counted(spark):
+    df = spark.createDataFrame([(1, 0, "added", "p"), (1, 1, "moved", "p"), (1, 2, None, "p")],
+                               "doc_id long, entry_idx int, change string, type string")
+    r = report.change_counts(df).first()
+    assert (r.added, r.unknown, r.other, r.total_blocks) == (1, 1, 1, 3)
+
+
+def test_any_change_type_may_dominate(spark):
+    df = spark.createDataFrame([(1, 0, "changed", "odd", ["b"]), (1, 1, "changed", "odd", ["a"]), (1, 2, "changed", "", None),
+                                (1, 3, "unchanged", None, None)],
+                               "doc_id long, entry_idx int, change string, change_type string, labels array<string>")
+    r = report.doc_summary(df).first()
+    assert (r.dominant_type, r.n_changed, r.total_blocks, r.dominant_share, r.label_set) == ("odd", 3, 4, 66.7, "a, b")
+    assert {(x.change_type, x.n_changes) for x in report.type_distribution(df).collect()} == {("odd", 2), ("undefined", 1)}
