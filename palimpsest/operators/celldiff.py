@@ -7,7 +7,8 @@ everything below it.
 Two forms with one answer:
 
 * ``nested_table_diff`` (D4): ``zip_with`` inside the row (no shuffle) -> the reference's nested
-  ``ARRAY<ARRAY<STRUCT>>``; markup of changed cells is added by ``cell_markup`` in long form.
+  ``ARRAY<ARRAY<STRUCT>>``; ``with_nested_markup`` puts the markup into its changed cells, ``cell_markup`` does so
+  in long form.
 * ``long_cell_diff`` (D5): cells in long form and a full outer join on ``(table, r, c)``; for tables
   too large for one row (whole-table snapshots keyed by a business key).
 """
@@ -16,10 +17,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textdiff import with_text_diff
+from .textdiff import blocks_markup, matching_blocks, with_text_diff
 
 CELL_FIELDS = ("type", "text", "old", "new")
 
@@ -72,11 +74,40 @@ def long_cell_diff(old_cells: DataFrame, new_cells: DataFrame, keys: Sequence[st
 def snapshot_cell_diff(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """D5 by business key: two snapshots of a table, rows paired on ``key``; cell ``c`` is the
     position of the column in ``columns``.  Output ``(k, c, cell_type, text, old, new)``."""
-    def cells(df):
-        arr = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("v"))
-                        for i, c in enumerate(columns)])
-        return df.select(F.col(key).alias("k"), F.inline(arr))
-    return long_cell_diff(cells(old), cells(new), ["k", "c"])
+    both = (old.select(F.col(key).alias("k"), *[F.col(c).cast("string").alias(f"o{i}") for i, c in enumerate(columns)])
+            .join(new.select(F.col(key).alias("k"), *[F.col(c).cast("string").alias(f"n{i}") for i, c in enumerate(columns)]),
+                  "k", "full_outer"))
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), cell_diff(F.col(f"o{i}"), F.col(f"n{i}")).alias("d"))
+                      for i in range(len(columns))])
+    return both.select("k", F.inline(cells)).select(
+        "k", "c", F.col("d.type").alias("cell_type"), F.col("d.text").alias("text"), F.col("d.old").alias("old"),
+        F.col("d.new").alias("new"))
+
+
+def _cell_blocks(tables: pd.Series) -> pd.Series:
+    """Matching blocks of every changed cell; nothing for cells that are the same."""
+    def one(cell):
+        if cell["old"] is None:
+            return None
+        return [dict(zip("abn", m)) for m in matching_blocks(cell["old"], cell["new"])]
+    return pd.Series([None if t is None else [[one(c) for c in row] for row in t] for t in tables])
+
+
+def with_nested_markup(df: DataFrame, col: str = "table_changes") -> DataFrame:
+    """D3/D4 whole: ``inline_html`` in every changed cell of a nested table diff (``col``; null stays null)."""
+    texts = F.transform(F.col(col), lambda row: F.transform(row, lambda c: F.struct(c["old"].alias("old"), c["new"].alias("new"))))
+    changed = F.exists(F.col(col), lambda row: F.exists(row, lambda c: c["type"] == "changed"))
+    raw = f"_{col}_blocks"
+    kernel = F.pandas_udf(_cell_blocks, "array<array<array<struct<a:int,b:int,n:int>>>>").asNondeterministic()
+    d = df.withColumn(raw, kernel(F.when(changed, texts)))
+
+    def cell(c, blocks):
+        html = F.when(c["type"] == "changed", blocks_markup(blocks, c["old"], c["new"]))
+        return F.struct(*[c[f].alias(f) for f in CELL_FIELDS], html.alias("inline_html"))
+    none = F.lit(None).cast("array<struct<a:int,b:int,n:int>>")
+    plain = F.transform(F.col(col), lambda row: F.transform(row, lambda c: cell(c, none)))
+    marked = F.zip_with(F.col(col), F.col(raw), lambda row, blocks: F.zip_with(row, blocks, cell))
+    return d.withColumn(col, F.when(changed, marked).otherwise(plain)).drop(raw)
 
 
 def cell_markup(cells: DataFrame, autojunk: bool = True) -> DataFrame:

@@ -4,16 +4,18 @@ The reference fits one KMeans per comparison on text vectors of the changed entr
 ``k = max(2, min(10, n // 5))`` and nothing below three changes.  Here every document is one small
 KMeans problem, and all of them run together as a distributed Lloyd iteration in long form:
 
-* a text vector is the hashed term-frequency vector of ``(new.text or old.text).strip()``, stored
-  as ``(doc, idx, bucket, weight)`` rows (G5);
+* a text vector is the term-frequency vector of ``(new.text or old.text).strip()`` (G5), stored as
+  ``(doc, idx, tok, w)`` rows;
+* a centroid is kept as integer sums ``s`` and a count ``m``, so distances are two exact integers and one
+  division, and near-ties do not depend on the order of sums or on the partitioning;
 * assignment joins each point with the at most 10 centroids of its own document (a bounded
-  partner set, never all pairs), dot products come from a join on ``(doc, cluster, bucket)``;
-* the update is a ``groupBy(doc, cluster, bucket)`` mean.
+  partner set, never all pairs), dot products come from a join on ``(doc, tok)``;
+* the update is a ``groupBy(doc, cluster, tok)`` sum.
 
 Initial centroids are the first ``k`` points of the document in entry order (deterministic; the
-reference's seeded k-means++ cannot be reproduced without its model vectors).  The iteration count
-is fixed; lineage is cut each round with a reliable checkpoint.  Output is long form
-``(doc_id, cluster, idx)`` (``idx`` = position in the changed-only list), never a collected list.
+reference's seeded k-means++ cannot be reproduced without its model vectors).  Rounds go on until no
+assignment changes (or an earlier state comes back); lineage is cut each round with a reliable checkpoint.
+Output is long form ``(doc_id, cluster, idx)`` (``idx`` = position in the changed-only list).
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import rank_within
+from ..functions.ranking import rank_within, slice_of
 from ..session import cut_lineage
 from .semantics import text_for_vector, tokens
 
@@ -29,8 +31,6 @@ from .semantics import text_for_vector, tokens
 MIN_CHANGES = 3
 MIN_K, MAX_K, PER_CLUSTER = 2, 10, 5
 # -------------------------------------------------------------------------------------------------------
-HASH_BUCKETS = 1 << 18
-ITERATIONS = 8
 
 
 def cluster_k(n):
@@ -43,55 +43,49 @@ def text_points(changes: DataFrame) -> DataFrame:
     ch = changes.filter(F.col("change") == "changed").select(
         "doc_id", "entry_idx", text_for_vector(F.col("old_text"), F.col("new_text")).alias("vtext"))
     n = ch.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_CHANGES)
-    pts = rank_within(ch.join(n, "doc_id"), ["doc_id"], [F.col("entry_idx")], out="idx")
+    pts = rank_within(ch.join(n, "doc_id"), ["doc_id"], [F.col("entry_idx")], [(slice_of("entry_idx"), True)], out="idx")
     return pts.select("doc_id", (F.col("idx") - 1).alias("idx"), "vtext", "n",
                       cluster_k(F.col("n")).cast("int").alias("k"))
 
 
-def hashed_vectors(points: DataFrame) -> DataFrame:
-    """``(doc_id, idx, bucket, w)`` term counts in hashed buckets."""
+def text_vectors(points: DataFrame) -> DataFrame:
+    """``(doc_id, idx, tok, w)`` term counts."""
     toks = points.select("doc_id", "idx", F.explode(tokens(F.col("vtext"))).alias("tok"))
-    b = F.pmod(F.xxhash64("tok"), F.lit(HASH_BUCKETS))
-    return toks.groupBy("doc_id", "idx", b.alias("bucket")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    return toks.groupBy("doc_id", "idx", "tok").agg(F.count(F.lit(1)).alias("w"))
 
 
-def kmeans(points: DataFrame, vectors: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
-    """Per-document Lloyd iterations; returns ``(doc_id, idx, cluster)``."""
+def kmeans(points: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Per-document Lloyd iterations until nothing changes; returns ``(doc_id, idx, cluster)``."""
     pts = cut_lineage(points.select("doc_id", "idx", "k"))
     vec = cut_lineage(vectors)
-    norms = vec.groupBy("doc_id", "idx").agg(F.sum(F.col("w") * F.col("w")).alias("pn"))
-    # initial centroids: points idx < k, cluster id = idx
-    cent = cut_lineage(vec.join(pts.filter(F.col("idx") < F.col("k")).select("doc_id", "idx"), ["doc_id", "idx"])
-                       .select("doc_id", F.col("idx").alias("cluster"), "bucket", F.col("w").alias("cw")))
     ids = pts.filter(F.col("idx") < F.col("k")).select("doc_id", F.col("idx").alias("cluster"))
-    assign = None
-    for _ in range(iterations):
-        cn = cent.groupBy("doc_id", "cluster").agg(F.sum(F.col("cw") * F.col("cw")).alias("cn"))
-        cands = (pts.join(ids, "doc_id")                                 # <= k (<= 10) partners per point
-                 .join(norms, ["doc_id", "idx"], "left").join(cn, ["doc_id", "cluster"], "left"))
-        dots = (vec.join(cent, ["doc_id", "bucket"])
-                .groupBy("doc_id", "idx", "cluster").agg(F.sum(F.col("w") * F.col("cw")).alias("dot")))
-        dist = (cands.join(dots, ["doc_id", "idx", "cluster"], "left")
-                .select("doc_id", "idx", "cluster",
-                        (F.coalesce("pn", F.lit(0.0)) + F.coalesce("cn", F.lit(0.0))
-                         - 2 * F.coalesce("dot", F.lit(0.0))).alias("d")))
-        best = dist.groupBy("doc_id", "idx").agg(F.min(F.struct("d", "cluster")).alias("b"))
+    cent = cut_lineage(vec.join(ids.withColumnRenamed("cluster", "idx"), ["doc_id", "idx"])
+                       .select("doc_id", F.col("idx").alias("cluster"), "tok", F.col("w").alias("s")))
+    sizes = cut_lineage(ids.withColumn("m", F.lit(1).cast("bigint")))
+    seen: set[tuple] = set()
+    while True:
+        norm = cent.groupBy("doc_id", "cluster").agg(F.sum(F.col("s") * F.col("s")).alias("ss"))
+        dots = (vec.join(cent, ["doc_id", "tok"]).groupBy("doc_id", "idx", "cluster")
+                .agg(F.sum(F.col("w") * F.col("s")).alias("dot")))
+        # squared distance less the point's own norm: (|s|^2 - 2 m (p.s)) / m^2; a text without tokens has dot 0
+        d = (F.coalesce("ss", F.lit(0)) - 2 * F.col("m") * F.coalesce("dot", F.lit(0))).cast("double") / (F.col("m") * F.col("m"))
+        best = (pts.join(sizes, "doc_id").join(norm, ["doc_id", "cluster"], "left")
+                .join(dots, ["doc_id", "idx", "cluster"], "left")
+                .groupBy("doc_id", "idx").agg(F.min(F.struct(d.alias("d"), "cluster")).alias("b")))
         assign = cut_lineage(best.select("doc_id", "idx", F.col("b.cluster").alias("cluster")))
-        sizes = assign.groupBy("doc_id", "cluster").agg(F.count(F.lit(1)).alias("m"))
-        sums = (vec.join(assign, ["doc_id", "idx"]).groupBy("doc_id", "cluster", "bucket")
-                .agg(F.sum("w").alias("s")))
-        new_cent = sums.join(sizes, ["doc_id", "cluster"]).select(
-            "doc_id", "cluster", "bucket", (F.col("s") / F.col("m")).alias("cw"))
-        # an emptied cluster keeps its previous centroid
-        kept = cent.join(sizes.select("doc_id", "cluster"), ["doc_id", "cluster"], "left_anti")
-        cent = cut_lineage(new_cent.unionByName(kept))
-    return assign
-
-
-def cluster_changes(changes: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
+        state = tuple(assign.agg(F.count(F.lit(1)), F.sum(F.xxhash64("doc_id", "idx", "cluster").cast("decimal(38,0)"))).first())
+        if state in seen:
+            return assign
+        seen.add(state)
+        now = assign.groupBy("doc_id", "cluster").agg(F.count(F.lit(1)).alias("m"))
+        sums = vec.join(assign, ["doc_id", "idx"]).groupBy("doc_id", "cluster", "tok").agg(F.sum("w").alias("s"))
+        # an emptied cluster keeps its centroid
+        cent = cut_lineage(sums.unionByName(cent.join(now.select("doc_id", "cluster"), ["doc_id", "cluster"], "left_anti")))
+        sizes = cut_lineage(now.unionByName(sizes.join(now.select("doc_id", "cluster"), ["doc_id", "cluster"], "left_anti")))
+
+
+def cluster_changes(changes: DataFrame) -> DataFrame:
     """``(doc_id, cluster, idx)``; documents with fewer than 3 changed entries have no rows."""
     pts = text_points(changes)
-    vec = hashed_vectors(pts)
-    a = kmeans(pts, vec, iterations)
-    # points without any token have no vector rows: they join every centroid at distance |c|^2
-    return a.select("doc_id", F.col("cluster").cast("int").alias("cluster"), F.col("idx").cast("int").alias("idx"))
+    return kmeans(pts, text_vectors(pts)).select("doc_id", F.col("cluster").cast("int").alias("cluster"),
+                                                 F.col("idx").cast("int").alias("idx"))

@@ -2,11 +2,11 @@
 
 The reference asks a language model for entities and text vectors.  No model ships here, so:
 
-* entities (G2) come from a *gazetteer* DataFrame ``(term, code)`` joined to the text's tokens; the
+* entities (G2) come from a *gazetteer* DataFrame ``(term, code)`` joined to the text's word sequences; the
   codes are mapped to labels by the reference's fixed code map.  The join is a broadcast only after
   the gazetteer's size has been checked;
-* text similarity (G3) is the cosine of term-frequency vectors, computed in long form: tokens are
-  exploded, counted per ``(pair, token)``, the two sides full-outer-joined on the token and summed.
+* text similarity (G3) is the cosine of term-frequency vectors, computed in long form: tokens of both sides
+  are exploded once, counted per ``(pair, token)`` and side, and summed.
   A long text spreads over many tasks (the shuffle key includes the token), and all sums are
   integers until the final division, so every engine gets the same bits.
 """
@@ -47,15 +47,34 @@ def entity_code_map() -> Column:
     return F.create_map(*[F.lit(x) for kv in ENTITY_LABELS.items() for x in kv])
 
 
+def bare_tokens(text: Column) -> Column:
+    """Lower-cased words without the punctuation around them ("France," is "france")."""
+    bare = F.transform(tokens(text), lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    return F.filter(bare, lambda t: t != "")
+
+
 def entity_labels(texts: DataFrame, keys: Sequence[str], text_col: str, gazetteer: DataFrame) -> DataFrame:
     """``(*keys, entity_labels ARRAY<STRING>)`` for rows with at least one known entity.
 
-    ``gazetteer`` has ``term`` (matched case-insensitively against whole tokens) and ``code``;
-    codes outside the reference's map are dropped, as the reference drops them."""
-    gz = gazetteer.select(F.lower(F.col("term")).alias("tok"), F.col("code"))
-    gz = gz.select("tok", F.element_at(entity_code_map(), F.col("code")).alias("label")).filter(F.col("label").isNotNull())
-    toks = texts.select(*keys, F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("tok"))
-    hits = toks.join(broadcast_if_small(gz), "tok")
+    ``gazetteer`` has ``term`` (one or more words, matched case-insensitively against consecutive words, whatever
+    punctuation stands around them) and ``code``; codes outside the reference's map are dropped, as the
+    reference drops them."""
+    label = F.element_at(entity_code_map(), F.col("code"))
+    gz = (gazetteer.select(bare_tokens(F.col("term")).alias("words"), label.alias("label"))
+          .filter(F.col("label").isNotNull() & (F.size("words") > 0))
+          .select(F.array_join("words", " ").alias("term"), F.size("words").alias("n"), "label").distinct())
+    lengths = [r[0] for r in gz.select("n").distinct().collect()]      # numbers of words in a term
+    words = texts.select(*keys, bare_tokens(F.col(text_col)).alias("_w"))
+
+    def grams(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.size("_w") - n + 1)
+        return F.when(F.size("_w") >= n, F.transform(places, lambda i: F.array_join(F.slice("_w", i, n), " "))) \
+            .otherwise(F.array().cast("array<string>"))
+    found = [grams(n) for n in lengths]
+    if not found:
+        return words.select(*keys, F.array().cast("array<string>").alias("entity_labels")).limit(0)
+    terms = words.select(*keys, F.explode(F.array_distinct(F.concat(*found))).alias("term"))
+    hits = terms.join(broadcast_if_small(gz.select("term", "label")), "term")
     return hits.groupBy(*keys).agg(F.array_sort(F.collect_set("label")).alias("entity_labels"))
 
 
@@ -69,22 +88,19 @@ def label_union(text: Column, entity: Column | None = None) -> Column:
 def tf_cosine(pairs: DataFrame, keys: Sequence[str], old_col: str, new_col: str) -> DataFrame:
     """``(*keys, dot, norm_old, norm_new, similarity)`` for every row of ``pairs``.
 
-    ``similarity`` is 0.0 when either side is blank (no tokens), as the reference."""
+    ``similarity`` is 0.0 when either side is blank (no tokens), as the reference.  ``keys`` name a row.
+    One explode of both sides: a token row knows its side, tokens are counted per side, and a pair without
+    tokens keeps one row, so ``pairs`` is read once."""
     keys = list(keys)
-
-    def tf(col, name):
-        return (pairs.select(*keys, F.explode(tokens(F.col(col))).alias("tok"))
-                .groupBy(*keys, "tok").agg(F.count(F.lit(1)).alias(name)))
-    j = tf(old_col, "a").join(tf(new_col, "b"), keys + ["tok"], "full_outer")
-    sums = j.groupBy(*keys).agg(
-        F.sum(F.coalesce("a", F.lit(0)) * F.coalesce("b", F.lit(0))).alias("dot"),
-        F.sum(F.coalesce("a", F.lit(0)) * F.coalesce("a", F.lit(0))).alias("norm_old"),
-        F.sum(F.coalesce("b", F.lit(0)) * F.coalesce("b", F.lit(0))).alias("norm_new"))
-    out = pairs.select(*keys).join(sums, keys, "left")
-    sim = F.when((F.coalesce("norm_old", F.lit(0)) == 0) | (F.coalesce("norm_new", F.lit(0)) == 0), F.lit(0.0)) \
+    side = lambda col, name: F.transform(tokens(F.col(col)), lambda t: F.struct(t.alias("tok"), F.lit(name).alias("side")))
+    rows = pairs.select(*keys, F.explode_outer(F.concat(side(old_col, "o"), side(new_col, "n"))).alias("t"))
+    count = lambda name: F.sum(F.when(F.col("t.side") == name, 1).otherwise(0))
+    per = rows.groupBy(*keys, F.col("t.tok").alias("tok")).agg(count("o").alias("a"), count("n").alias("b"))
+    sums = per.groupBy(*keys).agg(F.sum(F.col("a") * F.col("b")).alias("dot"), F.sum(F.col("a") * F.col("a")).alias("norm_old"),
+                                  F.sum(F.col("b") * F.col("b")).alias("norm_new"))
+    sim = F.when((F.col("norm_old") == 0) | (F.col("norm_new") == 0), F.lit(0.0)) \
         .otherwise(F.col("dot").cast("double") / F.sqrt((F.col("norm_old") * F.col("norm_new")).cast("double")))
-    return out.select(*keys, F.coalesce("dot", F.lit(0)).alias("dot"), F.coalesce("norm_old", F.lit(0)).alias("norm_old"),
-                      F.coalesce("norm_new", F.lit(0)).alias("norm_new"), sim.alias("similarity"))
+    return sums.select(*keys, "dot", "norm_old", "norm_new", sim.alias("similarity"))
 
 
 def vector_cosine(a: Column, b: Column) -> Column:

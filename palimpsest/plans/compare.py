@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import align, report, score, text_align
-from ..operators.celldiff import nested_table_diff
+from ..operators.celldiff import nested_table_diff, with_nested_markup
 from ..operators.semantics import entity_labels, label_union
 from ..operators.textdiff import with_text_diff
 from ..functions.text import score_band
@@ -75,12 +75,12 @@ class Comparison:
     @property
     def detailed(self) -> DataFrame:
         """D1/D4/D6 + E7: ``ratio`` for changed entries, ``inline_html`` for paragraph pairs,
-        ``table_changes`` for table pairs."""
+        ``table_changes`` (with ``inline_html`` in each changed cell) for table pairs."""
         ch = self.changes
         changed = F.col("change") == "changed"
         para = changed & (F.col("old_type") == "paragraph") & (F.col("new_type") == "paragraph")
         table = changed & (F.col("old_type") == "table") & (F.col("new_type") == "table")
-        return (with_text_diff(ch, F.when(changed, F.col("old_text")), F.when(changed, F.col("new_text")), "_k",
+        out = (with_text_diff(ch, F.when(changed, F.col("old_text")), F.when(changed, F.col("new_text")), "_k",
                                self.autojunk, with_tokens=self.use_similarity)
                 .withColumn("ratio", F.when(changed, F.col("_k.ratio")))
                 .withColumn("inline_html", F.when(para & F.col("old_text").isNotNull() & F.col("new_text").isNotNull(),
@@ -89,6 +89,7 @@ class Comparison:
                 .withColumn("similarity", F.when(changed, F.col("_k.similarity")) if self.use_similarity
                             else F.lit(None).cast("double"))
                 .drop("_k"))
+        return out if self.text_mode else with_nested_markup(out)  # a text corpus has no tables
 
     # ---- F ------------------------------------------------------------------------------------------
     @property

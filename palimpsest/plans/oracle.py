@@ -1,18 +1,27 @@
 """DuckDB oracle SQL for the registered queries (same column names and types as ``plans.queries``).
 
 Written independently of the Spark code, over the pre-registered views (``documents``, ``orders``,
-...).  Operators whose answer needs the sequence alignment itself (opcodes, scores that use the
-character ratio, ...) have no entry: they are checked in pytest against Python's ``difflib`` and by the
-``rebuild_*`` oracles, which must reproduce each input side exactly.
+...).  The sequence alignment, on blocks and on characters, is a recursive query of its own.
 """
 
 from __future__ import annotations
 
-from ..functions.text import (LABEL_UNIT_RE, LEGAL_RE, NUMBER_RE, SCORE_UNIT_RE_RE2, WS_CHARS, WS_CLASS,
-                              YEAR_RE, DIGIT_RE)
 from ..sources import fixtures as V
 from ..sources.routing import READERS, UNSUPPORTED
 
+# Patterns of this file, from the rules themselves: an edge of a word is a side where no letter, digit or
+# underscore stands; a white-space character is one that Python strips.
+WS_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
+                             0x202F, 0x205F, 0x3000]))
+WS_CLASS = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in WS_CHARS) + "]"
+EDGE_L, EDGE_R, INNER = r"(?:^|[^\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|$)", r"[\p{L}\p{N}_]"
+DIGIT_RE = r"\p{Nd}"
+SCORE_UNIT_RE_RE2 = rf"(?i){EDGE_L}(?:pln|eur|kw|km|kg|cm|mm|m){EDGE_R}|{INNER}%{INNER}"
+YEAR_RE = rf"{EDGE_L}(?:19|20)\p{{Nd}}\p{{Nd}}{EDGE_R}"
+LABEL_UNIT_RE = rf"{EDGE_L}(?:km|kg|cm|mm|m){EDGE_R}|{INNER}%{INNER}"
+NUMBER_RE = rf"{EDGE_L}\p{{Nd}}+{EDGE_R}"
+LEGAL_RE = rf"{INNER}§{INNER}|{EDGE_L}(?:dz\.u|art|pkt|poz|ust)\.{INNER}"
+
 
 def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -59,6 +68,39 @@ status AS (
   LEFT JOIN new_keys nk ON nk.doc_id = coalesce(o.doc_id, n.doc_id))"""
 
 
+def _mixed_ctes() -> str:
+    """``_revision_ctes`` over documents of lines, a table and an image: a block's ``text`` is its key, ``size`` the
+    rows of a table or the bytes of an image."""
+    new_q = "CASE WHEN l_partkey % 7 = 0 THEN l_quantity + 1 ELSE l_quantity END"
+    def side(name: str, cells: str, html: str) -> str:
+        return f"""
+{name}_c AS ({cells}),
+{name[0]}c AS ({_unpivot(name + '_c')}),
+{name}_tab AS (SELECT doc_id, 'table:' || string_agg(c0 || ',' || c1 || ',' || c2, '|' ORDER BY r) AS text, count(*) AS size
+               FROM {name}_c GROUP BY doc_id HAVING bool_or(c0 <> '' OR c1 <> '' OR c2 <> '')),
+{name}_img AS (SELECT page_id AS doc_id, 'image:' || sha1({html}) AS text, CAST(strlen({html}) AS BIGINT) AS size FROM pages),
+{name}_n AS (SELECT doc_id, len(kl) AS n FROM {name}_docs),
+{name}_blocks AS (
+  SELECT doc_id, block_pos, 'paragraph:' || text AS text, 'paragraph' AS type, CAST(NULL AS BIGINT) AS size FROM {name}_lines
+  UNION ALL SELECT t.doc_id, CAST(n AS INTEGER), text, 'table', size FROM {name}_tab t JOIN {name}_n USING (doc_id)
+  UNION ALL SELECT i.doc_id, CAST(n + CASE WHEN t.doc_id IS NULL THEN 0 ELSE 1 END AS INTEGER), i.text, 'image', i.size
+            FROM {name}_img i JOIN {name}_n USING (doc_id) LEFT JOIN {name}_tab t ON t.doc_id = i.doc_id)"""
+    rev = _revision_ctes()
+    at = rev.index("old_keys AS")
+    lines = rev[:at].replace("old_blocks AS", "old_lines AS").replace("new_blocks AS", "new_lines AS").rstrip().rstrip(",")
+    new_html = "CASE WHEN page_id % 3 = 0 THEN html || 'x' ELSE html END"
+    return (lines + "," + side("old", _line_cells("", "l_quantity"), "html") + ","
+            + side("new", _line_cells("WHERE l_suppkey % 13 <> 0", new_q), new_html) + ",\n" + rev[at:])
+
+
+_MIXED_ENTRIES = """,
+mixed AS (SELECT e.doc_id, e.entry_idx, e.change, e.old_pos, e.new_pos, e.old_text, e.new_text, o.type AS o_type,
+                 CASE WHEN e.change <> 'unchanged' THEN n.type END AS n_type, o.size AS o_size, n.size AS n_size,
+                 CASE e.change WHEN 'added' THEN n.type WHEN 'changed' THEN coalesce(n.type, o.type) ELSE o.type END AS type
+          FROM entries e LEFT JOIN old_blocks o ON o.doc_id = e.doc_id AND o.block_pos = e.old_pos
+          LEFT JOIN new_blocks n ON n.doc_id = e.doc_id AND n.block_pos = e.new_pos)"""
+
+
 def _frontier_sql(x: str, pairs: str, a: str, b: str) -> str:
     """Recursive CTE ``{x}seg(pid, kind, alo, ahi, blo, bhi)``: the matching blocks and gaps of
     ``SequenceMatcher(None, a, b)`` (autojunk included) for every ``pid`` of ``pairs(pid, n_old, n_new)``
@@ -435,7 +477,10 @@ j AS (SELECT coalesce(oc.k, nc.k) AS k, coalesce(oc.c, nc.c) AS c, coalesce(oc.v
 SELECT CAST(k AS BIGINT) AS k, c, cell_type, text, old, new FROM ({_cell_select('k')})"""
 
     t = "coalesce(text, '')"
-    q["text_predicates"] = f"""SELECT doc_id,
+    q["text_predicates"] = f"""WITH {rev},
+parts AS (SELECT doc_id, block_pos AS line, text FROM new_blocks
+          UNION ALL SELECT doc_id, -1, regexp_replace(text, '[^ \\n]+', '', 'g') FROM documents)
+SELECT doc_id, line,
   regexp_matches({t}, {_lit(DIGIT_RE)}) AS has_digit,
   regexp_matches({t}, {_lit(SCORE_UNIT_RE_RE2)}) AS has_score_unit,
   regexp_matches({t}, {_lit(YEAR_RE)}) AS has_year,
@@ -444,28 +489,35 @@ SELECT CAST(k AS BIGINT) AS k, c, cell_type, text, old, new FROM ({_cell_select(
   regexp_matches(lower({t}), {_lit(LEGAL_RE)}) AS has_legal_ref,
   CAST(len(list_filter(string_split_regex({t}, '{WS_CLASS}+'), lambda x: x <> '')) AS BIGINT) AS word_count,
   trim({t}, {WS_SQL}) = '' AS is_blank
-FROM documents"""
+FROM parts"""
 
     comb = "(coalesce(old_text, '') || ' ' || coalesce(new_text, ''))"
-    q["score_bonus"] = f"""WITH {msgs},
-b AS (SELECT conv_id, role, turn, regexp_matches({comb}, {_lit(DIGIT_RE)}) AS d,
-             regexp_matches({comb}, {_lit(SCORE_UNIT_RE_RE2)}) AS u, regexp_matches({comb}, {_lit(YEAR_RE)}) AS y FROM pairs),
+    q["score_bonus"] = f"""{al},
+b AS (SELECT doc_id, entry_idx, regexp_matches({comb}, {_lit(DIGIT_RE)}) AS d,
+             regexp_matches({comb}, {_lit(SCORE_UNIT_RE_RE2)}) AS u, regexp_matches({comb}, {_lit(YEAR_RE)}) AS y
+      FROM entries WHERE change = 'changed'),
 s1 AS (SELECT *, CASE WHEN d THEN 0.0::DOUBLE + 0.8::DOUBLE ELSE 0.0::DOUBLE END AS s FROM b),
 s2 AS (SELECT *, CASE WHEN u THEN s + 0.8::DOUBLE ELSE s END AS s2 FROM s1)
-SELECT conv_id, role, turn, CASE WHEN y THEN s2 + 0.6::DOUBLE ELSE s2 END AS bonus FROM s2"""
+SELECT doc_id, entry_idx, CASE WHEN y THEN s2 + 0.6::DOUBLE ELSE s2 END AS bonus FROM s2"""
 
-    q["labels"] = f"""WITH {msgs},
-b AS (SELECT conv_id, role, turn, regexp_matches({comb}, {_lit(LABEL_UNIT_RE)}) AS u,
-             regexp_matches({comb}, {_lit(NUMBER_RE)}) AS n FROM pairs)
-SELECT conv_id, role, turn, CASE WHEN n AND u THEN 'numbers, unit' WHEN n THEN 'numbers' WHEN u THEN 'unit'
-                                 ELSE '' END AS labels FROM b"""
+    q["labels"] = f"""{al},
+b AS (SELECT doc_id, entry_idx, regexp_matches({comb}, {_lit(LABEL_UNIT_RE)}) AS u,
+             regexp_matches({comb}, {_lit(NUMBER_RE)}) AS n FROM entries WHERE change = 'changed')
+SELECT doc_id, entry_idx, CASE WHEN n AND u THEN 'numbers, unit' WHEN n THEN 'numbers' WHEN u THEN 'unit'
+                               ELSE '' END AS labels FROM b"""
 
+    bare = lambda x: (f"list_filter(list_transform({_tokens(x)}, lambda t: regexp_replace(t, "
+                      r"'^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda t: t <> '')")
     q["entity_labels"] = f"""WITH
-gz AS (SELECT lower(n_name) AS tok, 'location' AS label FROM nation
-       UNION ALL SELECT lower(r_name), 'place' FROM region
-       UNION ALL SELECT lower(p_name), 'product' FROM part),
-toks AS (SELECT DISTINCT doc_id, unnest({_tokens('text')}) AS tok FROM documents),
-hits AS (SELECT DISTINCT doc_id, label FROM toks JOIN gz USING (tok))
+g0 AS (SELECT n_name AS term, 'location' AS label FROM nation UNION ALL SELECT r_name, 'place' FROM region
+       UNION ALL SELECT p_name, 'product' FROM part
+       UNION ALL SELECT regexp_extract(text, '^\\S+ \\S+'), 'title/work' FROM benchmark),
+gz AS (SELECT DISTINCT {bare('term')} AS words, label FROM g0),
+lengths AS (SELECT DISTINCT len(words) AS n FROM gz WHERE len(words) > 0),
+docs AS (SELECT doc_id, {bare('text')} AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, list_slice(w, i, i + n - 1) AS words
+          FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, lengths WHERE len(w) >= n)),
+hits AS (SELECT DISTINCT doc_id, label FROM grams JOIN gz USING (words))
 SELECT doc_id, string_agg(label, ', ' ORDER BY label) AS entity_labels FROM hits GROUP BY doc_id"""
 
     q["text_cosine"] = f"""WITH {msgs}, {_tf_cosine_sql()}
@@ -485,8 +537,43 @@ c AS (SELECT a_id, b_id, b, {dot} AS dot, {na} AS na, {nb} AS nb FROM v)
 SELECT a_id, b_id, CASE WHEN b IS NULL THEN NULL WHEN na = 0 OR nb = 0 THEN 0.0::DOUBLE
                         ELSE {_round('dot / (sqrt(na) * sqrt(nb))', 4)} END AS cosine FROM c"""
 
-    q["cluster_k"] = f"""WITH {msgs}
-SELECT conv_id, count(*) AS n_changed,
-       CASE WHEN count(*) >= 3 THEN CAST(greatest(2, least(10, count(*) // 5)) AS BIGINT) END AS k
-FROM pairs GROUP BY conv_id"""
+    k = "CASE WHEN n >= 3 THEN CAST(greatest(2, least(10, n // 5)) AS BIGINT) END"
+    q["cluster_k"] = f"""{al},
+ids AS (SELECT doc_id FROM old_docs UNION SELECT doc_id FROM new_docs),
+c AS (SELECT ids.doc_id, count(e.doc_id) AS n FROM ids
+      LEFT JOIN (SELECT doc_id FROM entries WHERE change = 'changed') e ON e.doc_id = ids.doc_id GROUP BY ids.doc_id)
+SELECT doc_id, n AS n_changed, {k} AS k FROM c"""
+    q["cluster_members"] = f"""{al},
+c AS (SELECT doc_id, count(*) AS n FROM entries WHERE change = 'changed' GROUP BY doc_id HAVING count(*) >= 3)
+SELECT doc_id, CAST(unnest(range(n)) AS INTEGER) AS idx, CAST(1 AS BIGINT) AS n_clusters, true AS in_range FROM c"""
+    q["type_distribution"] = f"""{an}
+SELECT doc_id, coalesce(nullif(change_type, ''), 'undefined') AS change_type, count(*) AS n_changes
+FROM an WHERE change = 'changed' GROUP BY ALL"""
+    q["hide_unchanged"] = f"{al}\nSELECT doc_id, entry_idx, change FROM entries WHERE change <> 'unchanged'"
+    q["align_blocks_frontier"] = q["align_blocks"]
+    q["cell_markup"] = q["table_diff"].replace(
+        "SELECT doc_id, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, cell_type, text, old, new\nFROM (",
+        f"SELECT doc_id, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, {_escape('old')} AS old_view, "
+        f"{_escape('new')} AS new_view\nFROM (") + " WHERE cell_type = 'changed'"
+    mx = f"WITH RECURSIVE {_mixed_ctes()}{_alignment_ctes()}{_MIXED_ENTRIES}"
+    q["mixed_changes"] = f"{mx}\nSELECT doc_id, entry_idx, change, type, old_pos, new_pos FROM mixed"
+    q["mixed_stats_by_type"] = f"{mx}\nSELECT doc_id, type, {cnt} FROM mixed GROUP BY doc_id, type"
+    q["mixed_facets"] = f"""{mx},
+f AS (SELECT doc_id, type, min(entry_idx) AS first_idx FROM mixed GROUP BY doc_id, type)
+SELECT doc_id, type, first_idx, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_idx) AS INTEGER) AS facet_pos
+FROM f"""
+    q["mixed_json"] = f"""{mx},
+cells AS (SELECT m.doc_id, m.entry_idx, count(*) FILTER (WHERE coalesce(oc.v, '') <> coalesce(nc.v, '')) AS n
+          FROM (SELECT * FROM mixed WHERE change = 'changed' AND o_type = 'table' AND n_type = 'table') m
+          JOIN (SELECT DISTINCT doc_id, r, c FROM (SELECT doc_id, r, c FROM oc UNION ALL SELECT doc_id, r, c FROM nc)) x USING (doc_id)
+          LEFT JOIN oc ON oc.doc_id = x.doc_id AND oc.r = x.r AND oc.c = x.c
+          LEFT JOIN nc ON nc.doc_id = x.doc_id AND nc.r = x.r AND nc.c = x.c GROUP BY m.doc_id, m.entry_idx)
+SELECT m.doc_id, m.entry_idx, change, type, CASE WHEN o_type = 'paragraph' THEN old_text[11:] END AS old_text,
+       CASE WHEN n_type = 'paragraph' THEN new_text[11:] END AS new_text,
+       CASE WHEN o_type = 'image' THEN old_text[7:] END AS old_sha1,
+       CASE WHEN n_type = 'image' THEN new_text[7:] END AS new_sha1,
+       CASE WHEN o_type = 'image' THEN o_size END AS old_size, CASE WHEN n_type = 'image' THEN n_size END AS new_size,
+       CASE WHEN o_type = 'table' THEN o_size END AS old_rows, CASE WHEN n_type = 'table' THEN n_size END AS new_rows,
+       cells.n AS changed_cells, cells.n AS marked_cells
+FROM mixed m LEFT JOIN cells ON cells.doc_id = m.doc_id AND cells.entry_idx = m.entry_idx"""
     return q

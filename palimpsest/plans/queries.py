@@ -1,6 +1,7 @@
 """Registered queries: one per operator of the inventory, each ``(spark, sf_dir) -> DataFrame``.
 
-Every query reads the given tables (or fixtures Spark derives from them) in full.  Column names and
+Every query reads the given tables (or fixtures Spark derives from them) in full; each document, order
+and table is in one snapshot at least.  Column names and
 types match the DuckDB oracles in ``plans.oracle``.
 """
 
@@ -33,11 +34,13 @@ def revision(spark: SparkSession, sf_dir: str, **kw) -> Comparison:
 
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entity terms taken from the given tables: nation names (GPE), region names (LOC), part names
-    (PRODUCT)."""
+    (PRODUCT), the first two words of every benchmark item (WORK_OF_ART)."""
     n = read_table(spark, sf_dir, "nation").select(F.col("n_name").alias("term"), F.lit("GPE").alias("code"))
     r = read_table(spark, sf_dir, "region").select(F.col("r_name").alias("term"), F.lit("LOC").alias("code"))
     p = read_table(spark, sf_dir, "part").select(F.col("p_name").alias("term"), F.lit("PRODUCT").alias("code"))
-    return n.unionByName(r).unionByName(p)
+    b = read_table(spark, sf_dir, "benchmark").select(F.regexp_extract("text", r"^\S+ \S+", 0).alias("term"),
+                                                      F.lit("WORK_OF_ART").alias("code"))
+    return n.unionByName(r).unionByName(p).unionByName(b)
 
 
 # ---- A: sources ------------------------------------------------------------------------------------
@@ -141,24 +144,34 @@ def q_snapshot_cell_diff(spark, sf):
 
 
 # ---- E / F / G on message revisions ------------------------------------------------------------------
+def _revised_pairs(spark, sf):
+    """Changed entries of the document revision; the edits bring in units, years and legal references."""
+    return revision(spark, sf).changes.filter(F.col("change") == "changed").select(
+        "doc_id", "entry_idx", "old_text", "new_text")
+
+
 def q_text_predicates(spark, sf):
+    """E1-E6, E8, E11 over every line of the new snapshot, and over what is between a document's words."""
+    _, new = fixtures.revision_lines(read_table(spark, sf, "documents"))
     d = read_table(spark, sf, "documents")
+    gaps = d.select("doc_id", F.lit(-1).alias("line"), F.regexp_replace("text", r"[^ \n]+", "").alias("text"))
+    lines = new.select("doc_id", F.posexplode("lines").alias("line", "text")).unionByName(gaps)
     t = F.coalesce(F.col("text"), F.lit(""))
-    return d.select("doc_id", T.has_digit(t).alias("has_digit"), T.has_score_unit(t).alias("has_score_unit"),
-                    T.has_year(t).alias("has_year"), T.has_label_unit(t).alias("has_label_unit"),
-                    T.has_number(t).alias("has_number"), T.has_legal_ref(t).alias("has_legal_ref"),
-                    T.word_count(t).cast("bigint").alias("word_count"), T.is_blank(t).alias("is_blank"))
+    return lines.select("doc_id", "line", T.has_digit(t).alias("has_digit"), T.has_score_unit(t).alias("has_score_unit"),
+                        T.has_year(t).alias("has_year"), T.has_label_unit(t).alias("has_label_unit"),
+                        T.has_number(t).alias("has_number"), T.has_legal_ref(t).alias("has_legal_ref"),
+                        T.word_count(t).cast("bigint").alias("word_count"), T.is_blank(t).alias("is_blank"))
 
 
 def q_score_bonus(spark, sf):
-    p = _message_pairs(spark, sf)
-    return p.select("conv_id", "role", "turn", score_bonus(F.col("old_text"), F.col("new_text")).alias("bonus"))
+    p = _revised_pairs(spark, sf)
+    return p.select("doc_id", "entry_idx", score_bonus(F.col("old_text"), F.col("new_text")).alias("bonus"))
 
 
 def q_labels(spark, sf):
-    p = _message_pairs(spark, sf)
+    p = _revised_pairs(spark, sf)
     merged = F.concat(F.coalesce("old_text", F.lit("")), F.lit(" "), F.coalesce("new_text", F.lit("")))
-    return p.select("conv_id", "role", "turn", F.array_join(label_union(merged), ", ").alias("labels"))
+    return p.select("doc_id", "entry_idx", F.array_join(label_union(merged), ", ").alias("labels"))
 
 
 def q_entity_labels(spark, sf):
@@ -211,10 +224,11 @@ def q_embedding_cosine(spark, sf):
 
 
 def q_cluster_k(spark, sf):
-    """G7 per conversation: revised messages ``n``; no clusters below 3, else ``max(2, min(10, n // 5))``."""
-    p = _message_pairs(spark, sf).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_changed"))
-    k = F.when(F.col("n_changed") >= 3, F.greatest(F.lit(2), F.least(F.lit(10), F.floor(F.col("n_changed") / 5))))
-    return p.select("conv_id", "n_changed", k.cast("bigint").alias("k"))
+    """G7 per document: changed entries ``n``; no clusters below 3."""
+    from ..operators.cluster import MIN_CHANGES, cluster_k
+    n = F.col("n_changed")
+    p = revision(spark, sf).change_counts().select("doc_id", F.col("changed").alias("n_changed"))
+    return p.select("doc_id", "n_changed", F.when(n >= MIN_CHANGES, cluster_k(n)).cast("bigint").alias("k"))
 
 
 # ---- F / H / I on the document revision ---------------------------------------------------------------
@@ -300,6 +314,74 @@ def q_cluster_changes(spark, sf):
     return cluster_changes(a)
 
 
+def q_cluster_members(spark, sf):
+    """G6 by what must hold: every changed index of a document is in exactly one cluster, numbered below k."""
+    c = q_cluster_changes(spark, sf)
+    k = q_cluster_k(spark, sf).filter(F.col("k").isNotNull())
+    return c.join(k, "doc_id").groupBy("doc_id", "idx").agg(
+        F.count(F.lit(1)).alias("n_clusters"), F.min((F.col("cluster") >= 0) & (F.col("cluster") < F.col("k"))).alias("in_range"))
+
+
+def q_type_distribution(spark, sf):
+    return report.type_distribution(revision(spark, sf).analyzed).select("doc_id", "change_type", "n_changes")
+
+
+def q_hide_unchanged(spark, sf):
+    """I6."""
+    return report.filter_changes(revision(spark, sf).entries, hide_unchanged=True).select(
+        "doc_id", "entry_idx", "change")
+
+
+def q_align_blocks_frontier(spark, sf):
+    """C2-C7 by route 2 alone: every document goes through the distributed rounds."""
+    return revision(spark, sf, max_udf_blocks=0).entries.select("doc_id", "entry_idx", "change", "old_pos", "new_pos")
+
+
+def q_cell_markup(spark, sf):
+    """D3 in changed cells, checked by its invariant (see ``q_inline_diff``)."""
+    pairs = fixtures.lineitem_revision_pairs(spark, sf)
+    nested = celldiff.with_nested_markup(pairs.select(
+        "doc_id", celldiff.nested_table_diff(F.col("old_table"), F.col("new_table")).alias("table_changes")))
+    cells = nested.select("doc_id", F.posexplode("table_changes").alias("r", "row")).select(
+        "doc_id", "r", F.posexplode("row").alias("c", "cell")).filter("cell.type = 'changed'")
+    return cells.select("doc_id", "r", "c", strip_markup(F.col("cell.inline_html"), "old").alias("old_view"),
+                        strip_markup(F.col("cell.inline_html"), "new").alias("new_view"))
+
+
+# ---- documents of several block types -------------------------------------------------------------------
+def mixed(spark: SparkSession, sf_dir: str, **kw) -> Comparison:
+    return Comparison(*fixtures.mixed_revision(spark, sf_dir), **kw)
+
+
+def q_mixed_changes(spark, sf):
+    return mixed(spark, sf).changes.select("doc_id", "entry_idx", "change", "type", "old_pos", "new_pos")
+
+
+def q_mixed_stats_by_type(spark, sf):
+    return mixed(spark, sf).stats_by_type()
+
+
+def q_mixed_facets(spark, sf):
+    return report.type_facets(mixed(spark, sf).changes)
+
+
+def q_mixed_json(spark, sf):
+    """A11 with every kind of payload, read back."""
+    from ..sources.sinks import write_changes_json
+    path = _sink_dir(spark, "mixed_json")
+    write_changes_json(mixed(spark, sf).detailed, path)
+    schema = "doc_id bigint, entry_idx int, change string, type string, old_text string, new_text string, " \
+             "old_table array<array<string>>, new_table array<array<string>>, old_sha1 string, new_sha1 string, " \
+             "old_size bigint, new_size bigint, table_changes array<array<struct<type:string,inline_html:string>>>"
+    r = spark.read.schema(schema).json(path)
+    cells = F.flatten("table_changes")
+    return r.select("doc_id", "entry_idx", "change", "type", "old_text", "new_text", "old_sha1", "new_sha1",
+                    F.col("old_size"), F.col("new_size"), F.size("old_table").cast("bigint").alias("old_rows"),
+                    F.size("new_table").cast("bigint").alias("new_rows"),
+                    F.size(F.filter(cells, lambda c: c["type"] == "changed")).cast("bigint").alias("changed_cells"),
+                    F.size(F.filter(cells, lambda c: c["inline_html"].isNotNull())).cast("bigint").alias("marked_cells"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "blocks_from_text": q_blocks_from_text,
@@ -340,6 +422,15 @@ def queries() -> dict[str, Query]:
         "type_facets": q_type_facets,
         "corpus_top_k": q_corpus_top_k,
         "cluster_changes": q_cluster_changes,
+        "cluster_members": q_cluster_members,
+        "type_distribution": q_type_distribution,
+        "hide_unchanged": q_hide_unchanged,
+        "align_blocks_frontier": q_align_blocks_frontier,
+        "cell_markup": q_cell_markup,
+        "mixed_changes": q_mixed_changes,
+        "mixed_stats_by_type": q_mixed_stats_by_type,
+        "mixed_facets": q_mixed_facets,
+        "mixed_json": q_mixed_json,
         "changes_json": q_changes_json,
         "report_rows": q_report_rows,
     }

@@ -8,10 +8,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Upper bound for a broadcast side.  A side is broadcast only after its row count has been
+# Upper bound for a broadcast side.  A side is broadcast only after its size in bytes has been
 # measured below this bound (see ``broadcast_if_small``); otherwise the join stays a
 # shuffle join and AQE decides at runtime.
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -53,6 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="palimpsest-ckpt-", dir="/tmp")
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
@@ -65,10 +67,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def size_in_bytes(df: DataFrame) -> int:
+    """Measured size of a DataFrame's values: 8 bytes a number, the bytes of strings and binaries, the JSON text
+    of nested values.  One aggregate row; partial sums on the executors."""
+    def width(name: str, kind: str):
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            return F.octet_length(c)
+        if kind.startswith(("array", "map", "struct")):
+            return F.octet_length(F.to_json(F.struct(c)))
+        return F.lit(8)
+    row = F.lit(16)
+    for name, kind in df.dtypes:
+        row = row + F.coalesce(width(name, kind), F.lit(0))
+    return df.agg(F.sum(row.cast("bigint"))).first()[0] or 0
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Broadcast hint only behind a measured size bound; larger sides stay shuffle joins."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if size_in_bytes(df) <= max_bytes else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -146,6 +146,32 @@ def lineitem_revision_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs
 
 
+def mixed_revision(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents of three block types, ``(old_docs, new_docs, old_blocks, new_blocks)``: the lines of a document
+    (V1), then the table of the order of that number and the bytes of the page of that number as an image, if
+    there are any.  The new image differs for every third document."""
+    from ..functions.keys import conform_blocks
+    from .lines import lines_blocks
+    old_lines, new_lines = revision_lines(read_table(spark, sf_dir, "documents"))
+    old_tables, new_tables = lineitem_revision(spark, sf_dir)
+    pages = read_table(spark, sf_dir, "pages")
+
+    def image(changed: bool) -> DataFrame:
+        data = F.when(F.lit(changed) & (F.col("page_id") % 3 == 0), F.concat("html", F.lit("x"))).otherwise(F.col("html"))
+        return pages.select(F.col("page_id").alias("doc_id"), F.lit("image").alias("type"),
+                            F.sha1(data.cast("binary")).alias("sha1"), F.octet_length(data).cast("bigint").alias("size"))
+
+    def side(lines: DataFrame, tables: DataFrame, images: DataFrame) -> DataFrame:
+        n = lines.select("doc_id", F.size("lines").alias("n"))
+        t = tables.join(n, "doc_id").withColumn("block_pos", F.col("n")).drop("n")
+        has = tables.select("doc_id", F.lit(1).alias("one"))
+        i = (images.join(n, "doc_id").join(has, "doc_id", "left")
+             .withColumn("block_pos", F.col("n") + F.coalesce("one", F.lit(0))).drop("n", "one"))
+        return lines_blocks(lines).unionByName(conform_blocks(t)).unionByName(conform_blocks(i))
+    return (old_lines.select("doc_id"), new_lines.select("doc_id"), side(old_lines, old_tables, image(False)),
+            side(new_lines, new_tables, image(True)))
+
+
 def message_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4: each message against the previous message of the same role in the conversation."""
     from pyspark.sql import Window

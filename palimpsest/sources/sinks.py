@@ -1,7 +1,8 @@
 """Writing comparison results.
 
-* ``write_changes_json`` (A11): one JSON object per entry (JSON Lines), UTF-8 with non-ASCII kept;
-  null fields are left out, as keys are absent in the reference's entry dictionaries.
+* ``write_changes_json`` (A11): one JSON object per entry (JSON Lines) with both sides' whole payload and all that
+  was computed for it, UTF-8 with non-ASCII kept; null fields are left out, as keys are absent in the
+  reference's entry dictionaries.
 * ``write_report_rows`` (A12): what the report shows per entry, as Parquet partitioned by ``change``
   (so a reader of one change kind prunes the others).
 
@@ -13,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import PAYLOAD_FIELDS
 from ..functions.text import score_band, short_fingerprint
 
-ENTRY_COLUMNS = ["doc_id", "entry_idx", "change", "type", "old_pos", "new_pos", "old_text", "new_text",
-                 "inline_html", "score", "labels", "semantic_score", "change_type", "confidence"]
+ENTRY_COLUMNS = ["doc_id", "entry_idx", "change", "type", "old_pos", "new_pos",
+                 *[f"{side}_{name}" for side in ("old", "new") for name, _ in PAYLOAD_FIELDS],
+                 "inline_html", "table_changes", "score", "labels", "semantic_score", "change_type", "confidence"]
 
 
 def ai_info_present(labels: Column, sem: Column, change_type: Column, conf: Column) -> Column:
@@ -35,7 +38,8 @@ def report_rows(analyzed: DataFrame) -> DataFrame:
         ai_info_present(F.col("labels"), F.col("semantic_score"), F.col("change_type"), F.col("confidence"))
         .alias("ai_info"),
         short_fingerprint(F.coalesce(F.col("new_sha1"), F.col("old_sha1"))).alias("short_sha1"),
-        text.alias("text"), "inline_html")
+        text.alias("text"), F.when(F.col("change") == "changed", F.col("old_text")).alias("old_text"), "inline_html",
+        "table_changes")
 
 
 def write_changes_json(changes: DataFrame, path: str) -> None:

@@ -21,6 +21,11 @@ def test_entity_labels_from_gazetteer(spark):
                                "term string, code string")
     got = {r.id: r.entity_labels for r in entity_labels(texts, ["id"], "t", gz).collect()}
     assert got == {1: ["location", "organization", "person"]}     # R14; unknown codes dropped
+    words = spark.createDataFrame([("small ring", "PRODUCT"), ("France", "GPE"), ("New York City", "GPE")], "term string, code string")
+    t = spark.createDataFrame([(1, "A Small, ring."), (2, "in (France), today"), (3, "ring small"), (4, None),
+                               (5, "to new york city!")], "id int, t string")
+    assert {r.id: r.entity_labels for r in entity_labels(t, ["id"], "t", words).collect()} == {
+        1: ["product"], 2: ["location"], 5: ["location"]}
     merged = label_union(F.lit("x 5"), F.array(F.lit("person")))
     assert spark.range(1).select(merged.alias("l")).first().l == ["numbers", "person"]
 
@@ -52,7 +57,7 @@ def test_cluster_changes_invariants(spark):
     rows = [(1, i, "changed", f"old {i}", ("alpha beta" if i % 2 else "gamma delta") + f" {i}") for i in range(6)]
     rows += [(2, 0, "changed", "a", "b"), (2, 1, "unchanged", "c", None)]
     df = spark.createDataFrame(rows, "doc_id bigint, entry_idx int, change string, old_text string, new_text string")
-    got = cluster_changes(df, iterations=3).collect()
+    got = cluster_changes(df).collect()
     d1 = [r for r in got if r.doc_id == 1]
     assert sorted(r.idx for r in d1) == list(range(6))       # every changed index exactly once (R19)
     assert len({r.cluster for r in d1}) <= 2                 # k = max(2, min(10, 6 // 5)) = 2
