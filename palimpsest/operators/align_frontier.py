@@ -38,7 +38,6 @@ from ..functions.ranking import running_sum_within, slice_of
 from ..session import cut_lineage
 
 OPCODE_COLS = ["doc_id", "tag", "i1", "i2", "j1", "j2", "base"]
-MAX_ROUNDS = 10_000
 
 
 def _popular(nb: DataFrame, autojunk: bool) -> DataFrame:
@@ -137,8 +136,7 @@ def _keep(df: DataFrame, held: list) -> DataFrame:
 
 
 def frontier_segments(docs: DataFrame, old_blocks: DataFrame, new_blocks: DataFrame,
-                      autojunk: bool = True, max_rounds: int = MAX_ROUNDS,
-                      small_range: int | None = None) -> DataFrame:
+                      autojunk: bool = True, small_range: int | None = None) -> DataFrame:
     """Matches and gaps ``(doc_id, i, j, lo, ln, is_match)`` of every document in ``docs``
     (``doc_id, n_old, n_new``).
 
@@ -164,16 +162,12 @@ def frontier_segments(docs: DataFrame, old_blocks: DataFrame, new_blocks: DataFr
     state = cut_lineage(oa.select("doc_id", "side", "pos", "key", "seed")
                         .unionByName(nb.select("doc_id", "side", "pos", "key", "seed"))
                         .join(both.select("doc_id"), "doc_id", "left_semi").withColumn("rid", F.lit(0).cast("bigint")))
-    rounds = 0
     size0 = F.col("ahi") - F.col("alo") + F.col("bhi") - F.col("blo")
     small_parts: list[DataFrame] = [ranges.filter(size0 <= small_range)]
     small_state: list[DataFrame] = [state.join(small_parts[0].select("doc_id", "rid"), ["doc_id", "rid"], "left_semi")]
     ranges = ranges.filter(size0 > small_range)
     state = state.join(ranges.select("doc_id", "rid"), ["doc_id", "rid"], "left_semi")
-    while not ranges.isEmpty():
-        rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError("frontier alignment did not converge")
+    while not ranges.isEmpty():  # every round cuts a match out of a range or closes it, so ranges run out
         held: list[DataFrame] = []
         a_state = state.filter(F.col("side") == "a").select("doc_id", "rid", F.col("pos").alias("i"), "key")
         b_state = state.filter(F.col("side") == "b").select("doc_id", "rid", F.col("pos").alias("j"), "key", "seed")
