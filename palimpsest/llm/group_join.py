@@ -42,7 +42,7 @@ CHUNK = 64
 OFTEN = 32  # classes that make a token an often-seen one
 OFTEN_MOST = 200_000  # tokens kept as often-seen (8 bytes each, sent to every task)
 LOCAL_TOKENS = 1 << 22  # tokens counted at once in a task
-SALTS = 32
+SALTS = 32  # parts that the postings of an often-seen token are dealt in
 
 
 def token_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -138,6 +138,11 @@ def _behind(n: Column) -> Column:
     return F.floor((4 * n + 4) / 5) - 1
 
 
+def _salt(often: Column) -> Column:
+    """What sets the parts of an often-seen token (1, else 0) apart; the same again takes it off."""
+    return F.when(often == 1, F.xxhash64(F.pmod("c", F.lit(SALTS)))).otherwise(F.lit(0).cast("long"))
+
+
 def _near(a: Column, b: Column) -> Column:
     return (5 * a >= 4 * b) & (5 * b >= 4 * a)
 
@@ -194,18 +199,31 @@ def classes_and_roots(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     prefix = texts.select("text").mapInArrow(
         _prefixes(often), "c long, n long, rare long, tokens array<long>, often array<boolean>")
+    # a posting is three longs: the token (an often-seen one moved on by the salt of its class), the class, and
+    # its sizes packed; they are dealt out before anything else is computed from them
+    token, seen = F.col("t.tokens"), F.col("t.often").cast("long")
     post = (prefix.select("c", "n", "rare", F.explode(F.arrays_zip("tokens", "often")).alias("t"))
-            .select(F.col("t.tokens").alias("token"), F.col("t.often").alias("often"), "c", "n", "rare")
-            .withColumn("salt", F.when(F.col("often"), F.pmod("c", F.lit(SALTS))).otherwise(0)))
-    one = Window.partitionBy("token", "salt")
-    order = F.struct("rare", "n", "c")
-    met = cut_lineage(post.withColumn("lead", F.min(order).over(one)).withColumn("last", F.max("c").over(one))
-                      .withColumn("first", F.min("c").over(one)).where("often OR first < last")
-                      .select("token", "often", "c", "n", "rare", "lead").distinct())
-    late = met.where("often").groupBy("token").agg(F.min("lead").alias("lead"))  # at most OFTEN_MOST rows
-    led = (met.where("NOT often").select("c", "n", "lead").union(
-        met.where("often").drop("lead").join(F.broadcast(late), "token").select("c", "n", "lead"))
-        .select("c", "n", F.col("lead.c").alias("d"), F.col("lead.n").alias("m")).where("c <> d"))
+            .select(token.bitwiseXOR(_salt(seen)).alias("key"), "c",
+                    (F.shiftleft("n", 32) + F.shiftleft("rare", 1) + seen).alias("packed"))
+            .repartition("key"))
+    seen, size = F.col("packed") % 2, F.shiftright("packed", 32)
+    rare = F.shiftright("packed", 1) % (1 << 31)
+    one = Window.partitionBy("key")
+    met = (post.withColumn("lead", F.min(F.struct(rare.alias("rare"), size.alias("m"), "c")).over(one))
+           .withColumn("last", F.max("c").over(one)).withColumn("first", F.min("c").over(one))
+           .where((seen == 1) | (F.col("first") < F.col("last")))
+           .select("key", "c", "packed", "lead").distinct())  # by the key they are dealt by: nothing moves
+    met = cut_lineage(met.select(
+        F.col("key").bitwiseXOR(_salt(seen)).alias("token"), "c",
+        (F.shiftleft(size, 1) + seen).alias("n_often"), F.col("lead.c").alias("d"),
+        (F.shiftleft("lead.rare", 32) + F.col("lead.m")).alias("rare_m")))
+    met = met.select("token", "c", F.shiftright("n_often", 1).alias("n"), (F.col("n_often") % 2 == 1).alias("often"), "d",
+                     "rare_m")
+    lead = F.struct("rare_m", "d")
+    late = met.where("often").groupBy("token").agg(F.min(lead).alias("lead"))  # at most OFTEN_MOST rows
+    led = (met.where("NOT often").select("c", "n", lead.alias("lead")).union(
+        met.where("often").join(F.broadcast(late), "token").select("c", "n", "lead"))
+        .select("c", "n", F.col("lead.d").alias("d"), (F.col("lead.rare_m") % (1 << 32)).alias("m")).where("c <> d"))
 
     # groups: each class against the leader it shares most tokens with, if the bound allows a link
     counted = led.groupBy("c", "n", "d", "m").agg(F.count(F.lit(1)).alias("k"))
