@@ -154,3 +154,33 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: f
     return own.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(
         *[F.col(f"{name}.{m}").alias(m) for m in MEASURES], failed.alias("base_failed"),
         (~failed & ~broken).alias("kept")).alias(name))
+
+
+# The result of the registered query in DuckDB SQL.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+grams AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n
+          FROM (SELECT r, i, w[i:i + 4] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) > 4))),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM grams, range(5) AS o(k) WHERE n > 1 GROUP BY r),
+m AS (SELECT w.r, doc_id, source, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+             coalesce(c.n, 0) AS n_repeat_words, len(l) AS n_lines,
+             len(list_filter(w, lambda x: regexp_matches(x, '[A-Z].*[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS n_upper
+      FROM w LEFT JOIN covered c ON c.r = w.r),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, 10 * n_symbols > word_chars AS f1,
+             10 * n_dup_lines > 3 * n_lines AS f2, 10 * n_upper > 5 * n_words AS f3,
+             word_chars < 2 * n_words OR word_chars > 15 * n_words AS f4 FROM m),
+h AS (SELECT source, k, count(*) AS n, count(*) FILTER (WHERE b) AS x
+      FROM (SELECT source, unnest([1, 2, 3, 4]) AS k, unnest([f1, f2, f3, f4]) AS b FROM f) GROUP BY source, k),
+fit AS (SELECT k, least(greatest(avg(x / n), 1e-6), 1 - 1e-6) AS mu, var_pop(x / n) AS v FROM h GROUP BY k),
+post AS (SELECT source, k, mu * s + x AS a, (1 - mu) * s + n - x AS b
+         FROM (SELECT h.*, mu, greatest(mu * (1 - mu) / greatest(v, 1e-9) - 1, 1.0) AS s FROM h JOIN fit USING (k))),
+bad AS (SELECT source, max(k = 1 AND z) AS b1, max(k = 2 AND z) AS b2, max(k = 3 AND z) AS b3, max(k = 4 AND z) AS b4
+        FROM (SELECT source, k, a / (a + b) - 2 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 AS z FROM post)
+        GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (b1 AND f1 OR b2 AND f2 OR b3 AND f3 OR b4 AND f4) AS kept
+FROM f JOIN bad ON bad.source IS NOT DISTINCT FROM f.source
+"""

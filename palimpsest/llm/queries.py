@@ -79,4 +79,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_group_join": group_join.SQL, "op8_line_templates": line_templates.SQL}
+    return {"op1_group_join": group_join.SQL, "op8_line_templates": line_templates.SQL,
+            "op10_host_quality": host_quality.SQL}

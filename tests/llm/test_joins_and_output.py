@@ -54,7 +54,10 @@ def _sorted(rows):
     return sorted((tuple(r) for r in rows), key=str)
 
 
-def test_join_matches_brute_force(spark):
+@pytest.mark.parametrize("often", [3, 32])
+def test_join_matches_brute_force(spark, monkeypatch, often):
+    monkeypatch.setattr(group_join, "OFTEN", often)  # the choice of often-seen tokens never changes the result
+    monkeypatch.setattr(group_join, "CHUNK", 2 * often)
     rng = random.Random(3)
     word = lambda: "".join(rng.choices("abcdef", k=rng.randint(2, 6)))
     common = [word() for _ in range(60)]
