@@ -39,7 +39,7 @@ def report_rows(analyzed: DataFrame) -> DataFrame:
         .alias("ai_info"),
         short_fingerprint(F.coalesce(F.col("new_sha1"), F.col("old_sha1"))).alias("short_sha1"),
         text.alias("text"), F.when(F.col("change") == "changed", F.col("old_text")).alias("old_text"), "inline_html",
-        "table_changes")
+        *(["table_changes"] if "table_changes" in analyzed.columns else []))
 
 
 def write_changes_json(changes: DataFrame, path: str) -> None:

@@ -25,11 +25,11 @@ def test_mixed_blocks_pipeline(spark):
     rows = {r.entry_idx: r for r in c.analyzed.collect()}
     assert [rows[i].change for i in range(4)] == ["changed", "changed", "changed", "unchanged"]
     p, t, img, same = rows[0], rows[1], rows[2], rows[3]
-    from tests.test_diff import ref_inline
-    assert p.inline_html == ref_inline("value 12", "value 13 kg 2024") and p.table_changes is None
+    assert p.inline_html == "value 1<ins>3 kg </ins>2<ins>024</ins>" and p.table_changes is None
     assert t.inline_html is None and t.type == "table"
     cells = [[(x.type, x.text, x.old, x.new) for x in r] for r in t.table_changes]
     assert cells[0][1] == ("changed", None, "B", "X") and cells[2][0] == ("changed", None, "", "E")
+    assert t.table_changes[0][1].inline_html == "<del>B</del><ins>X</ins>" and t.table_changes[0][0].inline_html is None
     assert p.score > 1.0                                            # digit + unit + year terms (R23)
     # a table pair has no text: ratio('', '') = 1.0, so the score is the type bonus alone
     assert t.ratio == 1.0 and t.score == 2.0
