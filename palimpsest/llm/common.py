@@ -9,10 +9,22 @@ from pyspark.sql import functions as F
 
 from palimpsest.session import cut_lineage, read_table
 
-__all__ = ["cut_lineage", "read_table", "with_fields", "free_name", "utf8", "WordArrays", "word_arrays",
+__all__ = ["in_small_batches", "cut_lineage", "read_table", "with_fields", "free_name", "utf8", "WordArrays", "word_arrays",
            "mix64", "unit_interval", "bounded_sample", "components", "narrow_ids"]
 
 
+BATCH_ROWS = 1_000  # texts that a Python worker holds at once
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches cut to ``BATCH_ROWS`` rows if they were larger: whole texts cross to
+    Python, and a batch of the usual 10,000 can take a large part of a worker's memory."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not use (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import components, cut_lineage, free_name, mix64, narrow_ids, word_arrays
+from palimpsest.llm.common import components, cut_lineage, free_name, in_small_batches, mix64, narrow_ids, word_arrays
 
 SHINGLE = 5
 CHUNK = 64
@@ -187,7 +187,7 @@ def _h(text: str) -> Column:
 def classes_and_roots(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """``sets(doc_id, h, n, c)``, a row a document (h: hash of its text), and ``roots(c, root, component_id)``, a
     row a class with tokens."""
-    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
+    texts = in_small_batches(docs).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
                         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     measured = cut_lineage(docs.select(F.col(f"`{doc_id}`").cast("long"), F.coalesce(F.col(f"`{text}`"), F.lit("")), _h(text))
                            .mapInArrow(_measure, "doc_id long, h long, n long, c long, token long, seen long"))

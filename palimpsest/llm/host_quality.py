@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import free_name, utf8, word_arrays
+from palimpsest.llm.common import cut_lineage, free_name, in_small_batches, narrow_ids, utf8, word_arrays
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words"]
 SOFT_RULES = ["many_symbols", "many_dup_lines", "shouting", "odd_words"]
@@ -140,11 +140,13 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: f
 
     If ``docs`` has a column of that name already, the struct takes the name with a leading ``_``.
     """
+    docs = in_small_batches(docs)
     name, key = free_name(docs, "quality"), free_name(docs, "_host")
     counts = docs.select(F.col(f"`{host}`").alias("host"), measures(F.col(f"`{text}`")).alias("m"))
     failures = counts.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *[
         F.sum(c.cast("long")).alias(r) for r, c in _soft("m").items()])
-    verdicts = host_verdicts(failures, max_rate).select(F.struct("*").alias(key))
+    # verdicts are broadcast when hosts are few enough (counted), so the texts stay where they are
+    verdicts = narrow_ids(cut_lineage(host_verdicts(failures, max_rate))).select(F.struct("*").alias(key))
     own = docs.withColumn(name, measures(F.col(f"`{text}`")))
     own = own.join(verdicts, F.col(f"`{host}`").eqNullSafe(F.col(f"{key}.host")), "left")
     broken = F.lit(False)

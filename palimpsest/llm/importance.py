@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_sample, cut_lineage, free_name, unit_interval, word_arrays
+from palimpsest.llm.common import bounded_sample, cut_lineage, free_name, in_small_batches, unit_interval, word_arrays
 
 BUCKETS = 1 << 14
 LABELLED = 20_000
@@ -106,7 +106,7 @@ def kth_largest(keys: DataFrame, col: str, k: int) -> int | None:
 def resample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
              k: int | None = None) -> DataFrame:
     """The rows of ``docs`` in the sample, with a struct ``importance`` of ``log_weight`` and ``gumbel_key``."""
-    name = free_name(docs, "importance")
+    name = free_name(in_small_batches(docs), "importance")
     model = train(docs, labels, doc_id, text, label)
     w = docs.select("*", weight(F.col(f"`{text}`"), model).alias(name))
     noise = -F.log(-F.log(unit_interval(F.lit("gumbel"), F.col(f"`{doc_id}`"), F.col(f"`{text}`"))))

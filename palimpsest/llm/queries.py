@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import (group_join, host_quality, importance, license_scan, line_templates, pii, secrets, source_mix,
                             template_leaks, token_files)
-from palimpsest.llm.common import read_table, with_fields
+from palimpsest.llm.common import in_small_batches, read_table, with_fields
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_small_batches(read_table(spark, sf_dir, "documents"))
 
 
 def _fields(ddl: str) -> list[str]:
@@ -17,11 +21,11 @@ def _fields(ddl: str) -> list[str]:
 
 
 def op1_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return group_join.join(read_table(spark, sf_dir, "documents"))
+    return group_join.join(_documents(spark, sf_dir))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     sized = docs.select("doc_id", "source", source_mix.n_words(F.col("text")).alias("size"))
     return source_mix.rounded(sized).select("doc_id", "size", "source_size", "target",
                                             (F.col("copies") * F.col("size")).alias("taken"), "source")
@@ -29,44 +33,44 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.scratch(spark)
-    token_files.write(read_table(spark, sf_dir, "documents"), path)
+    token_files.write(_documents(spark, sf_dir), path)
     return token_files.digest(token_files.read(spark, path))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     model = secrets.train(docs)
     return with_fields(docs, secrets.scan(F.col("text"), model), _fields(secrets.FIELDS), ["doc_id"])
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return with_fields(docs, license_scan.scan(F.col("text")),
                        ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"], ["doc_id"])
 
 
 def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = importance.resample(read_table(spark, sf_dir, "documents").select("doc_id", "text"),
+    kept = importance.resample(_documents(spark, sf_dir).select("doc_id", "text"),
                                read_table(spark, sf_dir, "labels"))
     return kept.select("doc_id", "importance.log_weight", "importance.gumbel_key", F.lit(True).alias("kept"))
 
 
 def op7_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return template_leaks.leaks(read_table(spark, sf_dir, "documents"),
+    return template_leaks.leaks(_documents(spark, sf_dir),
                                 read_table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_templates.report(read_table(spark, sf_dir, "documents"))
+    return line_templates.report(_documents(spark, sf_dir))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return with_fields(docs, pii.scan(F.col("text")), _fields(pii.FIELDS), ["doc_id"])
 
 
 def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "source")
     return host_quality.judge(docs).select("doc_id", *[f"quality.{c}" for c in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 

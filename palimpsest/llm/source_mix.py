@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut_lineage, free_name
+from palimpsest.llm.common import cut_lineage, free_name, in_small_batches
 
 WEIGHTS = (5.0, 2.0, 1.0)  # by code point order of the source, repeating; null comes last
 CAP = 3.0
@@ -195,7 +195,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     k1, k2 = free_name(docs, "_k1"), free_name(docs, "_k2")
     parts = [F.col(f"`{doc_id}`"), F.col(f"`{source}`"), F.col(f"`{text}`")]
     marks = [F.lit(7).cast("int"), *[p.isNull() for p in parts], *parts]
-    marked = docs.withColumn(k1, F.xxhash64(*marks)).withColumn(k2, F.hash(*marks))
+    marked = in_small_batches(docs).withColumn(k1, F.xxhash64(*marks)).withColumn(k2, F.hash(*marks))
     taken = rounded(marked.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"),
                                   F.col(f"`{source}`").cast("string").alias("source"),
                                   n_words(F.col(f"`{text}`")).alias("size")))
