@@ -9,7 +9,7 @@ narrow columns alone.  One file holds one range, so file order is id order, and
 number of ids before the document in its file.
 
 Encoding: with this tokenizer's splitting rule every piece between a non-space character and a
-following single space or line break stands alone, so equal pieces are encoded once per process
+following single space or line break stands alone, so equal pieces are encoded once
 (bounded cache); a text where the cut would be unsafe is encoded whole.  The ids are the library's.
 
 Defined cases: a null or empty text has the end id alone; null ids come first; rows with equal ids are
@@ -20,7 +20,6 @@ empty table gives an empty result; extra columns are not written.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import in_small_batches
 from palimpsest.session import ensure_checkpoint_dir
 
 END_ID = 0
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 700_000  # pieces held while a task runs
+KEPT_PIECES, SHORT = 100_000, 7  # beyond so many, pieces of at most so many characters are kept between tasks
 PARQUET = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true",
            "parquet.block.size": str(16 << 20), "parquet.page.size": str(256 << 10),
            "parquet.page.row.count.limit": "2000", "compression": "zstd"}
-_UNSAFE = re.compile(r"\s(?:[ \n]|\Z)|\A\s")
 
 
 def vocabulary() -> str:
@@ -53,49 +53,57 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces: dict[str, bytes] = {}
-        decoder = self.tokenizer.get_added_tokens_decoder()
-        self.added = [t.content for t in decoder.values()]
-        self.cuts = len(self.tokenizer.encode("\n", add_special_tokens=False).ids) == 1
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # a byte-level token has one character a byte
+        self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.width[i] = len(token)
+        self.cuts = len(self._ids("\n")) == 1 and self.width[self._ids("a ß 日")].sum() == len("a ß 日".encode())
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def learn(self, new: list[str]) -> None:
-        """Encodes pieces in one text; every piece starts where the splitting rule starts anew."""
+        """Encodes pieces in one text; every piece starts where the splitting rule starts anew, so the bytes of the
+        ids tell where it ends."""
         if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
-        chunks = [p if p[0] == "\n" else " " + p for p in new]
-        for lo in range(0, len(chunks), 2000):
-            part = chunks[lo:lo + 2000]
-            enc = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            ends = np.cumsum([len(c) for c in part])
-            ids = np.array(enc.ids, "<u4")
-            stop = np.array([e for _, e in enc.offsets])
-            cut = np.searchsorted(stop, ends, "right")
-            before = 0
-            for p, c in zip(new[lo:lo + 2000], cut):
-                self.pieces[p] = ids[before:c].tobytes()
-                before = c
+        for lo in range(0, len(new), 2000):
+            part = new[lo:lo + 2000]
+            chunks = [(p if p[0] == "\n" else " " + p).encode() for p in part]
+            ids = self._ids(b"".join(chunks).decode())
+            cut = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(c) for c in chunks]), "right").tolist()
+            data, before = ids.tobytes(), 0
+            for p, c in zip(part, cut):
+                self.pieces[p] = data[before:4 * c]
+                before = 4 * c
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.cuts or _UNSAFE.search(text) or any(a in text for a in self.added):
-            return self.whole(text)
+        # pieces are safe when single spaces and line breaks are all the white space, and none is at an end
+        if not self.cuts or " ".join(text.split()) != text.replace("\n", " ") or any(a in text for a in self.added):
+            return self._ids(text).tobytes()
         parts = text.replace("\n", " \n").split(" ")
         parts[0] = "\n" + parts[0]
         try:
             return b"".join(map(self.pieces.__getitem__, parts))[4:]
         except KeyError:
-            known = self.pieces
-            self.learn([p for p in dict.fromkeys(parts) if p not in known])
+            self.learn([p for p in dict.fromkeys(parts) if p not in self.pieces])
             if not all(map(self.pieces.__contains__, parts)):  # the cache was emptied meanwhile
                 self.learn([p for p in dict.fromkeys(parts) if p not in self.pieces])
             return b"".join(map(self.pieces.__getitem__, parts))[4:]
 
 
+    def rest(self) -> None:
+        """Between tasks only short pieces are kept: they are the frequent ones, and the worker may serve other work."""
+        if len(self.pieces) > KEPT_PIECES:
+            self.pieces = {p: ids for p, ids in self.pieces.items() if len(p) <= SHORT}
+        pa.default_memory_pool().release_unused()
+
+
 def encoder(path: str) -> Encoder:
-    """One encoder a process and vocabulary: Python workers outlive tasks, and so do its pieces."""
+    """One encoder a process and vocabulary: Python workers outlive tasks, and so do its short pieces."""
     import tokenizers
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     kept = tokenizers.__dict__.setdefault("_encoders_by_path", {})
@@ -121,13 +129,14 @@ def _encode(path: str):
                      pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(values))],
                     names=["doc_id", "local_start", "n_tokens", "ids"])
                 before += int(ends[-1])
+        encode.rest()
     return run
 
 
 def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", vocab: str | None = None,
           ranges: int | None = None) -> None:
     """Writes the token files of ``docs`` to ``path`` in ascending id order."""
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
+    rows = in_small_batches(docs).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
                        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"),
                        F.xxhash64(F.col(f"`{text}`")).alias("h"))
     if ranges is None:
