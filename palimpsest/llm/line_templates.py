@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut_lineage, free_name
+from palimpsest.llm.common import cut_lineage, free_name, narrow_ids
 
 LEAD = 3
 MIN_DOCS = 5
@@ -39,10 +39,10 @@ def _tokens(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``(doc, line, tokens)`` of every line with a word; lines are numbered from 0."""
+    """``(doc, line, s, tokens)`` of every line with a word; lines are numbered from 0."""
     starred = F.regexp_replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), r"(?<!\S)[^\s0-9]*+[0-9]\S*+", FIELD)
     return (docs.select(_document(doc_id, text).alias("doc"), F.posexplode(F.split(starred, "\n")).alias("line", "s"))
-            .select("doc", "line", _tokens(F.col("s")).alias("tokens")).where(F.size("tokens") > 0))
+            .select("doc", "line", "s", _tokens(F.col("s")).alias("tokens")).where(F.size("tokens") > 0))
 
 
 def _path(tokens: Column) -> Column:
@@ -56,9 +56,10 @@ def recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_d
     lines = cut_lineage(_lines(docs, doc_id, text).select("doc", "line", _path(t).alias("leaf"),
                                                           F.xxhash64(t).alias("plain")))
     leaves = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    seen = _lines(docs, doc_id, text).select(_path(t).alias("leaf"), F.xxhash64(t).alias("plain"), "tokens")
-    distinct = cut_lineage(seen.join(leaves, "leaf", "left_semi").groupBy("leaf", "plain")
-                           .agg(F.first("tokens").alias("tokens")))
+    seen = _lines(docs, doc_id, text).select(_path(t).alias("leaf"), F.xxhash64(t).alias("plain"), "s")
+    distinct = cut_lineage(seen.join(narrow_ids(cut_lineage(leaves)), "leaf", "left_semi").groupBy("leaf", "plain")
+                           .agg(F.first("s").alias("s")))
+    distinct = distinct.select("leaf", "plain", _tokens(F.col("s")).alias("tokens"))  # lines travel as text
     at = distinct.select("leaf", F.posexplode("tokens").alias("pos", "token"))
     share = (at.groupBy("leaf", "pos", "token").agg(F.count(F.lit(1)).alias("n")).groupBy("leaf", "pos")
              .agg((F.max("n") / F.sum("n")).alias("top")))
