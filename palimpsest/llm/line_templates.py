@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import cut_lineage, free_name, narrow_ids
 
 LEAD = 3
-MIN_DOCS = 5
+MIN_DOCS = 2
 CONSTANT = 0.5
 SIMILAR = 0.7
 FIELD = "<*>"

@@ -303,6 +303,16 @@ def test_line_templates(spark, odd_docs, no_docs):
     assert line_templates.dedup(odd_docs).columns == odd_docs.columns and line_templates.dedup(odd_docs).count() == 11
 
 
+def test_line_templates_from_two_documents(spark):
+    """A line of two documents goes; a line repeated in one document, or found once, stays."""
+    docs = [(1, "this passage stands in two documents\nalone in this one document\ntwice in one text\ntwice in one text"),
+            (2, "only the other text has this\nthis passage stands in two documents")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.dropped) for r in line_templates.report(d).collect()}
+    assert got == {1: (4, 1, "0"), 2: (2, 1, "1")}
+    assert {r.doc_id: r.text for r in line_templates.dedup(d).collect()}[2] == "only the other text has this"
+
+
 def test_registered_sql(spark):
     from palimpsest.llm.queries import oracle_sql
     for name, sql in oracle_sql().items():
