@@ -3,12 +3,16 @@
 Numbers, names (capitalised words inside a sentence) and units (after a number) become typed slots, all
 else is lowered; a text is then a row of template tokens.  Every window of ``WINDOW`` tokens of the
 benchmark items is hashed and held by the executors; every window of every whole document is hashed in
-place and looked up, so the documents are scanned once and not shuffled.  Hits are grouped by document,
-item and diagonal (document position less item position), and on each diagonal the slots are compared:
-equal benchmark values must stand for equal document values.  A document leaks an item when the
-consistent windows cover ``MIN_SHARE`` of the item's tokens, be the slots filled anew or not.
-
-Bounds: the window table is broadcast in blocks of at most ``BLOCK_WINDOWS`` rows (12 bytes each); a
+place and looked up, so the documents are scanned once and not shuffled.  A window with more slots than
+words says little as a template and is looked up with its values.  Each run of hits brings the document's
+tokens of its diagonal (document position less item position), and there all windows are compared again:
+equal benchmark values must stand for equal document values, and windows that hold a slot that breaks this
+are dropped.  Of a benchmark value's several document values the benchmark's own holds, else the one of
+most of its slots, else none.  Windows with more slots than words count when a window of words stands on
+the same diagonal, or when their values agree too.  A document leaks an item when the windows left cover
+``MIN_SHARE`` of the item's tokens, be the slots filled anew or not.
+
+Bounds: the window table is broadcast in blocks of at most ``BLOCK_WINDOWS`` narrow rows; a
 larger benchmark takes one scan of the documents a block.  Items of fewer than ``MIN_TOKENS`` tokens
 are too common to be searched; shorter items than a window are looked up whole.
 
@@ -67,14 +71,62 @@ def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
             .withColumn("n_tokens", F.size("item_template")).where(F.col("n_tokens") >= MIN_TOKENS).distinct())
 
 
+def _n_words(part: Column) -> Column:
+    for mark in (NUMBER, NAME, UNIT):
+        part = F.array_remove(part, mark)
+    return F.size(part)
+
+
+def _by_value(part: Column, width: Column) -> Column:
+    """Whether a window of template tokens has more slots than words."""
+    return 2 * _n_words(part) < width
+
+
 def _windows(items: DataFrame) -> DataFrame:
-    """``(key, item_row, at, width)`` of the items' windows that are at least half words."""
+    """``(key, before, item_row, at, width, n_tokens, by_value)`` of the items' windows; ``before`` is the key of the
+    window one token earlier."""
     width = F.least(F.lit(WINDOW), F.col("n_tokens"))
-    rows = items.select("item_row", "item_template", "n_tokens", width.alias("width"),
+    rows = items.select("item_row", "item_template", "item_words", "n_tokens", width.alias("width"),
                         F.explode(F.sequence(F.lit(1), F.col("n_tokens") - width + 1)).alias("at"))
-    part = F.slice("item_template", F.col("at"), F.col("width"))
-    words = F.size(F.filter(part, lambda x: ~x.rlike(f"^[{NUMBER}-{UNIT}]$")))
-    return rows.where(2 * words >= F.col("width")).select(F.xxhash64(part).alias("key"), "item_row", "at", "width")
+    keyed = rows.select("*", *[_key("item_words", "item_template", at, F.col("width")).alias(name)
+                               for name, at in (("key", F.col("at")), ("earlier", F.greatest(F.col("at") - 1, F.lit(1))))])
+    return keyed.select("key", F.when(F.col("at") > 1, F.col("earlier")).alias("before"), "item_row", "at", "width",
+                        "n_tokens", _by_value(F.slice("item_template", F.col("at"), F.col("width")), F.col("width"))
+                        .alias("by_value"))
+
+
+def _key(words: str, tmpl: str, at: Column, width: Column, values: bool = True) -> Column:
+    """Hash of the window at ``at``; without ``values`` all windows are hashed as templates."""
+    part = F.slice(tmpl, at, width)
+    plain = F.xxhash64(part)
+    return F.when(_by_value(part, width), F.xxhash64(F.slice(words, at, width))).otherwise(plain) if values else plain
+
+
+def _compared(diagonal: DataFrame) -> DataFrame:
+    """Adds ``ats``, the windows that count, and ``refilled``; positions are the item's, from 1."""
+    n, width = F.col("n_tokens"), F.col("width")
+    at = lambda a, p: F.get(a, p - 1)
+    doc = lambda a, p: F.get(a, p - F.col("first"))
+    inside = lambda a, p: (a <= p) & (p < a + width)
+    d = diagonal.withColumn("same", F.transform(F.sequence(F.lit(1), n), lambda p: F.coalesce(
+        at("item_template", p) == doc("tmpl", p), F.lit(False))))
+    d = d.withColumn("stand", F.filter(F.sequence(F.lit(1), n - width + 1),
+                                       lambda a: F.forall(F.slice("same", a, width), lambda x: x)))
+    d = d.withColumn("s", F.transform(
+        F.filter(F.sequence(F.lit(1), n), lambda p: at("item_template", p).isin(NUMBER, NAME, UNIT)
+                 & F.exists("stand", lambda a: inside(a, p))),
+        lambda p: F.struct(p.alias("p"), at("item_words", p).alias("b"), doc("words", p).alias("d"))))
+    own = lambda x: F.exists("s", lambda y: (y["b"] == x["b"]) & (y["d"] == y["b"]))
+    most = lambda x: (2 * F.size(F.filter("s", lambda y: (y["b"] == x["b"]) & (y["d"] == x["d"])))
+                      > F.size(F.filter("s", lambda y: y["b"] == x["b"])))
+    d = d.withColumn("bad", F.filter("s", lambda x: (x["d"] != x["b"]) & (own(x) | ~most(x))))
+    d = d.withColumn("good", F.filter("stand", lambda a: ~F.exists("bad", lambda x: inside(a, x["p"]))))
+    words = F.exists("good", lambda a: ~_by_value(F.slice("item_template", a, width), width))
+    anew = lambda a: F.exists("s", lambda x: inside(a, x["p"]) & (x["b"] != x["d"]))
+    d = d.withColumn("ats", F.when(words, F.col("good")).otherwise(F.filter("good", lambda a: ~anew(a))))
+    changed = F.filter("s", lambda x: (x["b"] != x["d"]) & F.exists("ats", lambda a: inside(a, x["p"])))
+    return d.where(F.size("ats") > 0).withColumn(
+        "refilled", F.size(F.array_distinct(F.transform(changed, lambda x: F.struct(x["b"], x["d"])))))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -86,36 +138,36 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     items = cut_lineage(_items(benchmark, item_id, item_text)
                         .withColumn("item_row", F.xxhash64(F.col("item_id").isNull(), "item_id", "item_words")))
     windows = cut_lineage(_windows(items))
-    widths = sorted(r[0] for r in windows.select("width").distinct().collect())  # at most WINDOW values
+    kinds = {r[0]: r[1] for r in windows.groupBy("width").agg(F.max("by_value")).collect()}  # at most WINDOW rows
     blocks = max(1, math.ceil(windows.count() / BLOCK_WINDOWS))
     mark = marked(F.col(f"`{text}`"))
     tokenised = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"),
                             tokens(mark).alias("words"), template(mark).alias("tmpl"))
     hits = None
-    for width in widths or [WINDOW]:
+    for width, values in sorted(kinds.items()) or [(WINDOW, False)]:
+        key = lambda at: _key("words", "tmpl", at, F.lit(width), values)  # noqa: E731, B023
         rows = (tokenised.where(F.size("tmpl") >= width)
                 .select("*", F.explode(F.sequence(F.lit(1), F.size("tmpl") - width + 1)).alias("i"))
-                .withColumn("k", F.xxhash64(F.slice("tmpl", F.col("i"), width))))
+                .withColumn("k", key(F.col("i"))))
         for b in range(blocks):
             some = windows.where((F.col("width") == width)
                                  & (F.pmod(F.xxhash64("item_row"), F.lit(blocks)) == b))
-            hit = (rows.join(F.broadcast(some.select("key", "item_row", "at")), F.col("k") == F.col("key"))
-                   .select("doc_id", "text_hash", "item_row", "at", (F.col("i") - F.col("at")).alias("diagonal"),
-                           F.lit(width).alias("width"), F.slice("words", F.col("i"), width).alias("part")))
+            # a run of hits is told by its first window
+            goes_on = (F.col("i") > 1) & (key(F.greatest(F.col("i") - 1, F.lit(1))) == F.col("before"))
+            diagonal = F.col("i") - F.col("at")
+            begin = F.greatest(diagonal + 1, F.lit(1))
+            size = F.col("n_tokens") + diagonal - begin + 1
+            hit = (rows.join(F.broadcast(some.select("key", "before", "item_row", "at", "n_tokens")),
+                             F.col("k") == F.col("key"))
+                   .where(~F.coalesce(goes_on, F.lit(False)))
+                   .select("doc_id", "text_hash", "item_row", diagonal.alias("diagonal"), F.lit(width).alias("width"),
+                           (begin - diagonal).alias("first"), F.slice("words", begin, size).alias("words"),
+                           F.slice("tmpl", begin, size).alias("tmpl")))
             hits = hit if hits is None else hits.union(hit)
-    # one window of each place: equal rows of a table, or equal items, give the same hit again
-    pairs = hits.join(F.broadcast(items) if blocks == 1 else items, "item_row").select(
-        "doc_id", "text_hash", "item_id", "item_row", "n_tokens", "diagonal", "at", "width",
-        F.arrays_zip(F.slice("item_words", F.col("at"), F.col("width")).alias("b"), F.col("part").alias("d"))
-        .alias("z"))
-    slots = F.filter("z", lambda x: x["b"].rlike(f"^[{NUMBER}-{UNIT}]"))
-    # slots of a window: benchmark value and document value, by name of the mark
-    diagonal = pairs.select("*", slots.alias("s")).groupBy("doc_id", "text_hash", "item_row", "diagonal").agg(
-        F.first("item_id").alias("item_id"), F.first("n_tokens").alias("n_tokens"), F.first("width").alias("width"),
-        F.collect_set("at").alias("ats"),  # at most the item's length
-        F.array_distinct(F.flatten(F.collect_set("s"))).alias("s"))
-    consistent = F.size(F.array_distinct(F.transform("s", lambda x: x["b"]))) == F.size("s")
-    ok = diagonal.where(consistent).withColumn("refilled", F.size(F.filter("s", lambda x: x["b"] != x["d"])))
+    # one row of each diagonal: its runs, equal rows of a table, or equal items, give the same tokens again
+    found = hits.groupBy("doc_id", "text_hash", "item_row", "diagonal").agg(
+        *[F.first(c).alias(c) for c in ("width", "first", "words", "tmpl")])
+    ok = _compared(found.join(F.broadcast(items) if blocks == 1 else items, "item_row"))
     both = ok.groupBy("doc_id", "text_hash", "item_row").agg(
         F.first("item_id").alias("item_id"), F.first("n_tokens").alias("n_tokens"), F.first("width").alias("width"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("ats"),

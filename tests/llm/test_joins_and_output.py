@@ -270,6 +270,24 @@ def test_leaks_plain_and_refilled(spark, odd_docs, no_docs):
     assert template_leaks.clean(odd_docs, b).columns == odd_docs.columns
 
 
+def test_leaks_of_items_dense_in_slots(spark):
+    """Windows of more slots than words count with their own values, or beside a window of words; a slot that breaks the
+    pairing of values takes its own windows only."""
+    sums = "Compute 12 + 7 * 3 - 4 / 2 and 9 + 8"
+    mixed = "add the numbers that follow in this list and tell me 3 5 8 13 21 34 55 89 144 233"
+    twice = ("we paid 30 coins for the first old wooden boat in town and then went on to ask for more boats until "
+             "the owner would take no less than 30 coins again")
+    bench = spark.createDataFrame([(1, sums), (2, mixed), (3, twice)], "item_id long, text string")
+    docs = [(10, "Sums. " + sums + " now"), (11, sums.replace("12", "13").replace("9", "6")), (12, mixed),
+            (13, mixed.replace("144", "145").replace(" 3 5 ", " 4 6 ")), (14, "no " + twice.replace("than 30", "than 31")),
+            (15, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_tokens, r.n_covered, r.refilled) for r in template_leaks.leaks(d, bench).collect()}
+    assert set(got) == {(10, 1), (12, 2), (13, 2), (14, 3)}, got
+    assert got[10, 1] == (9, 9, 0) and got[12, 2] == (21, 21, 0) and got[13, 2] == (21, 21, 3)
+    assert got[14, 3][1] < got[14, 3][0] and got[14, 3][2] == 0
+
+
 def test_leaks_in_blocks_and_verbatim(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
