@@ -10,11 +10,11 @@ equal benchmark values must stand for equal document values, and windows that ho
 are dropped.  Of a benchmark value's several document values the benchmark's own holds, else the one of
 most of its slots, else none.  Windows with more slots than words count when a window of words stands on
 the same diagonal, or when their values agree too.  A document leaks an item when the windows left cover
-``MIN_SHARE`` of the item's tokens, be the slots filled anew or not.
+``MIN_SHARE`` of the item's tokens or ``RUN`` of them in a row, be the slots filled anew or not.
 
 Bounds: the window table is broadcast in blocks of at most ``BLOCK_WINDOWS`` narrow rows; a
-larger benchmark takes one scan of the documents a block.  Items of fewer than ``MIN_TOKENS`` tokens
-are too common to be searched; shorter items than a window are looked up whole.
+larger benchmark takes one scan of the documents a block.  Items shorter than a window are looked up
+whole, those of fewer than ``MIN_TOKENS`` tokens with their values, as their templates are too common.
 
 Defined cases: null or empty texts match nothing, on either side; null ids are kept; repeated rows (equal
 in id and text) are one; several items may match one document, and ties need no order; an empty table on
@@ -33,6 +33,7 @@ from palimpsest.llm.common import cut_lineage, free_name, narrow_ids
 WINDOW = 8
 MIN_TOKENS = 5
 MIN_SHARE = 0.5
+RUN = 13  # covered tokens in a row that are a leak whatever the item's length
 BLOCK_WINDOWS = 500_000
 
 # Slots: one mark before the value.  These control characters are taken out of texts first.
@@ -68,7 +69,7 @@ def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     mark = marked(F.col(f"`{text}`"))
     return (benchmark.select(F.col(f"`{item_id}`").alias("item_id"), tokens(mark).alias("item_words"),
                              template(mark).alias("item_template"))
-            .withColumn("n_tokens", F.size("item_template")).where(F.col("n_tokens") >= MIN_TOKENS).distinct())
+            .withColumn("n_tokens", F.size("item_template")).where(F.col("n_tokens") > 0).distinct())
 
 
 def _n_words(part: Column) -> Column:
@@ -78,8 +79,8 @@ def _n_words(part: Column) -> Column:
 
 
 def _by_value(part: Column, width: Column) -> Column:
-    """Whether a window of template tokens has more slots than words."""
-    return 2 * _n_words(part) < width
+    """Whether a window of template tokens has more slots than words, or is a short item."""
+    return (2 * _n_words(part) < width) | (width < MIN_TOKENS)
 
 
 def _windows(items: DataFrame) -> DataFrame:
@@ -176,8 +177,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
         F.sequence(F.lit(1), F.size("ats")), F.lit(0),
         lambda acc, i: acc + F.when(i == 1, 0).otherwise(
             F.least(F.col("width"), F.element_at("ats", i) - F.element_at("ats", F.greatest(i - 1, F.lit(1))))))
+    none = F.struct(F.lit(0).alias("start"), F.lit(0).alias("last"), F.lit(0).alias("longest"))
+
+    def longer(acc, a):
+        start = F.when((acc["last"] > 0) & (a - acc["last"] <= F.col("width")), acc["start"]).otherwise(a)
+        return F.struct(start.alias("start"), a.alias("last"),
+                        F.greatest(acc["longest"], a + F.col("width") - start).alias("longest"))
+
+    run = F.aggregate("ats", none, longer, lambda acc: acc["longest"])
     return (both.withColumn("n_covered", covered).withColumn("share", F.col("n_covered") / F.col("n_tokens"))
-            .where(F.col("share") >= min_share)
+            .where((F.col("share") >= min_share) | (run >= F.least(F.lit(RUN), F.col("n_tokens"))))
             .select("doc_id", "text_hash", "item_id", "n_tokens", "n_covered", "share", "refilled"))
 
 

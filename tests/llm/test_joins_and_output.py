@@ -288,6 +288,19 @@ def test_leaks_of_items_dense_in_slots(spark):
     assert got[14, 3][1] < got[14, 3][0] and got[14, 3][2] == 0
 
 
+def test_leaks_of_part_of_a_long_item_and_of_short_items(spark):
+    long = " ".join(f"{a}{b}" for a in ("ta", "ne", "ri", "so", "lu", "ka") for b in "bcdfghjklm")  # 60 words
+    words = long.split()
+    bench = spark.createDataFrame([(1, long), (2, "zebra crossing at noon"), (3, "room 12"), (4, "...")], "item_id long, text string")
+    docs = [(10, "he said " + " ".join(words[20:48]) + " and left"), (11, "he said " + " ".join(words[20:33]) + " and left"),
+            (12, "he said " + " ".join(words[20:32]) + " and left"),
+            (13, " ".join(words[:10]) + " or " + " ".join(words[30:40])), (14, "a zebra crossing at noon is seen"),
+            (15, "a zebra crossing at night"), (16, "in room 12 it is"), (17, "in room 13 it is")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_covered for r in template_leaks.leaks(d, bench).collect()}
+    assert got == {(10, 1): 28, (11, 1): 13, (14, 2): 4, (16, 3): 2}
+
+
 def test_leaks_in_blocks_and_verbatim(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
