@@ -3,12 +3,13 @@
 Two order-one models over characters are trained from labelled samples: random strings (the values
 that the fixed patterns find in the sample, and strings drawn evenly over the usual alphabets) and
 ordinary words (the sample's other words, in the cases that identifiers use, and joined as
-identifiers join them).  A token of ``MIN_TOKEN`` or more characters whose log-likelihood ratio is
-above ``MIN_RATIO`` a character adds a span of kind ``random``.  The spans of the fixed patterns stay.
+identifiers join them; numbers and dates; repeated characters).  A token of ``MIN_TOKEN`` or more characters whose
+log-likelihood ratio is ``MIN_RATIO`` or more a character adds a span of kind ``random``, of whatever
+characters it is made.  The spans of the fixed patterns stay.
 
 Bounds: the models are fitted on ``SAMPLE_ROWS`` documents (those with the smallest hash of the
-id) and collected as one table of character pairs; the scan covers every whole text, in place,
-without a shuffle.
+id), on ``SAMPLE_WORDS`` words of each drawn at random, and collected as one table of character
+pairs; the scan covers every whole text, in place, without a shuffle.
 
 Defined cases: a null or empty text has no spans; repeated rows are scanned one by one; an empty table
 gives an empty result (and models from the drawn strings alone); extra columns pass through.
@@ -39,13 +40,15 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 MIN_TOKEN = 16
 MIN_RATIO = 0.9
 SAMPLE_ROWS = 500
+SAMPLE_WORDS = 200
 DRAWN = 400  # drawn strings of each alphabet
 _ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 _INDEX = {c: i + 1 for i, c in enumerate(_ALPHABET)}  # 0: anything else, and the start of a token
 _N = len(_ALPHABET) + 1
 _RANDOM_ALPHABETS = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/",
                      string.ascii_letters + string.digits + "_-", "0123456789abcdef", "0123456789ABCDEF",
-                     string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits]
+                     string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits,
+                     string.ascii_letters, string.ascii_uppercase, string.ascii_lowercase, "0123456789abcdef--"]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -67,7 +70,7 @@ def _pairs(token: str, counts: np.ndarray, weight: float = 1.0) -> None:
 
 
 def _ordinary(words: list[str], rng: random.Random) -> list[str]:
-    """Words as identifiers spell them, and decimal numbers."""
+    """Words as identifiers spell them, decimal numbers alone and joined as in dates, and repeated characters."""
     out = []
     for w in words:
         out += [w, w.lower(), w.upper(), w.capitalize()]
@@ -75,6 +78,9 @@ def _ordinary(words: list[str], rng: random.Random) -> list[str]:
         parts = [w.lower() for w in rng.sample(words, 3)]
         out += ["_".join(parts), "-".join(parts), "/".join(parts), "".join(p.capitalize() for p in parts),
                 "_".join(parts).upper(), f"{parts[0]}{rng.randrange(100)}"]
+    signs = "+/_=-"
+    out += [c * 40 for c in signs] + [(rng.choice(signs) + rng.choice(signs)) * 10, rng.choice(string.ascii_letters) * 20]
+    out += [sign.join(f"{rng.randrange(10 ** k):0{k}}" for k in rng.choices((1, 2, 2, 3, 4), k=6)) for sign in "/_-"]
     return out + [str(rng.randrange(10 ** rng.randint(1, 18))) for _ in range(max(100, len(words) // 10))]
 
 
@@ -91,7 +97,7 @@ def sample_counts(texts: list[str], counts: np.ndarray) -> None:
             else:
                 words.append(m[0])
         if len(words) >= 3:
-            for w in _ordinary(rng.sample(words, min(len(words), 200)), rng):
+            for w in _ordinary(rng.sample(words, min(len(words), SAMPLE_WORDS)), rng):
                 _pairs(w, counts[0])
 
 
@@ -135,9 +141,7 @@ def random_spans(text: str, model: np.ndarray, taken: list[tuple[int, int, str]]
         s, e = m.span()
         if any(a < e and s < b for a, b, _ in taken):
             continue
-        t = m[0]
-        kinds = (any(c.isdigit() for c in t), any(c.islower() for c in t), any(c.isupper() for c in t))
-        if kinds[0] and sum(kinds) >= 2 and ratio(t, model) >= MIN_RATIO:
+        if ratio(m[0], model) >= MIN_RATIO:
             out.append((s, e, "random"))
     return out
 

@@ -61,6 +61,23 @@ def test_secret_model_held_out(spark):
     assert found >= 450 and wrong <= 25, (found, wrong)
 
 
+@pytest.mark.parametrize("alphabet", [string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase])
+def test_secret_of_letters_alone(spark, alphabet):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = secrets.train(docs)
+    rng = random.Random(99)
+    drawn = ["".join(rng.choices(alphabet, k=rng.randint(16, 40))) for _ in range(500)]
+    assert sum(secrets.random_spans(t, model, []) == [(0, len(t), "random")] for t in drawn) >= 475
+    words = [w for r in docs.collect() for w in re.findall(r"[A-Za-z]{3,}", r.text)][-4000:]
+    plain = [j(w.lower() for w in rng.sample(words, 4)) for j in ("".join, "_".join, "-".join, "/".join) for _ in range(200)]
+    plain += ["".join(w.capitalize() for w in rng.sample(words, 4)) for _ in range(200)] + [t.upper() for t in plain]
+    assert sum(bool(secrets.random_spans(t, model, [])) for t in plain) <= len(plain) // 100
+    for rule in ("-" * 20, "=" * 40, "_" * 16, "/" * 30, "+---+---+---+---+", "=-=-=-=-=-=-=-=-=-", "12345678901234567890",
+                 "x" * 24, "2024-01-02_12-30-00", "2024/01/02/03/04/05", "1-800-555-0199-1234"):
+        assert not secrets.random_spans(rule, model, []), rule
+    assert secrets.random_spans("550e8400-e29b-41d4-a716-446655440000", model, [])
+
+
 def test_license_base(spark, docs):
     got = {r.doc_id: r for r in with_fields(docs, license_scan.scan(F.col("text")), [
         "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"], ["doc_id"]).collect()}
