@@ -2,7 +2,8 @@
 
 The fixed patterns scan the text as it stands.  Then transducers normalise it: homoglyphs and other
 scripts' digits become ASCII (one character for one), invisible characters go, ``[at]`` / ``(dot)`` and
-spelled-out `` at `` / `` dot `` become ``@`` and ``.``, and runs of spelled digits become digits.  Each
+spelled-out `` at `` / `` dot `` become ``@`` and ``.`` (`` at `` alone before a domain whose last part is two
+letters or more), and runs of spelled digits become digits.  Each
 transducer keeps the offsets, the same detectors run on the result, and spans that touch a rewritten
 place are mapped back.  A mapped span that overlaps a span of the same kind is not added.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+import sys
 import unicodedata
 
 import pyarrow as pa
@@ -85,15 +87,15 @@ _LOOKS = dict(zip("аеорсухіјѕһԁԛԝ" "АВЕКМНОРСТУХІЈЅ
                   "aeopcyxijshdqw" "ABEKMHOPCTYXIJS" "oavipk" "ABEZHIKMNOPTYX", strict=True))
 _LOOKS |= {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}  # full-width forms
 _LOOKS |= {"。": ".", "․": ".", "‐": "-", "‑": "-", "–": "-", " ": " ", " ": " ", " ": " "}
-_GLYPHS = str.maketrans(_LOOKS)
-_ODD = re.compile("[" + "".join(re.escape(c) for c in _LOOKS) + r"٠-٩۰-۹०-९"
-                  "­​-‏⁠﻿]")
+_DECIMALS = {chr(c): str(unicodedata.decimal(chr(c))) for c in range(128, sys.maxunicode + 1)
+             if unicodedata.decimal(chr(c), -1) >= 0}
+_GLYPHS = str.maketrans(_DECIMALS | _LOOKS)
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
 _BRACKET = re.compile(r"\x20?[\[({<]\x20?(?:(at|@)|(dot|\.|punkt|punto|point))\x20?[\])}>]\x20?", re.I)
 _BARE = re.compile(r"(?<=[A-Za-z0-9_%+-])(\x20at\x20)(?=[A-Za-z0-9-]+\x20dot\x20[A-Za-z])"
                    r"|(?<=[A-Za-z0-9-])(\x20dot\x20)(?=[A-Za-z][A-Za-z0-9-]*)", re.I)
 _TLD = re.compile(r"(?<=[A-Za-z0-9_%+-])\x20at\x20(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\."
-                  r"(?:com|org|net|edu|gov|info|io)\b)", re.I)
+                  r"(?:[A-Za-z]{2,}|xn--[A-Za-z0-9-]+)\b)", re.I)
 _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6",
             "seven": "7", "eight": "8", "nine": "9"}
 _DIGIT_WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
@@ -102,14 +104,6 @@ _SPELLED_RUN = re.compile(rf"\b(plus[\x20-])?((?:{_DIGIT_WORD}|[0-9])(?:[\x20,.-
 _HAS_SPELLED = re.compile(rf"{_DIGIT_WORD}[\x20,.-]{{1,2}}{_DIGIT_WORD}[\x20,.-]", re.I)
 
 
-def _glyphs(text: str) -> str:
-    text = text.translate(_GLYPHS)
-    if not text.isascii():
-        text = "".join(c if c.isascii() or unicodedata.decimal(c, -1) < 0 else str(unicodedata.decimal(c))
-                       for c in text)
-    return text
-
-
 def _edits(text: str) -> list[tuple[int, int, str]]:
     """(start, end, replacement), in order and apart from one another."""
     found = [(*m.span(), "") for m in _HIDDEN.finditer(text)]
@@ -131,8 +125,8 @@ def _edits(text: str) -> list[tuple[int, int, str]]:
 
 def normalise(text: str) -> tuple[str, list[tuple[int, int, int, int]], list[int]]:
     """Normalised text; rewritten places as (start, end, source start, source end); places changed one for one."""
-    plain = _glyphs(text) if _ODD.search(text) else text
-    swapped = [i for i, (a, b) in enumerate(zip(plain, text)) if a != b] if plain is not text else []
+    plain = text if text.isascii() else text.translate(_GLYPHS)
+    swapped = [i for i, (a, b) in enumerate(zip(plain, text)) if a != b] if plain != text else []
     parts, places, done, size = [], [], 0, 0
     for a, b, r in _edits(plain):
         parts += [plain[done:a], r]

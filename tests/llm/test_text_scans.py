@@ -141,6 +141,24 @@ def test_pii_disguises(text, kind, part):
     assert [(k, text[s:e]) for s, e, k in pii.method_spans(text, base)] == [(kind, part)]
 
 
+@pytest.mark.parametrize("zero", [ord("٠"), ord("০"), ord("๐"), ord("௦"), 0x1D7CE])
+def test_pii_digits_of_any_script(zero):
+    def written(s):
+        return "".join(chr(zero + int(c)) if c.isdigit() else c for c in s)
+    for kind, part in (("phone", "+1 234 567 8901"), ("card", "4785380592391139"), ("ip", "192.168.1.1")):
+        text = "see " + written(part) + " there"
+        for around in (text, text + " Ａ\u00ad"):  # the rest of the text makes no difference
+            base = pii.base_spans(around)
+            assert [(k, around[s:e]) for s, e, k in pii.method_spans(around, base)] == [(kind, written(part))]
+
+
+def test_pii_bare_at_takes_any_top_level_domain():
+    for part in ("jane at firma.de", "jane at mail.example.museum", "jane at firma.co.uk"):
+        text = f"write to {part} now"
+        assert [(k, text[s:e]) for s, e, k in pii.method_spans(text, [])] == [("email", part)]
+    assert pii.method_spans("be there at 3.30 or at 5.p", []) == []
+
+
 @pytest.mark.parametrize("text", ["the one at home", "at the dot", "one two three", "Ne pas été à l’école", "at erly. Dot an"])
 def test_pii_leaves_prose_alone(text):
     assert pii.method_spans(text, pii.base_spans(text)) == []
