@@ -210,14 +210,15 @@ def route1_opcodes(pairs: DataFrame, autojunk: bool = True) -> DataFrame:
 
 def document_opcodes(old_docs: DataFrame, new_docs: DataFrame, old_blocks: DataFrame, new_blocks: DataFrame,
                      autojunk: bool = True, max_udf_blocks: int = MAX_UDF_BLOCKS,
-                     old_doc_keys: DataFrame | None = None, new_doc_keys: DataFrame | None = None) -> DataFrame:
+                     old_doc_keys: DataFrame | None = None, new_doc_keys: DataFrame | None = None,
+                     small_range: int | None = None) -> DataFrame:
     """Opcodes of every document, route 1 and route 2 together: ``(doc_id, tag, i1, i2, j1, j2, base)``."""
     from .align_frontier import frontier_opcodes
     pairs = document_pairs(old_docs, new_docs, old_blocks, new_blocks, max_udf_blocks, old_doc_keys, new_doc_keys)
     r1 = route1_opcodes(pairs, autojunk)
     r1 = r1.select("doc_id", F.explode("ops").alias("op")).select("doc_id", "op.*")
     big = pairs.filter((F.col("route") == 2) & ~F.col("parse_error")).select("doc_id", "n_old", "n_new", "same")
-    r2 = frontier_opcodes(big, old_blocks, new_blocks, autojunk=autojunk)
+    r2 = frontier_opcodes(big, old_blocks, new_blocks, autojunk, small_range)
     return r1.unionByName(r2)
 
 
@@ -271,10 +272,10 @@ def attach_payloads(entries: DataFrame, old_blocks: DataFrame, new_blocks: DataF
 def align_blocks(old_docs: DataFrame, new_docs: DataFrame, old_blocks: DataFrame, new_blocks: DataFrame,
                  autojunk: bool = True, max_udf_blocks: int = MAX_UDF_BLOCKS,
                  with_payload: bool = True, old_doc_keys: DataFrame | None = None,
-                 new_doc_keys: DataFrame | None = None) -> DataFrame:
+                 new_doc_keys: DataFrame | None = None, small_range: int | None = None) -> DataFrame:
     """The reference's result list for every document pair, one row per entry."""
     entries = expand_opcodes(document_opcodes(old_docs, new_docs, old_blocks, new_blocks, autojunk, max_udf_blocks,
-                                              old_doc_keys, new_doc_keys))
+                                              old_doc_keys, new_doc_keys, small_range))
     if not with_payload:
         return entries
     return attach_payloads(entries, old_blocks, new_blocks)

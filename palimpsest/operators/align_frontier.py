@@ -255,7 +255,7 @@ def frontier_segments(docs: DataFrame, old_blocks: DataFrame, new_blocks: DataFr
 
 
 def frontier_opcodes(docs: DataFrame, old_blocks: DataFrame, new_blocks: DataFrame,
-                     autojunk: bool = True) -> DataFrame:
+                     autojunk: bool = True, small_range: int | None = None) -> DataFrame:
     """Opcodes ``(doc_id, tag, i1, i2, j1, j2, base)`` of oversized documents.
 
     ``docs`` has ``doc_id, n_old, n_new`` and optionally ``same`` (identical documents take one
@@ -271,5 +271,5 @@ def frontier_opcodes(docs: DataFrame, old_blocks: DataFrame, new_blocks: DataFra
         rest = docs
     eq = same.select("doc_id", F.lit("equal").alias("tag"), F.lit(0).alias("i1"), F.col("n_old").cast("int").alias("i2"),
                      F.lit(0).alias("j1"), F.col("n_new").cast("int").alias("j2"), F.lit(0).alias("base"))
-    seg = frontier_segments(rest, old_blocks, new_blocks, autojunk)
+    seg = frontier_segments(rest, old_blocks, new_blocks, autojunk, small_range)
     return eq.unionByName(_segments_to_opcodes(seg))

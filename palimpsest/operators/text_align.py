@@ -99,16 +99,17 @@ def narrow_opcodes(old_lines: DataFrame, new_lines: DataFrame, autojunk: bool =
         autojunk, F.col("old_keys"), F.col("new_keys"))).alias("ops"))
 
 
-def _long_documents(old_lines: DataFrame, new_lines: DataFrame, big: DataFrame, autojunk: bool, payload: bool) -> DataFrame:
+def _long_documents(old_lines: DataFrame, new_lines: DataFrame, big: DataFrame, autojunk: bool, payload: bool,
+                    small_range: int | None = None) -> DataFrame:
     from ..sources.lines import lines_blocks
     ol = old_lines.join(big, "doc_id", "left_semi")
     nl = new_lines.join(big, "doc_id", "left_semi")
     return align.align_blocks(ol.select("doc_id"), nl.select("doc_id"), lines_blocks(ol), lines_blocks(nl),
-                              autojunk, max_udf_blocks=0, with_payload=payload)
+                              autojunk, max_udf_blocks=0, with_payload=payload, small_range=small_range)
 
 
 def text_positions(old_lines: DataFrame, new_lines: DataFrame, autojunk: bool = True,
-                   max_udf_blocks: int = align.MAX_UDF_BLOCKS) -> DataFrame:
+                   max_udf_blocks: int = align.MAX_UDF_BLOCKS, small_range: int | None = None) -> DataFrame:
     """Entries without their texts: ``doc_id, entry_idx, change, old_pos, new_pos``."""
     ops = narrow_opcodes(old_lines, new_lines, autojunk, max_udf_blocks)
     cols = ["doc_id", "entry_idx", "change", "old_pos", "new_pos"]
@@ -116,11 +117,11 @@ def text_positions(old_lines: DataFrame, new_lines: DataFrame, autojunk: bool =
     big = oversized_docs(old_lines, new_lines, max_udf_blocks)
     if big is None:
         return out
-    return out.unionByName(_long_documents(old_lines, new_lines, big, autojunk, False).select(*cols))
+    return out.unionByName(_long_documents(old_lines, new_lines, big, autojunk, False, small_range).select(*cols))
 
 
 def text_counts(old_lines: DataFrame, new_lines: DataFrame, autojunk: bool = True,
-                max_udf_blocks: int = align.MAX_UDF_BLOCKS) -> DataFrame:
+                max_udf_blocks: int = align.MAX_UDF_BLOCKS, small_range: int | None = None) -> DataFrame:
     """H1 of every document: ``doc_id, added, deleted, changed, unchanged, total_blocks``."""
     def total(width) -> Column:
         return F.coalesce(F.aggregate("ops", F.lit(0).cast("bigint"), lambda acc, o: acc + width(o)), F.lit(0).cast("bigint"))
@@ -138,7 +139,7 @@ def text_counts(old_lines: DataFrame, new_lines: DataFrame, autojunk: bool = Tru
     big = oversized_docs(old_lines, new_lines, max_udf_blocks)
     if big is None:
         return out
-    long = _long_documents(old_lines, new_lines, big, autojunk, False)
+    long = _long_documents(old_lines, new_lines, big, autojunk, False, small_range)
     return out.unionByName(long.groupBy("doc_id").agg(
         *[F.sum((F.col("change") == k).cast("bigint")).alias(k) for k in list(counts)[:4]],
         F.count(F.lit(1)).alias("total_blocks")))
@@ -186,10 +187,10 @@ def _with_text_payload(e: DataFrame) -> DataFrame:
 
 
 def text_changes(old_lines: DataFrame, new_lines: DataFrame, autojunk: bool = True,
-                 max_udf_blocks: int = align.MAX_UDF_BLOCKS) -> DataFrame:
+                 max_udf_blocks: int = align.MAX_UDF_BLOCKS, small_range: int | None = None) -> DataFrame:
     """C2-C7 for text corpora: every entry with its payload."""
     big = oversized_docs(old_lines, new_lines, max_udf_blocks)
     r1 = text_entries(text_pairs(old_lines, new_lines, big), autojunk)
     if big is None:
         return r1
-    return r1.unionByName(_long_documents(old_lines, new_lines, big, autojunk, True).select(*r1.columns))
+    return r1.unionByName(_long_documents(old_lines, new_lines, big, autojunk, True, small_range).select(*r1.columns))

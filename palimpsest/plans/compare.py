@@ -36,6 +36,7 @@ class Comparison:
     use_similarity: bool = True
     old_lines: DataFrame | None = None
     new_lines: DataFrame | None = None
+    small_range: int | None = None  # of route 2; None: align_frontier.SMALL_RANGE
 
     @classmethod
     def from_lines(cls, old_lines: DataFrame, new_lines: DataFrame, **kw) -> "Comparison":
@@ -59,17 +60,19 @@ class Comparison:
     @property
     def entries(self) -> DataFrame:
         if self.text_mode:
-            return text_align.text_positions(self.old_lines, self.new_lines, self.autojunk, self.max_udf_blocks)
+            return text_align.text_positions(self.old_lines, self.new_lines, self.autojunk, self.max_udf_blocks,
+                                             self.small_range)
         return align.align_blocks(self.old_docs, self.new_docs, self.old_blocks, self.new_blocks,
-                                  self.autojunk, self.max_udf_blocks, with_payload=False)
+                                  self.autojunk, self.max_udf_blocks, with_payload=False, small_range=self.small_range)
 
     @property
     def changes(self) -> DataFrame:
         """One row per entry with both payloads (prefixed ``old_`` / ``new_``) and effective ``type``."""
         if self.text_mode:
-            return text_align.text_changes(self.old_lines, self.new_lines, self.autojunk, self.max_udf_blocks)
+            return text_align.text_changes(self.old_lines, self.new_lines, self.autojunk, self.max_udf_blocks,
+                                           self.small_range)
         return align.align_blocks(self.old_docs, self.new_docs, self.old_blocks, self.new_blocks,
-                                  self.autojunk, self.max_udf_blocks)
+                                  self.autojunk, self.max_udf_blocks, small_range=self.small_range)
 
     # ---- D ------------------------------------------------------------------------------------------
     @property
@@ -132,7 +135,8 @@ class Comparison:
     def change_counts(self) -> DataFrame:
         if self.text_mode:  # the opcodes hold the counts, and their join holds every document
             none = F.lit(0).cast("bigint")
-            return text_align.text_counts(self.old_lines, self.new_lines, self.autojunk, self.max_udf_blocks).select(
+            return text_align.text_counts(self.old_lines, self.new_lines, self.autojunk, self.max_udf_blocks,
+                                          self.small_range).select(
                 "doc_id", *report.CHANGE_VALUES, none.alias("unknown"), none.alias("other"), "total_blocks")
         return report.change_counts(self.entries, self.manifest_ids())
 

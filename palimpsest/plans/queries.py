@@ -333,8 +333,8 @@ def q_hide_unchanged(spark, sf):
 
 
 def q_align_blocks_frontier(spark, sf):
-    """C2-C7 by route 2 alone: every document goes through the distributed rounds."""
-    return revision(spark, sf, max_udf_blocks=0).entries.select("doc_id", "entry_idx", "change", "old_pos", "new_pos")
+    """C2-C7 by route 2 alone: every range of every document goes through the distributed rounds."""
+    return revision(spark, sf, max_udf_blocks=0, small_range=0).entries.select("doc_id", "entry_idx", "change", "old_pos", "new_pos")
 
 
 def q_cell_markup(spark, sf):

@@ -141,3 +141,19 @@ def test_routes_agree_on_corpus(spark):
     a = sorted(tuple(r) for r in text.select(*cols).collect())
     b = sorted(tuple(r) for r in generic.entries.select(*cols).collect())
     assert a == b
+
+
+def test_registered_frontier_runs_in_the_loop_alone(spark, monkeypatch):
+    import __spark_entry__ as E
+    import palimpsest.operators.align_frontier as AF
+    left, finish = [], AF._finish_small_ranges
+
+    def recorded(small, state):
+        left.append(small.count())
+        return finish(small, state)
+
+    monkeypatch.setattr(AF, "_finish_small_ranges", recorded)
+    got = E.queries()["align_blocks_frontier"](spark, "/root/testdata/sf0.001").collect()
+    want = E.queries()["align_blocks"](spark, "/root/testdata/sf0.001").collect()
+    assert left and not any(left)
+    assert sorted(map(str, got)) == sorted(map(str, want))
