@@ -246,7 +246,7 @@ def frontier_segments(docs: DataFrame, old_blocks: DataFrame, new_blocks: DataFr
         state = state.join(ranges.select("doc_id", "rid"), ["doc_id", "rid"], "left_semi")
         for df in held:
             df.unpersist()
-    for sm_ranges, sm_state in zip(small_parts, small_state):
+    for sm_ranges, sm_state in zip(small_parts, small_state) if small_range > 0 else ():  # no range is empty
         found.append(_finish_small_ranges(sm_ranges, sm_state))
     out = found[0]
     for f in found[1:]:
