@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import (group_join, host_quality, importance, license_scan, line_templates, pii, secrets, source_mix,
-                            template_leaks, token_files)
+                            template_leaks, token_files, toxicity, turn_repair, word_runs)
 from palimpsest.llm.common import in_small_batches, read_table, with_fields
 
 
@@ -75,11 +75,31 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"),
+                         toxicity.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scanned = docs.select("doc_id", word_runs.scan(word_runs.looped(F.col("text"), F.col("doc_id"))).alias("s"))
+    return scanned.select("doc_id", *[c.alias(name) for name, c in word_runs.digest(F.col("s")).items()])
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, present = turn_repair.damaged(read_table(spark, sf_dir, "conversations"))
+    return turn_repair.audits(turn_repair.faulty(turns, present))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_group_join": op1_group_join, "op2_source_mix": op2_source_mix, "op3_token_files": op3_token_files,
             "op6_importance": op6_importance, "op7_template_leaks": op7_template_leaks,
             "op8_line_templates": op8_line_templates, "op4_secret_scan": op4_secret_scan, "op5_license_scan": op5_license_scan, "op9_pii": op9_pii,
-            "op10_host_quality": op10_host_quality}
+            "op10_host_quality": op10_host_quality, "op11_toxicity": op11_toxicity, "op12_word_runs": op12_word_runs,
+            "op13_turn_repair": op13_turn_repair}
 
 
 def oracle_sql() -> dict[str, str]:
