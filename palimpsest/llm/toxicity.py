@@ -1,9 +1,9 @@
 """Operator 11, toxicity by compression distance: two zstandard dictionaries and calibrated window lengths.
 
-A text, lower-cased, is cut into windows of ``WINDOW`` words.  Every window is compressed alone with a dictionary of
-ordinary text and with one of toxic text, and the difference of the two lengths in bytes is the window's distance.
-A logistic curve over a text's greatest distance, the number of windows of ``NEAR`` bytes or more (by the
-root of all windows) and the mean distance gives the score.
+A text, lower-cased and without ASCII punctuation, is cut into windows of ``WINDOW`` words.  Every window is
+compressed alone with a dictionary of ordinary text and with one of toxic text, and the difference of the two lengths in
+bytes is the window's distance.  A logistic curve over a text's greatest distance, its mean distance and what the
+windows' distances have beyond ``FREE`` bytes (by the root of all windows) gives the score.
 
 The ordinary dictionary is trained by zstandard on windows of ordinary texts.  A label speaks of a whole document,
 most of whose windows are ordinary, so the toxic dictionary is the same one continued by the passages that mark
@@ -36,16 +36,17 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import bounded_sample, cut_lineage
 
-WINDOW = 5  # words
-LEVEL = 3
-NEAR = 3  # bytes
-DICTIONARY = 16 << 10  # bytes of the ordinary dictionary
-MIN_ODDS = 1.5
+WINDOW = 6  # words
+LEVEL = 2
+FREE = 3  # bytes of distance that ordinary windows have by chance
+DICTIONARY = 64 << 10  # bytes of the ordinary dictionary
+MIN_ODDS = 1.8
 SAMPLE_ROWS = 4_000  # of either label
 SAMPLE_WINDOWS = 30_000
 PASSAGES = 1_000
 LONGEST = 400  # bytes of a window or a passage that is learnt from
 THRESHOLD = 0.3
+_LETTERS = bytes(c if c >= 128 or chr(c).isalnum() else 0x20 for c in range(256))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -57,7 +58,7 @@ class Distance:
 
     def __init__(self, ordinary: list[bytes], passages: list[bytes]):
         try:
-            size = max(256, min(DICTIONARY, sum(map(len, ordinary)) // 8))
+            size = max(256, min(DICTIONARY, sum(map(len, ordinary)) // 4))
             base = zstandard.train_dictionary(size, ordinary).as_bytes()
         except zstandard.ZstdError:  # too few windows to train on: their text itself
             base = b"".join(ordinary)[-DICTIONARY:]
@@ -74,17 +75,17 @@ class Distance:
 
 
 def windows(text: str | None) -> list[bytes]:
-    words = (text or "").lower().encode("utf-8", "replace").split()
+    words = (text or "").lower().encode("utf-8", "replace").translate(_LETTERS).split()
     return [b" ".join(words[i:i + WINDOW]) + b" " for i in range(0, len(words), WINDOW)] or [b""]
 
 
 def features(texts: Iterable[str | None], distance: Distance) -> np.ndarray:
-    """``(greatest distance, near windows, mean distance)`` of each text."""
+    """``(greatest distance, mean distance, distance beyond FREE by the root of the windows)`` of each text."""
     ordinary, toxic = distance.compressors()
     out = []
     for text in texts:
         d = [len(ordinary(w)) - len(toxic(w)) for w in windows(text)]
-        out.append((max(d), sum(x >= NEAR for x in d) / len(d) ** 0.5, sum(d) / len(d)))
+        out.append((max(d), sum(d) / len(d), sum(x - FREE for x in d if x > FREE) / len(d) ** 0.5))
     return np.array(out, float).reshape(-1, 3)
 
 
@@ -103,29 +104,33 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return b
 
 
-def _learn(some: DataFrame, halves: list[int]) -> Distance:
-    """Dictionaries from the sampled ``(doc_id, text, toxic, half)`` rows of some halves."""
-    rows = some.where(F.col("half").isin(halves))
+def _learn(some: DataFrame) -> list[Distance]:
+    """Dictionaries from the sampled ``(doc_id, text, toxic, half)`` rows of half 0, of half 1 and of both."""
     words = F.array_remove(F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}]+"), "")
     none = F.array(F.lit(""))
     zipped = F.arrays_zip(F.concat(none, F.col("w")).alias("before"), F.col("w").alias("word"),
                           F.concat(F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), none).alias("after"))
-    contexts = (rows.withColumn("w", words).select("toxic", F.explode(zipped).alias("c")).select("toxic", "c.*")
-                .where(F.col("word").isNotNull()).distinct())
-    counts = contexts.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
-    all_t, all_o = counts.agg(F.sum("t"), F.sum("o")).first()
-    t, o = F.col("t") + 0.5, F.col("o") + 0.5
-    odds = F.log(t / ((all_t or 0) + 1)) - F.log(o / ((all_o or 0) + 1)) - 2 * F.sqrt(1 / t + 1 / o)
-    telling = (counts.where((F.col("t") >= 3) & (F.octet_length("word") <= LONGEST)).withColumn("odds", odds)
-               .where(F.col("odds") > MIN_ODDS).orderBy(F.desc("odds"), "word").limit(PASSAGES).select("word"))
-    passages = [r[0].encode() for r in telling.collect()][::-1]  # at most PASSAGES
-    parts = F.array_remove(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), "")
+    contexts = (some.withColumn("w", words).select("toxic", "half", F.explode(zipped).alias("c"))
+                .select("toxic", "half", "c.*").where(F.col("word").isNotNull()).distinct())
+    cells = [f"n{toxic}{half}" for toxic in (0, 1) for half in (0, 1)]
+    counts = cut_lineage(contexts.groupBy("word").agg(*[
+        F.sum(((F.col("toxic") == int(c[1])) & (F.col("half") == int(c[2]))).cast("long")).alias(c) for c in cells]))
+    total = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in cells]).first()
     cut = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)), F.lit(WINDOW)),
                       lambda i: F.concat(F.array_join(F.slice("w", i, WINDOW), " "), F.lit(" ")))
-    pieces = (rows.where("toxic = 0").withColumn("w", parts).select(F.explode(cut).alias("p"))
-              .where((F.octet_length("p") <= LONGEST) & (F.length("p") > 1)).distinct())
-    ordinary = bounded_sample(cut_lineage(pieces), SAMPLE_WINDOWS, F.col("p"))
-    return Distance([r[0].encode() for r in ordinary.collect()], passages)  # at most SAMPLE_WINDOWS of LONGEST bytes
+    pieces = cut_lineage(some.where("toxic = 0").withColumn("w", words).select("half", F.explode(cut).alias("p"))
+                         .where((F.octet_length("p") <= LONGEST) & (F.length("p") > 1)).distinct())
+    ordinary = [[r[0].encode() for r in bounded_sample(pieces.where(F.col("half") == h).select("p"), SAMPLE_WINDOWS // 2,
+                                                       F.col("p")).collect()] for h in (0, 1)]
+    out = []
+    for halves in ((0,), (1,), (0, 1)):
+        t, o = (sum((F.col(f"n{k}{h}") for h in halves), F.lit(0.5)) for k in (1, 0))
+        all_t, all_o = (sum(total[f"n{k}{h}"] for h in halves) + 1 for k in (1, 0))
+        odds = F.log(t / all_t) - F.log(o / all_o) - 2 * F.sqrt(1 / t + 1 / o)
+        telling = (counts.where((t > 3) & (F.octet_length("word") <= LONGEST)).withColumn("odds", odds)
+                   .where(F.col("odds") > MIN_ODDS).orderBy(F.desc("odds"), "word").limit(PASSAGES).select("word"))
+        out.append(Distance([w for h in halves for w in ordinary[h]], [r[0].encode() for r in telling.collect()][::-1]))
+    return out
 
 
 class Model:
@@ -152,10 +157,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     # at most 2 * rows narrow rows are broadcast
     some = cut_lineage(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
                        .join(F.broadcast(ids), "doc_id"))
-    both = _learn(some, [0, 1])
+    *halves, both = _learn(some)
     if not total:
         return Model(both, None)
-    halves = [_learn(some, [0]), _learn(some, [1])]
 
     def measure(batches):
         for b in batches:
