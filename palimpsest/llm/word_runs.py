@@ -219,9 +219,9 @@ def looped(text: Column, key: Column) -> Column:
     g = F.floor(h / 10)
     a = F.pmod(g, n)
     p = 1 + F.floor((n - a) / (3 + g % 8))
-    # one text's places: word numbers, not rows
-    made = F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1),
-                       lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+    head, tail = F.slice(words, 1, a.cast("int")), F.slice(words, (a + 1).cast("int"), p.cast("int"))
+    often = F.flatten(F.array_repeat(tail, (3 + g % 8).cast("int")))  # p * (3 + g % 8) > n - a
+    made = F.concat(head, F.slice(often, 1, (n - a).cast("int")))
     return F.when((h % 10 == 0) & (n > 0), F.array_join(made, " ")).otherwise(text)
 
 
