@@ -63,3 +63,19 @@ def running_sum_within(df: DataFrame, keys: Sequence[str], order: Sequence[Colum
     totals = s.groupBy(*keys, *names).agg(F.sum(value).alias("_t"))
     return (_with_offsets(local, totals, keys, names, by)
             .withColumn(out, F.col("_local") + F.col("_off")).drop("_local", "_off", *names))
+
+
+def running_max_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], slices: Sequence[tuple[Column, bool]],
+                       values: dict[str, Column]) -> DataFrame:
+    """Adds, for every ``name: value``, the exclusive running maximum of ``value`` (null for the first row);
+    ``order`` and ``slices`` as in ``rank_within``."""
+    keys = list(keys)
+    s, names, by = _named(df, slices)
+    s = s.withColumns({f"_v{i}": v for i, v in enumerate(values.values())})
+    inside = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = s.withColumns({f"_l{i}": F.max(f"_v{i}").over(inside) for i in range(len(values))})
+    totals = s.groupBy(*keys, *names).agg(*[F.max(f"_v{i}").alias(f"_t{i}") for i in range(len(values))])
+    before = Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, *names, *[F.max(f"_t{i}").over(before).alias(f"_o{i}") for i in range(len(values))])
+    joined = local.join(offsets, [*keys, *names])
+    return joined.select(*df.columns, *[F.greatest(f"_l{i}", f"_o{i}").alias(name) for i, name in enumerate(values)])

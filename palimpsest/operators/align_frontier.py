@@ -1,56 +1,55 @@
 """C2 route 2: ordered alignment of oversized documents without collecting them.
 
-The same matching blocks as ``difflib.SequenceMatcher(None, a, b)`` (``autojunk`` included), found by a
-data-parallel frontier loop over all oversized documents at once.  State: the *active ranges*
-``(doc, alo, ahi, blo, bhi)`` (disjoint; ``alo`` identifies a range inside its document) and the
-blocks of both sides still inside an active range, each labelled with its range.  One round:
-
-1. seed matches: equi-join of the two sides on ``(doc, range, key)``, keys that are *popular* in ``b``
-   (more than ``len(b)//100 + 1`` occurrences once ``len(b) >= 200``) excluded, as difflib's autojunk
-   does; this also bounds the partners of any block;
-2. islands of consecutive seed matches on one diagonal (starts and ends by anti-joins on positions,
-   paired in a window over the boundary rows only); the best island of a range is the longest, ties
-   to the smallest ``i`` then ``j``;
-3. the island is extended through *any* equal blocks along its diagonal, up to the nearest mismatch on
-   each side (two min/max aggregates over a join on positions); a range with no seed extends from
-   ``(alo, blo)``;
-4. the match is recorded, the range splits in two, blocks are relabelled by one join on the range id;
-   ranges with one empty side or without a match become gaps.
-
-Matches and gaps then give the opcodes (``base`` = running entry count, range-partitioned when a
-document has very many segments, see ``functions.ranking``).  Lineage is cut every few rounds with a reliable checkpoint (round intermediates are
-cached in between); the matches and gaps of each round are written as they are found.
+The same matching blocks as ``difflib.SequenceMatcher(None, a, b)`` (``autojunk`` included), found by
+joins and aggregates over all oversized documents at once, in rounds over *active ranges*
+``(doc, alo, ahi, blo, bhi)`` (disjoint; ``rid = alo`` identifies a range inside its document).
+
+**Window ids.**  Once, before the rounds, every window of 1, 2, 4, ... blocks that stands on both sides of
+its document gets an id: a window of twice the length is the pair of its halves' ids, and the pair's id is the smallest
+place where it stands (exact, no hash of ids).  Windows that only one side has are dropped, so no longer
+window over them is built, and the levels end where no window is shared.  Every level is one self-join on places and one
+aggregation, linear in the blocks; equal blocks are never paired, so a line repeated 100,000 times on both sides
+costs what any other lines do.  A window may start a match when none of its keys is *popular* in ``b`` (more than
+``len(b)//100 + 1`` occurrences once ``len(b) >= 200``), as difflib's autojunk has it.
+
+**A round.**  One aggregation over the windows inside the ranges counts both sides' windows by id.
+
+* If at some level all shared windows of a range are unique on either side, they are a one-to-one map, and its
+  diagonals are *all* common runs of that length or more.  A run that is in order with every other run (it begins
+  after all runs before it end, and ends before all runs after it begin, on both sides) is bound to be chosen by
+  the recursion: whatever longer run is chosen first, this one lies whole in the part that is left, and the recursion
+  comes to it before any shorter run.  All such runs, and the longest (which the recursion chooses first), are
+  committed at once.
+* Otherwise the longest common run is found by lengthening: from the longest shared power of two, ever
+  smaller powers are added as long as some pair of overlapping windows is shared; then its first place in ``a`` and,
+  for that, in ``b``.
+* Where keys are popular, runs are extended through any equal blocks by the same window ids, from the longest window
+  down; a range without seeds extends from ``(alo, blo)``.  Order is then judged on the extended runs.
+
+Ranges split at the committed runs; ranges with one empty side or without a run become gaps.  Segments, ranges and
+the state of every round are appended to tables under the checkpoint folder, partitioned by round, and read from there,
+so neither the plan nor the lineage grows with the rounds.  Ranges of at most ``SMALL_RANGE`` blocks leave the loop
+and are finished in one Arrow pass at the end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import uuid
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import types as T
 
 from ..functions.keys import with_keys
-from ..functions.ranking import running_sum_within, slice_of
-from ..session import cut_lineage
+from ..functions.ranking import SLICE, running_max_within, running_sum_within, slice_of
+from ..session import cut_lineage, ensure_checkpoint_dir
 
 OPCODE_COLS = ["doc_id", "tag", "i1", "i2", "j1", "j2", "base"]
 
 
-def _popular(nb: DataFrame, autojunk: bool) -> DataFrame:
-    """New-side blocks with ``seed`` = the key may start a match (difflib's b2j after autojunk)."""
-    if not autojunk:
-        return nb.withColumn("seed", F.lit(True))
-    n = nb.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nb"))
-    cnt = nb.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("c"))
-    pop = cnt.join(n, "doc_id").filter((F.col("nb") >= 200) & (F.col("c") > F.floor(F.col("nb") / 100) + 1))
-    return (nb.join(pop.select("doc_id", "key", F.lit(True).alias("pop")), ["doc_id", "key"], "left")
-            .withColumn("seed", F.col("pop").isNull()).drop("pop"))
-
-
 def _segments_to_opcodes(segments: DataFrame) -> DataFrame:
     """Segments ``(doc_id, i, j, lo, ln, is_match)`` in document order -> opcodes with ``base`` (the
     running entry count, in slices of old positions, so no document is one task)."""
@@ -65,25 +64,7 @@ def _segments_to_opcodes(segments: DataFrame) -> DataFrame:
         F.col("base").cast("int").alias("base"))
 
 
-def _seed_islands(m: DataFrame) -> DataFrame:
-    """Maximal runs of consecutive seed matches on one diagonal: ``(doc_id, rid, si, sj, slen)``.
-
-    Starts (no match at ``(i-1, j-1)``) and ends (none at ``(i+1, j+1)``) come from anti-joins on
-    positions; only these boundary rows meet in a window per diagonal, so a diagonal that carries one
-    long run costs two rows, not one per match."""
-    keys = ["doc_id", "rid", "i", "j"]
-    pred = m.select("doc_id", "rid", (F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j"))
-    succ = m.select("doc_id", "rid", (F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"))
-    starts = m.join(pred, keys, "left_anti").select(*keys, "d", F.lit(True).alias("s"), F.lit(False).alias("e"))
-    ends = m.join(succ, keys, "left_anti").select(*keys, "d", F.lit(False).alias("s"), F.lit(True).alias("e"))
-    b = starts.unionByName(ends).groupBy(*keys, "d").agg(F.max("s").alias("s"), F.max("e").alias("e"))
-    w = Window.partitionBy("doc_id", "rid", "d").orderBy("i")
-    b = b.withColumn("end_i", F.when(F.col("e"), F.col("i")).otherwise(F.lead("i").over(w)))
-    return b.filter("s").select("doc_id", "rid", F.col("i").alias("si"), F.col("j").alias("sj"),
-                                (F.col("end_i") - F.col("i") + 1).alias("slen"))
-
-
-# Ranges with at most this many blocks (both sides) leave the loop and are finished in one Arrow pass.
+# Ranges with at most this many blocks (both sides) leave the loop and are finished in one Arrow pass at the end.
 SMALL_RANGE = 4_000
 
 RANGE_SEG_TYPE = T.ArrayType(T.StructType([
@@ -117,141 +98,255 @@ def _range_segments_udf(alo: pd.Series, blo: pd.Series, items: pd.Series) -> pd.
     return pd.Series(res)
 
 
-def _finish_small_ranges(small: DataFrame, state: DataFrame) -> DataFrame:
+class RoundStore:
+    """Append-only tables of a run, partitioned by round, in a new folder beside the checkpoints."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/frontier-{uuid.uuid4().hex}"
+        self.schemas: dict[str, T.StructType] = {}
+
+    def put(self, name: str, number: int, df: DataFrame) -> DataFrame:
+        """Writes a round of a table and gives it back as read."""
+        path = f"{self.folder}/{name}/round={number}"
+        self.schemas[name] = df.schema
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def all(self, name: str) -> DataFrame:
+        """All rounds of a table, with their number in ``round``."""
+        schema = T.StructType([*self.schemas[name].fields, T.StructField("round", T.IntegerType())])
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+
+
+def _seeded(blocks: DataFrame, docs: DataFrame, autojunk: bool) -> DataFrame:
+    """Blocks of both sides with ``seed``: the key may be part of a match's start (difflib's b2j after autojunk)."""
+    if not autojunk:
+        return blocks.withColumn("seed", F.lit(True))
+    often = (blocks.filter("side = 'b'").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("c"))
+             .join(docs.filter("n_new >= 200").select("doc_id", "n_new"), "doc_id")
+             .filter(F.col("c") > F.floor(F.col("n_new") / 100) + 1))
+    return (blocks.join(often.select("doc_id", "key", F.lit(True).alias("often")), ["doc_id", "key"], "left")
+            .select(*blocks.columns, F.col("often").isNull().alias("seed")))
+
+
+def _shared(windows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` that windows of both sides have, with the smallest place as ``id``."""
+    place = F.col("pos") * 2 + (F.col("side") == "b").cast("bigint")
+    return (windows.groupBy(*keys).agg(F.min(place).alias("id"), F.bool_or(F.col("side") == "a").alias("in_a"),
+                                       F.bool_or(F.col("side") == "b").alias("in_b"))
+            .filter("in_a AND in_b").drop("in_a", "in_b"))
+
+
+def window_ids(store: RoundStore, blocks: DataFrame) -> int:
+    """Writes table ``levels``: round L has ``(doc_id, side, pos, id, seed)`` of every window of ``2^L`` blocks that
+    both sides share; returns the number of levels."""
+    shared = _shared(blocks, ["doc_id", "key"])
+    level = blocks.join(shared.drop("id"), ["doc_id", "key"], "left_semi")
+    level = store.put("levels", 0, level.select("doc_id", "side", "pos", F.col("key").alias("id"), "seed"))
+    n = 0
+    while not level.isEmpty():  # windows double in length, so levels are the logarithm of the longest shared run
+        n += 1
+        ahead = level.select("doc_id", "side", (F.col("pos") - (1 << (n - 1))).alias("pos"), F.col("id").alias("y"),
+                             F.col("seed").alias("seed_y"))
+        pairs = level.join(ahead, ["doc_id", "side", "pos"]).select(
+            "doc_id", "side", "pos", F.col("id").alias("x"), "y", (F.col("seed") & F.col("seed_y")).alias("seed"))
+        level = store.put("levels", n, pairs.join(_shared(pairs, ["doc_id", "x", "y"]), ["doc_id", "x", "y"])
+                          .select("doc_id", "side", "pos", "id", "seed"))
+    return n
+
+
+def _places(ranges: DataFrame) -> DataFrame:
+    """``(doc_id, side, pos, rid, stop)`` of every block place inside ranges (in two steps, so no array is long)."""
+    out = None
+    for side, lo, hi in (("a", "alo", "ahi"), ("b", "blo", "bhi")):
+        cut = ranges.select("doc_id", "rid", F.col(hi).alias("stop"), F.explode(
+            F.sequence(F.col(lo), F.col(hi) - 1, F.lit(SLICE).cast("bigint"))).alias("begin"))
+        part = cut.select("doc_id", F.lit(side).alias("side"), F.explode(F.sequence(
+            F.col("begin"), F.least(F.col("begin") + SLICE, F.col("stop")) - 1)).alias("pos"), "rid", "stop")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+RANGE = ["doc_id", "rid"]
+
+
+def _ordered_runs(met: DataFrame, unique: DataFrame) -> DataFrame:
+    """Runs ``(doc_id, rid, i, j, k)`` of ranges whose shared windows of level ``level`` are unique on both sides."""
+    pairs = met.join(unique, [*RANGE, "level"]).select(*RANGE, "i", "j", F.expr("shiftleft(1L, level)").alias("width"))
+    before = pairs.select(*RANGE, (F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j"), F.lit(0).alias("begins"))
+    flagged = pairs.join(before, [*RANGE, "i", "j"], "left").withColumn("begins", F.coalesce("begins", F.lit(1)))
+    # a place of a has one window, so the windows of a run follow one another
+    numbered = running_sum_within(flagged, RANGE, [F.col("i")], [(slice_of("i"), True)], "begins", "island")
+    return (numbered.withColumn("island", F.col("island") + F.col("begins")).groupBy(*RANGE, "island")
+            .agg(F.min("i").alias("i"), F.min("j").alias("j"), (F.count(F.lit(1)) + F.first("width") - 1).alias("k"))
+            .drop("island"))
+
+
+def _longest_run(windows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The longest common run ``(doc_id, rid, i, j, k)``, first in ``a``, then in ``b``, of every range; ``ranges`` has the
+    level of the longest shared windows, ``windows`` the windows of that level."""
+    w = cut_lineage(windows.join(ranges, [*RANGE, "level"]).select(*RANGE, "side", "pos", "id"))
+    size = F.expr("shiftleft(1L, level)")
+    lengths = cut_lineage(ranges.select(*RANGE, "level", size.alias("k")))
+    most = lengths.agg(F.max("level")).first()[0]
+
+    def overlapping(k: DataFrame) -> DataFrame:  # k: range, level, k (at most twice the windows' length)
+        at = w.join(k.select(*RANGE, (F.col("k") - size).alias("off")), RANGE)
+        ends = at.select(*RANGE, "side", (F.col("pos") - F.col("off")).alias("pos"), F.col("id").alias("y"))
+        return at.select(*RANGE, "side", "pos", F.col("id").alias("x")).join(ends, [*RANGE, "side", "pos"])
+
+    for m in range(most - 1, -1, -1):
+        tried = lengths.filter(F.col("level") > m).withColumn("k", F.col("k") + (1 << m))
+        stands = _shared(overlapping(tried), [*RANGE, "x", "y"]).select(*RANGE).distinct().withColumn("more", F.lit(1 << m))
+        lengths = cut_lineage(lengths.join(stands, RANGE, "left").select(
+            *RANGE, "level", (F.col("k") + F.coalesce("more", F.lit(0))).alias("k")))
+    first = (overlapping(lengths).groupBy(*RANGE, "x", "y")
+             .agg(F.min(F.when(F.col("side") == "a", F.col("pos"))).alias("i"),
+                  F.min(F.when(F.col("side") == "b", F.col("pos"))).alias("j"))
+             .filter("i IS NOT NULL AND j IS NOT NULL")
+             .groupBy(*RANGE).agg(F.min(F.struct("i", "j")).alias("m")))
+    return first.join(lengths, RANGE).select(*RANGE, "m.i", "m.j", F.col("k"))
+
+
+def _extended(runs: DataFrame, ranges: DataFrame, levels: DataFrame, top: int) -> DataFrame:
+    """Runs lengthened on both sides through equal blocks of any key, inside their ranges.  ``s`` is the seeds' order:
+    length, then smallest ``i``, then smallest ``j``."""
+    order = F.struct(F.col("k").alias("len"), (-F.col("i")).alias("ni"), (-F.col("j")).alias("nj"))
+    r = runs.join(ranges.select(*RANGE, "alo", "ahi", "blo", "bhi"), RANGE).withColumn("s", order)
+    for forward in (True, False):
+        for n in [0, *range(top - 1, -1, -1)]:  # one block first: most runs end there
+            h = 1 << n
+            i = F.col("i") + F.col("k") if forward else F.col("i") - h
+            j = F.col("j") + F.col("k") if forward else F.col("j") - h
+            fits = ((i + h <= F.col("ahi")) & (j + h <= F.col("bhi"))) if forward else ((i >= F.col("alo")) & (j >= F.col("blo")))
+            at = levels.filter(F.col("round") == n)
+            a = at.filter("side = 'a'").select("doc_id", F.col("pos").alias("ai"), F.col("id").alias("ida"))
+            b = at.filter("side = 'b'").select("doc_id", F.col("pos").alias("bj"), F.col("id").alias("idb"))
+            found = (r.withColumn("ai", F.when(fits, i)).withColumn("bj", F.when(fits, j))
+                     .join(a, ["doc_id", "ai"], "left").join(b, ["doc_id", "bj"], "left")
+                     .withColumn("grew", F.coalesce(F.col("ida") == F.col("idb"), F.lit(False))))
+            step = F.when(F.col("grew"), F.lit(h)).otherwise(F.lit(0))
+            back = F.lit(0) if forward else step
+            r = cut_lineage(found.select(*RANGE, "alo", "ahi", "blo", "bhi", "s", "grew", (F.col("i") - back).alias("i"),
+                                         (F.col("j") - back).alias("j"), (F.col("k") + step).alias("k")))
+            if n == 0 and r.filter("grew").isEmpty():
+                break
+    return r.filter("k > 0").groupBy(*RANGE, "i", "j", "k").agg(F.max("s").alias("s"))
+
+
+def _committed(runs: DataFrame) -> DataFrame:
+    """Of ``runs(doc_id, rid, i, j, k, s)`` those in order with all others of their range, and the first by ``s``, with
+    the ends ``pa, pb`` of the run before (null for a range's first)."""
+    slices = [(slice_of("i"), True)]
+    back = [(slice_of("i"), False)]
+    r = running_max_within(runs, RANGE, [F.col("i"), F.col("j")], slices,
+                           {"a_before": F.col("i") + F.col("k"), "b_before": F.col("j") + F.col("k")})
+    r = running_max_within(r, RANGE, [F.col("i").desc(), F.col("j").desc()], back,
+                           {"a_after": -F.col("i"), "b_after": -F.col("j")})
+    best = runs.groupBy(*RANGE).agg(F.max(F.struct("s", "i", "j", "k")).alias("best"))
+    true = F.lit(True)
+    alone = (F.coalesce(F.col("a_before") <= F.col("i"), true) & F.coalesce(F.col("b_before") <= F.col("j"), true)
+             & F.coalesce(-F.col("a_after") >= F.col("i") + F.col("k"), true)
+             & F.coalesce(-F.col("b_after") >= F.col("j") + F.col("k"), true))
+    first = (F.col("best.i") == F.col("i")) & (F.col("best.j") == F.col("j")) & (F.col("best.k") == F.col("k"))
+    chosen = r.join(best, RANGE).filter(alone | first).select(*RANGE, "i", "j", "k")
+    return running_max_within(chosen, RANGE, [F.col("i")], slices,
+                              {"pa": F.col("i") + F.col("k"), "pb": F.col("j") + F.col("k")})
+
+
+def _gap(lo: str, ahi: str, blo: str, bhi: str) -> list:
+    return [F.col(lo).alias("i"), F.col(blo).alias("j"), (F.col(ahi) - F.col(lo)).alias("lo"),
+            (F.col(bhi) - F.col(blo)).alias("ln")]
+
+
+def _finish_small_ranges(small: DataFrame, blocks: DataFrame) -> DataFrame:
     """One Arrow pass over all small ranges: their blocks are grouped per range (bounded by
     ``SMALL_RANGE``) and aligned by ``range_segments``."""
-    blocks = state.join(small.select("doc_id", "rid"), ["doc_id", "rid"], "left_semi")
-    g = blocks.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("side", "pos", "key", "seed")).alias("items"))
+    inside = blocks.join(_places(small), ["doc_id", "side", "pos"])
+    g = inside.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("side", "pos", "key", "seed")).alias("items"))
     g = g.join(small.select("doc_id", "rid", "alo", "blo"), ["doc_id", "rid"])
     segs = g.select("doc_id", F.explode(_range_segments_udf.asNondeterministic()(
         F.col("alo"), F.col("blo"), F.col("items"))).alias("s"))
     return segs.select("doc_id", "s.*")
 
 
-def _keep(df: DataFrame, held: list) -> DataFrame:
-    """Intermediates read several times inside one round: cached, released after the round."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    held.append(df)
-    return df
-
-
 def frontier_segments(docs: DataFrame, old_blocks: DataFrame, new_blocks: DataFrame,
                       autojunk: bool = True, small_range: int | None = None) -> DataFrame:
     """Matches and gaps ``(doc_id, i, j, lo, ln, is_match)`` of every document in ``docs``
-    (``doc_id, n_old, n_new``).
-
-    Per round two reliable checkpoints: the segments found together with the next active ranges (one
-    table with a ``kind`` column), and the block state of both sides (one table with a ``side``
-    column)."""
+    (``doc_id, n_old, n_new``)."""
     small_range = SMALL_RANGE if small_range is None else small_range
-    ids = docs.select("doc_id", "n_old", "n_new")
-    oa = (with_keys(old_blocks).join(ids.select("doc_id"), "doc_id", "left_semi")
-          .select("doc_id", F.col("block_pos").cast("bigint").alias("pos"), F.col("key_hash").alias("key"),
-                  F.lit(True).alias("seed"), F.lit("a").alias("side")))
-    nb = (with_keys(new_blocks).join(ids.select("doc_id"), "doc_id", "left_semi")
-          .select("doc_id", F.col("block_pos").cast("bigint").alias("pos"), F.col("key_hash").alias("key")))
-    nb = _popular(nb.withColumnRenamed("pos", "j"), autojunk).withColumnRenamed("j", "pos").withColumn("side", F.lit("b"))
+    store = RoundStore(docs.sparkSession)
+    zero = F.lit(0).cast("bigint")
+    ids = store.put("docs", 0, docs.select("doc_id", F.col("n_old").cast("bigint"), F.col("n_new").cast("bigint"))
+                    .filter(F.col("n_old") + F.col("n_new") > 0))
     both = ids.filter((F.col("n_old") > 0) & (F.col("n_new") > 0))
-    one_sided = ids.filter((F.col("n_old") == 0) | (F.col("n_new") == 0)).filter(F.col("n_old") + F.col("n_new") > 0)
-    found = [one_sided.select("doc_id", F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j"),
-                              F.col("n_old").cast("bigint").alias("lo"), F.col("n_new").cast("bigint").alias("ln"),
-                              F.lit(False).alias("is_match"))]
-    ranges = cut_lineage(both.select("doc_id", F.lit(0).cast("bigint").alias("rid"),
-                                     F.lit(0).cast("bigint").alias("alo"), F.col("n_old").cast("bigint").alias("ahi"),
-                                     F.lit(0).cast("bigint").alias("blo"), F.col("n_new").cast("bigint").alias("bhi")))
-    state = cut_lineage(oa.select("doc_id", "side", "pos", "key", "seed")
-                        .unionByName(nb.select("doc_id", "side", "pos", "key", "seed"))
-                        .join(both.select("doc_id"), "doc_id", "left_semi").withColumn("rid", F.lit(0).cast("bigint")))
-    size0 = F.col("ahi") - F.col("alo") + F.col("bhi") - F.col("blo")
-    small_parts: list[DataFrame] = [ranges.filter(size0 <= small_range)]
-    small_state: list[DataFrame] = [state.join(small_parts[0].select("doc_id", "rid"), ["doc_id", "rid"], "left_semi")]
-    ranges = ranges.filter(size0 > small_range)
-    state = state.join(ranges.select("doc_id", "rid"), ["doc_id", "rid"], "left_semi")
-    while not ranges.isEmpty():  # every round cuts a match out of a range or closes it, so ranges run out
-        held: list[DataFrame] = []
-        a_state = state.filter(F.col("side") == "a").select("doc_id", "rid", F.col("pos").alias("i"), "key")
-        b_state = state.filter(F.col("side") == "b").select("doc_id", "rid", F.col("pos").alias("j"), "key", "seed")
-        # 1-2. seed islands and the best one per range
-        m = (a_state.join(b_state.filter("seed").select("doc_id", "rid", "key", "j"), ["doc_id", "rid", "key"])
-             .select("doc_id", "rid", "i", "j", (F.col("i") - F.col("j")).alias("d")))
-        islands = _seed_islands(m)
-        best = islands.groupBy("doc_id", "rid").agg(
-            F.max(F.struct(F.col("slen"), (-F.col("si")).alias("nsi"), (-F.col("sj")).alias("nsj"))).alias("b"))
-        best = best.select("doc_id", "rid", F.col("b.slen").alias("slen"), (-F.col("b.nsi")).alias("si"),
-                           (-F.col("b.nsj")).alias("sj"))
-        r = (ranges.join(best, ["doc_id", "rid"], "left")
-             .select("doc_id", "rid", "alo", "ahi", "blo", "bhi",
-                     F.coalesce("si", "alo").alias("si"), F.coalesce("sj", "blo").alias("sj"),
-                     F.coalesce("slen", F.lit(0)).cast("bigint").alias("slen")))
-        r = _keep(r.withColumn("d", F.col("si") - F.col("sj")), held)
-        # 3. extension through equal blocks along the diagonal, to the nearest mismatch
-        cand = (a_state.select("doc_id", "rid", "i", F.col("key").alias("ka"))
-                .join(r.select("doc_id", "rid", "d", "si", "slen"), ["doc_id", "rid"])
-                .filter((F.col("i") < F.col("si")) | (F.col("i") >= F.col("si") + F.col("slen")))
-                .withColumn("j", F.col("i") - F.col("d")))
-        cmp = cand.join(b_state.select("doc_id", "rid", "j", F.col("key").alias("kb")), ["doc_id", "rid", "j"], "left")
-        bad = (F.col("kb").isNull() | (F.col("ka") != F.col("kb")))
-        ext = cmp.filter(bad).groupBy("doc_id", "rid").agg(
-            F.max(F.when(F.col("i") < F.col("si"), F.col("i"))).alias("bad_before"),
-            F.min(F.when(F.col("i") >= F.col("si") + F.col("slen"), F.col("i"))).alias("bad_after"))
-        mt = (r.join(ext, ["doc_id", "rid"], "left")
-              .select("doc_id", "rid", "alo", "ahi", "blo", "bhi", "d",
-                      F.greatest(F.coalesce(F.col("bad_before") + 1, F.col("alo")), F.col("alo"),
-                                 F.col("blo") + F.col("d")).alias("mi"),
-                      F.least(F.coalesce("bad_after", "ahi"), F.col("ahi"), F.col("bhi") + F.col("d")).alias("me")))
-        mt = mt.withColumn("mi", F.least("mi", "me")).withColumn("mj", F.col("mi") - F.col("d")) \
-               .withColumn("k", F.col("me") - F.col("mi"))
-        mt = _keep(mt, held)
-        # 4. record matches and gaps, split ranges, relabel blocks
-        hit = mt.filter(F.col("k") > 0)
-        matches = hit.select("doc_id", F.col("mi").alias("i"), F.col("mj").alias("j"),
-                             F.col("k").alias("lo"), F.col("k").alias("ln"), F.lit(True).alias("is_match"))
-        nohit_gap = mt.filter(F.col("k") == 0).select(
-            "doc_id", F.col("alo").alias("i"), F.col("blo").alias("j"), (F.col("ahi") - F.col("alo")).alias("lo"),
-            (F.col("bhi") - F.col("blo")).alias("ln"), F.lit(False).alias("is_match"))
-        left = hit.select("doc_id", F.col("alo").alias("nalo"), F.col("mi").alias("nahi"),
-                          F.col("blo").alias("nblo"), F.col("mj").alias("nbhi"))
-        right = hit.select("doc_id", (F.col("mi") + F.col("k")).alias("nalo"), F.col("ahi").alias("nahi"),
-                           (F.col("mj") + F.col("k")).alias("nblo"), F.col("bhi").alias("nbhi"))
-        children = left.unionByName(right).filter((F.col("nahi") > F.col("nalo")) | (F.col("nbhi") > F.col("nblo")))
-        active = (F.col("nahi") > F.col("nalo")) & (F.col("nbhi") > F.col("nblo"))
-        child_gaps = children.filter(~active).select(
-            "doc_id", F.col("nalo").alias("i"), F.col("nblo").alias("j"), (F.col("nahi") - F.col("nalo")).alias("lo"),
-            (F.col("nbhi") - F.col("nblo")).alias("ln"), F.lit(False).alias("is_match"))
-        # one reliable checkpoint per round holds both the segments found and the next active ranges
-        nxt = children.filter(active).select(
-            "doc_id", F.col("nalo").alias("i"), F.col("nblo").alias("j"), (F.col("nahi") - F.col("nalo")).alias("lo"),
-            (F.col("nbhi") - F.col("nblo")).alias("ln"), F.lit(False).alias("is_match"))
-        out_round = cut_lineage(matches.withColumn("kind", F.lit("seg"))
-                                .unionByName(nohit_gap.withColumn("kind", F.lit("seg")))
-                                .unionByName(child_gaps.withColumn("kind", F.lit("seg")))
-                                .unionByName(nxt.withColumn("kind", F.lit("range"))))
-        found.append(out_round.filter(F.col("kind") == "seg").drop("kind"))
-        all_ranges = out_round.filter(F.col("kind") == "range").select(
-            "doc_id", F.col("i").alias("rid"), F.col("i").alias("alo"), (F.col("i") + F.col("lo")).alias("ahi"),
-            F.col("j").alias("blo"), (F.col("j") + F.col("ln")).alias("bhi"))
-        size = F.col("ahi") - F.col("alo") + F.col("bhi") - F.col("blo")
-        ranges = all_ranges.filter(size > small_range)
-        small_parts.append(all_ranges.filter(size <= small_range))
-        # relabel: a block keeps going only if it falls inside an active child range
-        split = hit.select("doc_id", "rid", "mi", "mj", "k")
-        cut = F.when(F.col("side") == "a", F.col("mi")).otherwise(F.col("mj"))
-        state = cut_lineage(
-            state.join(split, ["doc_id", "rid"])
-            .withColumn("rid", F.when(F.col("pos") < cut, F.col("rid"))
-                        .when(F.col("pos") >= cut + F.col("k"), F.col("mi") + F.col("k")))
-            .filter(F.col("rid").isNotNull()).drop("mi", "mj", "k")
-            .join(all_ranges.select("doc_id", "rid"), ["doc_id", "rid"], "left_semi"))
-        small_state.append(state.join(small_parts[-1].select("doc_id", "rid"), ["doc_id", "rid"], "left_semi"))
-        state = state.join(ranges.select("doc_id", "rid"), ["doc_id", "rid"], "left_semi")
-        for df in held:
-            df.unpersist()
-    for sm_ranges, sm_state in zip(small_parts, small_state) if small_range > 0 else ():  # no range is empty
-        found.append(_finish_small_ranges(sm_ranges, sm_state))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.filter((F.col("lo") > 0) | (F.col("ln") > 0))
+    sides = [with_keys(df).join(both.select("doc_id"), "doc_id", "left_semi").select(
+        "doc_id", F.lit(side).alias("side"), F.col("block_pos").cast("bigint").alias("pos"), F.col("key_hash").alias("key"))
+        for side, df in (("a", old_blocks), ("b", new_blocks))]
+    blocks = store.put("blocks", 0, _seeded(sides[0].unionByName(sides[1]), both, autojunk))
+    store.put("segments", 0, ids.filter((F.col("n_old") == 0) | (F.col("n_new") == 0)).select(
+        "doc_id", zero.alias("i"), zero.alias("j"), F.col("n_old").alias("lo"), F.col("n_new").alias("ln"),
+        F.lit(False).alias("is_match")))
+    small = (F.col("ahi") - F.col("alo") + F.col("bhi") - F.col("blo")) <= small_range
+    ranges = store.put("ranges", 0, both.select(
+        "doc_id", zero.alias("rid"), zero.alias("alo"), F.col("n_old").alias("ahi"), zero.alias("blo"),
+        F.col("n_new").alias("bhi")).withColumn("small", small)).filter("NOT small")
+    number = 0
+    if not ranges.isEmpty():
+        loose = not blocks.filter("NOT seed").isEmpty()
+        top = window_ids(store, blocks)
+        levels = store.all("levels")
+        of_place = levels.filter("seed").groupBy("doc_id", "side", "pos").agg(
+            F.collect_list(F.struct(F.col("round").alias("level"), "id")).alias("ids"))  # at most one a level
+        whole = ranges.select("doc_id", F.explode(F.array(
+            F.struct(F.lit("a").alias("side"), F.col("ahi").alias("stop")),
+            F.struct(F.lit("b").alias("side"), F.col("bhi").alias("stop")))).alias("e")).select("doc_id", "e.*")
+        state = store.put("state", 0, of_place.join(whole, ["doc_id", "side"]).withColumn("rid", zero))
+    while not ranges.isEmpty():  # every round cuts a run out of a range or closes it, so ranges run out
+        number += 1
+        windows = (state.select(*RANGE, "side", "pos", "stop", F.explode("ids").alias("e"))
+                   .filter(F.expr("pos + shiftleft(1L, e.level) <= stop")).select(*RANGE, "side", "pos", "e.level", "e.id"))
+        a, b = F.col("side") == "a", F.col("side") == "b"
+        met = store.put("met", number, windows.groupBy(*RANGE, "level", "id").agg(
+            F.sum(a.cast("bigint")).alias("na"), F.sum(b.cast("bigint")).alias("nb"),
+            F.min(F.when(a, F.col("pos"))).alias("i"), F.min(F.when(b, F.col("pos"))).alias("j"))
+            .filter("na > 0 AND nb > 0"))
+        kinds = store.put("kinds", number, met.groupBy(*RANGE, "level").agg(F.max(F.greatest("na", "nb")).alias("most"))
+                          .groupBy(*RANGE).agg(F.min(F.when(F.col("most") == 1, F.col("level"))).alias("unique"),
+                                               F.max("level").alias("longest")))
+        runs = _ordered_runs(met, kinds.filter("unique IS NOT NULL").select(*RANGE, F.col("unique").alias("level")))
+        repeated = kinds.filter("unique IS NULL").select(*RANGE, F.col("longest").alias("level"))
+        if not repeated.isEmpty():
+            runs = runs.unionByName(_longest_run(windows, repeated))
+        if loose:
+            bare = ranges.join(kinds, RANGE, "left_anti").select(
+                *RANGE, F.col("alo").alias("i"), F.col("blo").alias("j"), zero.alias("k"))
+            runs = _extended(runs.unionByName(bare), ranges, levels, top)
+        else:
+            runs = runs.withColumn("s", F.struct(F.col("k").alias("len"), (-F.col("i")).alias("ni"), (-F.col("j")).alias("nj")))
+        chosen = store.put("chosen", number, _committed(store.put("runs", number, runs)))
+        bounds = ranges.select(*RANGE, "alo", "ahi", "blo", "bhi")
+        left = (chosen.join(bounds, RANGE).select(
+            "doc_id", F.coalesce("pa", "alo").alias("alo"), F.col("i").alias("ahi"), F.coalesce("pb", "blo").alias("blo"),
+            F.col("j").alias("bhi"), F.lit(True).alias("hit")))
+        ends = chosen.groupBy(*RANGE).agg(F.max(F.col("i") + F.col("k")).alias("ea"), F.max(F.col("j") + F.col("k")).alias("eb"))
+        last = bounds.join(ends, RANGE, "left").select(
+            "doc_id", F.coalesce("ea", "alo").alias("alo"), "ahi", F.coalesce("eb", "blo").alias("blo"), "bhi",
+            F.col("ea").isNotNull().alias("hit"))
+        parts = store.put("parts", number, left.unionByName(last).filter((F.col("alo") < F.col("ahi")) | (F.col("blo") < F.col("bhi"))))
+        goes_on = F.col("hit") & (F.col("alo") < F.col("ahi")) & (F.col("blo") < F.col("bhi"))
+        matches = chosen.select("doc_id", "i", "j", F.col("k").alias("lo"), F.col("k").alias("ln"), F.lit(True).alias("is_match"))
+        store.put("segments", number, matches.unionByName(
+            parts.filter(~goes_on).select("doc_id", *_gap("alo", "ahi", "blo", "bhi"), F.lit(False).alias("is_match"))))
+        ranges = store.put("ranges", number, parts.filter(goes_on).select(
+            "doc_id", F.col("alo").alias("rid"), "alo", "ahi", "blo", "bhi").withColumn("small", small)).filter("NOT small")
+        state = store.put("state", number, state.select("doc_id", "side", "pos", "ids")
+                          .join(_places(ranges), ["doc_id", "side", "pos"]).select("doc_id", "side", "ids", "pos", "stop", "rid"))
+    out = store.all("segments").drop("round")
+    if small_range > 0:  # no range is empty
+        out = out.unionByName(_finish_small_ranges(store.all("ranges").filter("small").drop("round"), blocks))
+    return out
 
 
 def frontier_opcodes(docs: DataFrame, old_blocks: DataFrame, new_blocks: DataFrame,
