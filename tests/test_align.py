@@ -157,3 +157,63 @@ def test_registered_frontier_runs_in_the_loop_alone(spark, monkeypatch):
     want = E.queries()["align_blocks"](spark, "/root/testdata/sf0.001").collect()
     assert not any(left)
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def _rounds(monkeypatch):
+    """Records the rounds and the rows of every table that route 2 writes."""
+    import palimpsest.operators.align_frontier as AF
+    seen, put = [], AF.RoundStore.put
+
+    def recorded(self, name, number, df):
+        seen.append((name, number))
+        return put(self, name, number, df)
+
+    monkeypatch.setattr(AF.RoundStore, "put", recorded)
+    return seen
+
+
+def _segments(spark, a, b, autojunk=True):
+    from palimpsest.operators.align_frontier import frontier_segments
+    docs = spark.createDataFrame([(1, len(a), len(b))], "doc_id bigint, n_old bigint, n_new bigint")
+    return frontier_segments(docs, blocks_df(spark, {1: a}), blocks_df(spark, {1: b}), autojunk, 0)
+
+
+def _matches(rows):
+    return sorted((r.i, r.j, r.lo) for r in rows if r.is_match)
+
+
+def _library(a, b, autojunk=True):
+    out = []
+    for tag, i1, i2, j1, _ in SequenceMatcher(None, a, b, autojunk=autojunk).get_opcodes():
+        if tag == "equal":
+            out.append((i1, j1, i2 - i1))
+    return out
+
+
+def test_runs_in_order_take_one_round(spark, monkeypatch):
+    """Eight runs, each shorter than the one before: the recursion is eight deep, the rounds are not."""
+    a, b = [], []
+    for r, size in enumerate(range(16, 8, -1)):
+        run = [f"r{r}.{k}" for k in range(size)]
+        a += run + [f"old{r}"]
+        b += [f"new{r}"] + run
+    seen = _rounds(monkeypatch)
+    got = _segments(spark, a, b)
+    assert _matches(got.collect()) == _library(a, b)
+    assert max(n for name, n in seen if name == "chosen") <= 2
+    relations = got._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+    moved = [f"m{k}" for k in range(30)]  # crossing and repeated runs: more rounds, the same plan
+    a, b = moved[10:20] + ["x"] * 5 + moved[:10] + ["y", "x", "z"] * 3, moved[:10] + ["x", "z"] * 4 + moved[10:20] + ["y", "x"] * 3
+    longer = _segments(spark, a, b)
+    assert _matches(longer.collect()) == _library(a, b)
+    assert max(n for name, n in seen if name == "chosen") > 2
+    assert longer._jdf.queryExecution().optimizedPlan().toString().count("Relation") == relations == 1
+
+
+def test_one_line_repeated_pairs_nothing(spark, monkeypatch):
+    n = 5_000
+    seen = _rounds(monkeypatch)
+    got = _segments(spark, ["x"] * n, ["y"] + ["x"] * (n + 3), autojunk=False).collect()
+    assert sorted((r.i, r.j, r.lo, r.ln, r.is_match) for r in got) == [
+        (0, 0, 0, 1, False), (0, 1, n, n, True), (n, n + 1, 0, 3, False)]
+    assert max(k for name, k in seen if name == "chosen") == 1
