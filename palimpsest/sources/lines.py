@@ -6,11 +6,13 @@ The split, strip, filter and numbering all happen inside the row that holds the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import conform_blocks
+from ..functions.ranking import running_sum_within
 from ..functions.text import ustrip
+from ..session import broadcast_if_small
 
 
 def kept_lines(text):
@@ -67,8 +69,7 @@ def read_text_files(spark: SparkSession, path: str, root: str | None = None) ->
     ``doc_name`` is the path relative to ``root`` (so two snapshot folders pair by file name) and
     ``doc_id`` is its 64-bit hash."""
     raw = spark.read.format("binaryFile").load(path)
-    root = (root or path).rstrip("/") + "/"
-    name = F.regexp_replace(F.col("path"), r"^(file:)?" + _regex_quote(root.replace("file:", "")), "")
+    name = _relative(F.col("path"), root or path)
     return raw.select(
         F.xxhash64(name).alias("doc_id"),
         name.alias("doc_name"),
@@ -76,5 +77,36 @@ def read_text_files(spark: SparkSession, path: str, root: str | None = None) ->
     )
 
 
+def read_text_blocks(spark: SparkSession, path: str, root: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Text files of any size as ``(manifest, blocks)``, equal to ``text_blocks(read_text_files(..))``.
+
+    A file is read in splits (``spark.sql.files.maxPartitionBytes``), each by its own task, with lines that cross a
+    split read by the task in which they begin.  A line's ``block_pos`` is its number among the split's kept lines plus
+    the kept lines of the file's splits before; only one narrow row a split is gathered for that, and the lines
+    stay where they were read.  Universal newlines (``\\n``, ``\\r``, ``\\r\\n``, also across splits) and
+    invalid bytes are as in the row form; a byte order mark at a file's start is not part of its first line here.
+    ``manifest`` is ``(doc_id, doc_name)`` of all files, blank ones included."""
+    top = root or path
+    files = spark.read.format("binaryFile").load(path).select(_relative(F.col("path"), top).alias("doc_name"))
+    kept = (spark.read.text(path)
+            .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+                    ustrip(F.make_valid_utf8(F.col("value"))).alias("text"))
+            .filter(F.col("text") != "")
+            # rows of a task count up in the order in which they are read, so those of a split do
+            .withColumn("at", F.monotonically_increasing_id()))
+    splits = kept.groupBy("file", "split").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = running_sum_within(splits, ["file"], [F.col("split")], [(F.floor(F.col("split") / (1 << 40)), True)], "n", "before")
+    placed = kept.join(broadcast_if_small(before.drop("n")), ["file", "split"])
+    name = _relative(F.url_decode(F.replace(F.col("file"), F.lit("+"), F.lit("%2B"))), top)
+    blocks = placed.select(F.xxhash64(name).alias("doc_id"),
+                           (F.col("before") + F.col("at") - F.col("first")).cast("int").alias("block_pos"),
+                           F.lit("paragraph").alias("type"), "text")
+    return files.select(F.xxhash64("doc_name").alias("doc_id"), "doc_name"), conform_blocks(blocks)
+
+
+def _relative(file: Column, root: str) -> Column:
+    return F.regexp_replace(file, r"^(file:(//)?)?" + _regex_quote(root.rstrip("/").replace("file:", "") + "/"), "")
+
+
 def _regex_quote(s: str) -> str:
     return "".join("\\" + ch if ch in r".^$|?*+()[]{}\\" else ch for ch in s)

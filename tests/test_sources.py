@@ -1,5 +1,6 @@
 """Sources, keys and routing."""
 
+import random
 import hashlib
 import os
 import tempfile
@@ -86,3 +87,49 @@ def test_sinks(spark):
     r = spark.read.parquet(f"{d}/rows").select("ai_info").distinct().collect()
     assert [x.ai_info for x in r] == [False]                                  # E15: nothing present
     assert spark.range(1).select(ai_info_present(F.array(F.lit("x")), F.lit(None), F.lit(""), F.lit(None))).first()[0]
+
+
+def test_files_read_in_splits_equal_whole_files(spark, tmp_path):
+    """40 files under 10 split sizes (25, from one byte on, when it was written): line breaks of every kind, also across splits, invalid bytes, blank files."""
+    from palimpsest.sources.lines import read_text_blocks, read_text_files, text_blocks
+    rnd = random.Random(8)
+    pieces = [b"\n", b"\r", b"\r\n", b"\r\n", b"\n\n", b" ", b"\t", b"word", "größe".encode(), "日本".encode(), b"\xff", b"\xe2\x82",
+              b"a", b" b ", b"\xc2\xa0", b"\x0b", b"\x1c"]
+    folder = tmp_path / "in put"
+    (folder / "deep+er").mkdir(parents=True)
+    for k in range(38):
+        data = b"".join(rnd.choice(pieces) for _ in range(rnd.randrange(200)))
+        (folder / ("deep+er" if k % 3 == 0 else ".") / f"f {k}%.txt").write_bytes(data)
+    (folder / "empty.txt").write_bytes(b"")
+    (folder / "blank.txt").write_bytes(b"\r\n \r\n\r")
+    files = read_text_files(spark, f"{folder}/*/*.txt", str(folder)).union(read_text_files(spark, f"{folder}/*.txt", str(folder)))
+    want = sorted((r.doc_id, r.block_pos, r.text) for r in text_blocks(files).collect())
+    assert len(want) > 300
+    names = sorted((r.doc_id, r.doc_name) for r in files.collect())
+    conf, old = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in [5, 1 << 20] + [rnd.randint(20, 400) for _ in range(8)]:
+            spark.conf.set(conf, str(size))
+            spark.conf.set("spark.sql.files.openCostInBytes", str(rnd.choice([0, 1, 50])))
+            got, seen = [], []
+            for glob in (f"{folder}/*/*.txt", f"{folder}/*.txt"):
+                manifest, blocks = read_text_blocks(spark, glob, str(folder))
+                got += [(r.doc_id, r.block_pos, r.text) for r in blocks.collect()]
+                seen += [(r.doc_id, r.doc_name) for r in manifest.collect()]
+            assert (sorted(got), sorted(seen)) == (want, names), size
+    finally:
+        spark.conf.set(conf, old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_one_large_file_is_read_by_many_tasks(spark, tmp_path):
+    from palimpsest.sources.lines import read_text_blocks
+    (tmp_path / "big.txt").write_text("".join(f"line {k}\n" for k in range(200_000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 17))
+        _, blocks = read_text_blocks(spark, str(tmp_path))
+        assert blocks.rdd.getNumPartitions() >= 16
+        assert blocks.where("text <> concat('line ', block_pos)").count() == 0 and blocks.count() == 200_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
