@@ -9,8 +9,8 @@ narrow columns alone.  One file holds one range, so file order is id order, and
 number of ids before the document in its file.
 
 Encoding: with this tokenizer's splitting rule every piece between a non-space character and a
-following single space or line break stands alone, so equal pieces are encoded once
-(bounded cache); a text where the cut would be unsafe is encoded whole.  The ids are the library's.
+following single space or line break stands alone, so equal pieces of many texts are encoded once
+(bounded cache) and their ids gathered; a text where the cut would be unsafe is encoded whole.  The ids are the library's.
 
 Defined cases: a null or empty text has the end id alone; null ids come first; rows with equal ids are
 ordered by a hash of the text, so their order is the same in reruns; equal rows are all written; an
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ from palimpsest.session import ensure_checkpoint_dir
 
 END_ID = 0
 CACHE_PIECES = 700_000  # pieces held while a task runs
+SLICE_BYTES = 6 << 20  # text encoded at once
 KEPT_PIECES, SHORT = 100_000, 7  # beyond so many, pieces of at most so many characters are kept between tasks
 PARQUET = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true",
            "parquet.block.size": str(16 << 20), "parquet.page.size": str(256 << 10),
@@ -46,59 +48,101 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+# White space that makes a cut unsafe: any but single spaces and line breaks inside the text.
+_UNSAFE = (r"[\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+           r"|[ \n]{2}|^[ \n]|[ \n]$")
+
+
 class Encoder:
-    """Little-endian 32-bit ids of a text as bytes, through a cache of pieces."""
+    """Ids of many texts at once: Arrow splits them and numbers equal pieces, a piece is encoded once, and the ids of
+    all pieces are gathered from one array."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces: dict[str, bytes] = {}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # a byte-level token has one character a byte
         self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.width[i] = len(token)
         self.cuts = len(self._ids("\n")) == 1 and self.width[self._ids("a ß 日")].sum() == len("a ß 日".encode())
+        self._keep({}, np.empty(0, np.int32), np.zeros(1, np.int64))
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+
+    def _keep(self, slots: dict[str, int], pool: np.ndarray, ends: np.ndarray) -> None:
+        """``pool[ends[k]:ends[k + 1]]`` are the ids of the piece with slot ``k``."""
+        self.slots, self.pool, self.ends = slots, pool, ends
 
     def learn(self, new: list[str]) -> None:
         """Encodes pieces in one text; every piece starts where the splitting rule starts anew, so the bytes of the
         ids tell where it ends."""
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
+        pools, ends = [self.pool], [self.ends]
         for lo in range(0, len(new), 2000):
             part = new[lo:lo + 2000]
-            chunks = [(p if p[0] == "\n" else " " + p).encode() for p in part]
-            ids = self._ids(b"".join(chunks).decode())
-            cut = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(c) for c in chunks]), "right").tolist()
-            data, before = ids.tobytes(), 0
-            for p, c in zip(part, cut):
-                self.pieces[p] = data[before:4 * c]
-                before = 4 * c
+            chunks = [p if p[0] == "\n" else " " + p for p in part]
+            ids = self._ids("".join(chunks))
+            sizes = np.asarray(pc.binary_length(pa.array(chunks, pa.string()))).astype(np.int64)
+            cut = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes), "right")
+            self.slots.update(zip(part, range(len(self.slots), len(self.slots) + len(part))))
+            ends.append(ends[-1][-1] + cut)
+            pools.append(ids)
+        self.pool, self.ends = np.concatenate(pools), np.concatenate(ends)
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each followed by ``END_ID``, and their numbers of ids."""
+        n = np.zeros(len(texts), np.int64)
+        safe = np.full(len(texts), self.cuts) & np.asarray(pc.greater(pc.binary_length(texts), 0))
+        unsafe = pc.match_substring_regex(texts, _UNSAFE)
+        for a in self.added:
+            unsafe = pc.or_(unsafe, pc.match_substring(texts, a))
+        safe &= ~np.asarray(unsafe)
+        alone = np.flatnonzero(~safe)
+        whole = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(
+            texts.take(pa.array(alone)).to_pylist(), add_special_tokens=False)] if len(alone) else []
+        n[alone] = [len(ids) for ids in whole]
+        some = texts.filter(pa.array(safe))
+        # the first piece gets a line break before it, whose id is left out again
+        lists = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(some, "\n", " \n"), ""), " ")
+        first = np.asarray(lists.offsets).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        if len(self.slots) > CACHE_PIECES:
+            self._keep({}, np.empty(0, np.int32), np.zeros(1, np.int64))
+        slots = list(map(self.slots.get, pieces))
+        if None in slots:
+            self.learn([p for p, at in zip(pieces, slots) if at is None])
+            slots = list(map(self.slots.__getitem__, pieces))
+        slot = np.array(slots, np.int64)[np.asarray(coded.indices)]
+        begin, size = self.ends[slot], self.ends[slot + 1] - self.ends[slot]
+        begin[first[:-1] - first[0]] += 1
+        size[first[:-1] - first[0]] -= 1
+        total = np.r_[0, np.cumsum(size)]
+        n[safe] = np.diff(total[first - first[0]])
+        start = np.r_[0, np.cumsum(n + 1)]
+        out = np.full(start[-1], END_ID, np.int32)
+        where = np.ones(start[-1], bool)  # places of the ids of texts cut into pieces
+        where[start[1:] - 1] = False
+        for k, ids in zip(alone, whole):
+            out[start[k]:start[k] + n[k]] = ids
+            where[start[k]:start[k] + n[k]] = False
+        out[where] = self.pool[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
+        return out, n + 1
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        # pieces are safe when single spaces and line breaks are all the white space, and none is at an end
-        if not self.cuts or " ".join(text.split()) != text.replace("\n", " ") or any(a in text for a in self.added):
-            return self._ids(text).tobytes()
-        parts = text.replace("\n", " \n").split(" ")
-        parts[0] = "\n" + parts[0]
-        try:
-            return b"".join(map(self.pieces.__getitem__, parts))[4:]
-        except KeyError:
-            self.learn([p for p in dict.fromkeys(parts) if p not in self.pieces])
-            if not all(map(self.pieces.__contains__, parts)):  # the cache was emptied meanwhile
-                self.learn([p for p in dict.fromkeys(parts) if p not in self.pieces])
-            return b"".join(map(self.pieces.__getitem__, parts))[4:]
-
+        """Little-endian 32-bit ids of a text."""
+        return self.batch(pa.array([text], pa.string()))[0][:-1].astype("<u4").tobytes()
 
     def rest(self) -> None:
         """Between tasks only short pieces are kept: they are the frequent ones, and the worker may serve other work."""
-        if len(self.pieces) > KEPT_PIECES:
-            self.pieces = {p: ids for p, ids in self.pieces.items() if len(p) <= SHORT}
+        if len(self.slots) > KEPT_PIECES:
+            kept = [p for p in self.slots if len(p) <= SHORT]
+            old = np.fromiter(map(self.slots.__getitem__, kept), np.int64, len(kept))
+            size = self.ends[old + 1] - self.ends[old]
+            ends = np.r_[0, np.cumsum(size)]
+            pool = self.pool[np.repeat(self.ends[old] - ends[:-1], size) + np.arange(ends[-1])]
+            self._keep({p: k for k, p in enumerate(kept)}, pool, ends)
         pa.default_memory_pool().release_unused()
 
 
@@ -112,18 +156,24 @@ def encoder(path: str) -> Encoder:
     return kept[path]
 
 
-def _encode(path: str):
-    end = np.array([END_ID], "<u4").tobytes()
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows ``lo`` to ``hi`` of at most ``SLICE_BYTES`` of text, or one longer text."""
+    ends = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
+        yield lo, hi
+        lo = hi
+
 
+def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, before = encoder(path), 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                ids = [encode(t) + end for t in part.column(1).to_pylist()]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
+            for lo, hi in _slices(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
+                values, n = encode.batch(part.column(1).cast(pa.string()))
                 ends = np.cumsum(n)
-                values = np.frombuffer(b"".join(ids), "<u4").view("<i4")
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(before + ends - n), pa.array(n),
                      pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(values))],
