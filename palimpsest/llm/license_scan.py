@@ -72,7 +72,7 @@ def seeds() -> ahocorasick.Automaton:
 
 
 def fuzzy() -> dict[str, regex.Pattern]:
-    return {n: regex.compile(f"(?be)(?:{regex.escape(n, literal_spaces=True)}){{e<={edits_of(n)}}}") for n in NOTICES}
+    return {n: regex.compile(f"(?e)(?:{regex.escape(n, literal_spaces=True)}){{e<={edits_of(n)}}}") for n in NOTICES}
 
 
 def method_spans(text: str, auto, patterns) -> list[tuple[int, int, str, int, str]]:
@@ -136,7 +136,10 @@ def scan(text: Column) -> Column:
                 words = (t or "").encode().translate(_BYTES).split()
                 joined = " " + b" ".join(words).decode("utf-8", "replace") + " "
                 base = base_places(joined)
-                firsts = [joined.count(" ", 0, at) for at, _ in base]
+                firsts, seen, before = [], 0, 0
+                for at in sorted(at for at, _ in base):  # one sweep over the text
+                    seen, before = seen + joined.count(" ", before, at), at
+                    firsts.append(seen)
                 spans = method_spans(joined[1:-1], auto, patterns) if words else []
                 labels = {label for _, label in base}
                 score = 1.0 if base else max((1 - e / len(n) for _, _, _, e, n in spans), default=0.0)

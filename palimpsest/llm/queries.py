@@ -45,8 +45,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    return with_fields(docs, license_scan.scan(F.col("text")),
-                       ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"], ["doc_id"])
+    scanned = with_fields(docs, license_scan.scan(F.col("text")), _fields(license_scan.FIELDS.split(", method_spans")[0])
+                          + ["method_spans"], ["doc_id"])
+    spans = F.transform("method_spans", lambda s: F.concat_ws(":", s["label"], s["start"], s["stop"], s["edits"]))
+    return scanned.withColumn("method_spans", F.array_join(spans, ","))
 
 
 def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,9 @@ gives an empty result (and models from the drawn strings alone); extra columns p
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import random
 import re
 import string
@@ -61,6 +63,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return spans + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
+def _overlap(spans: list[tuple[int, int, str]]):
+    """Whether a stretch meets one of the spans, in the logarithm of their number."""
+    begins = sorted(s[:2] for s in spans)
+    ends = list(itertools.accumulate((b for _, b in begins), max))
+    firsts = [a for a, _ in begins]
+
+    def meets(start: int, end: int) -> bool:
+        k = bisect.bisect_left(firsts, end)
+        return k > 0 and ends[k - 1] > start
+    return meets
+
+
 def _pairs(token: str, counts: np.ndarray, weight: float = 1.0) -> None:
     before = 0
     for c in token:
@@ -88,10 +102,10 @@ def sample_counts(texts: list[str], counts: np.ndarray) -> None:
     """Adds the character pairs of labelled tokens: ``counts[1]`` random strings, ``counts[0]`` others."""
     rng = random.Random(7)
     for text in texts:
-        found = base_spans(text)
+        meets = _overlap(base_spans(text))
         words = []
         for m in re.finditer(r"[A-Za-z0-9+/_=-]{2,}", text):
-            if any(a < m.end() and m.start() < b for a, b, _ in found):
+            if meets(*m.span()):
                 if m.end() - m.start() >= MIN_TOKEN:
                     _pairs(m[0], counts[1])
             else:
@@ -136,10 +150,10 @@ def ratio(token: str, model: np.ndarray) -> float:
 
 def random_spans(text: str, model: np.ndarray, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Tokens that look drawn at random, outside the spans already taken."""
-    out = []
+    out, meets = [], _overlap(taken)
     for m in TOKEN.finditer(text):
         s, e = m.span()
-        if any(a < e and s < b for a, b, _ in taken):
+        if meets(s, e):
             continue
         if ratio(m[0], model) >= MIN_RATIO:
             out.append((s, e, "random"))

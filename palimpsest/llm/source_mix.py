@@ -111,28 +111,6 @@ def pivot(sizes: list[int], chances: list[float], key: tuple) -> list[float]:
     return out
 
 
-def spread(sizes: list[int], chance: float, key: tuple) -> list[float]:
-    """Chances after trading, from the same ``chance`` for all; ``sizes`` fall.
-
-    Each document trades with all smaller ones together, which share their side of the trade evenly, so
-    large documents are settled first and the one left open is small.
-    """
-    out, rest, eps = [chance] * len(sizes), sum(sizes), 1e-9
-    for i, a in enumerate(sizes):
-        rest -= a
-        up, down = min(a * (1 - chance), rest * chance), min(a * chance, rest * (1 - chance))
-        if up + down <= 0:
-            out[i] = chance
-            break
-        move = up if _draw(*key, i) * (up + down) < down else -down
-        out[i], chance = chance + move / a, chance - move / rest
-        out[i] = out[i] if eps < out[i] < 1 - eps else float(round(out[i]))
-        if not eps < chance < 1 - eps:
-            out[i + 1:] = [float(round(chance))] * (len(sizes) - i - 1)
-            break
-    return out
-
-
 def _settle(level: int, last: bool):
     """Trades inside one ``(source, node)``; rows whose chance is 0 or 1 pass through."""
     def run(group: pa.Table) -> pa.Table:
@@ -142,8 +120,7 @@ def _settle(level: int, last: bool):
             size = group["size"].to_numpy()
             at = at[np.lexsort((group["leaf"].to_numpy()[at], group["order"].to_numpy()[at], -size[at]))]
             key = (group["source"][0].as_py(), level, group["node"][0].as_py())
-            done = (pivot(size[at].tolist(), chance[at].tolist(), key) if level else
-                    spread(size[at].tolist(), float(chance[at[0]]), key))
+            done = pivot(size[at].tolist(), chance[at].tolist(), key)  # by falling size: what stays open is small
             chance[at] = [float(_draw(*key, "last") < c) if last and 0 < c < 1 else c for c in done]
         return group.set_column(group.column_names.index("chance"), "chance", pa.array(chance))
     return run

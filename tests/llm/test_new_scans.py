@@ -321,3 +321,37 @@ def test_op11_odd_documents(spark, spoken, odd_docs, no_docs):
     assert list(empty.scores(["x", None])) == [0, 0]
     assert toxicity.train(docs.where("false"), labels).scores([None])[0] < 0.3
     assert toxicity.train(docs, labels.where("toxic = 1")).scores(["x"])[0] > 0.9
+
+
+# --------------------------------------------------------- rules of operators 2, 4 and 5 that were lost before
+
+def test_short_documents_beside_a_long_one_vary_one_by_one():
+    from palimpsest.llm.source_mix import pivot
+    sizes, taken = [5_000] + [2] * 1_499, []
+    for draw in range(30):
+        out = pivot(sizes, [0.4] * 1_500, ("s", 0, draw))
+        assert sum(0 < c < 1 for c in out) <= 1
+        assert abs(sum(s * c for s, c in zip(sizes, out)) - 0.4 * sum(sizes)) < 1e-3  # a trade keeps the words
+        taken.append(sum(c == 1 for c in out[1:]))
+    assert sum(0 < t < 1_499 for t in taken) >= 25 and len(set(taken)) > 5
+
+
+def test_both_notices_are_found():
+    from palimpsest.llm import license_scan
+    text = "releasd under the mit license released under the mit license"
+    spans = license_scan.method_spans(text, license_scan.seeds(), license_scan.fuzzy())
+    assert {(s, e) for s, e, label, _, _ in spans if label == "mit"} >= {(0, 29), (30, 60)}
+
+
+def test_many_spans_in_one_text_take_no_quadratic_time(spark):
+    import time
+
+    from palimpsest.llm import license_scan, secrets
+    from palimpsest.llm.common import with_fields
+    model = secrets.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    text = " ".join(f"{k:032x} word{k}" for k in range(60_000))
+    begin = time.time()
+    assert len(secrets.base_spans(text)) == 60_000 and isinstance(secrets.random_spans(text, model, secrets.base_spans(text)), list)
+    docs = spark.createDataFrame([(1, "cc by " * 300_000)], "doc_id long, text string")
+    row = with_fields(docs, license_scan.scan(F.col("text")), ["n_base", "first_word", "last_word"], ["doc_id"]).first()
+    assert tuple(row) == (1, 300_000, 0, 599_998) and time.time() - begin < 60
