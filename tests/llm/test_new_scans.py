@@ -355,3 +355,31 @@ def test_many_spans_in_one_text_take_no_quadratic_time(spark):
     docs = spark.createDataFrame([(1, "cc by " * 300_000)], "doc_id long, text string")
     row = with_fields(docs, license_scan.scan(F.col("text")), ["n_base", "first_word", "last_word"], ["doc_id"]).first()
     assert tuple(row) == (1, 300_000, 0, 599_998) and time.time() - begin < 60
+
+
+# ------------------------------------------------------------------------------ op8: groups inside a leaf
+
+def _dropped(spark, texts):
+    from palimpsest.llm import line_templates
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: (r.n_lines, r.dropped) for r in line_templates.report(docs).collect()}
+
+
+def test_templates_that_share_a_path(spark):
+    names = [f"{x}{y}" for x in ("an", "bo", "cy", "di") for y in ("ra", "la", "to")]
+    one = [f"Posted in the {w} section by our staff with kind regards always today" for w in names]
+    two = [f"Posted in the town of origin under the name {w} with best wishes" for w in names]
+    three = [f"Posted in the morning after breakfast and before lunch by friend {w} again" for w in names]
+    user = [f"User {w} logged in from the west office" for w in names]
+    plain = [" ".join(f"{w}{k}{chr(97 + j)}" for k, j in zip("abcdefgh", range(8))) for w in names]
+    got = _dropped(spark, ["\n".join(x) for x in zip(one, two, three, user, plain)])
+    assert set(got.values()) == {(5, "0,1,2,3")}
+    for lines in (one, two, three, user):
+        assert set(_dropped(spark, lines).values()) == {(1, "0")}
+
+
+def test_templates_need_two_documents_and_enough_constants(spark):
+    got = _dropped(spark, ["User ann logged in today\nUser bob logged in today", "a b c\na b d", "a b e\nx y z w v", "x y q p v"])
+    assert got == {0: (2, ""), 1: (2, ""), 2: (2, ""), 3: (1, "")}
+    assert _dropped(spark, ["w " * 30_000 + "left", "w " * 30_000 + "right", None, "", " \t \n"]) == {
+        0: (1, "0"), 1: (1, "0"), 2: (0, ""), 3: (0, ""), 4: (0, "")}
