@@ -19,6 +19,8 @@ empty table gives an empty result; extra columns are not written.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import uuid
 import zlib
@@ -144,6 +146,8 @@ class Encoder:
             pool = self.pool[np.repeat(self.ends[old] - ends[:-1], size) + np.arange(ends[-1])]
             self._keep({p: k for k, p in enumerate(kept)}, pool, ends)
         pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc alone: gives freed memory back to the system
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def encoder(path: str) -> Encoder:
