@@ -1,7 +1,10 @@
 """Operator 7, benchmark decontamination by template canonicalisation; DataFrame functions only.
 
-Numbers, names (capitalised words inside a sentence) and units (after a number) become typed slots, all
-else is lowered; a text is then a row of template tokens.  Every window of ``WINDOW`` tokens of the
+Numbers (digits or spelled), names (capitalised words, wherever they stand) and units (after a number) become
+typed slots, all else is lowered; a text is then a row of template tokens.  Names in a row ("New York", "O'Neil")
+and the words of a spelled number ("twenty-five", "3 million") are one slot.  ``NOT_NAMES``, words in capitals
+throughout and other words without a small letter are words; so an item whose words at sentence starts were
+lowered is found by its other windows alone.  Every window of ``WINDOW`` tokens of the
 benchmark items is hashed and held by the executors; every window of every whole document is hashed in
 place and looked up, so the documents are scanned once and not shuffled.  A window with more slots than
 words says little as a template and is looked up with its values.  Each run of hits brings the document's
@@ -36,8 +39,9 @@ MIN_SHARE = 0.5
 RUN = 13  # covered tokens in a row that are a leak whatever the item's length
 BLOCK_WINDOWS = 500_000
 
-# Slots: one mark before the value.  These control characters are taken out of texts first.
-NUMBER, NAME, UNIT, POINT = "\u0001", "\u0002", "\u0003", "\u0004"
+# Slots: one mark before the value; POINT joins the parts of a value, END and PART are there while marking.  These
+# control characters are taken out of texts first.
+NUMBER, NAME, UNIT, POINT, END, PART = "\u0001", "\u0002", "\u0003", "\u0004", "\u0005", "\u0006"
 # Units of measure, as they follow a number.
 UNITS = ["kg", "g", "mg", "km", "m", "cm", "mm", "l", "ml", "s", "min", "h", "hour", "hours", "minute", "minutes",
          "second", "seconds", "day", "days", "week", "weeks", "month", "months", "year", "years", "mile", "miles",
@@ -45,14 +49,46 @@ UNITS = ["kg", "g", "mg", "km", "m", "cm", "mm", "l", "ml", "s", "min", "h", "ho
          "liter", "liters", "litre", "litres", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent",
          "degree", "degrees", "gram", "grams", "kilogram", "kilograms", "kilometer", "kilometers", "mph", "kmh"]
 
+# Words of spelled numbers.
+SPELLED = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve",
+           "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty",
+           "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion", "dozen"]
+# Words that begin sentences and are no names.
+NOT_NAMES = ["a", "an", "the", "this", "that", "these", "those", "there", "here", "it", "its", "he", "she", "they", "we",
+             "you", "his", "her", "their", "our", "your", "my", "who", "whose", "what", "which", "when", "where", "why",
+             "how", "if", "in", "on", "at", "by", "for", "from", "of", "to", "with", "without", "and", "or", "but", "so",
+             "as", "after", "before", "during", "since", "until", "while", "each", "every", "all", "some", "any", "no",
+             "not", "is", "are", "was", "were", "do", "does", "did", "has", "have", "had", "can", "could", "would",
+             "should", "then", "now", "also", "let", "given", "find", "calculate", "compute", "determine", "solve",
+             "suppose", "assume", "consider", "explain", "describe", "write", "choose", "answer", "question"]
+_LETTER = r"[\p{L}\p{M}]"
+
+
+def _one_of(words: list[str]) -> str:
+    """Pattern of the words, grouped by first letter: a regex engine tries alternatives one by one."""
+    heads = sorted({w[0] for w in words})
+    return f"(?=[{''.join(heads)}])(?:" + "|".join(
+        f"{h}(?:{'|'.join(w[1:] for w in words if w[0] == h)})" for h in heads) + ")"
+
+
+_NAME = (rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?=\p{{Lu}})(?!{_one_of([w.capitalize() for w in NOT_NAMES + SPELLED])}(?!{_LETTER}))"
+         rf"(\p{{Lu}}+\p{{Ll}}{_LETTER}*|\p{{Lu}}(?=['’]\p{{Lu}}\p{{Ll}}))")
+_SPELLED = rf"(?=[a-z])(?<![\p{{L}}\p{{M}}{NAME}{POINT}])({_one_of(SPELLED)})(?!{_LETTER}|{POINT})"
+
 
 def marked(text: Column) -> Column:
     """The text with its slots marked, lowered."""
-    t = F.translate(F.coalesce(text, F.lit("")), NUMBER + NAME + UNIT + POINT, "")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll}\p{N},;:] )(\p{Lu}\p{Ll}+)", f" {NAME}$1 ")
-    t = F.regexp_replace(F.lower(t), r"(?<=[0-9])[.,](?=[0-9])", POINT)
-    t = F.regexp_replace(t, rf"([0-9][0-9{POINT}]*)", f" {NUMBER}$1 ")
-    return F.regexp_replace(t, rf"(?<=[0-9] {{1,3}})({'|'.join(UNITS)})(?![\p{{L}}])", f" {UNIT}$1 ")
+    def joined(t: Column, mark: str, between: str) -> Column:
+        for c in between:
+            t = F.replace(t, F.lit(END + c + mark), F.lit(POINT))
+        return t
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NUMBER}-{PART}]+", "")
+    t = joined(F.regexp_replace(t, _NAME, f"{NAME}$1{END}"), NAME, " '’-")
+    t = F.regexp_replace(F.lower(F.replace(t, F.lit(END), F.lit(" "))), r"(?<=[0-9])[.,](?=[0-9])", POINT)
+    t = F.regexp_replace(t, rf"([0-9][0-9{POINT}]*)", f" {NUMBER}$1{END}")
+    t = joined(F.regexp_replace(t, _SPELLED, f"{PART}$1{END}"), PART, " -")
+    t = F.replace(t, F.lit(PART), F.lit(f" {NUMBER}"))
+    return F.regexp_replace(t, rf"{END} {{0,3}}({'|'.join(UNITS)})(?!{_LETTER})", f" {UNIT}$1 ")
 
 
 def tokens(mark: Column) -> Column:
@@ -109,10 +145,11 @@ def _compared(diagonal: DataFrame) -> DataFrame:
     at = lambda a, p: F.get(a, p - 1)
     doc = lambda a, p: F.get(a, p - F.col("first"))
     inside = lambda a, p: (a <= p) & (p < a + width)
-    d = diagonal.withColumn("same", F.transform(F.sequence(F.lit(1), n), lambda p: F.coalesce(
-        at("item_template", p) == doc("tmpl", p), F.lit(False))))
-    d = d.withColumn("stand", F.filter(F.sequence(F.lit(1), n - width + 1),
-                                       lambda a: F.forall(F.slice("same", a, width), lambda x: x)))
+    same = F.transform(F.sequence(F.lit(1), n), lambda p: F.coalesce(at("item_template", p) == doc("tmpl", p), F.lit(False)))
+    # bound by an array of one, or the planner puts it into the lambda and it runs again for every window
+    stand = F.transform(F.array(same), lambda eq: F.filter(F.sequence(F.lit(1), n - width + 1),
+                                                           lambda a: F.forall(F.slice(eq, a, width), lambda x: x)))
+    d = diagonal.withColumn("stand", F.get(stand, F.lit(0)))
     d = d.withColumn("s", F.transform(
         F.filter(F.sequence(F.lit(1), n), lambda p: at("item_template", p).isin(NUMBER, NAME, UNIT)
                  & F.exists("stand", lambda a: inside(a, p))),

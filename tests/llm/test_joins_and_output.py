@@ -301,6 +301,64 @@ def test_leaks_of_part_of_a_long_item_and_of_short_items(spark):
     assert got == {(10, 1): 28, (11, 1): 13, (14, 2): 4, (16, 3): 2}
 
 
+def test_slots_of_names_and_spelled_numbers(spark):
+    from pyspark.sql import functions as F
+    rows = [("Tom met O'Neil and Mary Ann McDonald. The twenty-five NASA men of New York paid 3 million dollars, Eve seven cents",
+             "# met # and # the % nasa men of # paid % ? # % ?"), ("Seven At one", "% at %"), ("someone tenth x", "someone tenth x")]
+    got = spark.createDataFrame(rows, "t string, want string").select(
+        "want", F.array_join(template_leaks.template(template_leaks.marked(F.col("t"))), " ").alias("got")).collect()
+    for r in got:
+        assert r.got.translate({1: "%", 2: "#", 3: "?"}) == r.want
+
+
+def test_leaks_of_refilled_questions(spark):
+    apples = "Tom has 5 apples. Anna takes 2 of them. Tom buys 7 more. How many apples does Tom have?"
+    train = "The train of McDonald leaves New York at seven and drives eighty miles before O'Neil gets off at the last stop"
+    bench = spark.createDataFrame([(1, apples), (2, train)], "item_id long, text string")
+    docs = [(10, "Bob has 8 apples. Carla takes 3 of them. Bob buys 4 more. How many apples does Bob have?"),
+            (11, "Tom has five apples. Anna takes two of them. Tom buys seven more. How many apples does Tom have?"),
+            (12, "The train of Smith leaves San Juan at 9 and drives 70 miles before Ann Lee gets off at the last stop"),
+            (13, "Bob has 8 pears. Carla brings 3 boxes. Bob sells 4 of these. How many are left to Bob now?"),
+            (14, "Bob has 8 apples. Carla takes 3 of them. Ann buys 4 more. How many apples does Zoe have?"),
+            (15, "A bus of Smith reaches Rome at 9 after 70 miles, and Ann Lee gets on at the first stop")]
+    got = {(r.doc_id, r.item_id): r.n_covered == r.n_tokens for r in
+           template_leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(10, 1): True, (11, 1): True, (12, 2): True}, got
+
+
+_FRAMES = ["{a} has {m} {x} and gives {n} of them to {b} before the {y} of {c} closes, how many {x} does {a} keep",
+           "{a} drives {m} miles from {c} to the {y} in {n} hours. {b} walks {k} miles back. How far is {b} from {c}?",
+           "A {y} in {c} sells {m} {x} each day and {n} on a holiday. {a} buys {k} of them. How many are left for {b}?"]
+
+
+def _question(rng, frame, x, y):
+    names = rng.sample(["Tom", "Anna", "Mary Ann", "O'Neil", "McDonald", "Zoë", "Li Wei", "Bo"], 2)
+    m, n, k = rng.sample([str(rng.randint(2, 9999)), "seven", "twenty-five", "3 million", f"{rng.randint(1, 99)}.5"], 3)
+    return frame.format(a=names[0], b=names[1], c=rng.choice(["Rome", "New York", "San Juan de Luz"]), x=x, y=y,
+                        m=m, n=n, k=k)
+
+
+def test_leaks_of_generated_questions(spark):
+    """200 questions filled anew, and as many about other things, against brute force on the generator's own key: the
+    frame and its things, whatever the names, places and numbers."""
+    import random
+    rng = random.Random(5)
+    things = [(x, y) for x in ("apples", "stamps", "coins", "pencils") for y in ("market", "museum", "bakery", "harbour")]
+    known, other = things[::2], things[1::2]
+    items = [(i, f, x, y) for i, (f, (x, y)) in enumerate([(f, t) for f in _FRAMES for t in known])]
+    bench = spark.createDataFrame([(i, _question(rng, f, x, y)) for i, f, x, y in items], "item_id long, text string")
+    docs, want = [], set()
+    for d in range(200):
+        i, f, x, y = rng.choice(items)
+        docs.append((d, f"Some words first. {_question(rng, f, x, y)} And some after"))
+        want.add((d, i))
+    filler = "this is about {x} that nobody has ever seen near the old {y} of a town whose streets were empty that night"
+    docs += [(1000 + d, filler.format(x=x, y=y) + f" when {d} men and Tom went home") for d, (x, y) in enumerate(other * 25)]
+    got = {(r.doc_id, r.item_id) for r in template_leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert len(want & got) >= 0.9 * len(want), len(want & got)
+    assert not any(d >= 1000 for d, _ in got)
+
+
 def test_leaks_in_blocks_and_verbatim(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
