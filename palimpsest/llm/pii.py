@@ -2,8 +2,8 @@
 
 The fixed patterns scan the text as it stands.  Then transducers normalise it: homoglyphs and other
 scripts' digits become ASCII (one character for one), invisible characters go, ``[at]`` / ``(dot)`` and
-spelled-out `` at `` / `` dot `` become ``@`` and ``.`` (`` at `` alone before a domain whose last part is two
-letters or more), and runs of spelled digits become digits.  Each
+spelled-out `` at `` / `` dot `` become ``@`` and ``.`` (`` at `` before a domain with a full stop only with a second
+sign: a digit, ``.`` or ``_`` in the local part or a word of writing before it, and a public top-level domain), and runs of spelled digits become digits.  Each
 transducer keeps the offsets, the same detectors run on the result, and spans that touch a rewritten
 place are mapped back.  A mapped span that overlaps a span of the same kind is not added.
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import re
 import sys
 import unicodedata
@@ -94,8 +95,18 @@ _HIDDEN = re.compile("[­​-‏⁠﻿]")
 _BRACKET = re.compile(r"\x20?[\[({<]\x20?(?:(at|@)|(dot|\.|punkt|punto|point))\x20?[\])}>]\x20?", re.I)
 _BARE = re.compile(r"(?<=[A-Za-z0-9_%+-])(\x20at\x20)(?=[A-Za-z0-9-]+\x20dot\x20[A-Za-z])"
                    r"|(?<=[A-Za-z0-9-])(\x20dot\x20)(?=[A-Za-z][A-Za-z0-9-]*)", re.I)
+# Top-level domains of more than two letters that a bare " at " is read before (two letters: any country).
+_TOP = ["com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "museum", "app", "dev", "online",
+        "site", "shop", "store", "tech", "cloud", "email", "blog", "news", "live", "world", "agency", "xyz"]
 _TLD = re.compile(r"(?<=[A-Za-z0-9_%+-])\x20at\x20(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\."
-                  r"(?:[A-Za-z]{2,}|xn--[A-Za-z0-9-]+)\b)", re.I)
+                  rf"(?:[a-z]{{2}}|[A-Z]{{2}}|{'|'.join(_TOP)}|xn--[A-Za-z0-9-]+)(?![A-Za-z0-9-]))")
+_LOCAL_SIGN = re.compile(r"[A-Za-z][A-Za-z0-9%+-]*[0-9._][A-Za-z0-9._%+-]*\Z")
+# Words that announce an address, in the languages of the corpus.
+_CUE = re.compile(r"\b(?:e-?mails?|mail|contact|write to|reach|address|kontakt|schreib\w*|adresse?|correo|escrib\w*|"
+                  r"contacto|courriel|[ée]crire|pisz|napisz|adres)\b[^\n@]{0,24}\Z", re.I)
+_BEFORE = 64  # characters before a local part in which its sign and its cue are looked for
+
+
 _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6",
             "seven": "7", "eight": "8", "nine": "9"}
 _DIGIT_WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
@@ -104,13 +115,20 @@ _SPELLED_RUN = re.compile(rf"\b(plus[\x20-])?((?:{_DIGIT_WORD}|[0-9])(?:[\x20,.-
 _HAS_SPELLED = re.compile(rf"{_DIGIT_WORD}[\x20,.-]{{1,2}}{_DIGIT_WORD}[\x20,.-]", re.I)
 
 
+def _announced(text: str, at: int) -> bool:
+    """Whether a bare " at " at ``at`` has a second sign of an address."""
+    before = text[max(0, at - _BEFORE):at]
+    local = before[len(before.rstrip(LOCAL)):]
+    return bool(_LOCAL_SIGN.match(local) or _CUE.search(before[:len(before) - len(local)]))
+
+
 def _edits(text: str) -> list[tuple[int, int, str]]:
     """(start, end, replacement), in order and apart from one another."""
     found = [(*m.span(), "") for m in _HIDDEN.finditer(text)]
     found += [(*m.span(), "@" if m[1] else ".") for m in _BRACKET.finditer(text)]
     if re.search(r"\x20dot\x20", text, re.I):
         found += [(*m.span(), "@" if m[1] else ".") for m in _BARE.finditer(text)]
-    found += [(*m.span(), "@") for m in _TLD.finditer(text)]
+    found += [(*m.span(), "@") for m in _TLD.finditer(text) if _announced(text, m.start())]
     if _HAS_SPELLED.search(text):
         for m in _SPELLED_RUN.finditer(text):
             digits = "".join(_SPELLED.get(w.lower(), w) for w in re.findall(r"[A-Za-z]+|[0-9]", m[2]))
@@ -138,37 +156,52 @@ def normalise(text: str) -> tuple[str, list[tuple[int, int, int, int]], list[int
     return "".join(parts), places, swapped
 
 
-def _sources(places, s: int, e: int) -> tuple[int, int, bool]:
-    """Source span of ``s:e`` of the normalised text, and whether a rewritten place is inside."""
-    ends = [p[1] for p in places]
+def _sources(places, starts: list[int], ends: list[int], s: int, e: int) -> tuple[int, int, bool]:
+    """Source span of ``s:e`` of the normalised text, and whether a rewritten place is inside; ``starts`` and ``ends``
+    are those of the places."""
     i = bisect.bisect_left(ends, s)
     while i < len(places) and places[i][1] <= s and places[i][0] < s:
         i += 1
     touched = i < len(places) and places[i][0] < e
     before = places[i - 1] if i else (0, 0, 0, 0)
     start = places[i][2] if i < len(places) and places[i][0] <= s < places[i][1] else before[3] + s - before[1]
-    j = bisect.bisect_left([p[0] for p in places], e) - 1
+    j = bisect.bisect_left(starts, e) - 1
     last = places[j] if j >= 0 else (0, 0, 0, 0)
     end = last[3] if e <= last[1] and j >= 0 else last[3] + e - last[1]
     return start, end, touched
 
 
+def _meeting(spans):
+    """Whether a stretch meets one of the spans, in the logarithm of their number."""
+    spans = sorted(s[:2] for s in spans)
+    firsts, lasts = [a for a, _ in spans], list(itertools.accumulate((b for _, b in spans), max))
+
+    def meets(start: int, end: int) -> bool:
+        k = bisect.bisect_left(firsts, end)
+        return k > 0 and lasts[k - 1] > start
+    return meets
+
+
 def method_spans(text: str, base: list[Span]) -> list[Span]:
     plain, places, swapped = normalise(text)
     if plain == text:
         return []
     found = base_spans(plain)
-    for a, b, s, e in places:  # spelled numbers of a phone's length, without a plus
-        if b - a >= 10 and plain[a:b].isdigit() and not any(x < b and a < y for x, y, _ in found):
-            found.append((a, b, "phone"))
+    meets = _meeting(found)
+    # spelled numbers of a phone's length, without a plus
+    found += [(a, b, "phone") for a, b, _, _ in places if 10 <= b - a <= 15 and plain[a:b].isdigit() and not meets(a, b)]
+    starts, ends = [p[0] for p in places], [p[1] for p in places]
     out = []
-    for s, e, kind in found:
-        start, end, touched = _sources(places, s, e)
-        k = bisect.bisect_left(swapped, start)
-        if not touched and not (k < len(swapped) and swapped[k] < end):
-            continue
-        if not any(x < end and start < y and kind == z for x, y, z in base + out):
-            out.append((start, end, kind))
+    for kind in KINDS:
+        meets, done = _meeting([s for s in base if s[2] == kind]), 0
+        for s, e, _ in sorted(f for f in found if f[2] == kind):  # in order, so the sources are in order too
+            start, end, touched = _sources(places, starts, ends, s, e)
+            k = bisect.bisect_left(swapped, start)
+            if not touched and not (k < len(swapped) and swapped[k] < end):
+                continue
+            if start >= done and not meets(start, end):
+                out.append((start, end, kind))
+                done = end
     return out
 
 
