@@ -96,15 +96,14 @@ def tokens(mark: Column) -> Column:
     return F.array_remove(F.split(mark, rf"[^\p{{L}}\p{{M}}\p{{N}}{NUMBER}-{POINT}]+"), "")
 
 
-def template(mark: Column) -> Column:
-    """The same tokens, slots without their values."""
-    return tokens(F.regexp_replace(mark, rf"([{NUMBER}-{UNIT}])[\p{{L}}\p{{M}}\p{{N}}{POINT}]+", "$1"))
+def template(words: Column) -> Column:
+    """The tokens without the values of slots (a slot's mark sorts before all that a word begins with)."""
+    return F.transform(words, lambda w: F.when(w < POINT, F.left(w, F.lit(1))).otherwise(w))
 
 
 def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
-    mark = marked(F.col(f"`{text}`"))
-    return (benchmark.select(F.col(f"`{item_id}`").alias("item_id"), tokens(mark).alias("item_words"),
-                             template(mark).alias("item_template"))
+    return (benchmark.select(F.col(f"`{item_id}`").alias("item_id"), tokens(marked(F.col(f"`{text}`"))).alias("item_words"))
+            .withColumn("item_template", template(F.col("item_words")))
             .withColumn("n_tokens", F.size("item_template")).where(F.col("n_tokens") > 0).distinct())
 
 
@@ -178,9 +177,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     windows = cut_lineage(_windows(items))
     kinds = {r[0]: r[1] for r in windows.groupBy("width").agg(F.max("by_value")).collect()}  # at most WINDOW rows
     blocks = max(1, math.ceil(windows.count() / BLOCK_WINDOWS))
-    mark = marked(F.col(f"`{text}`"))
     tokenised = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"),
-                            tokens(mark).alias("words"), template(mark).alias("tmpl"))
+                            tokens(marked(F.col(f"`{text}`"))).alias("words")).withColumn("tmpl", template(F.col("words")))
     hits = None
     for width, values in sorted(kinds.items()) or [(WINDOW, False)]:
         key = lambda at: _key("words", "tmpl", at, F.lit(width), values)  # noqa: E731, B023

@@ -306,7 +306,7 @@ def test_slots_of_names_and_spelled_numbers(spark):
     rows = [("Tom met O'Neil and Mary Ann McDonald. The twenty-five NASA men of New York paid 3 million dollars, Eve seven cents",
              "# met # and # the % nasa men of # paid % ? # % ?"), ("Seven At one", "% at %"), ("someone tenth x", "someone tenth x")]
     got = spark.createDataFrame(rows, "t string, want string").select(
-        "want", F.array_join(template_leaks.template(template_leaks.marked(F.col("t"))), " ").alias("got")).collect()
+        "want", F.array_join(template_leaks.template(template_leaks.tokens(template_leaks.marked(F.col("t")))), " ").alias("got")).collect()
     for r in got:
         assert r.got.translate({1: "%", 2: "#", 3: "?"}) == r.want
 
