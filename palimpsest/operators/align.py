@@ -302,3 +302,16 @@ def documents_only_in(status: DataFrame, side: str) -> DataFrame:
     flag = "in_old" if side == "old" else "in_new"
     other = "in_new" if side == "old" else "in_old"
     return status.filter(F.col(flag) & ~F.col(other)).select("doc_id", "n_old", "n_new")
+
+
+def with_errors(status: DataFrame, errors: DataFrame) -> DataFrame:
+    """A10: ``status`` with reader errors as the third side of the pairing.
+
+    ``errors`` is the readers' manifest ``(doc_id, reason)`` of either snapshot, with one or more rows a document.  A
+    document named there is ``parse_error`` whatever was read of it, also when no block of it arrived; its reasons stay
+    in ``reasons`` (sorted; null for the others)."""
+    told = errors.groupBy("doc_id").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    none = {"in_old": F.lit(False), "in_new": F.lit(False), "n_old": F.lit(0), "n_new": F.lit(0)}
+    joined = status.withColumn("_read", F.lit(True)).join(told.withColumn("_told", F.lit(True)), "doc_id", "full_outer")
+    return joined.select("doc_id", *[F.coalesce(F.col(c), v).alias(c) for c, v in none.items()],
+                         F.when(F.col("_told"), F.lit("parse_error")).otherwise(F.col("status")).alias("status"), "reasons")

@@ -113,6 +113,45 @@ def vector_cosine(a: Column, b: Column) -> Column:
     return F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(dot / (F.sqrt(na) * F.sqrt(nb)))
 
 
+# ---- mean vectors ---------------------------------------------------------------------------------
+VECTOR_DIMS = 32   # one for each hexadecimal digit of a token's MD5
+NEAR = 2           # neighbours to either side that count
+VECTOR_SCALE = 1000
+
+
+def token_vectors(texts: DataFrame, text_col: str) -> DataFrame:
+    """``(tok, vec ARRAY<BIGINT>)`` of every token of a corpus, by random projection of its neighbours.
+
+    A neighbour ``u`` stands for ``VECTOR_DIMS`` signs, plus where the hexadecimal digit of ``md5(u)`` is 8 or more.
+    Co-occurrences within ``NEAR`` tokens are counted per pair first (a token that holds a third of the corpus is
+    combined before the shuffle), their signs are summed, and the sums are divided by the number of neighbours.  All
+    sums are integers, so every partitioning gives the same bits.  A token without neighbours has the zero vector."""
+    w = texts.select(tokens(F.col(text_col)).alias("w"))
+    at = F.sequence(F.lit(0), F.size("w") - 1)
+    near = lambda i: F.array_compact(F.array(*[F.when(i + o >= 0, F.get("w", i + o)) for o in range(-NEAR, NEAR + 1) if o]))
+    pairs = F.transform(at, lambda i: F.struct(F.get("w", i).alias("tok"), near(i).alias("near")))
+    rows = w.filter(F.size("w") > 0).select(F.explode(pairs).alias("p")).select("p.tok", F.explode_outer("p.near").alias("near"))
+    counts = rows.groupBy("tok", "near").agg(F.count("near").alias("n")).withColumn("h", F.md5("near"))
+    sign = lambda d: F.when(F.substring("h", d + 1, 1) >= "8", F.col("n")).otherwise(-F.col("n"))
+    sums = counts.groupBy("tok").agg(F.sum("n").alias("n"), *[F.sum(sign(d)).alias(f"s{d}") for d in range(VECTOR_DIMS)])
+    each = [F.when(F.col("n") == 0, F.lit(0)).otherwise(F.floor(F.col(f"s{d}") * F.lit(float(VECTOR_SCALE)) / F.col("n")))
+            .cast("bigint") for d in range(VECTOR_DIMS)]
+    return sums.select("tok", F.array(*each).alias("vec"))
+
+
+def mean_vectors(points: DataFrame, keys: Sequence[str], text_col: str, vectors: DataFrame) -> DataFrame:
+    """``(*keys, n_tokens, total ARRAY<BIGINT>, mean ARRAY<DOUBLE>)``, the mean of a text's token vectors; zeros for
+    a text without tokens.  Tokens are counted per text before they meet their vectors; unknown ones count as zeros."""
+    keys = list(keys)
+    tf = (points.select(*keys, F.explode_outer(tokens(F.col(text_col))).alias("tok"))
+          .groupBy(*keys, "tok").agg(F.count("tok").alias("w")))
+    part = lambda d: F.coalesce(F.sum(F.col("w") * F.get("vec", F.lit(d))), F.lit(0)).alias(f"s{d}")
+    sums = tf.join(vectors, "tok", "left").groupBy(*keys).agg(F.sum("w").alias("n_tokens"), *[part(d) for d in range(VECTOR_DIMS)])
+    total = F.array(*[F.col(f"s{d}") for d in range(VECTOR_DIMS)])
+    mean = F.transform("total", lambda x: F.when(F.col("n_tokens") == 0, F.lit(0.0)).otherwise(x.cast("double") / F.col("n_tokens")))
+    return sums.select(*keys, "n_tokens", total.alias("total")).withColumn("mean", mean)
+
+
 def text_for_vector(old_text: Column, new_text: Column) -> Column:
     """``(new.text or old.text or '').strip()``."""
     from ..functions.text import ustrip

@@ -65,6 +65,13 @@ class Comparison:
         return align.align_blocks(self.old_docs, self.new_docs, self.old_blocks, self.new_blocks,
                                   self.autojunk, self.max_udf_blocks, with_payload=False, small_range=self.small_range)
 
+    @property
+    def typed_entries(self) -> DataFrame:
+        """Entries with their effective ``type``; of a text corpus, whose blocks are all paragraphs, no text moves."""
+        if self.text_mode:
+            return self.entries.withColumn("type", F.lit("paragraph"))
+        return self.changes
+
     @property
     def changes(self) -> DataFrame:
         """One row per entry with both payloads (prefixed ``old_`` / ``new_``) and effective ``type``."""

@@ -407,6 +407,31 @@ tv AS (SELECT doc_id, entry_idx,
        FROM entries WHERE change = 'changed'),
 tt AS (SELECT doc_id, entry_idx, unnest({_tokens('vt')}) AS token FROM tv)
 SELECT doc_id, entry_idx, token, count(*) AS tf FROM tt GROUP BY doc_id, entry_idx, token"""
+    q["doc_status_indexed"] = q["doc_status"]
+    q["doc_status_errors"] = f"""WITH {rev}, routed AS ({q["route_files"]}),
+bad AS (SELECT page_id AS doc_id, max(reason) AS reason FROM routed GROUP BY page_id HAVING count(reader) = 0)
+SELECT coalesce(s.doc_id, b.doc_id) AS doc_id, coalesce(in_old, false) AS in_old, coalesce(in_new, false) AS in_new,
+       coalesce(n_old, 0) AS n_old, coalesce(n_new, 0) AS n_new,
+       CASE WHEN b.doc_id IS NOT NULL THEN 'parse_error' ELSE status END AS status, reason AS reasons
+FROM status s FULL JOIN bad b ON b.doc_id = s.doc_id"""
+    signs = ", ".join(f"sum(CASE WHEN substr(h, {d + 1}, 1) >= '8' THEN n ELSE -n END)" for d in range(32))
+    means = ", ".join(f"CASE WHEN sum(w) = 0 THEN 0.0 ELSE CAST(coalesce(sum(w * vec[{d + 1}]), 0) AS DOUBLE) / sum(w) END"
+                      for d in range(32))
+    q["text_vectors_mean"] = f"""{al},
+tv AS (SELECT doc_id, entry_idx,
+              trim(coalesce(nullif(new_text, ''), nullif(old_text, ''), ''), {WS_SQL}) AS vt
+       FROM entries WHERE change = 'changed'),
+tf AS (SELECT doc_id, entry_idx, tok, count(*) AS w
+       FROM (SELECT doc_id, entry_idx, unnest({_tokens('vt')}) AS tok FROM tv) GROUP BY ALL),
+lists AS (SELECT row_number() OVER () AS r, {_tokens('text')} AS w FROM documents),
+words AS (SELECT r, unnest(w) AS tok, unnest(range(len(w))) AS i FROM lists),
+co AS (SELECT a.tok, b.tok AS near, count(*) AS n FROM words a JOIN (VALUES (-2), (-1), (1), (2)) AS o(k) ON true
+       JOIN words b ON b.r = a.r AND b.i = a.i + o.k GROUP BY a.tok, b.tok),
+sums AS (SELECT tok, sum(n) AS n, [{signs}] AS s FROM (SELECT *, md5(near) AS h FROM co) GROUP BY tok),
+vecs AS (SELECT tok, list_transform(s, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000.0 / n) AS BIGINT)) AS vec FROM sums),
+m AS (SELECT doc_id, entry_idx, CAST(sum(w) AS BIGINT) AS n_tokens, [{means}] AS mean
+      FROM tf LEFT JOIN vecs ON vecs.tok = tf.tok GROUP BY doc_id, entry_idx)
+SELECT doc_id, entry_idx, n_tokens, CAST(unnest(range(32)) AS INTEGER) AS dim, unnest(mean) AS value FROM m"""
     q["changes_json"] = f"{al}\nSELECT doc_id, entry_idx, change, type, old_pos, new_pos, old_text, new_text FROM entries"
     q["report_rows"] = f"""{an}
 SELECT doc_id, entry_idx, change, type, score, score_band, semantic_score, change_type, confidence,

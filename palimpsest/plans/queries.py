@@ -218,6 +218,34 @@ def q_text_vectors(spark, sf):
     return t.groupBy("doc_id", "entry_idx", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def q_text_vectors_mean(spark, sf):
+    """The mean token vector of each changed entry's text; token vectors come from all documents."""
+    from ..operators.semantics import mean_vectors, text_for_vector, token_vectors
+    ch = revision(spark, sf).changes.filter(F.col("change") == "changed")
+    points = ch.select("doc_id", "entry_idx", text_for_vector(F.col("old_text"), F.col("new_text")).alias("vtext"))
+    m = mean_vectors(points, ["doc_id", "entry_idx"], "vtext", token_vectors(read_table(spark, sf, "documents"), "text"))
+    return m.select("doc_id", "entry_idx", "n_tokens", F.posexplode("mean").alias("dim", "value"))
+
+
+def q_doc_status_errors(spark, sf):
+    """A10: document status with the readers' errors, here files whose every name has an unsupported suffix."""
+    from ..operators.align import with_errors
+    bad = q_route_files(spark, sf).groupBy(F.col("page_id").alias("doc_id")).agg(
+        F.count("reader").alias("n"), F.max("reason").alias("reason")).filter("n = 0")
+    s = with_errors(revision(spark, sf).status, bad.select("doc_id", "reason"))
+    return s.select("doc_id", "in_old", "in_new", "n_old", "n_new", "status", F.array_join("reasons", ",").alias("reasons"))
+
+
+def q_doc_status_indexed(spark, sf):
+    """C1 from two snapshot indexes: written once, paired without an exchange."""
+    import uuid
+    from ..sources.snapshot_index import indexed_status, write_index
+    run = uuid.uuid4().hex
+    for side, lines in zip(("old", "new"), fixtures.revision_lines(read_table(spark, sf, "documents"))):
+        write_index(lines, f"snapshot_{side}_{run}")
+    return indexed_status(spark, f"snapshot_old_{run}", f"snapshot_new_{run}")
+
+
 def q_embedding_cosine(spark, sf):
     v = fixtures.vector_pairs(spark, sf)
     return v.select("a_id", "b_id", T.round_half_up(vector_cosine(F.col("a"), F.col("b")), 4).alias("cosine"))
@@ -252,7 +280,7 @@ def q_stats_by_type(spark, sf):
 
 
 def q_stats_rollup(spark, sf):
-    return report.stats_rollup(revision(spark, sf).changes)
+    return report.stats_rollup(revision(spark, sf).typed_entries)
 
 
 def q_top_changes(spark, sf):
@@ -268,12 +296,12 @@ def q_doc_summary(spark, sf):
 
 
 def q_filter_changes(spark, sf):
-    ch = revision(spark, sf).changes
+    ch = revision(spark, sf).typed_entries
     return report.filter_changes(ch, ["changed", "added"], ["paragraph"]).select("doc_id", "entry_idx", "change", "type")
 
 
 def q_type_facets(spark, sf):
-    return report.type_facets(revision(spark, sf).changes)
+    return report.type_facets(revision(spark, sf).typed_entries)
 
 
 def q_corpus_top_k(spark, sf):
@@ -409,6 +437,9 @@ def queries() -> dict[str, Query]:
         "embedding_cosine": q_embedding_cosine,
         "change_type": q_change_type,
         "text_vectors": q_text_vectors,
+        "text_vectors_mean": q_text_vectors_mean,
+        "doc_status_errors": q_doc_status_errors,
+        "doc_status_indexed": q_doc_status_indexed,
         "cluster_k": q_cluster_k,
         "score_changes": q_score_changes,
         "analyze_changes": q_analyze_changes,

@@ -62,3 +62,26 @@ def test_cluster_changes_invariants(spark):
     assert sorted(r.idx for r in d1) == list(range(6))       # every changed index exactly once (R19)
     assert len({r.cluster for r in d1}) <= 2                 # k = max(2, min(10, 6 // 5)) = 2
     assert not [r for r in got if r.doc_id == 2]             # fewer than 3 changes -> no clusters
+
+
+def test_mean_vectors(spark):
+    import hashlib
+    from palimpsest.operators.semantics import NEAR, VECTOR_DIMS, mean_vectors, token_vectors
+    corpus = ["red fox red", "a fox", "alone", "", None, "the the the the " * 300 + "fox"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(corpus)], "id long, text string")
+    sums: dict[str, list[int]] = {}
+    for t in corpus:
+        w = (t or "").split()
+        for i, x in enumerate(w):
+            v = sums.setdefault(x, [0] * (VECTOR_DIMS + 1))
+            for u in w[max(0, i - NEAR):i] + w[i + 1:i + 1 + NEAR]:
+                v[-1] += 1
+                for d, c in enumerate(hashlib.md5(u.encode()).hexdigest()):
+                    v[d] += 1 if c >= "8" else -1
+    want = {x: [s * 1000 // v[-1] if v[-1] else 0 for s in v[:-1]] for x, v in sums.items()}
+    one, eight = ({r.tok: r.vec for r in token_vectors(docs.repartition(n), "text").collect()} for n in (1, 8))
+    assert one == eight == want
+    points = spark.createDataFrame([(1, "fox red unknown"), (2, ""), (3, None), (4, "alone")], "id long, text string")
+    got = {r.id: r for r in mean_vectors(points, ["id"], "text", token_vectors(docs, "text")).collect()}
+    assert got[1].mean == [(a + b) / 3 for a, b in zip(want["fox"], want["red"])]
+    assert [got[i].n_tokens for i in (1, 2, 3, 4)] == [3, 0, 0, 1] and all(set(got[i].mean) == {0.0} for i in (2, 3, 4))

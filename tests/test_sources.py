@@ -133,3 +133,34 @@ def test_one_large_file_is_read_by_many_tasks(spark, tmp_path):
         assert blocks.where("text <> concat('line ', block_pos)").count() == 0 and blocks.count() == 200_000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_snapshot_index_pairs_without_an_exchange(spark):
+    import uuid
+    from palimpsest.operators.text_align import text_status
+    from palimpsest.sources.snapshot_index import indexed_status, write_index
+    old = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, ["x"]), (4, ["y"])], "doc_id long, lines array<string>")
+    new = spark.createDataFrame([(1, ["a", "c"]), (2, []), (3, ["x"]), (5, ["z", "z"])], "doc_id long, lines array<string>")
+    names = [f"{side}_{uuid.uuid4().hex}" for side in ("old", "new")]
+    for name, lines in zip(names, (old, new)):
+        write_index(lines, name, buckets=4)
+    got = indexed_status(spark, *names)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(got.collect()) == sorted(text_status(old, new).select(*got.columns).collect())
+    assert {r.doc_id: r.status for r in got.collect()} == {1: "changed", 2: "unchanged", 3: "unchanged", 4: "deleted", 5: "added"}
+    for name in names:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_status_with_reader_errors(spark):
+    from palimpsest.operators.align import with_errors
+    from palimpsest.operators.text_align import text_status
+    old = spark.createDataFrame([(1, ["a"]), (2, ["b"]), (3, ["c"]), (4, ["d"])], "doc_id long, lines array<string>")
+    new = spark.createDataFrame([(1, ["a"]), (2, ["x"]), (4, []), (5, ["e"])], "doc_id long, lines array<string>")
+    errors = spark.createDataFrame([(4, "bad zip"), (4, "again"), (4, "again"), (9, "not there")], "doc_id long, reason string")
+    got = {r.doc_id: r for r in with_errors(text_status(old, new), errors).collect()}
+    assert {i: r.status for i, r in got.items()} == {1: "unchanged", 2: "changed", 3: "deleted", 4: "parse_error",
+                                                     5: "added", 9: "parse_error"}
+    assert got[4].reasons == ["again", "bad zip"] and got[1].reasons is None and not got[9].in_old and got[9].n_new == 0
+    assert {r.status for r in with_errors(text_status(old, new), errors.where("false")).collect()} == {
+        "unchanged", "changed", "deleted", "added"}
