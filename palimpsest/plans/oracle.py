@@ -587,6 +587,12 @@ FROM an WHERE change = 'changed' GROUP BY ALL"""
 f AS (SELECT doc_id, type, min(entry_idx) AS first_idx FROM mixed GROUP BY doc_id, type)
 SELECT doc_id, type, first_idx, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_idx) AS INTEGER) AS facet_pos
 FROM f"""
+    man = f"""{mx},
+mentries AS (SELECT doc_id, entry_idx, change, type, CASE WHEN o_type = 'paragraph' THEN old_text[11:] END AS old_text,
+                    CASE WHEN n_type = 'paragraph' THEN new_text[11:] END AS new_text FROM mixed){
+        (_ratio_ctes() + _analysis_ctes()).replace("FROM entries", "FROM mentries")}"""
+    for name, of in (("mixed_scores", "score_changes"), ("mixed_toc", "toc"), ("mixed_summary", "doc_summary")):
+        q[name] = man + q[of].removeprefix(an)
     q["mixed_json"] = f"""{mx},
 cells AS (SELECT m.doc_id, m.entry_idx, count(*) FILTER (WHERE coalesce(oc.v, '') <> coalesce(nc.v, '')) AS n
           FROM (SELECT * FROM mixed WHERE change = 'changed' AND o_type = 'table' AND n_type = 'table') m

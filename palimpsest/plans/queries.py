@@ -393,6 +393,19 @@ def q_mixed_facets(spark, sf):
     return report.type_facets(mixed(spark, sf).changes)
 
 
+def q_mixed_scores(spark, sf):
+    """F1 with its bonus for tables and images."""
+    return mixed(spark, sf).scored.select("doc_id", "entry_idx", "change", "type", "score", "score_band")
+
+
+def q_mixed_toc(spark, sf):
+    return mixed(spark, sf).toc()
+
+
+def q_mixed_summary(spark, sf):
+    return mixed(spark, sf).summary()
+
+
 def q_mixed_json(spark, sf):
     """A11 with every kind of payload, read back."""
     from ..sources.sinks import write_changes_json
@@ -461,6 +474,9 @@ def queries() -> dict[str, Query]:
         "mixed_changes": q_mixed_changes,
         "mixed_stats_by_type": q_mixed_stats_by_type,
         "mixed_facets": q_mixed_facets,
+        "mixed_scores": q_mixed_scores,
+        "mixed_toc": q_mixed_toc,
+        "mixed_summary": q_mixed_summary,
         "mixed_json": q_mixed_json,
         "changes_json": q_changes_json,
         "report_rows": q_report_rows,
