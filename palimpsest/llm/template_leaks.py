@@ -184,9 +184,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     hits = None
     for width, values in sorted(kinds.items()) or [(WINDOW, False)]:
         key = lambda at: _key("words", "tmpl", at, F.lit(width), values)  # noqa: E731, B023
-        rows = (tokenised.where(F.size("tmpl") >= width)
-                .select("*", F.explode(F.sequence(F.lit(1), F.size("tmpl") - width + 1)).alias("i"))
-                .withColumn("k", key(F.col("i"))))
+        # null for shorter texts; a filter on the size would be pushed below the tokens and take every text apart twice
+        places = F.when(F.size("tmpl") >= width, F.sequence(F.lit(1), F.size("tmpl") - width + 1))
+        rows = tokenised.select("*", F.explode(places).alias("i")).withColumn("k", key(F.col("i")))
         for b in range(blocks):
             some = windows.where((F.col("width") == width)
                                  & (F.pmod(F.xxhash64("item_row"), F.lit(blocks)) == b))
