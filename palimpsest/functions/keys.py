@@ -77,7 +77,9 @@ def key_hash(key: Column) -> Column:
 
 
 def with_keys(blocks: DataFrame) -> DataFrame:
-    return blocks.withColumn("block_key", block_key()).withColumn("key_hash", key_hash(F.col("block_key")))
+    """Adds ``block_key`` and ``key_hash``; blocks that bring their ``key_hash`` (``operators.exact_keys``) keep it."""
+    keyed = blocks.withColumn("block_key", block_key())
+    return keyed if "key_hash" in blocks.columns else keyed.withColumn("key_hash", key_hash(F.col("block_key")))
 
 
 def effective_type(type_: Column, new_type: Column, old_type: Column) -> Column:

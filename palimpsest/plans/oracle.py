@@ -489,6 +489,24 @@ j AS (SELECT coalesce(oc.doc_id, nc.doc_id) AS doc_id, coalesce(oc.r, nc.r) AS r
 SELECT doc_id, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, cell_type, text, old, new
 FROM ({_cell_select('doc_id, r')})"""
 
+    def flag_cells(where: str, qty: str) -> str:
+        return f"""SELECT flag, row_number() OVER (PARTITION BY flag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                                                   c0, c1, c2) - 1 AS r, c0, c1, c2
+FROM (SELECT coalesce(l_returnflag, '') AS flag, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+             coalesce(CAST(l_orderkey AS VARCHAR), '') AS c0, coalesce(CAST(l_linenumber AS VARCHAR), '') AS c1,
+             coalesce(CAST(CAST({qty} AS DECIMAL(18,2)) AS VARCHAR), '') AS c2 FROM lineitem {where})"""
+
+    flags = [_unpivot(f"{x}_c").replace("doc_id", "flag") for x in ("old", "new")]
+    q["big_table_diff"] = f"""WITH
+old_c AS ({flag_cells('', 'l_quantity')}),
+new_c AS ({flag_cells('WHERE l_suppkey % 13 <> 0', 'CASE WHEN l_partkey % 7 = 0 THEN l_quantity + 1 ELSE l_quantity END')}),
+oc AS ({flags[0]}),
+nc AS ({flags[1]}),
+j AS (SELECT coalesce(oc.flag, nc.flag) AS flag, coalesce(oc.r, nc.r) AS r, coalesce(oc.c, nc.c) AS c,
+             coalesce(oc.v, '') AS ov, coalesce(nc.v, '') AS nv
+      FROM oc FULL OUTER JOIN nc ON oc.flag = nc.flag AND oc.r = nc.r AND oc.c = nc.c)
+SELECT flag, CAST(r AS INTEGER) AS r, c, cell_type, text, old, new FROM ({_cell_select('flag, r')})"""
+
     q["snapshot_cell_diff"] = f"""WITH
 old_t AS (SELECT o_orderkey AS k, o_orderstatus AS c0, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS c1,
                  o_orderpriority AS c2 FROM orders WHERE o_orderkey % 29 <> 0),
@@ -582,6 +600,10 @@ FROM an WHERE change = 'changed' GROUP BY ALL"""
         f"{_escape('new')} AS new_view\nFROM (") + " WHERE cell_type = 'changed'"
     mx = f"WITH RECURSIVE {_mixed_ctes()}{_alignment_ctes()}{_MIXED_ENTRIES}"
     q["mixed_changes"] = f"{mx}\nSELECT doc_id, entry_idx, change, type, old_pos, new_pos FROM mixed"
+    q["mixed_changes_exact"] = q["mixed_changes"]
+    q["key_collisions"] = f"""{mx}
+SELECT doc_id, CAST(count(DISTINCT text) AS BIGINT) AS n_keys, CAST(count(DISTINCT text) AS BIGINT) AS n_hashes
+FROM (SELECT doc_id, text FROM old_blocks UNION ALL SELECT doc_id, text FROM new_blocks) GROUP BY doc_id"""
     q["mixed_stats_by_type"] = f"{mx}\nSELECT doc_id, type, {cnt} FROM mixed GROUP BY doc_id, type"
     q["mixed_facets"] = f"""{mx},
 f AS (SELECT doc_id, type, min(entry_idx) AS first_idx FROM mixed GROUP BY doc_id, type)

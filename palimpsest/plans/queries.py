@@ -137,6 +137,13 @@ def q_table_diff(spark, sf):
         "doc_id", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "cell_type", "text", "old", "new")
 
 
+def q_big_table_diff(spark, sf):
+    """D4/D6 by size: all lines of a return flag as one table, against their revision; large tables in slices."""
+    from ..operators.big_tables import all_cells
+    return all_cells(*fixtures.flag_tables(spark, sf), ["flag"]).select(
+        "flag", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "cell_type", "text", "old", "new")
+
+
 def q_snapshot_cell_diff(spark, sf):
     old, new = fixtures.order_tables(spark, sf)
     return celldiff.snapshot_cell_diff(old, new, "k", fixtures.ORDER_COLUMNS).select(
@@ -385,6 +392,21 @@ def q_mixed_changes(spark, sf):
     return mixed(spark, sf).changes.select("doc_id", "entry_idx", "change", "type", "old_pos", "new_pos")
 
 
+def q_mixed_changes_exact(spark, sf):
+    """B7 with exact dictionaries instead of hashes, all block types."""
+    from ..operators.exact_keys import exact_keys
+    old_docs, new_docs, old, new = fixtures.mixed_revision(spark, sf)
+    return Comparison(old_docs, new_docs, *exact_keys(old, new)).changes.select(
+        "doc_id", "entry_idx", "change", "type", "old_pos", "new_pos")
+
+
+def q_key_collisions(spark, sf):
+    """B7's audit: distinct keys and distinct hashes of every document's two versions."""
+    from ..operators.exact_keys import keys_per_hash
+    _, _, old, new = fixtures.mixed_revision(spark, sf)
+    return keys_per_hash(old, new).groupBy("doc_id").agg(F.sum("n_keys").alias("n_keys"), F.count(F.lit(1)).alias("n_hashes"))
+
+
 def q_mixed_stats_by_type(spark, sf):
     return mixed(spark, sf).stats_by_type()
 
@@ -441,6 +463,7 @@ def queries() -> dict[str, Query]:
         "text_ratio": q_text_ratio,
         "table_diff": q_table_diff,
         "snapshot_cell_diff": q_snapshot_cell_diff,
+        "big_table_diff": q_big_table_diff,
         "text_predicates": q_text_predicates,
         "score_bonus": q_score_bonus,
         "labels": q_labels,
@@ -472,6 +495,8 @@ def queries() -> dict[str, Query]:
         "align_blocks_frontier": q_align_blocks_frontier,
         "cell_markup": q_cell_markup,
         "mixed_changes": q_mixed_changes,
+        "mixed_changes_exact": q_mixed_changes_exact,
+        "key_collisions": q_key_collisions,
         "mixed_stats_by_type": q_mixed_stats_by_type,
         "mixed_facets": q_mixed_facets,
         "mixed_scores": q_mixed_scores,

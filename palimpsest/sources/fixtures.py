@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ranking import slice_of
+from ..operators.big_tables import numbered_rows
 from ..session import read_table
 from .lines import kept_lines, line_bound
 from .tables import table_blocks
@@ -108,6 +110,20 @@ def _line_table(li: DataFrame, quantity) -> DataFrame:
     return table_blocks(cells, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], ["c0", "c1", "c2"])
 
 
+def flag_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """V3 as a few huge tables: one a return flag, rows ``(l_orderkey, l_linenumber, l_quantity)`` in the order of
+    ``(l_orderkey, l_linenumber, l_partkey, l_suppkey)``, revised like ``lineitem_revision``; ``(flag, r, cells)``."""
+    li = read_table(spark, sf_dir, "lineitem").withColumn("flag", F.coalesce("l_returnflag", F.lit("")))
+    new_q = F.when(F.col("l_partkey") % 7 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))
+
+    def rows(df, quantity):
+        cells = F.array(*[F.coalesce(c.cast("string"), F.lit("")) for c in
+                          (F.col("l_orderkey"), F.col("l_linenumber"), quantity.cast("decimal(18,2)"))])
+        return numbered_rows(df, ["flag"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
+                             [(slice_of(F.coalesce("l_orderkey", F.lit(-1)), 10_000), True)], cells)
+    return rows(li, F.col("l_quantity")), rows(li.filter(F.col("l_suppkey") % 13 != 0), new_q)
+
+
 def lineitem_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3: one table block per order, rows ``(l_linenumber, l_returnflag, l_quantity)`` ordered by
     ``(l_linenumber, l_partkey, l_suppkey)``."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.keys import conform_blocks
 from palimpsest.operators import align
 from palimpsest.operators.align_frontier import frontier_opcodes
+from palimpsest.operators.exact_keys import collisions, exact_keys
 from palimpsest.plans.compare import Comparison
 
 
@@ -217,3 +218,28 @@ def test_one_line_repeated_pairs_nothing(spark, monkeypatch):
     assert sorted((r.i, r.j, r.lo, r.ln, r.is_match) for r in got) == [
         (0, 0, 0, 1, False), (0, 1, n, n, True), (n, n + 1, 0, 3, False)]
     assert max(k for name, k in seen if name == "chosen") == 1
+
+
+@pytest.mark.parametrize("route", ["udf", "rounds"])
+def test_exact_keys_survive_forced_collisions(spark, route):
+    old, new = random_docs(31, 8, "abcd", 14)
+    two = lambda key: F.length(key).cast("bigint")  # noqa: E731  every line of one letter has one hash
+    docs = [manifest_df(spark, d) for d in (old, new)]
+    blocks = [blocks_df(spark, d) for d in (old, new)]
+    assert collisions(*blocks, two).count() and not collisions(*blocks).count()
+    keyed = exact_keys(*blocks, two)
+    kw = {} if route == "udf" else {"max_udf_blocks": 0, "small_range": 0}
+    got = Comparison(*docs, *keyed, **kw).changes.orderBy("doc_id", "entry_idx").collect()
+    for d in old:
+        check_entries([(r.change, r.old_pos, r.new_pos) for r in got if r.doc_id == d], old[d], new[d])
+    assert {r.old_text for r in got if r.old_text is not None} <= set("abcd")
+
+
+def test_exact_keys_of_all_block_types_nulls_and_empty_tables(spark):
+    b = conform_blocks(spark.createDataFrame(
+        [(1, 0, "paragraph", "x", None), (1, 1, "paragraph", None, None), (1, 2, "image", None, "s"), (1, 3, None, None, None),
+         (2, 0, "paragraph", "x", None)], "doc_id bigint, block_pos int, type string, text string, sha1 string"))
+    old, new = exact_keys(b, b.limit(0))
+    assert sorted((r.doc_id, r.block_pos) for r in old.collect()) == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0)]
+    assert len({r.key_hash for r in old.filter("doc_id = 1").collect()}) == 4 and new.count() == 0
+    assert old.filter("doc_id = 2").first().key_hash == 1      # ids are dense within a document

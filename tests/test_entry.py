@@ -20,7 +20,7 @@ def test_every_oracle_has_a_query():
 
 @pytest.mark.parametrize("name", ["blocks_from_text", "doc_status", "rebuild_new", "rebuild_old", "inline_diff",
                                   "table_diff", "snapshot_cell_diff", "text_predicates", "text_cosine",
-                                  "semantic_score", "embedding_cosine", "score_bonus", "labels", "route_files"])
+                                  "semantic_score", "embedding_cosine", "score_bonus", "labels", "route_files", "big_table_diff", "key_collisions"])
 def test_oracle_parity_sf0001(spark, name):
     con = duckdb.connect()
     for t in TABLES:
