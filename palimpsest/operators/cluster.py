@@ -12,15 +12,16 @@ KMeans problem, and all of them run together as a distributed Lloyd iteration in
   partner set, never all pairs), dot products come from a join on ``(doc, tok)``;
 * the update is a ``groupBy(doc, cluster, tok)`` sum.
 
-Initial centroids are the first ``k`` points of the document in entry order (deterministic; the
-reference's seeded k-means++ cannot be reproduced without its model vectors).  Rounds go on until no
-assignment changes (or an earlier state comes back); lineage is cut each round with a reliable checkpoint.
+Initial centroids are drawn one by one, a point's chance in proportion to its squared distance from the nearest
+centroid drawn before it (``seeds``); the draws are hashes of ``(document, point, number)``, so reruns agree.  The
+reference's own draws depend on its model vectors and are not reproduced.  Rounds go on until no assignment changes
+(or an earlier state comes back); lineage is cut each round with a reliable checkpoint.
 Output is long form ``(doc_id, cluster, idx)`` (``idx`` = position in the changed-only list).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import rank_within, slice_of
@@ -54,14 +55,47 @@ def text_vectors(points: DataFrame) -> DataFrame:
     return toks.groupBy("doc_id", "idx", "tok").agg(F.count(F.lit(1)).alias("w"))
 
 
+def draw(number: int) -> Column:
+    """A number in (0, 1) for each point, from the first 13 hexadecimal digits of an MD5."""
+    digest = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("idx").cast("string"), F.lit(str(number))))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def seeds(points: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``(doc_id, idx, cluster)``, the points that the clusters of each document start from.
+
+    Every point holds its exact squared distance to the nearest seed so far; a round joins the new seeds' vectors on
+    ``(doc, tok)``, lowers the distances, and draws the next seed of all documents by an exponential race: the least
+    ``-ln(u) / distance`` wins, which picks a point in proportion to its distance.  Points that equal a seed
+    are never drawn, so a document with fewer different vectors than ``k`` gets one cluster for each of them."""
+    norm = vectors.groupBy("doc_id", "idx").agg(F.sum(F.col("w") * F.col("w")).alias("pp"))
+    state = cut_lineage(points.select("doc_id", "idx", "k").join(norm, ["doc_id", "idx"], "left")
+                        .withColumn("pp", F.coalesce("pp", F.lit(0).cast("bigint"))).withColumn("far", F.lit(None).cast("bigint")))
+    most = state.agg(F.max("k")).first()[0] or 0          # at most MAX_K
+    chosen = None
+    for number in range(most):
+        open_ = state.filter(F.col("k") > number).filter(F.col("far").isNull() | (F.col("far") > 0))
+        race = -F.log(draw(number)) / F.coalesce("far", F.lit(1)).cast("double")
+        won = cut_lineage(open_.groupBy("doc_id").agg(F.min(F.struct(race.alias("e"), "idx", "pp")).alias("b"))
+                          .select("doc_id", F.col("b.idx").alias("idx"), F.col("b.pp").alias("ss"), F.lit(number).alias("cluster")))
+        part = won.select("doc_id", "idx", "cluster")
+        chosen = part if chosen is None else chosen.unionByName(part)
+        if number + 1 < most:
+            seed = vectors.join(part, ["doc_id", "idx"]).select("doc_id", "tok", F.col("w").alias("s"))
+            dots = vectors.join(seed, ["doc_id", "tok"]).groupBy("doc_id", "idx").agg(F.sum(F.col("w") * F.col("s")).alias("dot"))
+            d = F.col("pp") + F.col("ss") - 2 * F.coalesce("dot", F.lit(0))
+            state = cut_lineage(state.join(won.select("doc_id", "ss"), "doc_id", "left").join(dots, ["doc_id", "idx"], "left")
+                                .select("doc_id", "idx", "k", "pp", F.least("far", d).alias("far")))
+    return points.select("doc_id", "idx", F.lit(0).alias("cluster")).limit(0) if chosen is None else chosen
+
+
 def kmeans(points: DataFrame, vectors: DataFrame) -> DataFrame:
     """Per-document Lloyd iterations until nothing changes; returns ``(doc_id, idx, cluster)``."""
     pts = cut_lineage(points.select("doc_id", "idx", "k"))
     vec = cut_lineage(vectors)
-    ids = pts.filter(F.col("idx") < F.col("k")).select("doc_id", F.col("idx").alias("cluster"))
-    cent = cut_lineage(vec.join(ids.withColumnRenamed("cluster", "idx"), ["doc_id", "idx"])
-                       .select("doc_id", F.col("idx").alias("cluster"), "tok", F.col("w").alias("s")))
-    sizes = cut_lineage(ids.withColumn("m", F.lit(1).cast("bigint")))
+    start = cut_lineage(seeds(pts, vec))
+    cent = cut_lineage(vec.join(start, ["doc_id", "idx"]).select("doc_id", "cluster", "tok", F.col("w").alias("s")))
+    sizes = cut_lineage(start.select("doc_id", "cluster", F.lit(1).cast("bigint").alias("m")))
     seen: set[tuple] = set()
     while True:
         norm = cent.groupBy("doc_id", "cluster").agg(F.sum(F.col("s") * F.col("s")).alias("ss"))

@@ -1,11 +1,13 @@
 """Labels, entity lookup, similarities, clustering."""
 
 from collections import Counter
+import hashlib
 import math
+import random
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators.cluster import cluster_changes
+from palimpsest.operators.cluster import cluster_changes, seeds, text_points, text_vectors
 from palimpsest.operators.semantics import entity_labels, label_union, tf_cosine, vector_cosine
 
 
@@ -85,3 +87,55 @@ def test_mean_vectors(spark):
     got = {r.id: r for r in mean_vectors(points, ["id"], "text", token_vectors(docs, "text")).collect()}
     assert got[1].mean == [(a + b) / 3 for a, b in zip(want["fox"], want["red"])]
     assert [got[i].n_tokens for i in (1, 2, 3, 4)] == [3, 0, 0, 1] and all(set(got[i].mean) == {0.0} for i in (2, 3, 4))
+
+
+def _clusters(points, k, doc):
+    """Brute force: weighted starts, then Lloyd rounds until a state comes back."""
+    vecs = [Counter(p.lower().split()) for p in points]
+    dist = lambda p, q: sum((p[t] - q[t]) ** 2 for t in set(p) | set(q))
+    far, chosen = [None] * len(vecs), []
+    for number in range(k):
+        u = [(int(hashlib.md5(f"{doc}:{i}:{number}".encode()).hexdigest()[:13], 16) + 0.5) / 2 ** 52 for i in range(len(vecs))]
+        race = [(-math.log(u[i]) / (1 if far[i] is None else far[i]), i) for i in range(len(vecs)) if far[i] != 0]
+        if not race:
+            break
+        chosen.append(min(race)[1])
+        far = [dist(v, vecs[chosen[-1]]) if f is None else min(f, dist(v, vecs[chosen[-1]])) for v, f in zip(vecs, far)]
+    cent = [(vecs[i], 1) for i in chosen]
+    seen = []
+    while True:
+        def d(v, c):
+            s, m = c
+            return float(sum(x * x for x in s.values()) - 2 * m * sum(v[t] * s[t] for t in v)) / (m * m)
+        assign = [min((d(v, c), j) for j, c in enumerate(cent))[1] for v in vecs]
+        if assign in seen:
+            return chosen, assign
+        seen.append(assign)
+        for j in range(len(cent)):
+            mine = [v for v, a in zip(vecs, assign) if a == j]
+            if mine:
+                cent[j] = (sum(mine, Counter()), len(mine))
+
+
+def test_clusters_equal_brute_force(spark):
+    rnd = random.Random(4)
+    docs = {d: [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 6))) for _ in range(n)]
+            for d, n, words in ((1, 60, "abcdefgh"), (2, 25, "xyz"), (3, 3, "ab"), (4, 55, "abcdefghijklmnop"))}
+    docs[5] = ["same text"] * 40 + ["other"]           # fewer different vectors than k = 8
+    docs[6] = ["", "", ""]
+    rows = [(d, i, "changed", "old", t or None) for d, texts in docs.items() for i, t in enumerate(texts)]
+    rows[-3:] = [(6, i, "changed", None, None) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, entry_idx int, change string, old_text string, new_text string")
+    pts = text_points(df)
+    starts = sorted(tuple(r) for r in seeds(pts, text_vectors(pts)).select("doc_id", "cluster", "idx").collect())
+    expected = {d: _clusters(t, max(2, min(10, len(t) // 5)), d) for d, t in docs.items()}
+    assert starts == sorted((d, c, i) for d, (chosen, _) in expected.items() for c, i in enumerate(chosen))
+    got = sorted((r.doc_id, r.idx, r.cluster) for r in cluster_changes(df.repartition(3)).collect())
+    assert got == sorted((d, i, c) for d, (_, assign) in expected.items() for i, c in enumerate(assign))
+    assert {c for d, _, c in got if d == 5} == {0, 1} and {c for d, _, c in got if d == 6} == {0}
+    assert max(c for d, _, c in got if d == 1) == 9
+
+
+def test_clusters_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "doc_id bigint, entry_idx int, change string, old_text string, new_text string")
+    assert cluster_changes(df).collect() == []
