@@ -589,6 +589,28 @@ SELECT doc_id, n AS n_changed, {k} AS k FROM c"""
     q["cluster_members"] = f"""{al},
 c AS (SELECT doc_id, count(*) AS n FROM entries WHERE change = 'changed' GROUP BY doc_id HAVING count(*) >= 3)
 SELECT doc_id, CAST(unnest(range(n)) AS INTEGER) AS idx, CAST(1 AS BIGINT) AS n_clusters, true AS in_range FROM c"""
+    rounds = "".join(f""",
+won{c} AS MATERIALIZED (
+  SELECT doc_id, idx, entry_idx, pp AS ss FROM far{c} WHERE k > {c} AND (far IS NULL OR far > 0)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY -ln((CAST('0x' || substr(md5(doc_id || ':' || idx || ':{c}'), 1, 13)
+    AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / coalesce(far, 1)::DOUBLE, idx) = 1),
+dot{c} AS (SELECT v.doc_id, v.entry_idx, sum(v.tf * s.tf) AS dot FROM won{c} w JOIN vec s USING (doc_id, entry_idx)
+           JOIN vec v ON v.doc_id = s.doc_id AND v.token = s.token GROUP BY v.doc_id, v.entry_idx),
+far{c + 1} AS MATERIALIZED (
+  SELECT f.doc_id, f.idx, f.entry_idx, k, pp, least(far, CAST(pp + ss - 2 * coalesce(dot, 0) AS BIGINT)) AS far
+  FROM far{c} f LEFT JOIN won{c} w ON w.doc_id = f.doc_id
+  LEFT JOIN dot{c} d ON d.doc_id = f.doc_id AND d.entry_idx = f.entry_idx)""" for c in range(10))
+    drawn = " UNION ALL ".join(f"SELECT doc_id, CAST({c} AS INTEGER) AS cluster, CAST(idx AS INTEGER) AS idx FROM won{c}"
+                               for c in range(10))
+    q["cluster_seeds"] = q["text_vectors"].replace("\nSELECT doc_id, entry_idx, token", "\n, vec AS MATERIALIZED (SELECT doc_id, "
+                                                   "entry_idx, token") + f"""),
+pts AS (SELECT doc_id, entry_idx, row_number() OVER (PARTITION BY doc_id ORDER BY entry_idx) - 1 AS idx,
+               count(*) OVER (PARTITION BY doc_id) AS n FROM tv),
+far0 AS MATERIALIZED (
+  SELECT doc_id, idx, entry_idx, greatest(2, least(10, n // 5)) AS k, CAST(coalesce(pp, 0) AS BIGINT) AS pp, CAST(NULL AS BIGINT) AS far
+  FROM pts LEFT JOIN (SELECT doc_id, entry_idx, sum(tf * tf) AS pp FROM vec GROUP BY doc_id, entry_idx) USING (doc_id, entry_idx)
+  WHERE n >= 3){rounds}
+{drawn}"""
     q["type_distribution"] = f"""{an}
 SELECT doc_id, coalesce(nullif(change_type, ''), 'undefined') AS change_type, count(*) AS n_changes
 FROM an WHERE change = 'changed' GROUP BY ALL"""

@@ -349,6 +349,14 @@ def q_cluster_changes(spark, sf):
     return cluster_changes(a)
 
 
+def q_cluster_seeds(spark, sf):
+    """The entries that the clusters of each document start from."""
+    from ..operators.cluster import seeds, text_points, text_vectors
+    pts = text_points(revision(spark, sf).changes)
+    return seeds(pts, text_vectors(pts)).select("doc_id", F.col("cluster").cast("int").alias("cluster"),
+                                                F.col("idx").cast("int").alias("idx"))
+
+
 def q_cluster_members(spark, sf):
     """G6 by what must hold: every changed index of a document is in exactly one cluster, numbered below k."""
     c = q_cluster_changes(spark, sf)
@@ -489,6 +497,7 @@ def queries() -> dict[str, Query]:
         "type_facets": q_type_facets,
         "corpus_top_k": q_corpus_top_k,
         "cluster_changes": q_cluster_changes,
+        "cluster_seeds": q_cluster_seeds,
         "cluster_members": q_cluster_members,
         "type_distribution": q_type_distribution,
         "hide_unchanged": q_hide_unchanged,
