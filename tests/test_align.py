@@ -243,3 +243,14 @@ def test_exact_keys_of_all_block_types_nulls_and_empty_tables(spark):
     assert sorted((r.doc_id, r.block_pos) for r in old.collect()) == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0)]
     assert len({r.key_hash for r in old.filter("doc_id = 1").collect()}) == 4 and new.count() == 0
     assert old.filter("doc_id = 2").first().key_hash == 1      # ids are dense within a document
+
+
+def test_exact_keys_joins_its_texts_once(spark):
+    old, new = random_docs(7, 3, "abcd", 9)
+    blocks = [blocks_df(spark, d) for d in (old, new)]
+    for hash_of in ({}, {"hash_of": lambda key: F.length(key).cast("bigint")}):
+        for before, side in zip(blocks, exact_keys(*blocks, **hash_of)):
+            assert side.inputFiles() and all("/stored/" in f for f in side.inputFiles())
+            assert side.count() == before.count()
+            ids = side.groupBy("doc_id", "key_hash").agg(F.count_distinct("text").alias("n")).agg(F.max("n")).first()[0]
+            assert ids == 1
