@@ -139,3 +139,19 @@ def test_clusters_equal_brute_force(spark):
 def test_clusters_of_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, entry_idx int, change string, old_text string, new_text string")
     assert cluster_changes(df).collect() == []
+
+
+def test_clusters_read_the_alignment_once_and_leave_ended_documents(spark, monkeypatch):
+    from palimpsest.operators import cluster
+    rows = [(d, i, "changed", "old", "a b" if i % 2 else "c d") for d in range(6) for i in range(4)]
+    rnd = random.Random(9)
+    rows += [(9, i, "changed", "old", " ".join(rnd.choice("abcdefgh") for _ in range(5))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, entry_idx int, change string, old_text string, new_text string")
+    names = []
+    keep = cluster.stored
+    monkeypatch.setattr(cluster, "stored", lambda x, name: names.append(name) or keep(x, name))
+    got = sorted((r.doc_id, r.idx, r.cluster) for r in cluster_changes(df).collect())
+    texts = {d: [r[4] for r in rows if r[0] == d] for d in {r[0] for r in rows}}
+    assert got == sorted((d, i, c) for d, t in texts.items()
+                         for i, c in enumerate(_clusters(t, max(2, min(10, len(t) // 5)), d)[1]))
+    assert names[:3] == ["changed", "points", "vectors"]
