@@ -155,3 +155,12 @@ def test_clusters_read_the_alignment_once_and_leave_ended_documents(spark, monke
     assert got == sorted((d, i, c) for d, t in texts.items()
                          for i, c in enumerate(_clusters(t, max(2, min(10, len(t) // 5)), d)[1]))
     assert names[:3] == ["changed", "points", "vectors"]
+
+
+def test_token_vectors_move_one_row_a_token(spark):
+    from palimpsest.operators.semantics import mean_vectors, token_vectors
+    docs = spark.createDataFrame([(1, "a b a b a c"), (2, "c a")], "id long, text string")
+    vectors = token_vectors(docs, "text")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(vectors).count("Exchange hashpartitioning") == 1       # no second one for pairs of neighbours
+    assert "smallint" in plan(mean_vectors(docs, ["id"], "text", vectors))
