@@ -10,7 +10,7 @@ number of ids before the document in its file.
 
 Encoding: with this tokenizer's splitting rule every piece between a non-space character and a
 following single space or line break stands alone, so equal pieces of many texts are encoded once
-(bounded cache) and their ids gathered; a text where the cut would be unsafe is encoded whole.  The ids are the library's.
+(bounded cache, held as Arrow arrays) and their ids gathered; a text where the cut would be unsafe is encoded whole.  The ids are the library's.
 
 Defined cases: a null or empty text has the end id alone; null ids come first; rows with equal ids are
 ordered by a hash of the text, so their order is the same in reruns; equal rows are all written; an
@@ -38,7 +38,8 @@ from palimpsest.session import ensure_checkpoint_dir
 END_ID = 0
 CACHE_PIECES = 700_000  # pieces held while a task runs
 SLICE_BYTES = 6 << 20  # text encoded at once
-KEPT_PIECES, SHORT = 100_000, 7  # beyond so many, pieces of at most so many characters are kept between tasks
+KEPT_PIECES, SHORT = 300_000, 8  # beyond so many, pieces of at most so many characters are kept between tasks
+JOINED = 2_000  # new pieces encoded in one text
 PARQUET = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true",
            "parquet.block.size": str(16 << 20), "parquet.page.size": str(256 << 10),
            "parquet.page.row.count.limit": "2000", "compression": "zstd"}
@@ -68,29 +69,25 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.width[i] = len(token)
         self.cuts = len(self._ids("\n")) == 1 and self.width[self._ids("a ß 日")].sum() == len("a ß 日".encode())
-        self._keep({}, np.empty(0, np.int32), np.zeros(1, np.int64))
+        self._keep(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())))
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
 
-    def _keep(self, slots: dict[str, int], pool: np.ndarray, ends: np.ndarray) -> None:
-        """``pool[ends[k]:ends[k + 1]]`` are the ids of the piece with slot ``k``."""
-        self.slots, self.pool, self.ends = slots, pool, ends
+    def _keep(self, pieces: pa.Array, ids: pa.Array) -> None:
+        """``ids[k]`` are the ids of ``pieces[k]``."""
+        self.pieces, self.ids = pieces, ids
 
-    def learn(self, new: list[str]) -> None:
-        """Encodes pieces in one text; every piece starts where the splitting rule starts anew, so the bytes of the
+    def learn(self, new: pa.Array) -> None:
+        """Encodes pieces in few texts; every piece starts where the splitting rule starts anew, so the bytes of the
         ids tell where it ends."""
-        pools, ends = [self.pool], [self.ends]
-        for lo in range(0, len(new), 2000):
-            part = new[lo:lo + 2000]
-            chunks = [p if p[0] == "\n" else " " + p for p in part]
-            ids = self._ids("".join(chunks))
-            sizes = np.asarray(pc.binary_length(pa.array(chunks, pa.string()))).astype(np.int64)
-            cut = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes), "right")
-            self.slots.update(zip(part, range(len(self.slots), len(self.slots) + len(part))))
-            ends.append(ends[-1][-1] + cut)
-            pools.append(ids)
-        self.pool, self.ends = np.concatenate(pools), np.concatenate(ends)
+        chunks = pc.if_else(pc.starts_with(new, "\n"), new, pc.binary_join_element_wise("", new, " "))
+        joined = pa.ListArray.from_arrays(pa.array(np.r_[np.arange(0, len(new), JOINED), len(new)].astype(np.int32)), chunks)
+        ids = np.concatenate([self._ids(text) for text in pc.binary_join(joined, "").to_pylist()])
+        sizes = np.asarray(pc.binary_length(chunks)).astype(np.int64)
+        cut = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes), "right")
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, cut].astype(np.int32)), pa.array(ids))
+        self._keep(pa.concat_arrays([self.pieces, new]), pa.concat_arrays([self.ids, lists]))
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each followed by ``END_ID``, and their numbers of ids."""
@@ -103,48 +100,51 @@ class Encoder:
         alone = np.flatnonzero(~safe)
         whole = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(
             texts.take(pa.array(alone)).to_pylist(), add_special_tokens=False)] if len(alone) else []
-        n[alone] = [len(ids) for ids in whole]
-        some = texts.filter(pa.array(safe))
-        # the first piece gets a line break before it, whose id is left out again
+        n[alone] = [len(ids) + 1 for ids in whole]
+        some = texts.filter(pa.array(safe)) if len(alone) else texts
+        # the first piece gets a line break before it, whose one id makes room for the end id of the text before
         lists = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(some, "\n", " \n"), ""), " ")
-        first = np.asarray(lists.offsets).astype(np.int64)
+        first = np.asarray(lists.offsets)
         coded = lists.flatten().dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
-        if len(self.slots) > CACHE_PIECES:
-            self._keep({}, np.empty(0, np.int32), np.zeros(1, np.int64))
-        slots = list(map(self.slots.get, pieces))
-        if None in slots:
-            self.learn([p for p, at in zip(pieces, slots) if at is None])
-            slots = list(map(self.slots.__getitem__, pieces))
-        slot = np.array(slots, np.int64)[np.asarray(coded.indices)]
-        begin, size = self.ends[slot], self.ends[slot + 1] - self.ends[slot]
-        begin[first[:-1] - first[0]] += 1
-        size[first[:-1] - first[0]] -= 1
-        total = np.r_[0, np.cumsum(size)]
-        n[safe] = np.diff(total[first - first[0]])
-        start = np.r_[0, np.cumsum(n + 1)]
+        if len(self.pieces) > CACHE_PIECES:
+            self.forget()
+        at = pc.index_in(coded.dictionary, value_set=self.pieces)
+        if at.null_count:
+            new, known = coded.dictionary.filter(at.is_null()), len(self.pieces)
+            self.learn(new)
+            at = np.array(at.fill_null(-1))
+            at[at < 0] = np.arange(known, known + len(new))
+        taken = self.ids.take(pa.array(np.asarray(at)[np.asarray(coded.indices)]))
+        begin = (np.asarray(taken.offsets) - taken.offsets[0].as_py())[first - first[0]]  # of every text's line break
+        ended = np.append(np.asarray(taken.flatten()), np.int32(END_ID))
+        ended[begin] = END_ID
+        n[safe] = np.diff(begin)
+        if not len(alone):
+            return ended[1:], n
+        start = np.r_[0, np.cumsum(n)]
         out = np.full(start[-1], END_ID, np.int32)
-        where = np.ones(start[-1], bool)  # places of the ids of texts cut into pieces
-        where[start[1:] - 1] = False
+        cut = np.ones(start[-1], bool)  # places of the ids of texts cut into pieces
         for k, ids in zip(alone, whole):
-            out[start[k]:start[k] + n[k]] = ids
-            where[start[k]:start[k] + n[k]] = False
-        out[where] = self.pool[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
-        return out, n + 1
+            out[start[k]:start[k] + len(ids)] = ids
+            cut[start[k]:start[k + 1]] = False
+        out[cut] = ended[1:]
+        return out, n
 
     def __call__(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
         return self.batch(pa.array([text], pa.string()))[0][:-1].astype("<u4").tobytes()
 
+    def forget(self) -> None:
+        """The shortest pieces are kept, at most ``KEPT_PIECES``: short ones are the frequent ones."""
+        size = np.asarray(pc.utf8_length(self.pieces))
+        upto = int(np.searchsorted(np.cumsum(np.bincount(size)), KEPT_PIECES, "right"))  # pieces of so many characters go
+        kept = pa.array(size < min(upto, SHORT + 1))
+        self._keep(self.pieces.filter(kept), self.ids.filter(kept))
+
     def rest(self) -> None:
-        """Between tasks only short pieces are kept: they are the frequent ones, and the worker may serve other work."""
-        if len(self.slots) > KEPT_PIECES:
-            kept = [p for p in self.slots if len(p) <= SHORT]
-            old = np.fromiter(map(self.slots.__getitem__, kept), np.int64, len(kept))
-            size = self.ends[old + 1] - self.ends[old]
-            ends = np.r_[0, np.cumsum(size)]
-            pool = self.pool[np.repeat(self.ends[old] - ends[:-1], size) + np.arange(ends[-1])]
-            self._keep({p: k for k, p in enumerate(kept)}, pool, ends)
+        """Between tasks fewer pieces are kept, for the worker may serve other work."""
+        if len(self.pieces) > KEPT_PIECES:
+            self.forget()
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # glibc alone: gives freed memory back to the system
             ctypes.CDLL(None).malloc_trim(0)

@@ -219,6 +219,22 @@ def test_token_files_round_trip(spark, tmp_path, odd_docs, no_docs):
     assert token_files.digest(token_files.read(spark, f"{tmp_path}/none")).count() == 0
 
 
+def test_encoder_keeps_few_pieces_between_tasks(monkeypatch):
+    """Short pieces alone may be too many: what rests between tasks is bounded, and forgetting changes no id."""
+    import pyarrow as pa
+    monkeypatch.setattr(token_files, "KEPT_PIECES", 300)
+    monkeypatch.setattr(token_files, "CACHE_PIECES", 500)
+    encode = token_files.Encoder(token_files.vocabulary())
+    for part in range(4):
+        rows = [(k, " ".join(f"w{part}{k}x{i}" for i in range(50)) + ("\n\n" if k == 3 else "")) for k in range(20)]
+        ids, n = encode.batch(pa.array([t for _, t in rows]))
+        want = [w for _, w in _ids(rows)]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+        encode.rest()
+        assert len(encode.pieces) <= 300
+    assert [x.tolist() for x in encode.batch(pa.array([], pa.string()))] == [[], []]
+
+
 def test_token_files_have_pages_and_dictionaries(spark, tmp_path):
     import glob
 
