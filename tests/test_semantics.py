@@ -8,7 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from palimpsest.operators.cluster import cluster_changes, seeds, text_points, text_vectors
-from palimpsest.operators.semantics import entity_labels, label_union, tf_cosine, vector_cosine
+from palimpsest.operators.semantics import bare_tokens, entity_labels, label_union, tf_cosine, vector_cosine
 
 
 def test_labels_unit_numbers(spark):
@@ -17,6 +17,14 @@ def test_labels_unit_numbers(spark):
     assert got == [["numbers", "unit"], []]                 # R12, R13
 
 
+def test_bare_tokens_of_long_punctuation(spark):
+    """A long run of punctuation is looked at once, wherever it stands."""
+    run = "$" * 200_000
+    rows = [(1, f"a{run}b, (c) -- d's."), (2, f"{run} x\u00a0\u00c9a\t{run}"), (3, ""), (4, None), (5, " -- "), (6, f"{run}y\n\n z{run}")]
+    got = {r.id: list(r.w) for r in spark.createDataFrame(rows, "id int, t string").select("id", bare_tokens(F.col("t")).alias("w")).collect()}
+    assert got == {1: [f"a{run}b", "c", "d's"], 2: ["x", "\u00e9a"], 3: [], 4: [], 5: [], 6: ["y", "z"]}
+
+
 def test_entity_labels_from_gazetteer(spark):
     texts = spark.createDataFrame([(1, "Jan Kowalski works at ACME in Paris"), (2, "nothing here")], "id int, t string")
     gz = spark.createDataFrame([("kowalski", "PER"), ("acme", "ORG"), ("paris", "GPE"), ("here", "FAC")],
