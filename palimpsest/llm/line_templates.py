@@ -48,10 +48,12 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``(doc, line, s)`` of every line with a word, numbered from 0; ``s`` has its tokens, one space between."""
     cut = docs.select(_document(doc_id, text).alias("doc"),
                       F.posexplode(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n")).alias("line", "s"))
+    # of the line as it stands: asked of the rewritten one, the filter would go below the rewriting and do it twice
+    cut = cut.where(F.col("s").rlike(r"[^ \t\x0B\f\r]"))
     # the rarer a rewriting, the cheaper the test for it
     starred = F.when(F.col("s").rlike("[0-9]"), F.regexp_replace("s", r"(?<!\S)[^\s0-9]*+[0-9]\S*+", FIELD)).otherwise(F.col("s"))
     single = F.when(F.col("s").rlike(r"[\t\x0B\f\r]|  |^ | $"), F.trim(F.regexp_replace("s", _GAP, " "))).otherwise(F.col("s"))
-    return cut.withColumn("s", starred).withColumn("s", single).where("s <> ''")
+    return cut.withColumn("s", starred).withColumn("s", single)
 
 
 def _written(docs: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -246,6 +246,15 @@ def test_token_files_have_pages_and_dictionaries(spark, tmp_path):
     assert any("DICTIONARY" in e or "DELTA" in e for e in names["ids.list.element"].encodings)
 
 
+def test_lines_are_rewritten_once(spark):
+    """The plan stars numbers in one place, not again in a filter, and lines without a word are left out."""
+    docs = spark.createDataFrame([(1, "a 1  b\n \t\x0b\f\r \n\n7\r\n\tc d "), (2, ""), (3, None)], "doc_id long, text string")
+    lines = line_templates._lines(docs, "doc_id", "text")
+    assert sorted((r.line, r.s) for r in lines.collect()) == [(0, "a <*> b"), (3, "<*>"), (4, "c d")]
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Filter" in x and "regexp_replace" in x]
+
+
 def test_importance_prefers_the_target(spark, odd_docs, no_docs):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     train = labels.where("doc_id % 2 = 0")
