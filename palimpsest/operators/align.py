@@ -134,8 +134,10 @@ def document_pairs(old_docs: DataFrame, new_docs: DataFrame, old_blocks: DataFra
         pairs = pairs.withColumn("route", F.when(F.col("n_old") + F.col("n_new") > max_udf_blocks, F.lit(2))
                                  .otherwise(F.lit(1)))
         return pairs.persist(StorageLevel.MEMORY_AND_DISK)
-    n_old = old_blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_old"))
-    n_new = new_blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_new"))
+    all_big = max_udf_blocks <= 0  # every document with blocks takes route 2: fingerprints come with the counts
+    n_old, n_new = ((_counted(b, side) if all_big else b.groupBy("doc_id").agg(F.count(F.lit(1)).alias(f"n_{side}")))
+                    for side, b in (("old", old_blocks), ("new", new_blocks)))
+    prints = ["fp_old", "fp_new"] if all_big else []
     om = manifest(old_docs).withColumnRenamed("parse_error", "old_error").withColumn("in_old", F.lit(True))
     nm = manifest(new_docs).withColumnRenamed("parse_error", "new_error").withColumn("in_new", F.lit(True))
     counts = (om.join(nm, "doc_id", "full_outer")
@@ -145,18 +147,15 @@ def document_pairs(old_docs: DataFrame, new_docs: DataFrame, old_blocks: DataFra
                       F.coalesce("in_new", F.lit(False)).alias("in_new"),
                       (F.coalesce("old_error", F.lit(False)) | F.coalesce("new_error", F.lit(False))).alias("parse_error"),
                       F.coalesce("n_old", F.lit(0)).alias("n_old"),
-                      F.coalesce("n_new", F.lit(0)).alias("n_new")))
+                      F.coalesce("n_new", F.lit(0)).alias("n_new"), *prints))
     counts = cut_lineage(counts.withColumn(
         "route", F.when(F.col("n_old") + F.col("n_new") > max_udf_blocks, F.lit(2)).otherwise(F.lit(1))))
-    r1 = counts.filter((F.col("route") == 1) & ~F.col("parse_error")
-                       & (F.col("n_old") + F.col("n_new") > 0)).select("doc_id")
-    okeys = document_keys(with_keys(old_blocks).join(r1, "doc_id", "left_semi")).withColumnRenamed("keys", "old_keys")
-    nkeys = document_keys(with_keys(new_blocks).join(r1, "doc_id", "left_semi")).withColumnRenamed("keys", "new_keys")
-    fp_old = _fingerprints(old_blocks, counts).withColumnRenamed("fp", "fp_old")
-    fp_new = _fingerprints(new_blocks, counts).withColumnRenamed("fp", "fp_new")
     empty = F.array().cast("array<bigint>")
-    st = (counts.join(okeys, "doc_id", "left").join(nkeys, "doc_id", "left")
-          .join(fp_old, "doc_id", "left").join(fp_new, "doc_id", "left"))
+    if all_big:
+        none = F.lit(None).cast("array<bigint>")
+        st = counts.withColumn("old_keys", none).withColumn("new_keys", none)
+    else:
+        st = _with_keys_or_prints(counts, old_blocks, new_blocks)
     same = F.when(F.col("route") == 1, F.coalesce("old_keys", empty) == F.coalesce("new_keys", empty)) \
         .otherwise((F.col("n_old") == F.col("n_new")) & (F.col("fp_old") == F.col("fp_new")))
     pairs = st.select("doc_id", "in_old", "in_new", "parse_error", F.col("n_old").cast("bigint").alias("n_old"),
@@ -186,13 +185,34 @@ def doc_status(old_docs: DataFrame, new_docs: DataFrame, old_blocks: DataFrame,
                         _status(F.col("same")).alias("status"))
 
 
+def _with_keys_or_prints(counts: DataFrame, old_blocks: DataFrame, new_blocks: DataFrame) -> DataFrame:
+    """``counts`` with the key arrays of route-1 documents and the fingerprints of the others."""
+    r1 = counts.filter((F.col("route") == 1) & ~F.col("parse_error")
+                       & (F.col("n_old") + F.col("n_new") > 0)).select("doc_id")
+    okeys = document_keys(with_keys(old_blocks).join(r1, "doc_id", "left_semi")).withColumnRenamed("keys", "old_keys")
+    nkeys = document_keys(with_keys(new_blocks).join(r1, "doc_id", "left_semi")).withColumnRenamed("keys", "new_keys")
+    fp_old = _fingerprints(old_blocks, counts).withColumnRenamed("fp", "fp_old")
+    fp_new = _fingerprints(new_blocks, counts).withColumnRenamed("fp", "fp_new")
+    return (counts.join(okeys, "doc_id", "left").join(nkeys, "doc_id", "left")
+            .join(fp_old, "doc_id", "left").join(fp_new, "doc_id", "left"))
+
+
+def _counted(blocks: DataFrame, side: str) -> DataFrame:
+    """``(doc_id, n_<side>, fp_<side>)`` in one partial aggregate."""
+    return with_keys(blocks).groupBy("doc_id").agg(F.count(F.lit(1)).alias(f"n_{side}"), _fingerprint().alias(f"fp_{side}"))
+
+
+def _fingerprint() -> Column:
+    return F.sum(F.xxhash64("block_pos", "key_hash").cast("decimal(38,0)"))
+
+
 def _fingerprints(blocks: DataFrame, counts: DataFrame) -> DataFrame:
     """Order-sensitive fingerprint of an oversized document without collecting it: the sum of
     ``xxhash64(position, key)`` (a partial aggregate).  Equal documents always agree; a false
     equality needs a 64-bit collision."""
     big = broadcast_if_small(counts.filter(F.col("route") == 2).select("doc_id"))
     kb = with_keys(blocks.join(big, "doc_id", "left_semi"))
-    return kb.groupBy("doc_id").agg(F.sum(F.xxhash64("block_pos", "key_hash").cast("decimal(38,0)")).alias("fp"))
+    return kb.groupBy("doc_id").agg(_fingerprint().alias("fp"))
 
 
 def route1_opcodes(pairs: DataFrame, autojunk: bool = True) -> DataFrame:

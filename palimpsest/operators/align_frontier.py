@@ -7,7 +7,7 @@ joins and aggregates over all oversized documents at once, in rounds over *activ
 **Window ids.**  Once, before the rounds, every window of 1, 2, 4, ... blocks that stands on both sides of
 its document gets an id: a window of twice the length is the pair of its halves' ids, and the pair's id is the smallest
 place where it stands (exact, no hash of ids).  Windows that only one side has are dropped, so no longer
-window over them is built, and the levels end where no window is shared.  Every level is one self-join on places and one
+window over them is built, and a document's levels end where all its shared windows are unique or none is shared.  Every level is one self-join on places and one
 aggregation, linear in the blocks; equal blocks are never paired, so a line repeated 100,000 times on both sides
 costs what any other lines do.  A window may start a match when none of its keys is *popular* in ``b`` (more than
 ``len(b)//100 + 1`` occurrences once ``len(b) >= 200``), as difflib's autojunk has it.
@@ -24,10 +24,12 @@ costs what any other lines do.  A window may start a match when none of its keys
   smaller powers are added as long as some pair of overlapping windows is shared; then its first place in ``a`` and,
   for that, in ``b``.
 * Where keys are popular, runs are extended through any equal blocks by the same window ids, from the longest window
-  down; a range without seeds extends from ``(alo, blo)``.  Order is then judged on the extended runs.
+  down; a range without seeds extends from ``(alo, blo)``.  Order is then judged on the extended runs.  Documents without
+  popular keys take no part in that.
 
-Ranges split at the committed runs; ranges with one empty side or without a run become gaps.  Segments, ranges and
-the state of every round are appended to tables under the checkpoint folder, partitioned by round, and read from there,
+Ranges split at the committed runs; ranges with one empty side or without a run become gaps, and so does what is left of
+a range whose shared blocks were all in committed runs.  Segments, ranges and
+the windows of every round are appended to tables under the checkpoint folder, partitioned by round, and read from there,
 so neither the plan nor the lineage grows with the rounds.  Ranges of at most ``SMALL_RANGE`` blocks leave the loop
 and are finished in one Arrow pass at the end.
 """
@@ -45,7 +47,7 @@ from pyspark.sql import types as T
 
 from ..functions.keys import with_keys
 from ..functions.ranking import SLICE, running_max_within, running_sum_within, slice_of
-from ..session import cut_lineage, ensure_checkpoint_dir
+from ..session import broadcast_if_small, cut_lineage, ensure_checkpoint_dir
 
 OPCODE_COLS = ["doc_id", "tag", "i1", "i2", "j1", "j2", "base"]
 
@@ -123,36 +125,42 @@ def _seeded(blocks: DataFrame, docs: DataFrame, autojunk: bool) -> DataFrame:
     """Blocks of both sides with ``seed``: the key may be part of a match's start (difflib's b2j after autojunk)."""
     if not autojunk:
         return blocks.withColumn("seed", F.lit(True))
-    often = (blocks.filter("side = 'b'").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("c"))
-             .join(docs.filter("n_new >= 200").select("doc_id", "n_new"), "doc_id")
+    long = docs.filter("n_new >= 200").select("doc_id", "n_new")
+    often = (blocks.filter("side = 'b'").join(broadcast_if_small(long.select("doc_id").distinct()), "doc_id", "left_semi")
+             .groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("c")).join(long, "doc_id")
              .filter(F.col("c") > F.floor(F.col("n_new") / 100) + 1))
-    return (blocks.join(often.select("doc_id", "key", F.lit(True).alias("often")), ["doc_id", "key"], "left")
-            .select(*blocks.columns, F.col("often").isNull().alias("seed")))
+    often = broadcast_if_small(cut_lineage(often.select("doc_id", "key", F.lit(True).alias("often"))))
+    return blocks.join(often, ["doc_id", "key"], "left").select(*blocks.columns, F.col("often").isNull().alias("seed"))
 
 
 def _shared(windows: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` that windows of both sides have, with the smallest place as ``id``."""
+    """``keys`` that windows of both sides have, with the smallest place as ``id``, and ``single``: one window a side."""
     place = F.col("pos") * 2 + (F.col("side") == "b").cast("bigint")
-    return (windows.groupBy(*keys).agg(F.min(place).alias("id"), F.bool_or(F.col("side") == "a").alias("in_a"),
-                                       F.bool_or(F.col("side") == "b").alias("in_b"))
-            .filter("in_a AND in_b").drop("in_a", "in_b"))
+    n = [F.sum((F.col("side") == side).cast("bigint")).alias(f"n{side}") for side in "ab"]
+    return (windows.groupBy(*keys).agg(F.min(place).alias("id"), *n).filter("na > 0 AND nb > 0")
+            .select(*keys, "id", (F.greatest("na", "nb") == 1).alias("single")))
 
 
-def window_ids(store: RoundStore, blocks: DataFrame) -> int:
-    """Writes table ``levels``: round L has ``(doc_id, side, pos, id, seed)`` of every window of ``2^L`` blocks that
-    both sides share; returns the number of levels."""
+def window_ids(store: RoundStore, blocks: DataFrame, loose: DataFrame) -> int:
+    """Writes table ``levels``: round L has ``(doc_id, side, pos, id, seed, single)`` of every window of ``2^L`` blocks
+    that both sides share; returns the number of levels.  No round looks beyond the first level at which all shared
+    windows of a document are single (its ranges have some of these windows, so they are single there too), hence none is
+    built, but for documents in ``loose``, whose runs are extended by windows of any key."""
     shared = _shared(blocks, ["doc_id", "key"])
-    level = blocks.join(shared.drop("id"), ["doc_id", "key"], "left_semi")
-    level = store.put("levels", 0, level.select("doc_id", "side", "pos", F.col("key").alias("id"), "seed"))
+    level = blocks.join(shared, ["doc_id", "key"]).select(
+        "doc_id", "side", "pos", F.col("key").alias("id"), "seed", "single")
+    level = store.put("levels", 0, level)
     n = 0
     while not level.isEmpty():  # windows double in length, so levels are the logarithm of the longest shared run
         n += 1
+        open_docs = level.filter("NOT single").select("doc_id").unionByName(loose).distinct()
+        level = level.join(broadcast_if_small(open_docs), "doc_id", "left_semi")
         ahead = level.select("doc_id", "side", (F.col("pos") - (1 << (n - 1))).alias("pos"), F.col("id").alias("y"),
                              F.col("seed").alias("seed_y"))
         pairs = level.join(ahead, ["doc_id", "side", "pos"]).select(
             "doc_id", "side", "pos", F.col("id").alias("x"), "y", (F.col("seed") & F.col("seed_y")).alias("seed"))
         level = store.put("levels", n, pairs.join(_shared(pairs, ["doc_id", "x", "y"]), ["doc_id", "x", "y"])
-                          .select("doc_id", "side", "pos", "id", "seed"))
+                          .select("doc_id", "side", "pos", "id", "seed", "single"))
     return n
 
 
@@ -172,15 +180,16 @@ RANGE = ["doc_id", "rid"]
 
 
 def _ordered_runs(met: DataFrame, unique: DataFrame) -> DataFrame:
-    """Runs ``(doc_id, rid, i, j, k)`` of ranges whose shared windows of level ``level`` are unique on both sides."""
+    """Runs ``(doc_id, rid, i, j, k, complete)`` of ranges whose shared windows of level ``level`` are unique on both sides;
+    ``complete``: these are single blocks, so every shared block of the range is in a run."""
     pairs = met.join(unique, [*RANGE, "level"]).select(*RANGE, "i", "j", F.expr("shiftleft(1L, level)").alias("width"))
     before = pairs.select(*RANGE, (F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j"), F.lit(0).alias("begins"))
     flagged = pairs.join(before, [*RANGE, "i", "j"], "left").withColumn("begins", F.coalesce("begins", F.lit(1)))
     # a place of a has one window, so the windows of a run follow one another
     numbered = running_sum_within(flagged, RANGE, [F.col("i")], [(slice_of("i"), True)], "begins", "island")
     return (numbered.withColumn("island", F.col("island") + F.col("begins")).groupBy(*RANGE, "island")
-            .agg(F.min("i").alias("i"), F.min("j").alias("j"), (F.count(F.lit(1)) + F.first("width") - 1).alias("k"))
-            .drop("island"))
+            .agg(F.min("i").alias("i"), F.min("j").alias("j"), (F.count(F.lit(1)) + F.first("width") - 1).alias("k"),
+                 (F.first("width") == 1).alias("complete")).drop("island"))
 
 
 def _longest_run(windows: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -236,21 +245,21 @@ def _extended(runs: DataFrame, ranges: DataFrame, levels: DataFrame, top: int) -
 
 
 def _committed(runs: DataFrame) -> DataFrame:
-    """Of ``runs(doc_id, rid, i, j, k, s)`` those in order with all others of their range, and the first by ``s``, with
-    the ends ``pa, pb`` of the run before (null for a range's first)."""
+    """Of ``runs(doc_id, rid, i, j, k, s, complete)`` those in order with all others of their range, and the first by ``s``,
+    with the ends ``pa, pb`` of the run before (null for a range's first) and the number of its range's runs."""
     slices = [(slice_of("i"), True)]
     back = [(slice_of("i"), False)]
     r = running_max_within(runs, RANGE, [F.col("i"), F.col("j")], slices,
                            {"a_before": F.col("i") + F.col("k"), "b_before": F.col("j") + F.col("k")})
     r = running_max_within(r, RANGE, [F.col("i").desc(), F.col("j").desc()], back,
                            {"a_after": -F.col("i"), "b_after": -F.col("j")})
-    best = runs.groupBy(*RANGE).agg(F.max(F.struct("s", "i", "j", "k")).alias("best"))
+    best = runs.groupBy(*RANGE).agg(F.max(F.struct("s", "i", "j", "k")).alias("best"), F.count(F.lit(1)).alias("n_runs"))
     true = F.lit(True)
     alone = (F.coalesce(F.col("a_before") <= F.col("i"), true) & F.coalesce(F.col("b_before") <= F.col("j"), true)
              & F.coalesce(-F.col("a_after") >= F.col("i") + F.col("k"), true)
              & F.coalesce(-F.col("b_after") >= F.col("j") + F.col("k"), true))
     first = (F.col("best.i") == F.col("i")) & (F.col("best.j") == F.col("j")) & (F.col("best.k") == F.col("k"))
-    chosen = r.join(best, RANGE).filter(alone | first).select(*RANGE, "i", "j", "k")
+    chosen = r.join(best, RANGE).filter(alone | first).select(*RANGE, "i", "j", "k", "complete", "n_runs")
     return running_max_within(chosen, RANGE, [F.col("i")], slices,
                               {"pa": F.col("i") + F.col("k"), "pb": F.col("j") + F.col("k")})
 
@@ -281,7 +290,8 @@ def frontier_segments(docs: DataFrame, old_blocks: DataFrame, new_blocks: DataFr
     ids = store.put("docs", 0, docs.select("doc_id", F.col("n_old").cast("bigint"), F.col("n_new").cast("bigint"))
                     .filter(F.col("n_old") + F.col("n_new") > 0))
     both = ids.filter((F.col("n_old") > 0) & (F.col("n_new") > 0))
-    sides = [with_keys(df).join(both.select("doc_id"), "doc_id", "left_semi").select(
+    paired = broadcast_if_small(both.select("doc_id").distinct())
+    sides = [with_keys(df).join(paired, "doc_id", "left_semi").select(
         "doc_id", F.lit(side).alias("side"), F.col("block_pos").cast("bigint").alias("pos"), F.col("key_hash").alias("key"))
         for side, df in (("a", old_blocks), ("b", new_blocks))]
     blocks = store.put("blocks", 0, _seeded(sides[0].unionByName(sides[1]), both, autojunk))
@@ -294,19 +304,15 @@ def frontier_segments(docs: DataFrame, old_blocks: DataFrame, new_blocks: DataFr
         F.col("n_new").alias("bhi")).withColumn("small", small)).filter("NOT small")
     number = 0
     if not ranges.isEmpty():
-        loose = not blocks.filter("NOT seed").isEmpty()
-        top = window_ids(store, blocks)
+        going = blocks.join(broadcast_if_small(ranges.select("doc_id").distinct()), "doc_id", "left_semi")
+        loose = broadcast_if_small(cut_lineage(going.filter("NOT seed").select("doc_id").distinct()))
+        any_loose = not loose.isEmpty()
+        top = window_ids(store, going, loose)
         levels = store.all("levels")
-        of_place = levels.filter("seed").groupBy("doc_id", "side", "pos").agg(
-            F.collect_list(F.struct(F.col("round").alias("level"), "id")).alias("ids"))  # at most one a level
-        whole = ranges.select("doc_id", F.explode(F.array(
-            F.struct(F.lit("a").alias("side"), F.col("ahi").alias("stop")),
-            F.struct(F.lit("b").alias("side"), F.col("bhi").alias("stop")))).alias("e")).select("doc_id", "e.*")
-        state = store.put("state", 0, of_place.join(whole, ["doc_id", "side"]).withColumn("rid", zero))
+        windows = levels.filter("seed").select(
+            "doc_id", zero.alias("rid"), "side", "pos", F.col("round").alias("level"), "id")
     while not ranges.isEmpty():  # every round cuts a run out of a range or closes it, so ranges run out
         number += 1
-        windows = (state.select(*RANGE, "side", "pos", "stop", F.explode("ids").alias("e"))
-                   .filter(F.expr("pos + shiftleft(1L, e.level) <= stop")).select(*RANGE, "side", "pos", "e.level", "e.id"))
         a, b = F.col("side") == "a", F.col("side") == "b"
         met = store.put("met", number, windows.groupBy(*RANGE, "level", "id").agg(
             F.sum(a.cast("bigint")).alias("na"), F.sum(b.cast("bigint")).alias("nb"),
@@ -318,22 +324,29 @@ def frontier_segments(docs: DataFrame, old_blocks: DataFrame, new_blocks: DataFr
         runs = _ordered_runs(met, kinds.filter("unique IS NOT NULL").select(*RANGE, F.col("unique").alias("level")))
         repeated = kinds.filter("unique IS NULL").select(*RANGE, F.col("longest").alias("level"))
         if not repeated.isEmpty():
-            runs = runs.unionByName(_longest_run(windows, repeated))
-        if loose:
+            runs = runs.unionByName(_longest_run(windows, repeated).withColumn("complete", F.lit(False)))
+        if any_loose:
+            runs = store.put("found", number, runs)
+        order = F.struct(F.col("k").alias("len"), (-F.col("i")).alias("ni"), (-F.col("j")).alias("nj"))
+        ordered = runs.withColumn("s", order)
+        if any_loose:  # only where keys are popular can a run go on beyond its windows
             bare = ranges.join(kinds, RANGE, "left_anti").select(
                 *RANGE, F.col("alo").alias("i"), F.col("blo").alias("j"), zero.alias("k"))
-            runs = _extended(runs.unionByName(bare), ranges, levels, top)
-        else:
-            runs = runs.withColumn("s", F.struct(F.col("k").alias("len"), (-F.col("i")).alias("ni"), (-F.col("j")).alias("nj")))
-        chosen = store.put("chosen", number, _committed(store.put("runs", number, runs)))
+            seeds = runs.drop("complete").unionByName(bare).join(loose, "doc_id", "left_semi")
+            extended = _extended(seeds, ranges, levels.join(loose, "doc_id", "left_semi"), top)
+            ordered = ordered.join(loose, "doc_id", "left_anti").unionByName(extended.withColumn("complete", F.lit(False)))
+        chosen = store.put("chosen", number, _committed(store.put("runs", number, ordered)))
         bounds = ranges.select(*RANGE, "alo", "ahi", "blo", "bhi")
-        left = (chosen.join(bounds, RANGE).select(
+        # a range's runs are all chosen and hold all shared blocks: nothing is shared between them
+        more = F.max(~F.col("complete")) | (F.max("n_runs") > F.count(F.lit(1)))
+        ends = chosen.groupBy(*RANGE).agg(F.max(F.col("i") + F.col("k")).alias("ea"), F.max(F.col("j") + F.col("k")).alias("eb"),
+                                          more.alias("hit"))
+        ended = bounds.join(ends, RANGE, "left")
+        left = chosen.join(ended, RANGE).select(
             "doc_id", F.coalesce("pa", "alo").alias("alo"), F.col("i").alias("ahi"), F.coalesce("pb", "blo").alias("blo"),
-            F.col("j").alias("bhi"), F.lit(True).alias("hit")))
-        ends = chosen.groupBy(*RANGE).agg(F.max(F.col("i") + F.col("k")).alias("ea"), F.max(F.col("j") + F.col("k")).alias("eb"))
-        last = bounds.join(ends, RANGE, "left").select(
-            "doc_id", F.coalesce("ea", "alo").alias("alo"), "ahi", F.coalesce("eb", "blo").alias("blo"), "bhi",
-            F.col("ea").isNotNull().alias("hit"))
+            F.col("j").alias("bhi"), "hit")
+        last = ended.select("doc_id", F.coalesce("ea", "alo").alias("alo"), "ahi", F.coalesce("eb", "blo").alias("blo"), "bhi",
+                            F.coalesce("hit", F.lit(False)).alias("hit"))
         parts = store.put("parts", number, left.unionByName(last).filter((F.col("alo") < F.col("ahi")) | (F.col("blo") < F.col("bhi"))))
         goes_on = F.col("hit") & (F.col("alo") < F.col("ahi")) & (F.col("blo") < F.col("bhi"))
         matches = chosen.select("doc_id", "i", "j", F.col("k").alias("lo"), F.col("k").alias("ln"), F.lit(True).alias("is_match"))
@@ -341,8 +354,10 @@ def frontier_segments(docs: DataFrame, old_blocks: DataFrame, new_blocks: DataFr
             parts.filter(~goes_on).select("doc_id", *_gap("alo", "ahi", "blo", "bhi"), F.lit(False).alias("is_match"))))
         ranges = store.put("ranges", number, parts.filter(goes_on).select(
             "doc_id", F.col("alo").alias("rid"), "alo", "ahi", "blo", "bhi").withColumn("small", small)).filter("NOT small")
-        state = store.put("state", number, state.select("doc_id", "side", "pos", "ids")
-                          .join(_places(ranges), ["doc_id", "side", "pos"]).select("doc_id", "side", "ids", "pos", "stop", "rid"))
+        inside = windows.drop("rid").join(broadcast_if_small(ranges.select("doc_id").distinct()), "doc_id", "left_semi")
+        windows = store.put("windows", number, inside.join(_places(ranges), ["doc_id", "side", "pos"])
+                            .filter(F.expr("pos + shiftleft(1L, level) <= stop"))
+                            .select(*RANGE, "side", "pos", "level", "id"))
     out = store.all("segments").drop("round")
     if small_range > 0:  # no range is empty
         out = out.unionByName(_finish_small_ranges(store.all("ranges").filter("small").drop("round"), blocks))

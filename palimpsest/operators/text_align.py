@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import PAYLOAD_FIELDS, effective_type
-from ..session import cut_lineage
+from ..session import broadcast_if_small, cut_lineage, stored
 from . import align
 
 
@@ -99,13 +99,26 @@ def narrow_opcodes(old_lines: DataFrame, new_lines: DataFrame, autojunk: bool =
         autojunk, F.col("old_keys"), F.col("new_keys"))).alias("ops"))
 
 
+def _key_blocks(lines: DataFrame, big: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Manifest and blocks of the documents in ``big`` without their texts.  A document's keys are taken inside its row,
+    so 8 bytes a line move, and are stored once for all that read them."""
+    hashed = F.transform("lines", lambda x: F.xxhash64(F.concat(F.lit("paragraph:"), F.coalesce(x, F.lit("")))))
+    keys = stored(lines.select("doc_id", hashed.alias("keys")).join(big, "doc_id", "left_semi"), "line-keys")
+    blocks = keys.select("doc_id", F.posexplode("keys").alias("block_pos", "key_hash"))
+    payload = [F.lit("paragraph" if name == "type" else None).cast(kind).alias(name) for name, kind in PAYLOAD_FIELDS]
+    return keys.select("doc_id"), blocks.select("doc_id", "block_pos", *payload, "key_hash")
+
+
 def _long_documents(old_lines: DataFrame, new_lines: DataFrame, big: DataFrame, autojunk: bool, payload: bool,
                     small_range: int | None = None) -> DataFrame:
     from ..sources.lines import lines_blocks
-    ol = old_lines.join(big, "doc_id", "left_semi")
-    nl = new_lines.join(big, "doc_id", "left_semi")
-    return align.align_blocks(ol.select("doc_id"), nl.select("doc_id"), lines_blocks(ol), lines_blocks(nl),
-                              autojunk, max_udf_blocks=0, with_payload=payload, small_range=small_range)
+    big = broadcast_if_small(big)
+    (old_docs, old_keys), (new_docs, new_keys) = _key_blocks(old_lines, big), _key_blocks(new_lines, big)
+    entries = align.align_blocks(old_docs, new_docs, old_keys, new_keys, autojunk, max_udf_blocks=0,
+                                 with_payload=False, small_range=small_range)
+    if not payload:
+        return entries
+    return align.attach_payloads(entries, *[lines_blocks(df.join(big, "doc_id", "left_semi")) for df in (old_lines, new_lines)])
 
 
 def text_positions(old_lines: DataFrame, new_lines: DataFrame, autojunk: bool = True,

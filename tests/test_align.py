@@ -220,6 +220,65 @@ def test_one_line_repeated_pairs_nothing(spark, monkeypatch):
     assert max(k for name, k in seen if name == "chosen") == 1
 
 
+def test_long_texts_are_aligned_by_stored_keys(spark, monkeypatch):
+    """Route 2 of a text corpus gets keys stored once instead of texts, and collects none of them."""
+    old, new = random_docs(5, 6, list("abcdef"), 20)
+    seen, whole = [], align.align_blocks
+
+    def recorded(old_docs, new_docs, *blocks, **kw):
+        seen.extend(blocks[:2])
+        return whole(old_docs, new_docs, *blocks, **kw)
+
+    def collected(blocks):
+        raise AssertionError("key arrays of route 1")
+
+    monkeypatch.setattr(align, "align_blocks", recorded)
+    monkeypatch.setattr(align, "document_keys", collected)
+    sides = [spark.createDataFrame(list(d.items()), "doc_id bigint, lines array<string>") for d in (old, new)]
+    c = Comparison.from_lines(*sides, max_udf_blocks=0, small_range=0)
+    for rows in (c.entries, c.changes):
+        got = rows.orderBy("doc_id", "entry_idx").collect()
+        for d in old:
+            check_entries([(r.change, r.old_pos, r.new_pos) for r in got if r.doc_id == d], old[d], new[d])
+    for r in got:  # the texts are those of the places
+        assert r.old_text == (None if r.old_pos is None else old[r.doc_id][r.old_pos])
+        assert r.new_text == (new[r.doc_id][r.new_pos] if r.change in ("changed", "added") else None)
+    assert len(seen) == 4
+    for side in seen:
+        assert side.inputFiles() and all("/stored/" in f for f in side.inputFiles())
+        assert side.filter("text IS NOT NULL").isEmpty()
+
+
+def test_single_lines_take_one_round_and_no_longer_windows(spark, monkeypatch):
+    a = [f"l{k}" for k in range(40)]
+    b = [x + "!" if k % 8 == 7 else x for k, x in enumerate(a)]
+    seen = _rounds(monkeypatch)
+    assert _matches(_segments(spark, a, b).collect()) == _library(a, b)
+    assert max(n for name, n in seen if name == "chosen") == 1
+    assert max(n for name, n in seen if name == "levels") == 1  # its table is empty
+
+
+def test_only_documents_with_popular_keys_are_extended(spark, monkeypatch):
+    import palimpsest.operators.align_frontier as AF
+    extended, extend = set(), AF._extended
+
+    def recorded(runs, *rest):
+        extended.update(r.doc_id for r in runs.select("doc_id").collect())
+        return extend(runs, *rest)
+
+    monkeypatch.setattr(AF, "_extended", recorded)
+    monkeypatch.setattr(AF, "SMALL_RANGE", 0)
+    plain = [f"p{k}" for k in range(30)]
+    often = [x for k in range(120) for x in (f"o{k}", "again")]
+    old = {1: plain, 2: often, 3: plain[:9] * 3, 4: ["again"] * 5}
+    new = {1: plain[15:] + ["x"] + plain[:15], 2: ["again", "new"] + often[40:] + ["again"] * 3 + often[:40],
+           3: plain[3:9] * 4 + plain[:5], 4: ["x"] + ["again"] * 4}
+    got = run_entries(spark, old, new, 0)
+    for d in old:
+        check_entries(got[d], old[d], new[d])
+    assert extended == {2}
+
+
 @pytest.mark.parametrize("route", ["udf", "rounds"])
 def test_exact_keys_survive_forced_collisions(spark, route):
     old, new = random_docs(31, 8, "abcd", 14)
